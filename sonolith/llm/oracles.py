@@ -47,4 +47,19 @@ SELECT d.doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c,
 FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN every USING (doc_id)
 """
 
-SQL = {"op8_exact_dedup": EXACT_DEDUP, "op10_personal_data": PERSONAL_DATA}
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+DECONTAMINATION = f"""
+WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS.format(_LOWER)} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + 9], ' ') AS s FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM items WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+found AS (SELECT DISTINCT doc_id, i, windows.n, item FROM places JOIN windows ON windows.n = places.n AND windows.s = array_to_string(places.w[i:i + places.n - 1], ' ')),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM found) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+SQL = {"op4_benchmark_decontamination": DECONTAMINATION, "op8_exact_dedup": EXACT_DEDUP, "op10_personal_data": PERSONAL_DATA}
