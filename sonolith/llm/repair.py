@@ -40,7 +40,7 @@ BLOCK_IDS = 1 << 20
 ROUNDS = 3
 LEAST_COUNT = 16
 MOST_SYMBOLS = 1 << 16
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000  # remembered by a worker, twice at most
 
 
 @lru_cache(maxsize=2)
@@ -97,6 +97,12 @@ class Encoder:
         return np.frombuffer(b"".join(out), dtype=np.uint16)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder; what it remembers serves all its tasks."""
+    return Encoder(path)
+
+
 def _pairs(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Of each position but the last the pair that starts there, as left * 2^16 + right; 0 where a document ends (never replaced)."""
     keys = symbols[:-1].astype(np.uint32) << np.uint32(16) | symbols[1:]
@@ -195,7 +201,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     dealt = plain.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer_path), np.array([END_ID], dtype=np.uint16)
+        encode, end = encoder(tokenizer_path).encode, np.array([END_ID], dtype=np.uint16)
         held: list[np.ndarray] = []
         ids: list = []
         block = held_ids = before = shard = 0
@@ -215,7 +221,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
                 if held and held_ids >= BLOCK_IDS:
                     yield close()
                     before, block, held, ids, held_ids = before + held_ids, block + 1, [], [], 0
-                held.append(np.concatenate((encoder.encode(text.as_py()), end)))
+                held.append(np.concatenate((encode(text.as_py()), end)))
                 ids.append(doc_id.as_py())
                 held_ids += len(held[-1])
         if held:
