@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .oracles import SQL as SQL
 from .pii import personal_data_report
 from .repair import read_ids, write_ids
+from .sentence_spans import removal_report
 from .simhash import near_duplicates
 from .sp_viterbi import encoding_report
 from .toxicity import toxicity_scores
@@ -55,6 +56,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@query
+def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(table(spark, sf_dir, "documents"))
