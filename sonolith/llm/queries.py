@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .brown_lm import class_model_scores
 from .common import table
 from .decontam import contamination_report
 from .exact_dedup import exact_dedup
@@ -26,6 +27,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model_scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), digest_only=True)
