@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .brown_lm import class_model_scores
 from .common import table
@@ -17,6 +18,7 @@ from .repair import read_ids, write_ids
 from .sentence_spans import removal_report
 from .simhash import near_duplicates
 from .sp_viterbi import encoding_report
+from .tool_calls import link_tool_calls, turns_as_calls
 from .toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +39,12 @@ def op2_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), digest_only=True)
 
 
+@query
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_tool_calls(*turns_as_calls(table(spark, sf_dir, "conversations")))
+    return linked.select("conv_id", "call_id", "seq", "level", "name", "status", F.concat_ws("; ", "errors").alias("errors"), "record")
+
+
 @query
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
