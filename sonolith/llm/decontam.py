@@ -166,7 +166,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
         out = pd.Series(False, index=texts.index)
         for name, held in blocks:
             automaton = _automaton(name, held)
-            out |= [bool(words) and next(automaton.iter(" " + " ".join(words) + " "), None) is not None for words in map(words_of, texts)]
+            found = [bool(words) and next(automaton.iter(" " + " ".join(words) + " "), None) is not None for words in map(words_of, texts)]
+            out = out | pd.Series(found, index=texts.index, dtype=bool)
         return out
 
     return docs.where(~hit(F.coalesce(F.col(text_col), F.lit(""))))

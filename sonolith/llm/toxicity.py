@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import documents_of, training_fold
 
 ORDER, SPAN, DECAY = 3, 6, 0.7
-SAMPLE = 3_000
-SAMPLE_WORDS = 4_000  # distinct words taken from one sampled document
+SAMPLE = 2_000
+SAMPLE_WORDS = 2_000  # distinct words taken from one sampled document
 LANDMARKS = 128
 LONGEST = 24  # longer words are cut in overlapping windows of this many characters
 SLOTS = 1 << 18
@@ -190,7 +190,7 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 1e-6), float(w[1])
 
 
-def choose_landmarks(documents: list[tuple[set[str], int]]) -> list[str]:
+def choose_landmarks(documents: list[tuple[Iterable[str], int]]) -> list[str]:
     """The words that tell the classes apart best, by weighted log odds of the documents that hold them; ties by the word."""
     toxic, other = Counter(), Counter()
     for words, label in documents:
@@ -206,7 +206,7 @@ def choose_landmarks(documents: list[tuple[set[str], int]]) -> list[str]:
     return ranked[:LANDMARKS]
 
 
-def fit(documents: list[tuple[set[str], int]]) -> Model | None:
+def fit(documents: list[tuple[Iterable[str], int]]) -> Model | None:
     """The model from documents' words and labels; None unless both labels occur and some word is shared by two of label 1."""
     if len({y for _, y in documents}) < 2 or not (chosen := word_parts(choose_landmarks(documents))):
         return None
@@ -214,7 +214,7 @@ def fit(documents: list[tuple[set[str], int]]) -> Model | None:
     own = kernel.of(chosen).astype(np.float64)
     whiten = [_inverse_root(own**p) for p in POWERS]
     memory, marked = Largest(kernel), {w.strip(START + END) for w in chosen}
-    altered = [{_altered(w) if w in marked else w for w in words} for words, y in documents if y]
+    altered = [tuple(_altered(w) if w in marked else w for w in words) for words, y in documents if y]
     x = coordinates(memory.of([*(d for d, _ in documents), *altered]), whiten)
     y = np.array([1.0 if y else -1.0 for _, y in documents] + [1.0] * len(altered))
     n = len(documents)
@@ -248,7 +248,7 @@ class Largest:
         self.new: dict[str, np.ndarray | None] = {}
         self.old: dict[str, np.ndarray | None] = {}
 
-    def of(self, documents: Iterable[set[str]]) -> np.ndarray:
+    def of(self, documents: Iterable[Iterable[str]]) -> np.ndarray:
         """[documents x landmarks]; words that are new are worked out together, for some documents at a time."""
         out, waiting = [], []
         for words in documents:
@@ -259,7 +259,7 @@ class Largest:
         out += self._some(waiting)
         return np.stack(out) if out else np.zeros((0, len(self.kernel.landmarks)), dtype=np.float32)
 
-    def _some(self, documents: list[set[str]]) -> list[np.ndarray]:
+    def _some(self, documents: list[Iterable[str]]) -> list[np.ndarray]:
         missing = set()
         for words in documents:
             for w in words:
@@ -289,7 +289,7 @@ class Largest:
         return np.maximum.reduceat(values, starts, axis=0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> list[tuple[set[str], int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> list[tuple[tuple[str, ...], int]]:
     """Words and label of at most ``SAMPLE`` training documents of each class, those with the smallest hash of their id."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where((training_fold(F.col(id_col), folds) != 0) & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = None
@@ -304,8 +304,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     # the sample's size is a parameter of this module, so it is small enough to broadcast whatever the tables' sizes are
     texts = documents_of(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").select("text", F.col("label").cast("long").alias("label"), "doc_id")
-    rows = texts.mapInArrow(run, "words array<string>, label long").collect()
-    return [(set(r["words"]), int(r["label"] > 0)) for r in sorted(rows, key=lambda r: r["words"])]
+    met: dict[str, str] = {}  # one string per word, however many documents hold it
+    rows = [(tuple(met.setdefault(w, w) for w in r["words"]), int(r["label"] > 0)) for r in texts.mapInArrow(run, "words array<string>, label long").toLocalIterator()]
+    return sorted(rows)
 
 
 def hash_of(word: str) -> int:
