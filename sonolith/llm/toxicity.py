@@ -176,14 +176,14 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, fl
     return w[:-1], float(w[-1])
 
 
-def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve with P(label 1 | margin), targets smoothed, by Newton steps."""
+def _calibrate(margin: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve with P(label 1 | margin), targets smoothed, examples weighted by ``share``, by Newton steps."""
     pos, neg = (y > 0).sum(), (y < 0).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     z, w = np.stack((margin, np.ones_like(margin)), axis=1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (p - target))
+        step = np.linalg.solve((z * (share * p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (share * (p - target)))
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
@@ -206,8 +206,11 @@ def choose_landmarks(documents: list[tuple[Iterable[str], int]]) -> list[str]:
     return ranked[:LANDMARKS]
 
 
-def fit(documents: list[tuple[Iterable[str], int]]) -> Model | None:
-    """The model from documents' words and labels; None unless both labels occur and some word is shared by two of label 1."""
+def fit(documents: list[tuple[Iterable[str], int]], share_of_1: float) -> Model | None:
+    """The model from documents' words and labels; None unless both labels occur and some word is shared by two of label 1.
+
+    ``share_of_1`` of all labels, not of the sample, is what the probabilities are calibrated to.
+    """
     if len({y for _, y in documents}) < 2 or not (chosen := word_parts(choose_landmarks(documents))):
         return None
     kernel = Kernel(chosen)
@@ -226,7 +229,8 @@ def fit(documents: list[tuple[Iterable[str], int]]) -> Model | None:
     for f in range(5):  # margins for the calibration come from models that have not seen the document
         w, b = _svm(x[fold != f], y[fold != f], cost[fold != f])
         margin[fold == f] = x[fold == f] @ w + b
-    slope, offset = _calibrate(margin[:n], y[:n])
+    balance = np.where(y[:n] > 0, share_of_1 / (y[:n] > 0).mean(), (1 - share_of_1) / (y[:n] < 0).mean())
+    slope, offset = _calibrate(margin[:n], y[:n], balance)
     w, b = _svm(x, y, cost)
     return Model(kernel, whiten, w, b, slope, offset)
 
@@ -289,9 +293,10 @@ class Largest:
         return np.maximum.reduceat(values, starts, axis=0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> list[tuple[tuple[str, ...], int]]:
-    """Words and label of at most ``SAMPLE`` training documents of each class, those with the smallest hash of their id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> tuple[list[tuple[tuple[str, ...], int]], float]:
+    """Words and label of at most ``SAMPLE`` training documents of each class, those with the smallest hash of their id; and the share of label 1 among all training labels."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where((training_fold(F.col(id_col), folds) != 0) & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
+    share = known.agg(F.avg((F.col("label") > 0).cast("double"))).first()[0] or 0.0
     ids = None
     for of_class in (F.col("label") > 0, F.col("label") <= 0):
         part = known.where(of_class).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
@@ -306,7 +311,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     texts = documents_of(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").select("text", F.col("label").cast("long").alias("label"), "doc_id")
     met: dict[str, str] = {}  # one string per word, however many documents hold it
     rows = [(tuple(met.setdefault(w, w) for w in r["words"]), int(r["label"] > 0)) for r in texts.mapInArrow(run, "words array<string>, label long").toLocalIterator()]
-    return sorted(rows)
+    return sorted(rows), share
 
 
 def hash_of(word: str) -> int:
@@ -347,17 +352,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     several labels of one id count as their largest. Without labels of both kinds the score is the share of label 1
     among the labels that there are (0 if none).
     """
-    sample = labelled_sample(docs, labels, id_col, text_col, folds=folds)
-    model = fit(sample)
-    prior = sum(y for _, y in sample) / max(1, len(sample))
-    scored = score_texts(docs, model, prior, id_col, text_col)
+    sample, share = labelled_sample(docs, labels, id_col, text_col, folds=folds)
+    scored = score_texts(docs, fit(sample, share), share, id_col, text_col)
     return scored.select("doc_id", (training_fold(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", reject_from: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a score below ``reject_from``, with all their columns; the score is a column of the scan, so nothing is shuffled."""
-    sample = labelled_sample(docs, labels, id_col, text_col)
-    model = fit(sample)
+    model = fit(*labelled_sample(docs, labels, id_col, text_col))
     if model is None:
         return docs
     name, held = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
