@@ -18,3 +18,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+from . import metric_queries  # noqa: E402, F401

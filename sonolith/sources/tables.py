@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.scalars import null_if_missing, number, present
 
-MANIFEST = StructType.fromDDL(
+MANIFEST = (
     "speaker_id string, audio_filepath string, text string, duration double, severity string, aetiology string, sex string, gender string, age string, "
     "is_dysarthric boolean, content_type string, intelligibility_pct double, intelligibility double, clinical_score string, updrs_speech string, grbas_g string, _corrupt string"
 )
