@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from . import metric_queries, statistics_queries  # noqa: E402, F401
+from . import cohort_queries, metric_queries, statistics_queries  # noqa: E402, F401
