@@ -40,7 +40,7 @@ BLOCK_IDS = 1 << 20
 ROUNDS = 3
 LEAST_COUNT = 16
 MOST_SYMBOLS = 1 << 16
-CACHE_WORDS = 500_000  # remembered by a worker, twice at most
+CACHE_WORDS = 700_000  # remembered by a worker, twice at most
 
 
 @lru_cache(maxsize=2)
@@ -80,6 +80,10 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         found = self.old.get(word)
+        if found is None and len(word) > 2 and word[-1] in ".,;:!?" and word[-2].isalpha():
+            # the pattern always cuts between a letter and such a sign: the word without it is often known
+            stem, sign = word[:-1], word[-1]
+            found = (self.new.get(stem) or self._word(stem)) + (self.new.get(sign) or self._word(sign))
         if found is None:
             written = (piece.encode().decode("latin-1").translate(self._characters) for piece in self.pattern.findall(word))
             found = np.array([t.id for piece in written for t in self.model.tokenize(piece)], dtype=np.uint16).tobytes()
@@ -130,14 +134,16 @@ def compress(symbols: np.ndarray, ends: np.ndarray, vocabulary: int = VOCABULARY
             kinds = kinds[np.sort(np.argsort(-counts, kind="stable")[:take])]
         if not len(kinds):
             break
-        nearby = np.zeros(1 << 20, dtype=bool)  # most pairs are refused by this, without a search
-        slot = lambda k: (k * np.uint32(2654435761)) >> np.uint32(12)
-        nearby[slot(kinds)] = True
-        maybe = np.flatnonzero(nearby[slot(keys)])
-        rank = np.searchsorted(kinds, keys[maybe])
-        rank[rank == len(kinds)] = 0
-        hit = kinds[rank] == keys[maybe]
-        at, rule = maybe[hit], rank[hit]
+        slot = lambda k: (k * np.uint32(2654435761)) >> np.uint32(12)  # noqa: E731  a place among 2^20
+        place = np.full(1 << 20, -1, dtype=np.int32)
+        place[slot(kinds)] = np.arange(len(kinds), dtype=np.int32)
+        kinds = kinds[place[slot(kinds)] == np.arange(len(kinds))]  # of pairs with one place the last; the others wait a round
+        place[slot(kinds)] = np.arange(len(kinds), dtype=np.int32)
+        rule = place[slot(keys)]
+        at = np.flatnonzero(rule >= 0)
+        rule = rule[at]
+        hit = kinds[rule] == keys[at]
+        at, rule = at[hit], rule[hit]
         run = np.concatenate(([True], np.diff(at) > 1))  # of neighbouring hits every other one, from the left
         within = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         at, rule = at[within % 2 == 0], rule[within % 2 == 0]
