@@ -25,7 +25,7 @@ def meta_dl(studies: DataFrame, by: list[str], rho: str = "rho", n: str = "n", w
     rows = _weights(studies, by, rho, n)
     w = 1 / F.col("se2")
     fixed = rows.groupBy(*by).agg(F.count("*").alias("k"), F.sum(w).alias("sw"), F.sum(w * w).alias("sw2"), F.sum(w * F.col("z")).alias("swz"), F.sum(w * F.col("z") * F.col("z")).alias("swz2")).where("k >= 2")
-    q = F.col("swz2") - F.col("swz") * F.col("swz") / F.col("sw")
+    q = F.greatest(F.col("swz2") - F.col("swz") * F.col("swz") / F.col("sw"), F.lit(0.0))  # rounding can leave a little less
     tau2 = F.greatest(F.lit(0.0), F.try_divide(F.col("q") - F.col("k") + 1, F.col("sw") - F.col("sw2") / F.col("sw")))
     fixed = fixed.withColumn("q", q).withColumn("tau2", tau2).withColumn("i2", F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("q") - F.col("k") + 1, F.col("q")), F.lit(0.0)) * 100)).select(*by, "k", "q", "tau2", "i2")
     v = 1 / (F.col("se2") + F.col("tau2"))
