@@ -16,7 +16,6 @@ from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,19 +154,22 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns.
 
-    The test is a column of the scan itself, so that no text is shuffled and rows that share an id are told apart.
+    Rows pass through the scan in batches, so that no text is shuffled and rows that share an id are told apart.
     """
     blocks = [(uuid.uuid4().hex, held) for held in _blocks(benchmark, "item_id", "text", window)]
     if not blocks:
         return docs
 
-    @F.pandas_udf("boolean")
-    def hit(texts: pd.Series) -> pd.Series:
-        out = pd.Series(False, index=texts.index)
-        for name, held in blocks:
-            automaton = _automaton(name, held)
-            found = [bool(words) and next(automaton.iter(" " + " ".join(words) + " "), None) is not None for words in map(words_of, texts)]
-            out = out | pd.Series(found, index=texts.index, dtype=bool)
-        return out
+    at = docs.columns.index(text_col)
 
-    return docs.where(~hit(F.coalesce(F.col(text_col), F.lit(""))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean = [True] * b.num_rows
+            for name, held in blocks:
+                automaton = _automaton(name, held)
+                for k, text in enumerate(b.column(at)):
+                    words = words_of(text.as_py())
+                    clean[k] = clean[k] and (not words or next(automaton.iter(" " + " ".join(words) + " "), None) is None)
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +37,7 @@ SAMPLE_WORDS = 2_000  # distinct words taken from one sampled document
 LANDMARKS = 128
 LONGEST = 24  # longer words are cut in overlapping windows of this many characters
 SLOTS = 1 << 18
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 PENALTY = 10.0
 POWERS = (3, 12)  # powers of a kernel are kernels: the lower one sees altered words, the higher one near-exact ones
 ALTERED_WEIGHT = 0.25  # of the copies of toxic training sentences whose landmark words get a character put in
@@ -358,15 +357,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", reject_from: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a score below ``reject_from``, with all their columns; the score is a column of the scan, so nothing is shuffled."""
+    """The rows of ``docs`` with a score below ``reject_from``, with all their columns. Rows pass through the scan in batches; nothing is shuffled."""
     model = fit(*labelled_sample(docs, labels, id_col, text_col))
     if model is None:
         return docs
     name, held = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, memory = _model(name, held)
-        return pd.Series(fitted.score(memory.of(map(distinct_words, texts))), index=texts.index, dtype=float)
+        for b in batches:
+            scores = fitted.score(memory.of(distinct_words(t.as_py() or "") for t in b.column(at)))
+            yield b.filter(pa.array(scores < reject_from))
 
-    return docs.where(score(F.coalesce(F.col(text_col), F.lit(""))) < reject_from)
+    return docs.mapInArrow(run, docs.schema)
