@@ -190,7 +190,7 @@ def _calibrate(margin: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[fl
 
 
 def choose_landmarks(documents: list[tuple[Iterable[str], int]]) -> list[str]:
-    """The words that tell the classes apart best, by weighted log odds of the documents that hold them; ties by the word."""
+    """The words that tell the classes apart best, by weighted log odds of the documents that hold them; ties by the word. A landmark is one window of the kernel at most."""
     toxic, other = Counter(), Counter()
     for words, label in documents:
         (toxic if label else other).update(words)
@@ -201,7 +201,7 @@ def choose_landmarks(documents: list[tuple[Iterable[str], int]]) -> list[str]:
         p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
         return (p - q) * np.log(p / q) if p > q else 0.0
 
-    ranked = sorted((w for w in toxic if toxic[w] > 1), key=lambda w: (-weight(w), w))
+    ranked = sorted((w for w in toxic if toxic[w] > 1 and len(w) + 2 <= LONGEST), key=lambda w: (-weight(w), w))
     return ranked[:LANDMARKS]
 
 
