@@ -5,6 +5,9 @@ some segment; so if both list the ball of radius 1 around each of their segments
 value. Each distinct fingerprint is therefore entered under 66 keys, equal keys fetch each other's entries, and the
 complete distance decides. No key of fewer than 32 bits is ever compared, so buckets stay near their expected size
 until there are billions of different fingerprints.
+
+``drop_near_duplicates`` (the pipeline's stage) links by the similarity itself: 64 bits cannot tell a Jaccard similarity
+of 0.8. Candidates share a key of smallest shingle hashes, and whole shingle sets decide.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ from .common import documents_of, staged
 
 SEED = 42
 CHUNK = 100_000  # shingles hashed at once
+BANDS, ROWS = 27, 7  # of the sketches by smallest hashes
+_TURN, _TIMES = np.random.default_rng(SEED).integers(0, 1 << 32, (2, 192), dtype=np.uint32)
+_TIMES |= np.uint32(1)
+_BAND = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
@@ -121,20 +128,103 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _with_components(prints, most_bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, most_bits: int = 4) -> DataFrame:
-    """One row of ``docs`` per component, with all its columns: that of the smallest id (ties: the smallest text hash; of repeated rows, one)."""
+def shingles_of(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """The different hashes of a text's word shingles, sorted; none in a text without words. Words are those of ``fingerprint``."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined, n, width = b" ".join(words), max(1, len(words) - words_per_shingle + 1), min(words_per_shingle, len(words))
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts[:n], starts[width:], strict=True)], dtype=np.uint64))
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(``BANDS`` keys, three longs of one bit per smallest value) of a set of shingle hashes.
+
+    Sets of Jaccard similarity s share a key with probability 1 - (1 - s^7)^27: 0.998 at 0.8. Each of the 192 bits
+    differs with probability (1 - s) / 2.
+    """
+    low = np.full(192, 0xFFFFFFFF, dtype=np.uint32)
+    values = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(values), 512):
+        np.minimum(low, ((values[at : at + 512, None] ^ _TURN) * _TIMES).min(axis=0), out=low)
+    keys = _BAND.copy()
+    for column in low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    bits = ((low ^ (low >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return keys.view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _alike(a: str, b: str, apart: int = 36) -> Column:
+    """Whether two sketches may be of similarity 0.8: sizes within 0.8 of each other, at most ``apart`` of 192 bits differing (19.2 are expected at 0.8, and more than 36 in about one pair of 10,000)."""
+    differing = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in (1, 2)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    return (5 * F.least(f"{a}.n", f"{b}.n") >= 4 * F.greatest(f"{a}.n", f"{b}.n")) & (differing <= apart)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of 0.8 or more, by their whole sets: 9 |both| >= 4 (|a| + |b|)."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+    return both.where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
+
+
+def _similar(prints: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(``node``, ``root``): components of the different shingle sets over pairs of similarity 0.8 or more that share a key.
+
+    First every set of a bucket is tested against the bucket's first one; then all pairs of a bucket that this left in
+    different components are tested. A large family of copies is mostly settled by the first, which is linear.
+    """
+    per_key = Window.partitionBy("key")
+    entries = prints.select("node", "sketch", "keys").dropDuplicates(["node"]).select("node", "sketch", F.explode("keys").alias("key"))
+    first = F.min(F.struct("node", "sketch")).over(per_key)
+    shared = staged(entries.withColumn("first", first).withColumn("size", F.count("*").over(per_key)).where("size > 1"), "shared-keys")
+    wanted = prints.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                yield pa.record_batch([part.column("node"), pa.array([shingles_of(x.as_py(), words_per_shingle).view(np.int64) for x in part.column("text")], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    sets = staged(texts.join(wanted, "text_hash").select("node", "text").mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingle-sets")
+    stars = shared.where("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.sketch").alias("x"), F.col("sketch").alias("y")).where(_alike("x", "y"))
+    found = staged(_verified(stars.select("a", "b").distinct(), sets), "similar")
+    roots = components(found)
+    placed = shared.select("node", "sketch", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = staged(placed.withColumn("least", F.min("root").over(per_key)).withColumn("most", F.max("root").over(per_key)).where("least <> most").drop("least", "most"), "split-keys")
+    a, b = (split.select("key", F.col("node").alias(k), F.col("root").alias(f"root_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+    rest = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _alike("sketch_a", "sketch_b")).select("a", "b").distinct()
+    return components(found.unionByName(_verified(rest, sets)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
+    """One row of ``docs`` per group of texts linked by a Jaccard similarity of 0.8 or more of their word shingles, with all its columns: that of the smallest id (ties: the smallest text hash; of repeated rows, one).
+
+    Candidates share one of ``BANDS`` keys of ``ROWS`` smallest hashes (a pair at 0.8 does with probability 0.998); each
+    link is verified by the whole shingle sets. Texts without words are one group.
+    """
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(x.as_py(), words_per_shingle) for x in b.column("text")], dtype=np.uint64)
-            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])
-
-    prints = staged(own.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long"), "prints")
+            nodes, sizes, keys, bits = [], [], [], []
+            for x in b.column("text"):
+                hashes = shingles_of(x.as_py(), words_per_shingle)
+                k, s = sketch(hashes)
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                sizes.append(len(hashes))
+                keys.append(k)
+                bits.append(s)
+            s = np.array(bits, dtype=np.int64).reshape(-1, 3)
+            sketches = pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(s[:, j])) for j in range(3))], names=["n", "s0", "s1", "s2"])
+            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), sketches, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "sketch", "keys"])
+
+    prints = staged(own.mapInArrow(run, f"doc_id {kind}, text_hash long, node long, sketch struct<n:int,s0:long,s1:long,s2:long>, keys array<long>"), "sketches")
+    roots = _similar(prints, own.select("text_hash", "text"), words_per_shingle)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    # a component whose ids are all null has no component_id; its fingerprint then stands for it
-    stay = _with_components(prints, most_bits).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    group = F.coalesce("root", "node").alias("group")
+    stay = prints.select("doc_id", "text_hash", "node").join(roots, "node", "left").groupBy(group).agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     marked = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     joined = marked.join(stay, marked[id_col].eqNullSafe(stay["__id"]) & (marked["__text"] == stay["__hash"]), "left_semi")
     others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]

@@ -288,6 +288,38 @@ def test_op7_edges(edge):
     assert simhash.near_duplicates(edge.limit(0)).count() == simhash.drop_near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_pipeline_near_dedup_takes_similarity_of_08(spark):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    texts = []
+    for _ in range(150):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randint(60, 300))]
+        texts.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for at in r.sample(range(len(base)), r.randint(1, max(1, len(base) // 30))):
+                copy[at] = f"v{r.randrange(10**6)}"
+            texts.append(copy)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] & sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    want = {top(i) for i in range(len(texts))}
+    assert 150 < len(want) < 450  # some copies are under 0.8 and must stay
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    got = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert want <= got and len(got - want) <= 0.02 * (len(texts) - len(want))
+
+
 def test_op8_edges(edge):
     got = exact_dedup.exact_dedup(edge).collect()
     assert len(got) == 7 and sum(r["kept"] for r in got) == 5
