@@ -1,8 +1,9 @@
 """Repeated passages by sliding sentence spans.
 
 A text is cut into sentences (at ``.``, ``!`` or ``?`` before white space, and at line ends); a span is a run of
-consecutive sentences. From every sentence starts one span: the shortest run of at least ``min_sentences`` sentences
-and at least ``min_words`` words. Spans are compared by 128 bits of hash over their words (case and spacing of the
+consecutive sentences with at least ``min_sentences`` sentences and at least ``min_words`` words. Of all such runs two a
+sentence are hashed, the shortest that starts and the shortest that ends with it: any longer run is covered by those
+inside it, and they repeat wherever it repeats, so they remove what all runs would. Spans are compared by 128 bits of hash over their words (case and spacing of the
 text do not matter), joined over the whole table, and every sentence covered by an occurrence that is not the first
 (smallest document id, then position) is removed.
 """
@@ -42,16 +43,27 @@ def spans_of(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN
     bounds = sentences_of(text)
     words = [text[a:b].casefold().split() for a, b in bounds]
     plain = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
-    out, end, held = [], 0, 0
+    sizes, runs, end, held = [len(w) for w in words], set(), 0, 0
     for i in range(len(bounds)):
         while end < len(bounds) and (end - i < min_sentences or held < min_words):
-            held += len(words[end])
+            held += sizes[end]
             end += 1
         if end - i < min_sentences or held < min_words:
             break  # what is left is too short for a span, and so is all after it
-        digest = xxhash.xxh3_128_digest(b" ".join(plain[i:end]))
-        out.append((i, end - i, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
-        held -= len(words[i])
+        runs.add((i, end - i))
+        held -= sizes[i]
+    start, held = 0, 0
+    for end in range(1, len(bounds) + 1):
+        held += sizes[end - 1]
+        while end - start > min_sentences and held - sizes[start] >= min_words:
+            held -= sizes[start]
+            start += 1
+        if end - start >= min_sentences and held >= min_words:
+            runs.add((start, end - start))
+    out = []
+    for i, n in sorted(runs):
+        digest = xxhash.xxh3_128_digest(b" ".join(plain[i : i + n]))
+        out.append((i, n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
     return len(bounds), out
 
 

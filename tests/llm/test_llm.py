@@ -345,6 +345,25 @@ def test_op9_removes_what_repeats(spark, sf, rows):
         assert (got[i]["n_sentences"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(b), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_op9_removes_what_all_runs_would(spark):
+    r = random.Random(4)
+    sentence = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n)) + "."
+    passages = [[sentence(n) for n in sizes] for sizes in ((10, 10, 2, 2), (3, 3, 15, 1, 1, 1), (25, 2), (12, 7), (2, 2, 2, 30))]
+    texts = [[sentence(r.randint(1, 12)) for _ in range(3)] + p + [sentence(r.randint(1, 12)) for _ in range(3)] for p in passages for _ in range(3)]
+    seen, want = set(), []
+    for t in texts:
+        words, gone, own = [x.split() for x in t], set(), []
+        for a, b in itertools.combinations(range(len(t) + 1), 2):
+            if b - a >= 2 and sum(map(len, words[a:b])) >= 20:
+                own.append(" ".join(t[a:b]))
+                gone |= set(range(a, b)) if own[-1] in seen else set()
+        seen.update(own)
+        want.append(" ".join(x for k, x in enumerate(t) if k not in gone))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x["doc_id"]: x["text"].strip() for x in sentence_spans.remove_repeated(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_op9_edges(spark, edge):
     got = sentence_spans.remove_repeated(edge).collect()
     assert len(got) == 7 and sorted(r["text"] for r in got) == sorted(t or "" for _, t, *_ in EDGE)
