@@ -10,8 +10,8 @@ Landmarks are words of the labelled training sentences. A sentence is described
 landmark, and powers of these are taken to Nyström coordinates by K^(-1/2) of the landmarks; a document's value per landmark is the largest of its
 sentences'. A linear SVM (squared hinge, classes weighted evenly) and a logistic calibration on top give the score.
 
-Fitting takes a bounded sample of labelled training documents (``SAMPLE`` of each class, by a hash of the id) and
-``LANDMARKS`` landmarks to the driver; scoring is one scan of all texts, whole, with the model as a broadcast of fixed
+Fitting takes a bounded sample of labelled training documents (``SAMPLE`` of each class, by a hash of the id), whole:
+their words are counted on Spark, and only ``LANDMARKS`` landmarks and each document's values for them come to the driver; scoring is one scan of all texts, whole, with the model as a broadcast of fixed
 size. Language, source and ids are no input of a score.
 """
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -29,11 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, training_fold
+from .common import documents_of, staged, training_fold
 
 ORDER, SPAN, DECAY = 3, 6, 0.7
 SAMPLE = 2_000
-SAMPLE_WORDS = 2_000  # distinct words taken from one sampled document
 LANDMARKS = 128
 LONGEST = 24  # longer words are cut in overlapping windows of this many characters
 SLOTS = 1 << 18
@@ -189,37 +187,45 @@ def _calibrate(margin: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[fl
     return max(float(w[0]), 1e-6), float(w[1])
 
 
-def choose_landmarks(documents: list[tuple[Iterable[str], int]]) -> list[str]:
-    """The words that tell the classes apart best, by weighted log odds of the documents that hold them; ties by the word. A landmark is one window of the kernel at most."""
-    toxic, other = Counter(), Counter()
-    for words, label in documents:
-        (toxic if label else other).update(words)
-    n1, n0 = sum(1 for _, y in documents if y), sum(1 for _, y in documents if not y)
+@dataclass
+class Sample:
+    """Labelled documents as their largest kernel values; ``altered``: those of the documents of label 1 with their landmark words altered."""
+
+    kernel: Kernel | None
+    labels: np.ndarray
+    largest: np.ndarray
+    altered: np.ndarray
+
 
-    def weight(w: str) -> float:
-        a, b = toxic[w], other[w]
-        p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-        return (p - q) * np.log(p / q) if p > q else 0.0
+def choose_landmarks(texts: DataFrame) -> list[str]:
+    """The words of (``text``, ``label``) that tell the classes apart best, by weighted log odds of the documents that hold them; ties by the word. A landmark is one window of the kernel at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, label in zip(b.column("text"), b.column("label"), strict=True):
+                words = list(distinct_words(text.as_py()))
+                yield pa.record_batch([pa.array(words, pa.string()), pa.array([label.as_py()] * len(words), pa.int64())], names=["word", "label"])
 
-    ranked = sorted((w for w in toxic if toxic[w] > 1 and len(w) + 2 <= LONGEST), key=lambda w: (-weight(w), w))
-    return ranked[:LANDMARKS]
+    n1, n0 = texts.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first()
+    counts = texts.select("text", "label").mapInArrow(run, "word string, label long").groupBy("word").agg(F.count_if(F.col("label") > 0).alias("a"), F.count_if(F.col("label") <= 0).alias("b"))
+    p, q = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
+    ranked = counts.where((F.col("a") > 1) & (F.char_length("word") + 2 <= LONGEST)).withColumn("weight", F.when(p > q, (p - q) * F.log(p / q)).otherwise(0.0))
+    return [r["word"] for r in ranked.orderBy(F.desc("weight"), "word").limit(LANDMARKS).collect()]
 
 
-def fit(documents: list[tuple[Iterable[str], int]], share_of_1: float) -> Model | None:
-    """The model from documents' words and labels; None unless both labels occur and some word is shared by two of label 1.
+def fit(sample: Sample, share_of_1: float) -> Model | None:
+    """The model from documents' largest kernel values; None unless both labels occur and some word is shared by two of label 1.
 
     ``share_of_1`` of all labels, not of the sample, is what the probabilities are calibrated to.
     """
-    if len({y for _, y in documents}) < 2 or not (chosen := word_parts(choose_landmarks(documents))):
+    kernel = sample.kernel
+    if kernel is None or len(np.unique(sample.labels)) < 2:
         return None
-    kernel = Kernel(chosen)
-    own = kernel.of(chosen).astype(np.float64)
+    own = kernel.of(kernel.landmarks).astype(np.float64)
     whiten = [_inverse_root(own**p) for p in POWERS]
-    memory, marked = Largest(kernel), {w.strip(START + END) for w in chosen}
-    altered = [tuple(_altered(w) if w in marked else w for w in words) for words, y in documents if y]
-    x = coordinates(memory.of([*(d for d, _ in documents), *altered]), whiten)
-    y = np.array([1.0 if y else -1.0 for _, y in documents] + [1.0] * len(altered))
-    n = len(documents)
+    x = coordinates(np.concatenate((sample.largest, sample.altered)), whiten)
+    y = np.array([1.0 if y else -1.0 for y in sample.labels] + [1.0] * len(sample.altered))
+    n = len(sample.labels)
     share = np.where(np.arange(len(y)) < n, 1.0, ALTERED_WEIGHT)
     cost = share * np.where(y > 0, share.sum() / (2 * share[y > 0].sum()), share.sum() / (2 * share[y < 0].sum()))
     fold = np.arange(n) % 5
@@ -292,8 +298,8 @@ class Largest:
         return np.maximum.reduceat(values, starts, axis=0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> tuple[list[tuple[tuple[str, ...], int]], float]:
-    """Words and label of at most ``SAMPLE`` training documents of each class, those with the smallest hash of their id; and the share of label 1 among all training labels."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> tuple[Sample, float]:
+    """At most ``SAMPLE`` training documents of each class, those with the smallest hash of their id, described by all their words; and the share of label 1 among all training labels."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where((training_fold(F.col(id_col), folds) != 0) & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     share = known.agg(F.avg((F.col("label") > 0).cast("double"))).first()[0] or 0.0
     ids = None
@@ -301,20 +307,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         part = known.where(of_class).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         ids = part if ids is None else ids.unionByName(part)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [sorted(distinct_words(t.as_py()), key=lambda w: (hash_of(w), w))[:SAMPLE_WORDS] for t in b.column("text")]
-            yield pa.record_batch([pa.array(words, pa.list_(pa.string())), b.column("label").cast(pa.int64())], names=["words", "label"])
-
     # the sample's size is a parameter of this module, so it is small enough to broadcast whatever the tables' sizes are
-    texts = documents_of(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").select("text", F.col("label").cast("long").alias("label"), "doc_id")
-    met: dict[str, str] = {}  # one string per word, however many documents hold it
-    rows = [(tuple(met.setdefault(w, w) for w in r["words"]), int(r["label"] > 0)) for r in texts.mapInArrow(run, "words array<string>, label long").toLocalIterator()]
-    return sorted(rows), share
+    texts = staged(documents_of(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").select("text", F.col("label").cast("long").alias("label"), "doc_id"), "toxicity-sample")
+    chosen = word_parts(choose_landmarks(texts))
+    none = np.zeros((0, len(chosen)), dtype=np.float32)
+    if not chosen:
+        return Sample(None, np.zeros(0, dtype=np.int64), none, none), share
+    kernel, marked = Kernel(chosen), {w.strip(START + END) for w in chosen}
+    held = docs.sparkSession.sparkContext.broadcast(kernel)
 
-
-def hash_of(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Largest(held.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                words, toxic = [distinct_words(t.as_py()) for t in part.column("text")], [y.as_py() > 0 for y in part.column("label")]
+                altered = iter(memory.of([_altered(w) if w in marked else w for w in ws] for ws, y in zip(words, toxic, strict=True) if y))
+                values = pa.array(list(memory.of(words)), pa.list_(pa.float32()))
+                yield pa.record_batch([part.column("key"), part.column("label"), values, pa.array([next(altered) if y else None for y in toxic], pa.list_(pa.float32()))], names=["key", "label", "largest", "altered"])
+
+    # in an order of its own, so that the folds of the fit do not depend on partitions
+    found = texts.select(F.concat_ws(" ", F.hex(F.xxhash64("doc_id")), F.hex(F.xxhash64("text"))).alias("key"), "label", "text").mapInArrow(run, "key string, label long, largest array<float>, altered array<float>")
+    rows = sorted(((r["key"], int(r["label"] > 0), np.array(r["largest"], dtype=np.float32), r["altered"] and np.array(r["altered"], dtype=np.float32)) for r in found.toLocalIterator()), key=lambda r: r[:2])
+    return Sample(kernel, np.array([r[1] for r in rows]), np.stack([r[2] for r in rows]), np.stack([r[3] for r in rows if r[1]]) if any(r[1] for r in rows) else none), share
 
 
 _models: dict[str, tuple[Model, Largest]] = {}

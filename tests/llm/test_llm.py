@@ -229,6 +229,17 @@ def test_op6_held_out_labels(spark):
     assert min(map(score, ("an idiot.", "i d i o t", "i-d-i*o.t", "id1ot"))) > 0.5 > max(map(score, ("", "the studio", "a mormon")))
 
 
+def test_op6_reads_sampled_texts_whole(spark):
+    r = random.Random(8)
+    mark = max((f"zorq{k}" for k in "abcdefghijklmnop"), key=lambda w: zlib.crc32(w.encode()))
+    letters = "abcdefghijklmnopqrstuvwxy"
+    rows = [(i, " ".join("".join(r.choice(letters) for _ in range(10)) for _ in range(40_000 if i % 2 else 50)) + (f" {mark}" if i % 2 else ""), i % 2) for i in range(24)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(*toxicity.labelled_sample(docs, labels))
+    assert model is not None and f"\x02{mark}\x03" in model.kernel.landmarks
+
+
 def test_op6_edges(spark, edge):
     labels = spark.createDataFrame([(1, 0), (3, 1), (4, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     assert all(0 <= r["score"] <= 1 for r in toxicity.toxicity_scores(edge, labels).collect())
