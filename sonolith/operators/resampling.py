@@ -92,49 +92,42 @@ def fixed_token(projected: DataFrame, entity: list[str], ident: str, n: int, rep
     return each.groupBy(*entity).agg(F.avg("d").alias("dprime"), F.stddev_pop("d").alias("dprime_sd"), F.count("*").alias("n_reps"))
 
 
-def _own_axis(group: pd.DataFrame, budgets: list[int], repeats: int, seed: int, keys: list[str]) -> pd.DataFrame:
-    """d-prime on the sample's own axis, for nested budgets: with w = +-1/N on the sample, projections are K w / sqrt(w' K w)."""
+def _own_axis(group: pd.DataFrame, budgets: list[int], keys: list[str]) -> pd.DataFrame:
+    """d-prime of one sample on its own axis, for nested budgets: with w = +-1/N on the sample, projections are K w / sqrt(w' K w)."""
+    group = group.sort_values("nth")
     side = group["positive"].to_numpy(dtype=bool)
     vectors = np.stack(group["embedding"].to_list()).astype(np.float64)
     gram = vectors @ vectors.T
-    idents = group["ident"].to_numpy(dtype=np.int64)
-    sums = {b: [] for b in budgets}
-
-    def once(x: np.ndarray) -> np.ndarray:
-        y = (x * 48_271 + 11) % 2_147_483_647
-        q = y * y % 2_147_483_647
-        return q * q % 2_147_483_647 * y % 2_147_483_647
-
-    for rep in range(1, repeats + 1):
-        key = once((once(np.int64(rep) * 131 + seed) + idents * 1_000_003) % 2_147_483_647)
-        order = np.lexsort((idents, key))
-        pos, neg = order[side[order]], order[~side[order]]
-        for b in budgets:
-            if len(pos) < b or len(neg) < b:
-                continue
-            at = np.concatenate((pos[:b], neg[:b]))
-            k = gram[np.ix_(at, at)]
-            w = np.concatenate((np.full(b, 1 / b), np.full(b, -1 / b)))
-            length = np.sqrt(max(w @ k @ w, 0))
-            if length < 1e-8:
-                continue
-            z = k @ w / length
-            sd = np.sqrt((z[:b].var(ddof=1) + z[b:].var(ddof=1)) / 2)
-            sums[b].append(0.0 if sd <= 1e-8 else (z[:b].mean() - z[b:].mean()) / sd)
-    out = [{k: group[k].iloc[0] for k in keys} | {"budget": b, "dprime": float(np.mean(v)), "n_reps": len(v)} for b, v in sums.items() if v]
-    return pd.DataFrame(out, columns=[*keys, "budget", "dprime", "n_reps"])
+    pos, neg, out = np.flatnonzero(side), np.flatnonzero(~side), []
+    for b in budgets:
+        if len(pos) < b or len(neg) < b:
+            continue
+        at = np.concatenate((pos[:b], neg[:b]))
+        k = gram[np.ix_(at, at)]
+        w = np.concatenate((np.full(b, 1 / b), np.full(b, -1 / b)))
+        length = np.sqrt(max(w @ k @ w, 0))
+        if length < 1e-8:
+            continue
+        z = k @ w / length
+        sd = np.sqrt((z[:b].var(ddof=1) + z[b:].var(ddof=1)) / 2)
+        out.append({x: group[x].iloc[0] for x in keys} | {"budget": b, "d": 0.0 if sd <= 1e-8 else float((z[:b].mean() - z[b:].mean()) / sd)})
+    return pd.DataFrame(out, columns=[*keys, "budget", "d"])
 
 
 def budget_sweep(classified: DataFrame, entity: list[str], ident: str, budgets: list[int], repeats: int, vec: str = "embedding", seed: int = 0) -> DataFrame:
     """Per entity, feature and budget: mean d-prime on own axes over ``repeats`` samples of ``budget`` tokens per class.
 
-    Tokens are shuffled once, by (entity, feature); a group is one speaker's tokens of one contrast. Samples of larger
-    budgets contain those of smaller ones.
+    Tokens are ranked per replicate by their draw and only the largest budget's tokens of a class go on, so a group is
+    one sample whatever the number of tokens. Samples of larger budgets contain those of smaller ones.
     """
     keys = [*entity, "feature"]
-    rows = classified.select(*keys, "positive", F.col(ident).cast("long").alias("ident"), F.col(vec).alias("embedding"))
+    rows = classified.where(F.col("positive").isNotNull()).select(*keys, "positive", F.col(ident).cast("long").alias("ident"), F.col(vec).alias("embedding"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
-    return rows.groupBy(*keys).applyInPandas(lambda g: _own_axis(g, budgets, repeats, seed, keys), f"{kinds}, budget int, dprime double, n_reps int")
+    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    nth = F.row_number().over(Window.partitionBy(*keys, "positive", "rep").orderBy(draw(F.col("rep"), F.col("ident"), seed), "ident"))
+    sample = reps.withColumn("nth", nth).where(F.col("nth") <= max(budgets))
+    each = sample.groupBy(*keys, "rep").applyInPandas(lambda g: _own_axis(g, budgets, keys), f"{kinds}, budget int, d double")
+    return each.groupBy(*keys, "budget").agg(F.avg("d").alias("dprime"), F.count("*").cast("int").alias("n_reps"))
 
 
 def sweep_composite(sweep: DataFrame, entity: list[str], min_features: int = 3) -> DataFrame:

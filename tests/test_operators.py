@@ -109,3 +109,16 @@ def test_adjustment_modes(spark):
     centred = reports.regress_out(rows, "n", ["feature"], mode="centred").agg(F.avg("adjusted"), F.avg("value")).first()
     assert centred[0] == pytest.approx(centred[1])
     assert abs(reports.adjustment_report(reports.regress_out(rows, "n", ["feature"]), "n", ["feature"]).first()["after"]) < 1e-9
+
+
+def test_budget_sweep_groups_hold_one_sample(spark, monkeypatch):
+    from sonolith.operators import resampling
+
+    def limited(group, budgets, *rest, real=resampling._own_axis):
+        assert len(group) <= 2 * max(budgets)
+        return real(group, budgets, *rest)
+
+    monkeypatch.setattr(resampling, "_own_axis", limited)
+    rows = spark.range(400).selectExpr("id", "1 AS spk", "'c' AS feature", "id % 2 = 0 AS positive", "array(double(id % 7), double(id % 2), double(id % 5)) AS embedding")
+    got = resampling.budget_sweep(rows, ["spk"], "id", [5, 15], 4).collect()
+    assert sorted((r["budget"], r["n_reps"]) for r in got) == [(5, 4), (15, 4)]
