@@ -10,7 +10,7 @@ from ..operators import cohorts, reports
 from ..sources import tables as src
 from ..sources.shared import scratch
 from . import query
-from .bindings import B, E, T, V, backbones, contrasts, entity, intervals, table, tokens
+from .bindings import B, E, T, V, backbones, entity, intervals, table, tokens
 
 #: Raw labels as manifests spell them.
 NAMES = {"user": "mild", "assistant": "moderate", "system": "control"}
@@ -58,30 +58,62 @@ def o03(spark, sf):
     return src.read_entities(spark, path, ["score"], ["severity"], ["seq"], ["is_control"]).withColumn("seq", F.col("seq").cast("long"))
 
 
-@query("o04_read_phone_intervals", f"WITH {V} SELECT CAST(user_id AS VARCHAR) || '_' || utt AS utterance, event_type AS text, count(*) AS n, round(sum(xmax - xmin), 3) AS seconds FROM v WHERE user_id < 40 AND event_type <> 'view' GROUP BY ALL")
+@query("o04_read_phone_intervals", f"WITH {V} SELECT CAST(user_id % 7 AS VARCHAR) AS dataset, CAST(user_id AS VARCHAR) AS speaker_id, 'all' AS utterance, event_type AS text, count(*) AS n, round(sum(xmax - xmin), 3) AS seconds FROM v WHERE event_type <> 'view' GROUP BY ALL")
 def o04(spark, sf):
-    """Intervals written as TextGrid files (one per user and day, a words tier before the phones tier), then read; ``view`` events are written as silence."""
-    rows = intervals(spark, sf).where("user_id < 40")
+    """Intervals written as TextGrid files (one per user, a words tier before the phones tier) and read by the scan; ``view`` events are written as silence.
+
+    Datasets and users are the partition folders of the write, so their names hold the column's name as well.
+    """
+    path = scratch(spark, "grids")
+    rows = intervals(spark, sf)
     label = F.when(F.col("event_type") == "view", "sil").otherwise(F.col("event_type"))
     item = F.format_string('        intervals [%d]:\n            xmin = %.6f\n            xmax = %.6f\n            text = "%s"\n', F.lit(1), "xmin", "xmax", label)
-    body = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("xmin", item.alias("x")))), lambda s: s["x"]))
+    body = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("xmin", "event_id", item.alias("x")))), lambda s: s["x"]))
     words = '    item [1]:\n        class = "IntervalTier"\n        name = "words"\n        intervals: size = 1\n        intervals [1]:\n            xmin = 0\n            xmax = 1\n            text = "word"\n'
-    grids = rows.groupBy("user_id", "utt").agg(F.concat(F.lit(f'File type = "ooTextFile"\nitem []:\n{words}    item [2]:\n        class = "IntervalTier"\n        name = "phones"\n        intervals: size = '), F.count("*"), F.lit("\n"), body).alias("value"))
-    named = grids.select(F.lit("d").alias("dataset"), F.col("user_id").cast("string").alias("speaker_id"), F.concat_ws("_", "user_id", "utt").alias("utterance"), "value")
-    out = src.phone_intervals(named)
-    return out.groupBy("utterance", "text").agg(F.count("*").alias("n"), F.round(F.sum(F.col("xmax") - F.col("xmin")), 3).alias("seconds"))
+    head = f'File type = "ooTextFile"\nitem []:\n{words}    item [2]:\n        class = "IntervalTier"\n        name = "phones"\n        intervals: size = '
+    grids = rows.groupBy((F.col("user_id") % 7).alias("dataset"), "user_id").agg(F.concat(F.lit(head), F.count("*"), F.lit("\n"), body).alias("value"))
+    grids.repartition("user_id").write.partitionBy("dataset", "user_id").text(path)
+    out = src.read_phone_intervals(spark, f"{path}/*/*/*.txt")
+    key = lambda c: F.regexp_extract(c, "=(.*)$", 1).alias(c)  # noqa: E731  partition folders are named column=value
+    named = out.select(key("dataset"), key("speaker_id"), F.lit("all").alias("utterance"), "text", "xmin", "xmax")
+    return named.groupBy("dataset", "speaker_id", "utterance", "text").agg(F.count("*").alias("n"), F.round(F.sum(F.col("xmax") - F.col("xmin")), 3).alias("seconds"))
 
 
-@query("o05_read_contrasts", "SELECT 'en' AS language, f AS feature, k AS kind, l_linenumber AS phone, CASE WHEN l_linenumber % 2 = p THEN 'positive' ELSE 'negative' END AS class FROM (SELECT DISTINCT l_linenumber FROM lineitem), (VALUES ('nasal', 'consonant', 0), ('vowel_height', 'vowel', 1)) x(f, k, p)")
-def o05(spark, sf):
+_KINDS = "(VALUES ('nasal', 'consonant', 0), ('vowel_height', 'vowel', 1)) x(f, k, p)"
+
+
+def _configuration(spark, sf) -> str:
+    """A folder with one configuration file, indented over many lines, made of the line numbers of orders: even ones are nasal, odd ones high vowels."""
     path = scratch(spark, "contrasts")
-    lines = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("string").alias("p"), F.col("l_linenumber") % 2 == 0).distinct().toDF("p", "even")
+    lines = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("string").alias("p"), (F.col("l_linenumber") % 2 == 0).alias("even")).distinct()
     side = lambda even: F.sort_array(F.collect_set(F.when(F.col("even") == even, F.col("p"))))
+    one = lambda a, b: F.struct(F.col(a).alias("positive"), F.array_append(F.col(b), F.lit("x\ufffd")).alias("negative"))
     both = lines.agg(side(True).alias("e"), side(False).alias("o"))
-    one = lambda a, b: F.struct(F.col(a).alias("positive"), F.array_append(F.col(b), F.lit("x�")).alias("negative"))
-    both.select(F.to_json(F.struct(F.struct(one("e", "o").alias("nasality")).alias("consonants"), F.struct(one("o", "e").alias("height")).alias("vowel_features")))).coalesce(1).write.text(path)
-    good, _ = src.read_contrasts(spark, path)
-    return good.select(F.lit("en").alias("language"), "feature", "kind", F.col("phone").cast("int").alias("phone"), "class")
+    config = F.struct(F.struct(one("e", "o").alias("nasality")).alias("consonants"), F.struct(one("o", "e").alias("height")).alias("vowel_features"), F.col("e").alias("all_consonants"))
+    both.select(F.lit("en").alias("set"), F.to_json(config, {"pretty": "true"}).alias("value")).coalesce(1).write.partitionBy("set").text(path)
+    return path
+
+
+@query("o05_read_contrasts", f"SELECT 'en' AS language, f AS feature, k AS kind, l_linenumber AS phone, CASE WHEN l_linenumber % 2 = p THEN 'positive' ELSE 'negative' END AS class FROM (SELECT DISTINCT l_linenumber FROM lineitem), {_KINDS}")
+def o05(spark, sf):
+    """Spark cannot choose a file's name, so the file that it wrote is renamed to ``phone_features_en.json`` before the scan."""
+    good, _ = src.read_contrasts(spark, _named(spark, _configuration(spark, sf)))
+    return good.select("language", "feature", "kind", F.col("phone").cast("int").alias("phone"), "class")
+
+
+@query("o26_symbol_kinds", "SELECT 'en' AS language, l_linenumber AS phone, l_linenumber % 2 = 0 AS is_consonant, true AS is_vowel FROM (SELECT DISTINCT l_linenumber FROM lineitem)")
+def o26_kinds(spark, sf):
+    """Consonants are listed in the file; vowels are not, so they are the members of the vowel features."""
+    kinds = src.read_symbol_kinds(spark, _named(spark, _configuration(spark, sf)))
+    return kinds.select("language", F.col("phone").cast("int").alias("phone"), "is_consonant", "is_vowel")
+
+
+def _named(spark, path: str) -> str:
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = jvm.Path(f"{path}/set=en").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (made,) = [s.getPath() for s in files.listStatus(jvm.Path(f"{path}/set=en")) if s.getPath().getName().startswith("part-")]
+    files.rename(made, jvm.Path(f"{path}/phone_features_en.json"))
+    return f"{path}/phone_features_*.json"
 
 
 @query("o06_token_store", f"WITH {T} SELECT spk, count(*) AS n, round(sum(v[1]), 6) AS s FROM t WHERE utt % 2 = 1 GROUP BY 1")
@@ -243,5 +275,3 @@ def o88(spark, sf):
 def o41_corpora(spark, sf):
     return reports.crosstab(table(spark, sf, "documents"), "source", "lang", ["en", "de", "fr", "es"])
 
-
-_ = contrasts

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as f
 from ..operators import cohorts, metrics, reports, resampling
 from . import query
-from .bindings import S, T, V, classified, contrasts, direction_sql, intervals, mean_sql, scalar_tokens, table, tokens
+from .bindings import S, T, V, classified, direction_sql, intervals, mean_sql, scalar_tokens, table, tokens
 
 R = lambda c: F.round(c, 6)
 
@@ -192,5 +192,3 @@ def o38_tokens(spark, sf):
     t = tokens(spark, sf).select("spk", "phone", F.get("embedding", F.lit(0)).cast("double").alias("d0"), F.get("embedding", F.lit(1)).cast("double").alias("d1"))
     return reports.mean_profile(t, ["spk", "phone"], ["d0", "d1"]).select("spk", "phone", R(F.get("profile", F.lit(0))).alias("p0"), R(F.get("profile", F.lit(1))).alias("p1"), "n")
 
-
-_ = contrasts

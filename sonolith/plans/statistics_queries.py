@@ -152,7 +152,9 @@ def o85(spark, sf):
 
 
 def cos_sql(a: str, b: str) -> str:
-    return f"(list_inner_product({a}, {b}) / nullif(sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})), 0))"
+    """Cosine over the dimensions that both lists have, of which there must be three."""
+    total = lambda x: f"list_sum(list_transform(list_filter(list_zip({a}, {b}), lambda z: z[1] IS NOT NULL AND z[2] IS NOT NULL), lambda z: {x}))"
+    return f"(CASE WHEN {total('1')} >= 3 THEN {total('z[1] * z[2]')} / nullif(sqrt({total('z[1] * z[1]')}) * sqrt({total('z[2] * z[2]')}), 0) END)"
 
 
 def profiles_sql(rows: str, keys: str) -> str:
@@ -182,10 +184,10 @@ def o19(spark, sf):
     return entity(spark, sf).select("speaker_id", F.round(f.composite([F.col(c) for c in FEATURES]), 4).alias("composite"))
 
 
-@query("o38_mean_profile", f"WITH {E}, p AS {profiles_sql('e', 'grp, language')} SELECT grp, language, round(p[1], 4) AS p1, round(p[2], 4) AS p2, round(p[3], 4) AS p3, n FROM p")
+@query("o38_mean_profile", f"WITH {E}, p AS {profiles_sql('e', 'grp, language')} SELECT grp, language, round(p[1], 6) AS p1, round(p[2], 6) AS p2, round(p[3], 6) AS p3, n FROM p")
 def o38(spark, sf):
     p = reports.mean_profile(entity(spark, sf), ["grp", "language"], FEATURES)
-    return p.select("grp", "language", *[F.round(F.get("profile", F.lit(i)), 4).alias(f"p{i + 1}") for i in range(3)], "n")
+    return p.select("grp", "language", *[R(F.get("profile", F.lit(i))).alias(f"p{i + 1}") for i in range(3)], "n")
 
 
 @query("o39_control_ratio", f"WITH {L}, b AS (SELECT language, feature, avg(value) AS c, count(*) AS n_controls FROM l WHERE sev = 0 GROUP BY ALL HAVING count(*) >= 3), g AS (SELECT grp, language, feature, avg(value) AS g FROM l WHERE sev > 0 GROUP BY ALL) SELECT grp, language, feature, n_controls, round(g / CASE WHEN c = 0 THEN 1 ELSE c END, 6) AS ratio FROM g JOIN b USING (language, feature)")

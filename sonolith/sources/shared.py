@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the session's spark.checkpoint.dir; only where that is unset (tests on one machine) under a folder of our own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where that is unset, a new folder of this machine serves a local session; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the JVM may be gone at interpreter exit; the folder is scratch
+        pass
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path

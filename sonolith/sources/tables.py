@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import null_if_missing, number, present
+from ..functions.scalars import null_if_missing, number
 
 MANIFEST = (
     "speaker_id string, audio_filepath string, text string, duration double, severity string, aetiology string, sex string, gender string, age string, "
@@ -15,6 +15,7 @@ SILENCES = ("", "sil", "sp", "spn")  # fixed values: labels of what is not speec
 #: Other spellings of a configuration's keys and features.
 KEY_ALIASES = {"consonants": "consonant_features", "vowels": "vowel_features"}
 FEATURE_ALIASES = {"nasality": "nasal"}
+SYMBOL_LISTS = {"consonant": "all_consonants", "vowel": "all_vowels"}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -56,7 +57,7 @@ def read_phone_intervals(spark: SparkSession, paths: str | list[str], keep_silen
     Distributed over files, without UDF; dataset and speaker are the two folders above a file, the utterance is its
     stem. A file without that tier, or with an empty one, gives no rows.
     """
-    raw = spark.read.option("wholetext", True).text(paths).select("value", F.split("_metadata.file_path", "/").alias("p"))
+    raw = spark.read.text(paths, wholetext=True).select("value", F.split("_metadata.file_path", "/").alias("p"))
     return phone_intervals(raw.select(F.element_at("p", -3).alias("dataset"), F.element_at("p", -2).alias("speaker_id"), F.regexp_replace(F.element_at("p", -1), r"\.[^.]*$", "").alias("utterance"), "value"), keep_silences)
 
 
@@ -71,13 +72,31 @@ def phone_intervals(files: DataFrame, keep_silences: bool = False) -> DataFrame:
     return out if keep_silences else out.where(~F.lower("text").isin(*SILENCES))
 
 
+def _configurations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``value`` (a whole JSON file) and ``language``, the last part of its name."""
+    return spark.read.text(paths, wholetext=True).select("value", F.regexp_extract("_metadata.file_path", r"([^_/.]+)\.json$", 1).alias("language"))
+
+
+def read_symbol_kinds(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``language, phone, is_consonant, is_vowel`` from the same files' lists of symbols; where a file has no list, the members of that kind's features."""
+    raw, (contrasts, _) = _configurations(spark, paths), read_contrasts(spark, paths)
+    listed = []
+    for kind, key in SYMBOL_LISTS.items():
+        symbols = F.from_json(F.get_json_object("value", f"$.{key}"), "array<string>")
+        listed.append(raw.where(symbols.isNotNull()).select("language", F.lit(kind).alias("kind"), F.explode(symbols).alias("phone")))
+    given = listed[0].unionByName(listed[1])
+    implied = contrasts.select("language", "kind", "phone").distinct().join(given.select("language", "kind").distinct(), ["language", "kind"], "left_anti")
+    every = given.unionByName(implied.select("language", "kind", "phone"))
+    return every.groupBy("language", "phone").agg(*[F.bool_or(F.col("kind") == kind).alias(f"is_{kind}") for kind in SYMBOL_LISTS])
+
+
 def read_contrasts(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(contrasts, rejected): ``language, feature, kind, phone, class`` from nested JSON files named ``..._<language>.json``.
 
     Both spellings of keys and features are read; a symbol of both classes is positive; symbols with U+FFFD are not
     matched but listed in ``rejected``. Vowel features are called ``vowel_<feature>``.
     """
-    raw = spark.read.option("wholetext", True).text(paths).select("value", F.regexp_extract("_metadata.file_path", r"([^_/.]+)\.json$", 1).alias("language"))
+    raw = _configurations(spark, paths)
     kinds = {"consonant": ["consonant_features"], "vowel": ["vowel_features"]}
     for alias, key in KEY_ALIASES.items():
         kinds["vowel" if "vowel" in key else "consonant"].append(alias)
@@ -119,7 +138,3 @@ def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
     writer = df.write.mode("overwrite")
     writer.json(path) if fmt == "json" else writer.option("header", True).csv(path)
 
-
-def score_of(row: DataFrame) -> Column:
-    """The first clinical score of a manifest row that is there."""
-    return F.coalesce(*[present(F.col(c)) for c in ("clinical_score", "updrs_speech", "grbas_g") if c in row.columns])
