@@ -2,45 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from ..sources.shared import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and all executors share: the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a folder of our own."""
-    path = spark.conf.get(CHECKPOINT_DIR, None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the JVM may be gone at interpreter exit; the folder is scratch
-        pass
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage, and every later reader sees the same rows even if executors are lost meanwhile."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
