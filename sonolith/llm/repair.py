@@ -1,27 +1,32 @@
 """Token ids in Re-Pair compressed blocks.
 
 Documents are encoded, dealt out by id range and written in ascending id order. A block holds up to ``BLOCK_IDS`` ids
-of whole documents. Within a block frequent pairs of symbols are replaced by nonterminals, round after round, each
-round replacing all pairs that occur at least ``LEAST_COUNT`` times (most frequent first, as far as symbols last);
-pairs never cross a document's end, so each document is a slice of the compressed sequence. Symbols have 16 bits:
-terminals below ``vocabulary``, nonterminals above.
+of whole documents. Within a block the most frequent pairs of symbols are replaced by nonterminals, round after round,
+until no pair occurs ``LEAST_COUNT`` times any more, which is how often a rule must serve to pay for its own bytes. A
+round takes the pairs that occur at least half as often as the most frequent one; where two of them overlap, the more
+frequent one is replaced. The sequence is a linked list with the places and the number of every frequent pair, so a
+round costs what it changes and the whole sequence is counted once. Pairs never cross a document's end, so each
+document is a slice of the compressed sequence.
 
 A block is one row of a Parquet table (any store that Spark writes to), with binary columns, all little-endian:
 
-``rules``       uint16 pairs (left, right); rule k is the symbol ``vocabulary + k`` and refers to lower symbols only
+``terminals``   uint32: the ids that occur in the block, ascending; symbol k below their number t stands for the k-th
+``rules``       pairs (left, right); rule k is the symbol t + k and refers to lower symbols only
 ``lengths``     uint32 per rule: how many ids it expands to
-``symbols``     uint16: the compressed sequence of the whole block
+``symbols``     the compressed sequence of the whole block
 ``doc_symbols`` uint32 per document: where its slice of ``symbols`` ends
 ``doc_ids``     ids of the documents; ``doc_starts``: uint64, its ids before the document in the shard (last: the end)
 
-``lengths`` give random access: cumulated over a slice they find the symbol that covers any position, and only that
-symbol is expanded (:func:`decode_range`).
+``rules`` and ``symbols`` are uint16, or uint32 in a block of more than 2^16 symbols (``width`` says which). ``lengths``
+give random access: cumulated over a slice they find the symbol that covers any position, and only the symbols that
+cover the wanted ids are expanded (:func:`decode_range`, :func:`read_range`).
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,12 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import documents_of, staged
 
-VOCABULARY = 50_257
 END_ID = 2
 BLOCK_IDS = 1 << 20
-ROUNDS = 3
-LEAST_COUNT = 16
-MOST_SYMBOLS = 1 << 16
+LEAST_COUNT = 8  # a rule takes the bytes of four symbols; down to 5 the files shrink by 2 per cent more
+NARROW = 1 << 16  # symbols of a block with uint16, as long as its terminals leave half of them for rules
 CACHE_WORDS = 700_000  # remembered by a worker, twice at most
 
 
@@ -65,40 +68,64 @@ class Encoder:
     The tokenizer's pattern never joins a character that is not white space with white space after it, so a text
     without two white-space characters in a row falls apart at each blank and line end. A part that was not met lately
     is cut by the tokenizer's pattern and given to the library's model, which is a third of the cost of a full call;
-    other texts go to the library whole.
+    other texts go to the library whole. A part is remembered with the blank or the line end before it.
     """
 
     _adjacent = re.compile(r"\s\s")
+    _blank = bytes(0x20 if c in b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f " else c for c in range(256))
+    _rare_blanks = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")  # where white space beyond ASCII starts
     _characters = _byte_characters()
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.blank = self._characters[0x20]
+        self.signs = {sign: self._pieces(sign) for sign in ".,;:!?"}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None and len(word) > 2 and word[-1] in ".,;:!?" and word[-2].isalpha():
-            # the pattern always cuts between a letter and such a sign: the word without it is often known
-            stem, sign = word[:-1], word[-1]
-            found = (self.new.get(stem) or self._word(stem)) + (self.new.get(sign) or self._word(sign))
+    def _pieces(self, text: str) -> bytes:
+        if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):  # one piece
+            return array("I", [t.id for t in self.model.tokenize(self.blank + text[1:] if text[0] == " " else text)]).tobytes()
+        written = [piece.encode().decode("latin-1").translate(self._characters) for piece in self.pattern.findall(text)]
+        return array("I", [t.id for piece in written for t in self.model.tokenize(piece)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a blank and ``part``, or of a part that starts with a line end."""
+        found = self.old.get(part)
         if found is None:
-            written = (piece.encode().decode("latin-1").translate(self._characters) for piece in self.pattern.findall(word))
-            found = np.array([t.id for piece in written for t in self.model.tokenize(piece)], dtype=np.uint16).tobytes()
+            if part[:1] == "\n":
+                found = self._pieces("\n") + (self._pieces(part[1:]) if len(part) > 1 else b"")
+            elif len(part) > 2 and part[-1] in self.signs and part[-2].isalpha():
+                # the pattern always cuts between a letter and such a sign: the word without it is often known
+                found = (self.new.get(part[:-1]) or self._part(part[:-1])) + self.signs[part[-1]]
+            else:
+                found = self._pieces(" " + part)
         if len(self.new) >= CACHE_WORDS:  # words not met for long are forgotten
-            self.old = self.new.copy()
-            self.new.clear()
-        self.new[word] = found
+            self.old, self.new = self.new, {}
+        self.new[part] = found
         return found
 
+    def _whole(self, text: str) -> bool:
+        """Whether two white-space characters meet somewhere, or may."""
+        raw = text.encode()
+        if b"  " in raw.translate(self._blank):
+            return True
+        return not text.isascii() and any(b in raw for b in self._rare_blanks) and self._adjacent.search(text) is not None
+
     def encode(self, text: str) -> np.ndarray:
-        if "\0" in text or self._adjacent.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
-        known = self.new
-        out = [known.get(part) or self._word(part) for part in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if part]
-        return np.frombuffer(b"".join(out), dtype=np.uint16)
+        if self._whole(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        first, *parts = text.replace("\n", " \n").split(" ")
+        found = list(map(self.new.get, parts))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self.new.get(parts[at]) or self._part(parts[at])
+        if first:
+            found.insert(0, (self.new.get("\n" + first) or self._part("\n" + first))[4:])
+        return np.frombuffer(b"".join(found), dtype=np.uint32)
 
 
 @lru_cache(maxsize=1)
@@ -107,91 +134,139 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _pairs(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Of each position but the last the pair that starts there, as left * 2^16 + right; 0 where a document ends (never replaced)."""
-    keys = symbols[:-1].astype(np.uint32) << np.uint32(16) | symbols[1:]
-    keys[last[:-1]] = 0
-    return keys
-
-
-def compress(symbols: np.ndarray, ends: np.ndarray, vocabulary: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, lengths, symbols, ends) of a block; ``ends``: where each document ends in ``symbols``."""
-    rules = [np.empty((0, 2), dtype=np.uint16)]
-    free = MOST_SYMBOLS - vocabulary
-    for _ in range(ROUNDS):
-        if free <= 0 or len(symbols) < 2:
-            break
-        last = np.zeros(len(symbols), dtype=bool)
-        last[ends - 1] = True
-        keys = _pairs(symbols, last)
-        ordered = np.sort(keys)
-        edge = np.flatnonzero(np.diff(ordered)) + 1
-        first = np.concatenate(([0], edge))
-        counts = np.diff(np.concatenate((first, [len(ordered)])))
-        often = (counts >= LEAST_COUNT) & (ordered[first] != 0)
-        kinds, counts = ordered[first][often], counts[often]
-        if len(kinds) > (take := free // 2 if free > 64 else free):  # the later rounds get the rest
-            kinds = kinds[np.sort(np.argsort(-counts, kind="stable")[:take])]
-        if not len(kinds):
-            break
-        slot = lambda k: (k * np.uint32(2654435761)) >> np.uint32(12)  # noqa: E731  a place among 2^20
-        place = np.full(1 << 20, -1, dtype=np.int32)
-        place[slot(kinds)] = np.arange(len(kinds), dtype=np.int32)
-        kinds = kinds[place[slot(kinds)] == np.arange(len(kinds))]  # of pairs with one place the last; the others wait a round
-        place[slot(kinds)] = np.arange(len(kinds), dtype=np.int32)
-        rule = place[slot(keys)]
-        at = np.flatnonzero(rule >= 0)
-        rule = rule[at]
-        hit = kinds[rule] == keys[at]
-        at, rule = at[hit], rule[hit]
-        run = np.concatenate(([True], np.diff(at) > 1))  # of neighbouring hits every other one, from the left
-        within = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at, rule = at[within % 2 == 0], rule[within % 2 == 0]
-        base = vocabulary + sum(map(len, rules))
-        symbols = symbols.copy()
-        symbols[at] = (base + rule).astype(np.uint16)
-        stay = np.ones(len(symbols), dtype=bool)
-        stay[at + 1] = False
-        ends = np.cumsum(stay)[ends - 1]
-        symbols = symbols[stay]
-        rules.append(np.stack((kinds >> np.uint32(16), kinds & np.uint32(0xFFFF)), axis=1).astype(np.uint16))
-        free -= len(kinds)
-    made = np.concatenate(rules)
-    return made, _lengths(rules, vocabulary), symbols, ends
-
-
-def _lengths(rules: list[np.ndarray], vocabulary: int) -> np.ndarray:
-    """Ids per rule; each round's rules refer to earlier rounds only."""
-    size = np.ones(vocabulary, dtype=np.uint32)
-    for r in rules:
-        size = np.concatenate((size, size[r[:, 0]] + size[r[:, 1]]))
-    return size[vocabulary:]
-
-
-def decode(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, vocabulary: int = VOCABULARY) -> np.ndarray:
-    """The ids that ``symbols`` stand for: nonterminals are opened, all at once, until none is left."""
-    while len(at := np.flatnonzero(symbols >= vocabulary)):
-        twice = np.ones(len(symbols), dtype=np.int64)
-        twice[at] = 2
-        to = np.cumsum(twice) - twice
-        rule = rules[symbols[at] - vocabulary]
-        symbols = np.repeat(symbols, twice)
-        symbols[to[at]], symbols[to[at] + 1] = rule[:, 0], rule[:, 1]
-    return symbols
-
-
-def decode_range(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, start: int, stop: int, vocabulary: int = VOCABULARY) -> np.ndarray:
+class _Pairs:
+    """A block's symbols as a linked list, with the places and counts of its frequent pairs."""
+
+    def __init__(self, symbols: np.ndarray, ends: np.ndarray, limit: int, least: int) -> None:
+        n = len(symbols)
+        self.limit, self.least = limit, least
+        self.symbol = np.append(symbols, 0).astype(np.int32)  # index n stands before the first and after the last place
+        self.after, self.before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        self.after[n] = self.before[0] = n
+        self.last = np.zeros(n + 1, dtype=bool)  # of its document
+        self.last[ends - 1] = self.last[n] = True
+        self.alive = np.ones(n, dtype=bool)
+        self.pair = np.full(n + 1, -1, dtype=np.int32)  # the frequent pair that starts at a place
+        self.rank = np.full(n + 1, limit, dtype=np.int32)
+        self.places, self.used = np.empty(3 * n + 1, dtype=np.int32), 0  # a replacement changes two pairs and takes one away
+        self.pairs, (self.count, self.first, self.size) = 0, np.zeros((3, n // least + 1), dtype=np.int64)
+        self.enter(np.flatnonzero(~self.last))
+
+    def enter(self, at: np.ndarray) -> None:
+        """Takes up the pairs that start at ``at``; none of these pairs has been met before. Pairs that are rare now stay so."""
+        key, shift = self.symbol[at].astype(np.int64) * self.limit + self.symbol[self.after[at]], len(self.alive).bit_length()
+        if 2 * self.limit.bit_length() + shift < 64:
+            both = np.sort(key << shift | at)
+            key, at = both >> shift, (both & ((1 << shift) - 1)).astype(np.int32)
+        else:
+            order = np.lexsort((at, key))
+            key, at = key[order], at[order]
+        edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1])))
+        size = np.diff(edge, append=len(key))
+        often = size >= self.least
+        at, size = at[np.repeat(often, size)], size[often]
+        old, new = self.pairs, self.pairs + len(size)
+        if new > len(self.count):
+            self.count, self.first, self.size = (np.concatenate((x, np.zeros(new, dtype=np.int64))) for x in (self.count, self.first, self.size))
+        self.pair[at] = np.repeat(np.arange(old, new, dtype=np.int32), size)
+        self.first[old:new] = self.used + np.cumsum(size) - size
+        self.size[old:new] = self.count[old:new] = size
+        self.places[self.used : self.used + len(at)] = at
+        self.pairs, self.used = new, self.used + len(at)
+
+    def _forget(self, at: np.ndarray) -> None:
+        known = self.pair[at]
+        np.subtract.at(self.count, known[known >= 0], 1)
+        self.pair[at] = -1
+
+    def replace(self, free: int, base: int) -> np.ndarray | None:
+        """One round: the rules (left, right) that it makes, the first of which is symbol ``base``; None when nothing is left to replace."""
+        most = self.count[: self.pairs].max(initial=0)
+        if most < self.least or free < 1:
+            return None
+        chosen = np.flatnonzero(self.count[: self.pairs] >= max(self.least, most // 2))
+        chosen = chosen[np.argsort(-self.count[chosen], kind="stable")][:free]
+        size = self.size[chosen]
+        rule = np.repeat(np.arange(len(chosen)), size)
+        at = self.places[np.arange(len(rule)) + np.repeat(self.first[chosen] - (np.cumsum(size) - size), size)]
+        still = self.pair[at] == chosen[rule]
+        both = np.sort(at[still].astype(np.int64) * self.limit + rule[still])  # in order of places, which keeps memory access local
+        at, rule = both // self.limit, both % self.limit
+        self.rank[at] = rule
+        before, after = self.rank[self.before[at]], self.rank[self.after[at]]
+        self.rank[at] = self.limit
+        start = np.where(before == rule, 0, np.arange(len(at)))  # in a run of one symbol every other pair goes
+        wins = (before >= rule) & (after >= rule) & ((np.arange(len(at)) - np.maximum.accumulate(start)) % 2 == 0)
+        # the first pair always gets half of its places at least; one that lost most of its places waits for its new count
+        serves = np.bincount(rule[wins], minlength=len(chosen)) >= (self.least + 1) // 2
+        wins &= serves[rule]
+        at, rule = at[wins], (np.cumsum(serves) - 1)[rule[wins]]
+        head = self.places[self.first[chosen[serves]]]  # any place where the pair was; its symbols come from one where it still is
+        head[rule] = at
+        made = np.stack((self.symbol[head], self.symbol[self.after[head]]), axis=1)
+        gone = self.after[at]
+        for x in (at, gone, self.before[at]):
+            self._forget(x)
+        self.symbol[at] = base + rule
+        self.after[at] = self.after[gone]
+        self.before[self.after[at]] = at
+        self.last[at] = self.last[gone]
+        self.alive[gone] = False
+        self.rank[at] = 0
+        left = self.before[at]
+        left = left[self.rank[left] != 0]
+        self.rank[at] = self.limit
+        changed = np.concatenate((at, left))
+        self.enter(changed[~self.last[changed]])
+        return made
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, ...]:
+    """(terminals, rules, lengths, symbols, ends) of a block; ``ends``: where each document ends in ``ids`` and then in ``symbols``. No document is empty."""
+    used = np.bincount(ids)
+    terminals = np.flatnonzero(used)
+    used[terminals] = np.arange(len(terminals))
+    t = len(terminals)
+    limit = NARROW if 2 * t <= NARROW else 1 << 20 if t < 1 << 19 else 2 * t
+    pairs, rules = _Pairs(used[ids], ends, limit, least), [np.empty((0, 2), dtype=np.int64)]
+    made = 0
+    while (more := pairs.replace(limit - t - made, t + made)) is not None:
+        rules.append(more)
+        made += len(more)
+    size = np.ones(t + made, dtype=np.uint32)
+    done = t
+    for r in rules:  # a round's rules refer to earlier symbols only
+        size[done : done + len(r)] = size[r[:, 0]] + size[r[:, 1]]
+        done += len(r)
+    kind = np.uint16 if t + made <= NARROW else np.uint32
+    kept = np.flatnonzero(pairs.alive)
+    return terminals.astype(np.uint32), np.concatenate(rules).astype(kind), size[t:], pairs.symbol[kept].astype(kind), np.searchsorted(kept, ends)
+
+
+def decode(terminals: np.ndarray, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The ids that ``symbols`` stand for. ``lengths`` give each symbol its place in the output; only nonterminals are opened further."""
+    t = len(terminals)
+    size = np.concatenate((np.ones(t, dtype=np.int64), lengths))
+    symbols = symbols.astype(np.int64)
+    end = np.cumsum(size[symbols])
+    out, at = np.empty(end[-1] if len(end) else 0, dtype=np.uint32), end - size[symbols]
+    while len(symbols):
+        plain = symbols < t
+        out[at[plain]] = terminals[symbols[plain]]
+        rule, at = rules[symbols[~plain] - t].astype(np.int64), at[~plain]
+        symbols, at = rule.ravel(), np.stack((at, at + size[rule[:, 0]]), axis=1).ravel()
+    return out
+
+
+def decode_range(terminals: np.ndarray, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` of a sequence, opening only the symbols that cover them."""
-    size = np.ones(len(symbols), dtype=np.int64)
-    inner = symbols >= vocabulary
-    size[inner] = lengths[symbols[inner] - vocabulary]
-    end = np.cumsum(size)
+    end = np.cumsum(np.concatenate((np.ones(len(terminals), dtype=np.int64), lengths))[symbols])
     a, b = np.searchsorted(end, start, side="right"), np.searchsorted(end, stop, side="left") + 1
     skip = start - (end[a - 1] if a else 0)
-    return decode(rules, lengths, symbols[a:b], vocabulary)[skip : skip + stop - start]
+    return decode(terminals, rules, lengths, symbols[a:b])[skip : skip + stop - start]
 
 
-FILE = "shard int, block int, n_ids long, rules binary, lengths binary, symbols binary, doc_symbols binary, doc_starts binary"
+FILE = "shard int, block int, first_id long, n_ids long, width int, terminals binary, rules binary, lengths binary, symbols binary, doc_symbols binary, doc_starts binary"
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
@@ -207,17 +282,18 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     dealt = plain.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path).encode, np.array([END_ID], dtype=np.uint16)
+        encode, end = encoder(tokenizer_path).encode, np.array([END_ID], dtype=np.uint32)
         held: list[np.ndarray] = []
         ids: list = []
         block = held_ids = before = shard = 0
 
         def close() -> pa.RecordBatch:
             sizes = np.array([len(x) for x in held], dtype=np.int64)
-            rules, lengths, symbols, ends = compress(np.concatenate(held), np.cumsum(sizes))
+            terminals, rules, lengths, symbols, ends = compress(np.concatenate(held), np.cumsum(sizes))
             starts = np.concatenate(([before], before + np.cumsum(sizes))).astype(np.uint64)
-            binary = [x.tobytes() for x in (rules, lengths, symbols, ends.astype(np.uint32), starts)]
-            row = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([held_ids], pa.int64()), *(pa.array([x], pa.binary()) for x in binary)]
+            binary = [x.tobytes() for x in (terminals, rules, lengths, symbols, ends.astype(np.uint32), starts)]
+            small = (shard, pa.int32()), (block, pa.int32()), (before, pa.int64()), (held_ids, pa.int64()), (symbols.itemsize, pa.int32())
+            row = [*(pa.array([x], t) for x, t in small), *(pa.array([x], pa.binary()) for x in binary)]
             return pa.RecordBatch.from_arrays([*row, pa.array([ids], type=pa.list_(id_type))], names=names)
 
         for b in batches:
@@ -240,34 +316,74 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
 
 def _parts(row: dict) -> tuple[np.ndarray, ...]:
-    """rules, lengths, symbols, ends of the documents, starts of the documents of one block."""
-    return (np.frombuffer(row["rules"], np.uint16).reshape(-1, 2), np.frombuffer(row["lengths"], np.uint32), np.frombuffer(row["symbols"], np.uint16), np.frombuffer(row["doc_symbols"], np.uint32), np.frombuffer(row["doc_starts"], np.uint64).astype(np.int64))
+    """terminals, rules, lengths, symbols, ends of the documents in the symbols, starts of the documents of one block."""
+    kind = np.uint16 if row["width"] == 2 else np.uint32
+    return (
+        np.frombuffer(row["terminals"], np.uint32), np.frombuffer(row["rules"], kind).reshape(-1, 2), np.frombuffer(row["lengths"], np.uint32),
+        np.frombuffer(row["symbols"], kind), np.frombuffer(row["doc_symbols"], np.uint32), np.frombuffer(row["doc_starts"], np.uint64).astype(np.int64),
+    )
 
 
-def read_ids(blocks: DataFrame, digest_only: bool = False) -> DataFrame:
-    """Per document of the written table: ``doc_id, start, n_tokens, ids_crc32`` and, unless ``digest_only``, ``ids``.
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Array]]:
+    """Each block's columns but the ids of its documents, and those."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield {n: b.column(n)[k].as_py() for n in b.schema.names if n != "doc_ids"}, b.column("doc_ids")[k].values
 
-    ``start`` counts the ids of all documents before it: within the shard it is in the file, and the shards' totals
-    (one number each; there are as many as partitions) are added up beforehand.
-    """
-    id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+
+def _shard_starts(blocks: DataFrame) -> dict[int, int]:
+    """Ids before each shard: the shards' totals (one number each; there are as many as partitions) added up."""
     totals = dict(blocks.groupBy("shard").agg(F.sum("n_ids")).collect())
     before, at = {}, 0
     for shard in sorted(totals):
         before[shard] = at
         at += totals[shard]
+    return before
+
+
+def read_ids(blocks: DataFrame, digest_only: bool = False) -> DataFrame:
+    """Per document of the written table: ``doc_id, start, n_tokens, ids_crc32`` and, unless ``digest_only``, ``ids``.
+
+    ``start`` counts the ids of all documents before it.
+    """
+    id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    before = _shard_starts(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                row = {n: b.column(n)[k].as_py() for n in b.schema.names if n != "doc_ids"}
-                rules, lengths, symbols, _, starts = _parts(row)
-                ids = decode(rules, lengths, symbols).astype("<u4")
-                cut = starts - starts[0]
-                each = [ids[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                columns = [b.column("doc_ids")[k].values, pa.array(starts[:-1] + before[row["shard"]]), pa.array(np.diff(starts)), pa.array([zlib.crc32(x) for x in each], type=pa.int64())]
-                if not digest_only:
-                    columns.append(pa.array([x.astype(np.int32) for x in each], type=pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+        for row, doc_ids in _rows(batches):
+            terminals, rules, lengths, symbols, _, starts = _parts(row)
+            ids = decode(terminals, rules, lengths, symbols).astype("<u4", copy=False)
+            cut = starts - starts[0]
+            each = [ids[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            columns = [doc_ids, pa.array(starts[:-1] + before[row["shard"]]), pa.array(np.diff(starts)), pa.array([zlib.crc32(x) for x in each], type=pa.int64())]
+            if not digest_only:
+                columns.append(pa.array([x.astype(np.int32) for x in each], type=pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     return blocks.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long" + ("" if digest_only else ", ids array<int>"))
+
+
+def read_range(blocks: DataFrame, start: int, stop: int) -> DataFrame:
+    """``doc_id, start, ids``: what lies between the places ``start`` and ``stop`` of the whole sequence, per document; ``start`` is the place of the first of ``ids``.
+
+    Blocks outside are not read, of the others only the symbols that cover the range are opened.
+    """
+    id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    before = _shard_starts(blocks)
+    inside = F.lit(False)
+    for shard, at in before.items():
+        first = F.col("first_id") + at
+        inside = inside | ((F.col("shard") == shard) & (first < stop) & (first + F.col("n_ids") > start))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, doc_ids in _rows(batches):
+            terminals, rules, lengths, symbols, ends, starts = _parts(row)
+            starts = starts + before[row["shard"]]
+            a, b = np.searchsorted(starts, start, side="right") - 1, np.searchsorted(starts, stop, side="left")
+            a, b = max(a, 0), min(b, len(starts) - 1)
+            low, high = np.maximum(starts[a:b], start), np.minimum(starts[a + 1 : b + 1], stop)
+            slices = zip([0, *ends][a:b], ends[a:b], low - starts[a:b], high - starts[a:b], strict=True)
+            ids = [decode_range(terminals, rules, lengths, symbols[x:y], i, j).astype(np.int32) for x, y, i, j in slices]
+            yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.array(low), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
+
+    return blocks.where(inside).mapInArrow(run, f"doc_id {id_type}, start long, ids array<int>")

@@ -93,14 +93,46 @@ def test_op2_encoder_equals_library():
 
 def test_op2_compression_and_random_access():
     r = np.random.default_rng(0)
-    docs = [r.choice(np.array([5, 6, 7, 900], np.uint16), size=n) for n in (1, 2, 700, 0 + 1, 5000)]
-    ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
-    rules, lengths, symbols, cuts = repair.compress(ids, ends)
-    assert len(symbols) < len(ids) and (repair.decode(rules, lengths, symbols) == ids).all()
-    for a, b, d in zip([0, *cuts[:-1]], cuts, docs, strict=True):
-        assert (repair.decode(rules, lengths, symbols[a:b]) == d).all()
-    for a, b in ((0, 1), (3, 4000), (5000, 5705)):
-        assert (repair.decode_range(rules, lengths, symbols, a, b) == ids[a:b]).all()
+    for values, big in ((4, 900), (1, 900), (4, 200_000), (3_000, 200_000)):
+        docs = [r.choice(np.append(np.arange(values), big).astype(np.uint32), size=n) for n in (1, 2, 700, 1, 5000, 1, 1)]
+        ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+        terminals, rules, lengths, symbols, cuts = repair.compress(ids, ends)
+        coded = terminals, rules, lengths
+        assert (len(symbols) < len(ids) or values > 100) and (repair.decode(*coded, symbols) == ids).all()
+        for a, b, d in zip([0, *cuts[:-1]], cuts, docs, strict=True):
+            assert (repair.decode(*coded, symbols[a:b]) == d).all()
+        for a, b in ((0, 1), (3, 4000), (5000, 5705)):
+            assert (repair.decode_range(*coded, symbols, a, b) == ids[a:b]).all()
+
+
+def test_op2_replaces_until_no_pair_pays():
+    r = np.random.default_rng(1)
+    text = r.integers(0, 50, 2_000)
+    docs = [text.copy() for _ in range(40)] + [np.zeros(3_000, dtype=np.int64)] + [r.integers(0, 50, 50) for _ in range(200)]
+    ids, ends = np.concatenate(docs).astype(np.uint32), np.cumsum([len(d) for d in docs])
+    terminals, rules, lengths, symbols, cuts = repair.compress(ids, ends)
+    assert lengths.max() >= 2_000 and cuts[0] == 1  # a passage that repeats becomes one symbol
+    last = set((cuts - 1).tolist())
+    pairs, before = collections.Counter(), None
+    for i in range(len(symbols) - 1):
+        pair = None if i in last else (int(symbols[i]), int(symbols[i + 1]))
+        if pair and not (pair == before and pair[0] == pair[1]):  # overlapping pairs of one symbol count once
+            pairs[pair] += 1
+            before = pair
+        else:
+            before = None
+    assert max(pairs.values()) < repair.LEAST_COUNT
+    assert len({tuple(x) for x in rules.tolist()}) > 0.99 * len(rules)  # a pair that lost places to another one may get a second rule
+
+
+def test_op2_reads_ranges_of_the_files(spark, sf, monkeypatch):
+    monkeypatch.setattr(repair, "BLOCK_IDS", 5_000)
+    blocks = repair.write_ids(spark.read.parquet(f"{sf}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    every = [(r["doc_id"], i) for r in repair.read_ids(blocks).orderBy("start").collect() for i in r["ids"]]
+    assert blocks.count() > 8
+    for a, b in ((0, 1), (4_990, 26_000), (len(every) - 3, len(every) + 9), (17, 17)):
+        got = repair.read_range(blocks, a, b).orderBy("start").collect()
+        assert [(r["doc_id"], i) for r in got for i in r["ids"]] == every[a:b] and all(every[r["start"]][0] == r["doc_id"] for r in got)
 
 
 def test_op2_edges(edge):
