@@ -20,6 +20,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT_SHARE = 1000
+
+
+def join_spread(rows: DataFrame, unique: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` joined with ``unique`` (one row per key, none of them null), where some keys may hold a large share of the rows.
+
+    ``weight``: a column of ``unique``, the number of rows behind the key. Keys with over a thousandth of all rows are
+    under ``HOT_SHARE`` in number whatever the data, so they are broadcast and their rows stay where they are; all
+    others meet in a shuffled join. ``unique`` is read several times: write it before.
+    """
+    total = unique.agg(F.sum(weight)).first()[0] or 0
+    hot = unique.where(F.col(weight) > total // HOT_SHARE)
+    cold = unique.where(F.col(weight) <= total // HOT_SHARE).drop(weight)
+    near = rows.join(F.broadcast(hot.drop(weight)), keys)
+    return near.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, also where ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

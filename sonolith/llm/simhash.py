@@ -6,8 +6,12 @@ value. Each distinct fingerprint is therefore entered under 66 keys, equal keys
 complete distance decides. No key of fewer than 32 bits is ever compared, so buckets stay near their expected size
 until there are billions of different fingerprints.
 
-``drop_near_duplicates`` (the pipeline's stage) links by the similarity itself: 64 bits cannot tell a Jaccard similarity
-of 0.8. Candidates share a key of smallest shingle hashes, and whole shingle sets decide.
+``drop_near_duplicates`` (the pipeline's stage) links by a Jaccard similarity of 0.8 of shingle sets, which 64 bits
+cannot tell: at 0.8 every bit differs with probability 0.15. It takes fingerprints of 192 bits in eight segments of 24,
+enters each under the balls of radius 1 around its segments (200 keys), so that fingerprints with at most two differing
+bits in some segment meet, verifies the complete distance, and lets the whole shingle sets decide. By the binomial
+model 0.92 of the pairs at 0.8 meet, 0.98 at 0.85 and all but one in a thousand at 0.9; copies of a group also find each
+other through third ones.
 """
 
 from __future__ import annotations
@@ -21,14 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, staged
+from .common import documents_of, join_spread, staged
 
 SEED = 42
 CHUNK = 100_000  # shingles hashed at once
-BANDS, ROWS = 27, 7  # of the sketches by smallest hashes
-_TURN, _TIMES = np.random.default_rng(SEED).integers(0, 1 << 32, (2, 192), dtype=np.uint32)
-_TIMES |= np.uint32(1)
-_BAND = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+SEGMENTS, SEGMENT_BITS = 8, 24  # of the wide fingerprint, which is three longs
+APART = 44  # bits of 192 that may differ at a similarity of 0.8: 29 are expected, three deviations more leave out one pair of 700
+_WIDE = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93]], dtype=np.uint64)  # fixed values: odd numbers for mixing
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
@@ -109,11 +112,12 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def _with_components(prints: DataFrame, most_bits: int) -> DataFrame:
     """``prints`` with ``component_id``, the smallest id that is reachable."""
-    per_fp = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-prints")
+    per_fp = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct-prints")
     roots = components(links(per_fp, most_bits)).select(F.col("node").alias("fp"), "root")
     reach = roots.join(per_fp, "fp").groupBy("root").agg(F.min("least_id").alias("reached"))
     found = per_fp.join(roots.join(reach, "root").select("fp", "reached"), "fp", "left")
-    return prints.join(found.select("fp", F.coalesce("reached", "least_id").alias("component_id")), "fp")
+    named = staged(found.select("fp", F.coalesce("reached", "least_id").alias("component_id"), "n"), "named-prints")
+    return join_spread(prints, named, ["fp"], "n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, most_bits: int = 4) -> DataFrame:
@@ -138,47 +142,81 @@ def shingles_of(text: str | None, words_per_shingle: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts[:n], starts[width:], strict=True)], dtype=np.uint64))
 
 
-def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(``BANDS`` keys, three longs of one bit per smallest value) of a set of shingle hashes.
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of 192 bits (three longs) of a set of shingle hashes; zero for the empty set."""
+    ones = np.zeros(192, dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        mixed = hashes[at : at + CHUNK, None] * _WIDE[0]
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * _WIDE[1]
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).view(np.int64)
+
+
+FP = ["s0", "s1", "s2"]
+
+
+def _segments() -> list[Column]:
+    """The fingerprint's segments, with the segment's number above its bits."""
+    out = []
+    for j in range(SEGMENTS):
+        word, bit = divmod(j * SEGMENT_BITS, 64)
+        value = F.shiftrightunsigned(FP[word], bit)
+        if (over := bit + SEGMENT_BITS - 64) > 0:
+            value = value.bitwiseOR(F.shiftleft(F.col(FP[word + 1]), SEGMENT_BITS - over))
+        out.append(value.bitwiseAND((1 << SEGMENT_BITS) - 1).bitwiseOR(j << SEGMENT_BITS).cast("int"))
+    return out
+
+
+def _distance(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in FP[1:]), F.bit_count(F.col(f"{a}{FP[0]}").bitwiseXOR(F.col(f"{b}{FP[0]}"))))
 
-    Sets of Jaccard similarity s share a key with probability 1 - (1 - s^7)^27: 0.998 at 0.8. Each of the 192 bits
-    differs with probability (1 - s) / 2.
-    """
-    low = np.full(192, 0xFFFFFFFF, dtype=np.uint32)
-    values = (hashes >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(values), 512):
-        np.minimum(low, ((values[at : at + 512, None] ^ _TURN) * _TIMES).min(axis=0), out=low)
-    keys = _BAND.copy()
-    for column in low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64).T:
-        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    bits = ((low ^ (low >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    return keys.view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
 
+def _node(prefix: str = "") -> Column:
+    return F.xxhash64(*[F.col(f"{prefix}{c}") for c in FP])
 
-def _alike(a: str, b: str, apart: int = 36) -> Column:
-    """Whether two sketches may be of similarity 0.8: sizes within 0.8 of each other, at most ``apart`` of 192 bits differing (19.2 are expected at 0.8, and more than 36 in about one pair of 10,000)."""
-    differing = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in (1, 2)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return (5 * F.least(f"{a}.n", f"{b}.n") >= 4 * F.greatest(f"{a}.n", f"{b}.n")) & (differing <= apart)
+
+def _entries(nodes: DataFrame, *others: str) -> DataFrame:
+    """Each fingerprint under all its keys (per segment its value and the values one bit away), with ``others`` of its columns."""
+    flips = F.array(F.lit(0), *[F.lit(1 << b) for b in range(SEGMENT_BITS)])
+    keys = F.flatten(F.transform(F.array(*_segments()), lambda s: F.transform(flips, lambda f: s.bitwiseXOR(f))))
+    return nodes.select(*FP, *others, F.explode(keys).alias("key"))
+
+
+def _renamed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{prefix}{c}" for c in FP})
+
+
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``a``, ``b``) of fingerprints that share a key and differ in ``APART`` bits or fewer: those with their bucket's first one, and all others of which at most one is near that.
+
+    Pairs of which both are near their bucket's first are not listed, so that a bucket full of copies gives one pair
+    each; :func:`_similar` comes back to those that fail.
+    """
+    first = F.min(F.struct(*FP)).over(Window.partitionBy("key"))
+    placed = _entries(nodes).withColumn("first", first).select("key", *FP, *[F.col(f"first.{c}").alias(f"f{c}") for c in FP]).withColumn("near", _distance("", "f") <= APART)
+    stars = placed.where(F.col("near") & (_node() != _node("f"))).select(_node("f").alias("a"), _node().alias("b"))
+    far = _renamed(placed.where(~F.col("near")).select("key", *FP), "o").withColumnRenamed("key", "okey")
+    both = placed.join(far, F.col("key") == F.col("okey")).where(F.col("near") | (F.struct(*FP) < F.struct(*[F.col(f"o{c}") for c in FP])))
+    return stars.distinct(), both.where(_distance("", "o") <= APART).select(_node().alias("a"), _node("o").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of 0.8 or more, by their whole sets: 9 |both| >= 4 (|a| + |b|)."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-    return both.where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
+    likely = 5 * F.least(F.size("ha"), F.size("hb")) >= 4 * F.greatest(F.size("ha"), F.size("hb"))
+    return both.where(likely & (9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb")))).select("a", "b")
 
 
-def _similar(prints: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
-    """(``node``, ``root``): components of the different shingle sets over pairs of similarity 0.8 or more that share a key.
+def _similar(nodes: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(``node``, ``root``): components of the different fingerprints (``s0``..``s2``, ``text_hash`` of one of their texts) over candidates of similarity 0.8 or more.
 
-    First every set of a bucket is tested against the bucket's first one; then all pairs of a bucket that this left in
-    different components are tested. A large family of copies is mostly settled by the first, which is linear.
+    Texts of one fingerprint are one node: sets of a similarity under 0.8 agree in all 192 bits with a probability below 1e-13.
     """
-    per_key = Window.partitionBy("key")
-    entries = prints.select("node", "sketch", "keys").dropDuplicates(["node"]).select("node", "sketch", F.explode("keys").alias("key"))
-    first = F.min(F.struct("node", "sketch")).over(per_key)
-    shared = staged(entries.withColumn("first", first).withColumn("size", F.count("*").over(per_key)).where("size > 1"), "shared-keys")
-    wanted = prints.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    star, other = (staged(c, name) for c, name in zip(_candidates(nodes), ("star-pairs", "other-pairs"), strict=True))
+    ids = star.unionByName(other)
+    named = nodes.withColumn("node", _node())
+    wanted = named.join(ids.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,46 +225,51 @@ def _similar(prints: DataFrame, texts: DataFrame, words_per_shingle: int) -> Dat
                 yield pa.record_batch([part.column("node"), pa.array([shingles_of(x.as_py(), words_per_shingle).view(np.int64) for x in part.column("text")], pa.list_(pa.int64()))], names=["node", "hashes"])
 
     sets = staged(texts.join(wanted, "text_hash").select("node", "text").mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingle-sets")
-    stars = shared.where("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.sketch").alias("x"), F.col("sketch").alias("y")).where(_alike("x", "y"))
-    found = staged(_verified(stars.select("a", "b").distinct(), sets), "similar")
+    found = staged(_verified(ids.distinct(), sets), "similar")
+    # a fingerprint that turned out not to be similar to the first one of a bucket meets the others that are near it
+    failed = star.join(found, ["a", "b"], "left_anti").select(F.col("b").alias("node")).distinct()
+    if failed.isEmpty():
+        return components(found)
     roots = components(found)
-    placed = shared.select("node", "sketch", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = staged(placed.withColumn("least", F.min("root").over(per_key)).withColumn("most", F.max("root").over(per_key)).where("least <> most").drop("least", "most"), "split-keys")
-    a, b = (split.select("key", F.col("node").alias(k), F.col("root").alias(f"root_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _alike("sketch_a", "sketch_b")).select("a", "b").distinct()
+    marked = named.join(star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").join(roots, "node", "left").join(failed.withColumn("failed", F.lit(True)), "node", "left")
+    marked = staged(marked.select(*FP, F.coalesce("root", "node").alias("root"), F.coalesce("failed", F.lit(False)).alias("failed")), "near-first")
+    every = _entries(marked, "root", "failed")
+    mine = _renamed(every.where("failed"), "o").withColumnsRenamed({"key": "okey", "root": "oroot"}).drop("failed")
+    rest = every.join(mine, (F.col("key") == F.col("okey")) & (F.col("root") != F.col("oroot"))).where(_distance("", "o") <= APART).select(_node().alias("a"), _node("o").alias("b")).distinct()
     return components(found.unionByName(_verified(rest, sets)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
     """One row of ``docs`` per group of texts linked by a Jaccard similarity of 0.8 or more of their word shingles, with all its columns: that of the smallest id (ties: the smallest text hash; of repeated rows, one).
 
-    Candidates share one of ``BANDS`` keys of ``ROWS`` smallest hashes (a pair at 0.8 does with probability 0.998); each
-    link is verified by the whole shingle sets. Texts without words are one group.
+    Candidates come from multi-index hashing of 192-bit fingerprints, each link is verified by the whole shingle sets.
+    Texts without words (null, empty, white space) are one group. Null ids lose against any other. Columns may have any
+    names. An empty table gives no rows. Texts are not shuffled: the rows that go are found by id and text hash, and
+    only rows that repeat both are counted.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    kind = own.schema["doc_id"].dataType.simpleString()
+    text, kind = F.coalesce(F.col(text_col), F.lit("")), docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, keys, bits = [], [], [], []
-            for x in b.column("text"):
-                hashes = shingles_of(x.as_py(), words_per_shingle)
-                k, s = sketch(hashes)
-                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-                sizes.append(len(hashes))
-                keys.append(k)
-                bits.append(s)
-            s = np.array(bits, dtype=np.int64).reshape(-1, 3)
-            sketches = pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(s[:, j])) for j in range(3))], names=["n", "s0", "s1", "s2"])
-            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), sketches, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "sketch", "keys"])
-
-    prints = staged(own.mapInArrow(run, f"doc_id {kind}, text_hash long, node long, sketch struct<n:int,s0:long,s1:long,s2:long>, keys array<long>"), "sketches")
-    roots = _similar(prints, own.select("text_hash", "text"), words_per_shingle)
+            prints = np.array([wide_fingerprint(shingles_of(x.as_py(), words_per_shingle)) for x in b.column("text")], dtype=np.int64).reshape(-1, 3)
+            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), *(pa.array(np.ascontiguousarray(prints[:, j])) for j in range(3))], names=["doc_id", "text_hash", *FP])
+
+    prints = staged(own.mapInArrow(run, f"doc_id {kind}, text_hash long, s0 long, s1 long, s2 long"), "wide-prints")
+    roots = _similar(prints.groupBy(*FP).agg(F.min("text_hash").alias("text_hash")), own.select("text_hash", "text"), words_per_shingle)
+    nodes = prints.groupBy(_node().alias("node")).agg(F.count("*").alias("n_rows")).join(roots, "node", "left")
+    nodes = staged(nodes.select("node", F.coalesce("root", "node").alias("group"), "n_rows"), "node-groups")
+    grouped = staged(join_spread(prints.select("doc_id", "text_hash", _node().alias("node")), nodes, ["node"], "n_rows").groupBy("doc_id", "text_hash", "group").agg(F.count("*").alias("n")), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    group = F.coalesce("root", "node").alias("group")
-    stay = prints.select("doc_id", "text_hash", "node").join(roots, "node", "left").groupBy(group).agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
-    marked = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = marked.join(stay, marked[id_col].eqNullSafe(stay["__id"]) & (marked["__text"] == stay["__hash"]), "left_semi")
-    others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]
-    nth = F.row_number().over(Window.partitionBy(id_col, "__text").orderBy(F.xxhash64(*others) if others else F.lit(0)))
-    return joined.withColumn("__nth", nth).where("__nth = 1").drop("__nth", "__text")
+    first = staged(grouped.groupBy("group").agg(first, F.count("*").alias("n_rows")), "first-of-groups")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    marked = join_spread(grouped, first, ["group"], "n_rows").select("doc_id", "text_hash", stays.alias("stays"), "n").where(~F.col("stays") | (F.col("n") > 1))
+    marked = staged(marked.select(F.struct("doc_id", "text_hash").alias("mark"), "stays"), "marked")
+    row = F.struct(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("mark"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    plain = docs.select(row.alias("x")).select("x.mark", "x.row")
+    kept = plain.join(marked, plain["mark"].eqNullSafe(marked["mark"]), "left_anti").select("row")
+    repeated = plain.join(marked.where("stays"), plain["mark"].eqNullSafe(marked["mark"]), "left_semi")
+    others = [F.col(f"row.c{i}").cast("string") for i, c in enumerate(docs.columns) if c not in (id_col, text_col)]
+    nth = F.row_number().over(Window.partitionBy("mark").orderBy(F.xxhash64(*others) if others else F.lit(0)))
+    once = repeated.withColumn("nth", nth).where("nth = 1").select("row")
+    return kept.unionByName(once).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
