@@ -1,11 +1,14 @@
 """Repeated passages by sliding sentence spans.
 
 A text is cut into sentences (at ``.``, ``!`` or ``?`` before white space, and at line ends); a span is a run of
-consecutive sentences with at least ``min_sentences`` sentences and at least ``min_words`` words. Of all such runs two a
-sentence are hashed, the shortest that starts and the shortest that ends with it: any longer run is covered by those
-inside it, and they repeat wherever it repeats, so they remove what all runs would. Spans are compared by 128 bits of hash over their words (case and spacing of the
-text do not matter), joined over the whole table, and every sentence covered by an occurrence that is not the first
-(smallest document id, then position) is removed.
+consecutive sentences with at least ``min_sentences`` sentences and at least ``min_words`` words, of any length. Spans
+are compared by 128 bits of hash over their words (case and spacing of the text do not matter), joined over the whole
+table, and every sentence covered by an occurrence that is not the first (smallest document id, then position) is
+removed.
+
+Of all runs two a sentence have to be hashed, the shortest that starts and the shortest that ends with it. Any longer
+run is covered by those inside it, they repeat wherever it repeats, and where it is not the first neither are they; so
+they remove exactly what all runs would (the tests compare the two).
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, staged
+from .common import documents_of, join_spread, staged
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -87,15 +90,15 @@ def spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int =
     return docs.select("doc_id", "row_no", "text").mapInArrow(run, f"doc_id {kind}, row_no long, at int, n int, h1 long, h2 long")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every occurrence but the first of a span that occurs more than once: ``doc_id, row_no, at, n`` (row_no numbers the input rows)."""
-    numbered = documents_of(docs, id_col, text_col).withColumn("row_no", F.monotonically_increasing_id())
+def repeated_spans(numbered: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+    """Every occurrence but the first of a span that occurs more than once in (``doc_id``, ``row_no``, ``text``): ``row_no, at, n``."""
     every = staged(spans(numbered, min_sentences, min_words), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no", "at")
     # counted per task before the shuffle, so a span that is in every other document is one row of each task
-    known = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n_all")).where("n_all > 1").select("h1", "h2", "first")
-    # AQE splits a hot span's rows here; the other side has one row per span
-    return every.join(known, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "row_no", "at", "n")
+    counts = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n_all")).where("n_all > 1")
+    known = staged(counts.select("h1", "h2", F.col("first.row_no").alias("first_row"), F.col("first.at").alias("first_at"), "n_all"), "repeated-spans")
+    met = join_spread(every.select("h1", "h2", "row_no", "at", "n"), known, ["h1", "h2"], "n_all")
+    return met.where((F.col("row_no") != F.col("first_row")) | (F.col("at") != F.col("first_at"))).select("row_no", "at", "n")
 
 
 def _covered(runs: list, n: int) -> np.ndarray:
@@ -106,16 +109,20 @@ def _covered(runs: list, n: int) -> np.ndarray:
     return np.cumsum(marks[:-1]) > 0
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, plain_scan: bool = False) -> DataFrame:
     """``doc_id, n_sentences, n_removed, text``: every text without its repeated sentences.
 
+    Rows are numbered, and read twice by their numbers: unless ``docs`` is a ``plain_scan`` of files, which Spark
+    numbers alike each time, the numbered table is written first.
+
     One row per input row. What stays of a text keeps its own spacing; a removed sentence goes with the white space
     after it. Texts without a span (short, empty, null, white space) stay as they are, null as empty. Of repeated
     rows the first keeps its passages. Rows without an id come after all others in the order of occurrences. An empty
     table gives no rows.
     """
     numbered = documents_of(docs, id_col, text_col).withColumn("row_no", F.monotonically_increasing_id())
-    gone = repeated_spans(docs, id_col, text_col, min_sentences, min_words).groupBy("row_no").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    numbered = numbered if plain_scan else staged(numbered, "numbered")
+    gone = repeated_spans(numbered, min_sentences, min_words).groupBy("row_no").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,7 +143,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return numbered.join(gone, "row_no", "left").select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, n_sentences long, n_removed long, text string")
 
 
-def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plain_scan: bool = False) -> DataFrame:
     """Per document: sentences, removed sentences, and length and hash of what stays."""
-    done = remove_repeated(docs, id_col, text_col)
+    done = remove_repeated(docs, id_col, text_col, plain_scan=plain_scan)
     return done.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))

@@ -373,19 +373,58 @@ def test_op8_edges(edge):
     assert exact_dedup.exact_dedup(edge.limit(0)).count() == 0
 
 
-def test_op9_removes_what_repeats(spark, sf, rows):
+def all_runs(texts):
+    """What stays of each text by brute force, with an own cutting of sentences: every run of two or more sentences and twenty or more words, up to 40 sentences."""
+    seen, out = set(), []
+    for text in texts:
+        parts = [p for line in re.split(r"(?<=\n)", text) for p in re.split(r"(?<=[.!?])(?=\s)", line)]
+        pieces = []  # each with the white space after it
+        for p in parts:
+            if pieces and (not p.strip() or not pieces[-1].strip()):
+                pieces[-1] += p
+            else:
+                pieces.append(p)
+        for k in range(len(pieces) - 1, 0, -1):  # white space between two sentences goes with the first
+            lead = len(pieces[k]) - len(pieces[k].lstrip())
+            pieces[k - 1], pieces[k] = pieces[k - 1] + pieces[k][:lead], pieces[k][lead:]
+        pieces = [p for p in pieces if p]
+        words = [p.casefold().split() for p in pieces]
+        gone, own = set(), []
+        for a in range(len(pieces)):
+            for b in range(a + 2, min(len(pieces), a + 40) + 1):
+                run = tuple(w for ws in words[a:b] for w in ws)
+                if len(run) >= 20:
+                    if run in seen or run in own:
+                        gone |= set(range(a, b))
+                    own.append(run)
+        seen.update(own)
+        out.append("".join(p for k, p in enumerate(pieces) if k not in gone))
+    return out
+
+
+def test_op9_equals_brute_force_over_all_runs(spark):
+    r = random.Random(9)
+    sentence = lambda: " ".join(r.choice("aAbBcdeé") + str(r.randrange(40)) for _ in range(r.randint(1, 14))) + r.choice(".!?")
+    pool = [sentence() for _ in range(60)]
+    texts = []
+    for _ in range(120):
+        at = r.randrange(50)
+        parts = [sentence() for _ in range(r.randint(0, 4))] + pool[at : at + r.randint(1, 9)] + [sentence() for _ in range(r.randint(0, 4))]
+        texts.append("".join(p + r.choice([" ", "  ", "\n", " \n\n"]) for p in parts).strip())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = {x["doc_id"]: x["text"] for x in sentence_spans.remove_repeated(docs).collect()}
+    want = all_runs(texts)
+    assert [got[i].split() for i in range(len(texts))] == [w.split() for w in want]
+    assert sum(len(w) for w in want) < 0.8 * sum(len(t) for t in texts)
+
+
+def test_op9_report(spark, sf, rows):
     got = {r["doc_id"]: r for r in queries.QUERIES["op9_sentence_span_dedup"](spark, sf).collect()}
-    seen = set()
-    for i in sorted(rows):
-        text, gone = rows[i], set()
-        for at, n, h1, h2 in sentence_spans.spans_of(text)[1]:
-            if (h1, h2) in seen:
-                gone |= set(range(at, at + n))
-            seen.add((h1, h2))
-        b = sentence_spans.sentences_of(text)
-        ends = [a for a, _ in b[1:]] + [len(text)]
-        kept = text[: b[0][0]] + "".join(text[a:e] for k, ((a, _), e) in enumerate(zip(b, ends, strict=True)) if k not in gone) if gone else text
-        assert (got[i]["n_sentences"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(b), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    kept = {r["doc_id"]: r for r in sentence_spans.remove_repeated(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert set(got) == set(rows) == set(kept)
+    for i, r in got.items():
+        assert (r["n_removed"], r["kept_sha256"], r["kept_chars"]) == (kept[i]["n_removed"], hashlib.sha256(kept[i]["text"].encode()).hexdigest(), len(kept[i]["text"]))
+        assert r["n_removed"] > 0 or kept[i]["text"] == rows[i]
 
 
 def test_op9_removes_what_all_runs_would(spark):
