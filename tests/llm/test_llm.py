@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
@@ -151,18 +152,73 @@ def test_op3_links_orders_and_validates(spark):
     assert len(got) == 9
     assert got["a", "2", 2]["record"] == '{"arguments":{"text":"é","words":1},"call_id":"2","name":"answer","result":"r1"}'
     assert [got["a", k, int(k)]["level"] for k in "1234"] == [1, 0, None, None]
+    assert got["a", "2", 5]["record"] == '{"arguments":"nope","call_id":"2","name":"greet"}' and got["a", "2", 5]["errors"] == ["$: not JSON"]
+    assert got["b", "9", 1]["record"] == '{"arguments":{},"call_id":"9","name":"what","result":null}' and got["b", "5", None]["record"] == '{"call_id":"5","result":"lost"}'
     assert got["a", "2", 5]["status"] == "repeated" and got["b", "5", None]["status"] == "orphan" and got["b", "9", 1]["status"] == "linked"
     assert got["b", "8", 2]["errors"] == ["$.words: more than 250", "$.z: not allowed", "reference: unknown"]
     assert tool_calls.link_tool_calls(c.limit(0), r.limit(0), s).count() == 0
 
 
-def test_op3_query_counts(spark, sf):
+def depth(edges, x, behind=()):
+    """Longest chain of references behind ``x``; None in or behind a cycle."""
+    if x in behind:
+        return None
+    below = [depth(edges, y, (*behind, x)) for y in edges.get(x, ())]
+    return None if None in below else 1 + max(below) if below else 0
+
+
+@pytest.mark.parametrize("in_one_task", [0, 10**6])
+def test_op3_levels(spark, in_one_task):
+    r = random.Random(6)
+    calls, want = [], {}
+    for conv in range(30):
+        n = r.randint(1, 9)
+        edges = {i: sorted({r.choice(range(n)) for _ in range(r.choice([0, 1, 1, 2]))} - {i}) for i in range(n)}
+        calls += [(conv, f'k"{i}', i, "t", json.dumps({"a": [{"$ref": f'k"{j}'} for j in edges[i]]})) for i in range(n)]
+        want |= {(conv, i): depth(edges, i) for i in range(n)}
+    calls += [(99, str(i), i, "t", json.dumps({"$ref": str(i + 1)}) if i < 300 else "{}") for i in range(301)]
+    want |= {(99, i): 300 - i for i in range(301)}
+    df = spark.createDataFrame(calls, "conv_id int, call_id string, seq int, name string, arguments string").repartition(5)
+    none = spark.createDataFrame([], "conv_id int, call_id string, seq int, content string")
+    got = tool_calls.link_tool_calls(df, none, spark.createDataFrame([("t", "{}")], "name string, schema string"), in_one_task).collect()
+    assert {(x["conv_id"], x["seq"]): x["level"] for x in got} == want and None in want.values() and max(x for x in want.values() if x is not None) == 300
+    assert not any(x["errors"] for x in got)
+
+
+def test_op3_hostile_arguments(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    given = [deep, '{"a":NaN}', '{"a":1e999}', '{"s":"\\ud800","$ref":"k\\\\"}', '{"a":1', "9" * 5_000, None]
+    calls = spark.createDataFrame([(1, str(i), i, "t", a, "clash") for i, a in enumerate(given)] + [(2, "x", 1, "t", "{}", "")] * 3, "conv_id int, call_id string, seq int, name string, arguments string, status string")
+    results = spark.createDataFrame([(2, "x", 1, 'q"\n\u2028é')], "conv_id int, call_id string, seq int, content string")
+    got = tool_calls.link_tool_calls(calls, results, spark.createDataFrame([("t", "{}"), (None, "x")], "name string, schema string")).collect()
+    one = {x["seq"]: x for x in got if x["conv_id"] == 1}
+    assert [one[i]["errors"] for i in range(7)] == [["$: nested too deeply"], ["$: not JSON"], ["$: not JSON"], ["reference: unknown"], ["$: not JSON"], ["$: not JSON"], []]
+    assert one[3]["record"] == '{"arguments":{"$ref":"k\\\\","s":"\\ud800"},"call_id":"3","name":"t"}'
+    assert all(isinstance(json.loads(x["record"]), dict) for x in got)
+    assert sorted(x["status"] for x in got if x["conv_id"] == 2) == ["linked", "repeated", "repeated"]
+    assert next(x for x in got if x["status"] == "linked")["record"] == '{"arguments":{},"call_id":"x","name":"t","result":"q\\"\\n\u2028é"}'
+
+
+def test_op3_query_is_brute_force(spark, sf):
     t = spark.read.parquet(f"{sf}/conversations.parquet").collect()
     by = {(r["conv_id"], r["turn"]): r for r in t}
-    got = queries.QUERIES["op3_tool_call_linking"](spark, sf).collect()
-    linked = {(r["conv_id"], r["turn"]) for r in t if r["role"] == "assistant" and (x := by.get((r["conv_id"], r["turn"] + 1))) and x["role"] == "user"}
-    assert {(r["conv_id"], r["seq"]) for r in got if r["status"] == "linked"} == linked
-    assert sum(r["status"] in ("linked", "pending") for r in got) == sum(r["role"] == "assistant" for r in t)
+    calls = {k for k, r in by.items() if r["role"] == "assistant"}
+    step = lambda n: 2 if n % 8 == 1 else None if n == 3 else -4 if n % 8 == 3 else -2
+    refs = {(c, n): [(c, n + s)] for c, n in calls if (s := step(n)) is not None and n + s > 0}
+    edges = {k: [x for x in v if x in calls] for k, v in refs.items()}
+    got = {(r["conv_id"], r["call_id"]): r for r in queries.QUERIES["op3_tool_call_linking"](spark, sf).collect()}
+    lost = {(c, f"t{n - 1}") for (c, n), r in by.items() if r["role"] == "user" and n > 0 and (c, n - 1) not in calls}
+    assert set(got) == {(c, f"t{n}") for c, n in calls} | lost
+    for c, n in calls:
+        x, text = got[c, f"t{n}"], by[c, n]["text"]
+        answer = by.get((c, n + 1))
+        linked = answer is not None and answer["role"] == "user"
+        words = len([w for w in re.split(r"[ \t\n\x0b\f\r]+", text or "") if w])
+        arguments = {"words": words} | ({"text": text} if text is not None else {}) | ({"after": {"$ref": f"t{refs[c, n][0][1]}"}} if (c, n) in refs else {})
+        record = {"arguments": arguments, "call_id": f"t{n}", "name": "greet" if n <= 1 else "answer"} | ({"result": answer["text"]} if linked else {})
+        errors = (["$.text: missing"] if text is None else []) + (["$.words: less than 1"] if words < 1 else []) + ([f"$.words: more than {50 if n <= 1 else 250}"] if words > (50 if n <= 1 else 250) else []) + (["reference: unknown"] if (c, n) in refs and not edges[c, n] else [])
+        assert json.loads(x["record"]) == record and x["record"] == tool_calls.canonical(record)
+        assert (x["status"], x["level"], x["errors"]) == ("linked" if linked else "pending", depth(edges, (c, n)), "; ".join(errors))
 
 
 def test_op4_edges(spark, edge):
