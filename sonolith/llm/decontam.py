@@ -1,8 +1,13 @@
-"""Benchmark decontamination with an Aho-Corasick automaton over normalised test questions and answers.
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised test questions and answers.
 
-Every run of ``window`` item words is a pattern; a shorter item is one pattern. Patterns and documents are normalised
-alike (words joined by one space, a space at either end), so that a pattern can only match whole words, and a
-document is scanned once. Matches are mapped back through the words' places to offsets in the original text.
+Every run of ``window`` item words is a pattern; a shorter item is one pattern. The automaton's alphabet are the
+benchmark's different words, each as a number, and one number for all other words, which leads back to the start. So a
+pattern only matches whole words, a document is scanned once, word by word, and a match is mapped back through the
+words' places to offsets in the original text.
+
+Up to ``BLOCK_WORDS`` words of items there is one automaton. Longer benchmarks are cut into blocks of that size with an
+automaton each, as a worker's memory is bounded; a task then scans the documents that it holds (``HELD_CHARS`` of
+text at a time) with one after the other.
 """
 
 from __future__ import annotations
@@ -10,10 +15,8 @@ from __future__ import annotations
 import pickle
 import re
 import uuid
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -24,71 +27,79 @@ from .common import documents_of
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-#: Text of items whose patterns share one automaton; further items go to further automata, which are loaded in turn.
-BLOCK_CHARS = 2_000_000
+BLOCK_WORDS = 400_000
+HELD_CHARS = 64_000_000
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").translate(LOWER))
 
 
-def windows_of(words: list[str], window: int) -> set[str]:
-    return {" " + " ".join(words[i : i + window]) + " " for i in range(max(1, len(words) - window + 1))} if words else set()
+class Patterns:
+    """The automaton over all windows of some items; each window carries its number of words and its item ids."""
 
+    def __init__(self, items: Iterable[tuple[str, list[str]]], window: int) -> None:
+        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.number: dict[str, int] = {}
+        for item_id, words in items:
+            numbers = [self.number.setdefault(w, len(self.number) + 1) for w in words]
+            for i in range(max(1, len(words) - window + 1)):
+                owners[tuple(numbers[i : i + window])].add(item_id)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for run, ids in owners.items():
+            self.automaton.add_word(run, (len(run), tuple(sorted(ids))))
+        self.automaton.make_automaton()
 
-def build(items: Iterable[tuple[str, str | None]], window: int) -> bytes | None:
-    """The automaton over all items' windows, pickled; each pattern carries its item ids and its number of words."""
-    owners: dict[str, set[str]] = defaultdict(set)
-    for item_id, text in items:
-        for w in windows_of(words_of(text), window):
-            owners[w].add(item_id)
-    if not owners:
-        return None
-    automaton = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        automaton.add_word(w, (w.count(" ") - 1, tuple(sorted(ids))))
-    automaton.make_automaton()
-    return pickle.dumps(automaton)
+    def scan(self, words: list[str]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """Matches in a document's words as (first word, word after the last, item ids)."""
+        get = self.number.get
+        for last, (n, ids) in self.automaton.iter(tuple([get(w, 0) for w in words])):
+            yield last + 1 - n, last + 1, ids
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list:
-    """Broadcast automata, each over a bounded amount of item text; the driver holds one block at a time."""
+    """Broadcast automata, each over a bounded number of item words; the driver builds one at a time. Items without words have no pattern."""
     sc = benchmark.sparkSession.sparkContext
-    held, chars, out = [], 0, []
+    held, n, out = [], 0, []
 
     def close() -> None:
-        if (made := build(held, window)) is not None:
-            out.append(sc.broadcast(made))
+        if held:
+            out.append((uuid.uuid4().hex, sc.broadcast(pickle.dumps(Patterns(held, window)))))
+            held.clear()
 
     for row in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col).toLocalIterator():
-        held.append((row[0], row[1]))
-        chars += len(row[1] or "")
-        if chars >= BLOCK_CHARS:
+        if words := words_of(row[1]):
+            held.append((row[0], words))
+            n += len(words)
+        if n >= BLOCK_WORDS:
             close()
-            held, chars = [], 0
+            n = 0
     close()
     return out
 
 
-_loaded: dict[str, ahocorasick.Automaton] = {}
+_loaded: dict[str, Patterns] = {}
 
 
-def _automaton(name: str, held) -> ahocorasick.Automaton:
-    """The automaton of a block; a worker keeps one at a time."""
+def _patterns(name: str, held) -> Patterns:
+    """The patterns of a block; a worker keeps one block at a time."""
     if name not in _loaded:
         _loaded.clear()
         _loaded[name] = pickle.loads(held.value)
     return _loaded[name]
 
 
-def scan(words: list[str], automaton: ahocorasick.Automaton) -> list[tuple[int, int, tuple[str, ...]]]:
-    """Matches in a document's words as (first word, word after the last, item ids)."""
-    starts = list(accumulate((len(w) + 1 for w in words), initial=1))  # of words in the normalised text
-    found = []
-    for end, (n, ids) in automaton.iter(" " + " ".join(words) + " "):
-        last = bisect_left(starts, end)
-        found.append((last - n, last, ids))
-    return found
+def _held(batches: Iterator[pa.RecordBatch], at: int | str, blocks: list) -> Iterator[tuple[list[pa.RecordBatch], list[list[str]]]]:
+    """Batches with their texts' words: one at a time, or with several blocks as many as ``HELD_CHARS`` allow."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(at).nbytes
+        if len(blocks) < 2 or size >= HELD_CHARS:
+            yield held, [words_of(t.as_py()) for x in held for t in x.column(at)]
+            held, size = [], 0
+    if held:
+        yield held, [words_of(t.as_py()) for x in held for t in x.column(at)]
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
@@ -110,25 +121,24 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     One row per input row; null and wordless texts have no words and no hits, as have all documents where the
     benchmark is empty. A null item id counts as the empty string, rows that repeat an item as one. No shuffle: the
-    documents are scanned where they lie. The automaton is broadcast in blocks of ``BLOCK_CHARS`` of item text, so a
-    task's memory is bounded however large the benchmark is.
+    documents are scanned where they lie.
     """
-    blocks = [(uuid.uuid4().hex, held) for held in _blocks(benchmark, item_col, item_text_col, window)]
+    blocks = _blocks(benchmark, item_col, item_text_col, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words = [0] * batch.num_rows
-            found: list[list] = [[] for _ in n_words]
-            for name, held in blocks or [("", None)]:
-                automaton = _automaton(name, held) if held else None
-                for k, text in enumerate(batch.column("text")):
-                    words = words_of(text.as_py())
-                    n_words[k] = len(words)
-                    if automaton and words:
-                        found[k] += scan(words, automaton)
-            rows = [_result(batch.column("text")[k].as_py(), n, hits) for k, (n, hits) in enumerate(zip(n_words, found, strict=True))]
+        for held, words in _held(batches, "text", blocks):
+            found: list[list] = [[] for _ in words]
+            for block in blocks:
+                patterns = _patterns(*block)
+                for hits, ws in zip(found, words, strict=True):
+                    hits += patterns.scan(ws)
+            texts = (t for b in held for t in b.column("text"))
+            rows = [_result(t.as_py() if hits else "", len(ws), hits) for t, ws, hits in zip(texts, words, found, strict=True)]
             out = pa.RecordBatch.from_pylist(rows, schema=_OUT)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *out.columns], names=["doc_id", *_OUT.names])
+            at = 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out.slice(at, b.num_rows).columns], names=["doc_id", *_OUT.names])
+                at += b.num_rows
 
     plain = documents_of(docs, id_col, text_col)
     return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
@@ -151,25 +161,27 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns.
 
-    Rows pass through the scan in batches, so that no text is shuffled and rows that share an id are told apart.
+    Null, empty and wordless texts stay, and all rows where the benchmark has no words; rows that repeat go or stay
+    together. Columns may have any names. Rows pass through the scan in batches, so that no text is shuffled and rows
+    that share an id are told apart.
     """
-    blocks = [(uuid.uuid4().hex, held) for held in _blocks(benchmark, "item_id", "text", window)]
+    blocks = _blocks(benchmark, item_col, item_text_col, window)
     if not blocks:
         return docs
-
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            clean = [True] * b.num_rows
-            for name, held in blocks:
-                automaton = _automaton(name, held)
-                for k, text in enumerate(b.column(at)):
-                    words = words_of(text.as_py())
-                    clean[k] = clean[k] and (not words or next(automaton.iter(" " + " ".join(words) + " "), None) is None)
-            yield b.filter(pa.array(clean, pa.bool_()))
+        for held, words in _held(batches, at, blocks):
+            clean = [True] * len(words)
+            for block in blocks:
+                patterns = _patterns(*block)
+                clean = [c and next(patterns.scan(ws), None) is None for c, ws in zip(clean, words, strict=True)]
+            start = 0
+            for b in held:
+                yield b.filter(pa.array(clean[start : start + b.num_rows], pa.bool_()))
+                start += b.num_rows
 
     return docs.mapInArrow(run, docs.schema)

@@ -235,8 +235,11 @@ def test_op4_edges(spark, edge):
 def test_op4_many_blocks_give_the_same(spark, sf, monkeypatch):
     d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(map(str, decontam.contamination_report(d, b).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 2_000)
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 300)
     assert sorted(map(str, decontam.contamination_report(d, b).collect())) == one
+    clean = {r["doc_id"] for r in decontam.drop_contaminated(d, b).collect()}
+    monkeypatch.setattr(decontam, "HELD_CHARS", 1)
+    assert clean == {r["doc_id"] for r in decontam.contamination_report(d, b).where("NOT contaminated").collect()}
 
 
 def best_path(m, s):
