@@ -2,10 +2,12 @@
 
 P(word | previous) = P(class | class of previous) * P(word | class). Words and an end token per text are counted over
 all training documents. Clustering moves *units*: the ``UNITS`` most frequent words each by itself, all other words
-together with those of the same ending (``GROUPS`` hashed endings), so that every word, seen or not, has a class.
-Exchange runs on the counts of neighbouring units: in each round every other unit goes to the class in which the class
-bigram likelihood gains most, its own counts taken out of its present class; rounds run as maps over the table of
-units' contexts, whose rows are bounded by the number of units.
+together with those of the same ending (``GROUPS`` hashed endings), so that every word, seen or not, has a class that
+a task can tell without a table of all words. Exchange runs on the counts of neighbouring units: in each round every
+other unit goes to the class in which the class bigram likelihood gains most, its own counts taken out of its present
+class. As half of the units move at once, the likelihood of the whole is worked out after each round, a round that
+lowers it is undone, and the rounds end when neither half gains ``LEAST_GAIN`` a token any more. Rounds are maps over the
+table of units' contexts, whose rows are bounded by the number of units.
 
 Emission is discounted by D = n1 / (n1 + 2 n2): a known word gets (c - D) / N_class, what is left in a class goes to
 its one unknown word. Transitions are interpolated with class frequencies. All probabilities of a history add up to 1.
@@ -29,11 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import documents_of, staged, training_fold
 
-UNITS = 4_096
+UNITS = 12_288
 GROUPS = 1_024
 HEAVY = 65_536
 CLASSES = 64
-ROUNDS = 10
+MOST_ROUNDS, LEAST_GAIN = 40, 1e-4  # of nats a token
 FOLDS = 10
 PRIOR = 5.0  # weight of the class frequencies in the transitions
 FLUSH = 200_000  # different words, or
@@ -99,15 +101,19 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, end_count: int) -> Vocabulary:
-    """Takes as many of the most frequent words as ``HEAVY`` allows; the cut lies at a step of counts (an eighth of an octave), found from a histogram."""
+    """Takes the ``HEAVY`` most frequent words. Words are counted by steps of an eighth of an octave; of the step in which the number is reached those with the smallest hash are taken."""
     words = counts.where(F.col("word") != END)
     step = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
-    cut, n = None, 0
+    cut, n, rows = None, 0, []
     for s, k in sorted(((r[0], r[1]) for r in words.groupBy(step.alias("s")).count().collect()), reverse=True):
-        if (n := n + k) > HEAVY:
+        if n + k > HEAVY:
+            # of hashes spread evenly, about a third more than are needed lie below this one
+            below = int(2**64 * min(1.0, ((HEAVY - n) * 1.3 + 1_000) / k)) - 2**63
+            hashed = words.where(step == s).withColumn("h", F.xxhash64("word")).where(F.col("h").cast("decimal(20,0)") < F.lit(str(below)).cast("decimal(20,0)"))
+            rows = sorted(hashed.collect(), key=lambda r: r["h"])[: HEAVY - n]
             break
-        cut = s
-    rows = words.where(step >= cut).collect() if cut is not None else []
+        n, cut = n + k, s
+    rows += words.where(step >= cut).collect() if cut is not None else []
     rows.sort(key=lambda r: (-r["c"], r["word"]))
     heavy = {r["word"].encode(): i for i, r in enumerate(rows)}
     first_group = 1 + min(UNITS, len(rows))
@@ -203,14 +209,29 @@ def _exchange(table: DataFrame, classes: np.ndarray, m: np.ndarray, turn: int) -
     return {r["unit"]: r["to"] for r in table.mapInArrow(run, "unit int, to int").collect()}
 
 
+def likelihood(m: np.ndarray) -> float:
+    """What of the log likelihood of a text depends on the classes, from the counts of neighbouring classes (in nats)."""
+    part = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+    return part(m) - part(m.sum(axis=0)) - part(m.sum(axis=1))
+
+
 def cluster(table: DataFrame, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(class of every unit, class bigram counts). Starts with units dealt round by frequency rank, so each class holds one of the most frequent words."""
     classes = 1 + np.arange(words.n_units) % (CLASSES - 1)
     classes[0] = 0
-    for turn in range(ROUNDS):
-        for unit, to in _exchange(table, classes, _class_bigrams(table, classes), turn).items():
-            classes[unit] = to
-    return classes, _class_bigrams(table, classes)
+    m, idle = _class_bigrams(table, classes), 0
+    for turn in range(MOST_ROUNDS):
+        trial = classes.copy()
+        for unit, to in _exchange(table, classes, m, turn).items():
+            trial[unit] = to
+        counts = _class_bigrams(table, trial)
+        gain = likelihood(counts) - likelihood(m)
+        idle = 0 if gain > LEAST_GAIN * m.sum() else idle + 1
+        if gain > 0:
+            classes, m = trial, counts
+        if idle == 2:
+            break
+    return classes, m
 
 
 @dataclass
@@ -316,39 +337,47 @@ def _partial_scores(docs: DataFrame, held) -> DataFrame:
                     n += rest.values()
                     for x, zero in ((n_tokens, 0), (n_known, 0), (base, 0.0), (score, 0.0)):
                         x += [zero] * len(rest)
-                yield pa.record_batch([part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(word, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "word", "n", "n_tokens", "n_known", "base", "score"])
+                take = pa.array(row, pa.int64())
+                yield pa.record_batch([part.column("row_no").take(take), part.column("doc_id").take(take), pa.array(word, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=["row_no", "doc_id", "word", "n", "n_tokens", "n_known", "base", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PARTIAL}")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text")
+    return numbered.mapInArrow(run, f"row_no long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PARTIAL}")
+
+
+def fit(training: DataFrame, counts: DataFrame) -> Model | None:
+    """The model of the texts of ``training``, whose words' ``counts`` are a written table; None without any token."""
+    size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("word") == END, F.col("c"))).alias("ends")).first()
+    if not size["n"]:
+        return None
+    words = vocabulary(counts, size["ends"])
+    table = staged(contexts(unit_bigrams(training, words)), "contexts")
+    return _finish(counts, words, *cluster(table, words), size["n"], size["v"])
 
 
 def class_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``, one row per id.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``, one row per input row.
 
     Learns from the documents whose crc32 of the id modulo ``FOLDS`` is not 0 (a null id counts as empty text). Null
-    and empty texts consist of the end token. Rows that share an id are one document whose sums add up. Without
-    training documents every token has probability 1 under the base (its formula's value) and under the model.
+    and empty texts consist of the end token. Rows may repeat or lack an id; other columns are not read. Without
+    training documents every token has probability 1 under the base (its formula's value) and under the model. An
+    empty table gives no rows.
     """
     plain = documents_of(docs, id_col, text_col)
     fold = training_fold(F.col("doc_id"), FOLDS)
     training = plain.where(fold != 0)
     counts = staged(count_words(training), "word-counts")
-    size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("word") == END, F.col("c"))).alias("ends")).first()
-    n, kinds = size["n"] or 0, size["v"]
     head = (F.col("doc_id"), (fold == 0).alias("held_out"))
-    if not n:
-        ones = F.size(F.split(F.trim(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " ")), " ")).cast("long")
-        empty = plain.select(*head, (F.when(F.trim(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " ")) == "", 0).otherwise(ones) + 1).cast("long").alias("n_tokens"))
-        return empty.groupBy("doc_id", "held_out").agg(F.sum("n_tokens").alias("n_tokens")).select("doc_id", "held_out", "n_tokens", F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"), F.lit(1.0).alias("perplexity"))
-    words = vocabulary(counts, size["ends"])
-    table = staged(contexts(unit_bigrams(training, words)), "contexts")
-    model = _finish(counts, words, *cluster(table, words), n, kinds)
+    model = fit(training, counts)
+    if model is None:
+        words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+        return plain.select(*head, (F.size(words) + 1).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"), F.lit(1.0).alias("perplexity"))
     held = docs.sparkSession.sparkContext.broadcast(model)
     joined = _partial_scores(plain, held).join(_rare_words(counts, held), "word", "left")
     more = lambda c: F.sum(F.col("n") * F.coalesce(c, F.lit(0)))
-    sums = joined.groupBy("doc_id").agg(
+    sums = joined.groupBy("row_no", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + more("known")).cast("long").alias("n_known"),
         (F.sum("base") + more("base_gain")).alias("base_score"),
         (F.sum("score") + more("gain")).alias("score"),
     )
-    return sums.select(*head, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    return sums.select(*head, "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -53,22 +53,74 @@ def test_op1_base_scores_and_gain(spark, sf, rows):
         assert sum(r["score"] for r in got.values() if r["held_out"] == held) > sum(r["base_score"] for r in got.values() if r["held_out"] == held)
 
 
+def test_op1_score_is_the_formula(spark, monkeypatch):
+    """Scores of a small corpus from its own counts, given the classes; with so few heavy words that most go through the join."""
+    monkeypatch.setattr(brown_lm, "HEAVY", 40)
+    monkeypatch.setattr(brown_lm, "UNITS", 15)
+    r = random.Random(2)
+    texts = {i: " ".join(f"{r.choice('abcd')}{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randint(0, 40))) for i in range(200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    learnt = [t.lower().encode().split() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    training = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0)
+    counts = brown_lm.count_words(training).cache()
+    model = brown_lm.fit(training, counts)
+    assert len(model.words.heavy) == 40 and model.words.first_group == 16
+    cls = lambda w: int(model.classes[model.words.units([w])[0][0]])
+    c = collections.Counter(w for ws in learnt for w in ws)
+    n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+    d = min(0.9, max(0.1, n1 / (n1 + 2 * n2)))
+    bigrams, total, kinds = collections.Counter(), collections.Counter({0: len(learnt)}), collections.Counter({0: 1})
+    for ws in learnt:
+        path = [0, *map(cls, ws), 0]
+        bigrams.update(zip(path, path[1:], strict=False))
+    for w, k in c.items():
+        total[cls(w)] += k
+        kinds[cls(w)] += 1
+    all_ = sum(total[k] + 0.5 for k in range(brown_lm.CLASSES))
+    after = collections.Counter()
+    for (a, _), k in bigrams.items():
+        after[a] += k
+
+    def score(ws):
+        path = [0, *map(cls, ws), 0]
+        out = sum(math.log10((bigrams[a, b] + brown_lm.PRIOR * (total[b] + 0.5) / all_) / (after[a] + brown_lm.PRIOR)) for a, b in zip(path, path[1:], strict=False))
+        return out + sum(math.log10((c[w] - d) / total[cls(w)]) if c[w] else math.log10(d * kinds[cls(w)] / total[cls(w)]) for w in ws)
+
+    for x in brown_lm.class_model_scores(docs).collect():
+        assert x["score"] == pytest.approx(score(texts[x["doc_id"]].encode().split()), rel=1e-9)
+
+
+def test_op1_exchange_raises_the_likelihood(spark):
+    r = random.Random(4)
+    nouns, verbs = [f"n{i}" for i in range(150)], [f"v{i}" for i in range(150)]
+    texts = [" ".join(f"the {r.choice(nouns)} {r.choice(verbs)}" for _ in range(30)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = brown_lm.count_words(docs).cache()
+    words = brown_lm.vocabulary(counts, 300)
+    table = brown_lm.contexts(brown_lm.unit_bigrams(docs, words)).cache()
+    start = 1 + np.arange(words.n_units) % (brown_lm.CLASSES - 1)
+    start[0] = 0
+    classes, m = brown_lm.cluster(table, words)
+    assert brown_lm.likelihood(m) > brown_lm.likelihood(brown_lm._class_bigrams(table, start))
+    of = lambda ws: {int(classes[words.units([w.encode()])[0][0]]) for w in ws}
+    assert not of(nouns) & of(verbs) and not of(nouns) & of(["the"])
+
+
 def test_op1_probabilities_add_up(spark):
     docs = spark.createDataFrame([(i, "a b c d a b a" if i % 2 else "x y z x y w") for i in range(40)], "doc_id long, text string")
-    counts = brown_lm.count_words(docs).cache()
-    words = brown_lm.vocabulary(counts, 40)
-    table = brown_lm.contexts(brown_lm.unit_bigrams(docs, words))
-    m = brown_lm._finish(counts, words, *brown_lm.cluster(table, words), 600, counts.count())
+    m = brown_lm.fit(docs, brown_lm.count_words(docs).cache())
     assert (10**m.transition).sum(axis=1) == pytest.approx(np.ones(brown_lm.CLASSES))
-    for k in set(m.classes[words.unit[:-1]]):
-        inside = 10 ** m.heavy_emission[m.classes[words.unit[:-1]] == k]
+    for k in set(m.classes[m.words.unit[:-1]]):
+        inside = 10 ** m.heavy_emission[m.classes[m.words.unit[:-1]] == k]
         assert inside.sum() + 10 ** m.unknown[k] == pytest.approx(1.0)
 
 
 def test_op1_edges(edge):
     got = brown_lm.class_model_scores(edge).collect()
-    assert len(got) == 5 and all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
+    assert len(got) == 7 and all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
+    assert sorted(r["n_tokens"] for r in got) == sorted(len((t or "").split()) + 1 for _, t, *_ in EDGE)
     assert brown_lm.class_model_scores(edge.limit(0)).count() == 0
+    assert len(brown_lm.class_model_scores(edge.where("doc_id = -1 OR crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")).collect()) == sum(zlib.crc32(str(i).encode()) % 10 == 0 for i, *_ in EDGE if i is not None)
 
 
 def test_op2_files_hold_the_ids(spark, sf, rows):
