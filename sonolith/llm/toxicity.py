@@ -6,9 +6,10 @@ and end count as characters. An insult with a character put in or left out keeps
 match loses. Words are lower-cased and stripped of what is not a letter or digit, so that ``i.d-i*o_t`` is the insult
 itself; runs of single letters (``i d i o t``) are read as one more word.
 
-Landmarks are words of the labelled training sentences. A sentence is described by its largest kernel value with each
-landmark, and powers of these are taken to Nyström coordinates by K^(-1/2) of the landmarks; a document's value per landmark is the largest of its
-sentences'. A linear SVM (squared hinge, classes weighted evenly) and a logistic calibration on top give the score.
+Landmarks are words of the labelled training texts, those that tell the classes apart best. A text is the set of its
+words; it is described by its largest kernel value with each landmark (one altered insult is enough, however long the
+text is), and powers of these are taken to Nyström coordinates by K^(-1/2) of the landmarks. A linear SVM (squared
+hinge, classes weighted evenly) and a logistic calibration on top give the score.
 
 Fitting takes a bounded sample of labelled training documents (``SAMPLE`` of each class, by a hash of the id), whole:
 their words are counted on Spark, and only ``LANDMARKS`` landmarks and each document's values for them come to the driver; scoring is one scan of all texts, whole, with the model as a broadcast of fixed
@@ -35,7 +36,7 @@ SAMPLE = 2_000
 LANDMARKS = 128
 LONGEST = 24  # longer words are cut in overlapping windows of this many characters
 SLOTS = 1 << 18
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 PENALTY = 10.0
 POWERS = (3, 12)  # powers of a kernel are kernels: the lower one sees altered words, the higher one near-exact ones
 ALTERED_WEIGHT = 0.25  # of the copies of toxic training sentences whose landmark words get a character put in
@@ -307,8 +308,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         part = known.where(of_class).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         ids = part if ids is None else ids.unionByName(part)
 
-    # the sample's size is a parameter of this module, so it is small enough to broadcast whatever the tables' sizes are
-    texts = staged(documents_of(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").select("text", F.col("label").cast("long").alias("label"), "doc_id"), "toxicity-sample")
+    # the sample's size is a parameter of this module, so it is small enough to broadcast whatever the tables' sizes are;
+    # of rows that share an id the text with the smallest hash counts, so that the sample has one row per id
+    texts = documents_of(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").groupBy("doc_id", F.col("label").cast("long").alias("label")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = staged(texts, "toxicity-sample")
     chosen = word_parts(choose_landmarks(texts))
     none = np.zeros((0, len(chosen)), dtype=np.float32)
     if not chosen:
@@ -372,7 +375,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", reject_from: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a score below ``reject_from``, with all their columns. Rows pass through the scan in batches; nothing is shuffled."""
+    """The rows of ``docs`` with a score below ``reject_from``, with all their columns, whatever their names.
+
+    Null and empty texts resemble no landmark and stay, as do all rows where the labels do not allow a model. Rows that
+    repeat go or stay together; an empty table gives no rows. Rows pass through the scan in batches; nothing is shuffled.
+    """
     model = fit(*labelled_sample(docs, labels, id_col, text_col))
     if model is None:
         return docs
