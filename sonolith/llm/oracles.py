@@ -27,18 +27,31 @@ def _spans(no: int, name: str, pattern: str, valid: str) -> str:
         SELECT doc_id, string_split_regex(t, '{pattern}') AS pieces, regexp_extract_all(t, '{pattern}') AS found FROM d))) WHERE {valid}"""
 
 
-#: The added kinds (account and social security numbers) need a check by remainder; here they come from the same patterns.
-_IBAN = """SELECT doc_id, 4 AS kind_no, 'iban' AS kind, CAST(strpos(t, m) - 1 AS BIGINT) AS start, CAST(strpos(t, m) - 1 + length(m) AS BIGINT) AS stop FROM (
-    SELECT doc_id, t, unnest(regexp_extract_all(t, '\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b')) AS m FROM d)
-    WHERE length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(
+#: The added kinds. RE2 has no look-around: both patterns take the character after a match as well, and the one before it must not be of the same kind.
+_ADDED = {
+    "iban": ("[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"\b", "[A-Za-z0-9]", """length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(
       list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN ascii(c) < 58 THEN ascii(c) - 48 ELSE ascii(c) - 55 END),
-      lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97) = 1"""
+      lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97) = 1"""),
+    "ssn": ("[0-9]{3}-[0-9]{2}-[0-9]{4}", "(?:^|[^0-9-])", "[0-9-]", r"""NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$')
+      AND regexp_matches(lower(right(before, 40) || ' ' || left(after, 40)), '\bssn\b|social security')"""),
+}
+
+
+def _added(no: int, name: str, pattern: str, front: str, beside: str, valid: str) -> str:
+    """Places of the strings that match somewhere in a text, each occurrence with nothing of its kind beside it."""
+    return f"""SELECT doc_id, {no} AS kind_no, '{name}' AS kind, start, CAST(start + length(m) AS BIGINT) AS stop FROM (
+    SELECT doc_id, m, start, left(t, start) AS before, substr(t, start + length(m) + 1) AS after FROM (
+      SELECT doc_id, t, m, unnest(list_transform(range(1, len(cuts)), lambda i: CAST(list_sum(list_transform(cuts[1:i], lambda x: length(x))) + (i - 1) * length(m) AS BIGINT))) AS start
+      FROM (SELECT doc_id, t, m, string_split(t, m) AS cuts FROM (SELECT DISTINCT doc_id, t, unnest(regexp_extract_all(t, '{front}({pattern})(?:[^{beside[1:]}|$)', 1)) AS m FROM d WHERE regexp_matches(t, '{pattern}')))))
+    WHERE NOT regexp_matches(right(before, 1), '^{beside}$') AND NOT regexp_matches(left(after, 1), '^{beside}$') AND {valid}"""
+
 
+_IBAN, _SSN = (_added(no, k, *v) for no, (k, v) in enumerate(_ADDED.items(), 4))
 _BRANCHES = "\nUNION ALL ".join(_spans(no, k, *v) for no, (k, v) in enumerate(_KINDS.items()))
 PERSONAL_DATA = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_BRANCHES}),
-extra AS ({_IBAN}),
+extra AS ({_IBAN} UNION ALL {_SSN}),
 listed AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) AS s,
     count(*) FILTER (kind = 'email') AS e, count(*) FILTER (kind = 'ip') AS i, count(*) FILTER (kind = 'card') AS c, count(*) FILTER (kind = 'phone') AS p FROM base GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) AS s FROM (FROM base UNION ALL FROM extra) GROUP BY doc_id)
