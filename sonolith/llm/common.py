@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import scratch
@@ -37,6 +37,21 @@ def join_spread(rows: DataFrame, unique: DataFrame, keys: list[str], weight: str
     return near.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
 
 
+def drop_marked(docs: DataFrame, mark: Column, marked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``mark`` is not in ``marked``, and one row for each mark that ``stays`` there.
+
+    ``marked``: (``mark``, ``stays``), each mark once, a written table. Rows are carried as one column, so no name can
+    clash; where few rows are marked Spark broadcasts them by their measured size and no text is shuffled.
+    """
+    plain = docs.select(mark.alias("mark"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    same = plain["mark"].eqNullSafe(marked["mark"])
+    kept = plain.join(marked, same, "left_anti").select("row")
+    again = plain.join(marked.where("stays"), same, "left_semi")
+    nth = F.row_number().over(Window.partitionBy("mark").orderBy(F.xxhash64(*[F.col(f"row.c{i}").cast("string") for i in range(len(docs.columns))])))
+    once = again.withColumn("nth", nth).where("nth = 1").select("row")
+    return kept.unionByName(once).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, also where ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

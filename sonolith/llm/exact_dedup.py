@@ -9,10 +9,10 @@ independent 64-bit hash: entries that disagree in these never merge, at any leve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, staged
+from .common import documents_of, drop_marked, staged
 
 VERIFIED = ["text_sha256", "n_bytes", "check64"]
 
@@ -62,13 +62,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns, whatever their names.
 
-    Survivors are found by id and digest; where the same id and text occur in several rows, one of them stays.
+    Null texts are equal to empty ones. The rows that go are found by id and digest; where the same id and text occur
+    in several rows, one of them stays. An empty table gives no rows.
     """
-    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = docs.withColumn("__digest", F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8"), 256))
-    joined = own.join(kept, (own[id_col].eqNullSafe(kept["__id"])) & (own["__digest"] == kept["__sha"]), "left_semi")
-    others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]
-    nth = F.row_number().over(Window.partitionBy(id_col, "__digest").orderBy(F.xxhash64(*others) if others else F.lit(0)))
-    return joined.withColumn("__nth", nth).where("__nth = 1").drop("__nth", "__digest")
+    per = exact_dedup(docs, id_col, text_col, keep).groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n"))
+    marked = staged(per.where("NOT stays OR n > 1").select(F.struct("doc_id", "text_sha256").alias("mark"), "stays"), "marked")
+    digest = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8"), 256)
+    return drop_marked(docs, F.struct(F.col(id_col).alias("doc_id"), digest.alias("text_sha256")), marked)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, join_spread, staged
+from .common import documents_of, drop_marked, join_spread, staged
 
 SEED = 42
 CHUNK = 100_000  # shingles hashed at once
@@ -265,11 +265,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     marked = join_spread(grouped, first, ["group"], "n_rows").select("doc_id", "text_hash", stays.alias("stays"), "n").where(~F.col("stays") | (F.col("n") > 1))
     marked = staged(marked.select(F.struct("doc_id", "text_hash").alias("mark"), "stays"), "marked")
-    row = F.struct(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("mark"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
-    plain = docs.select(row.alias("x")).select("x.mark", "x.row")
-    kept = plain.join(marked, plain["mark"].eqNullSafe(marked["mark"]), "left_anti").select("row")
-    repeated = plain.join(marked.where("stays"), plain["mark"].eqNullSafe(marked["mark"]), "left_semi")
-    others = [F.col(f"row.c{i}").cast("string") for i, c in enumerate(docs.columns) if c not in (id_col, text_col)]
-    nth = F.row_number().over(Window.partitionBy("mark").orderBy(F.xxhash64(*others) if others else F.lit(0)))
-    once = repeated.withColumn("nth", nth).where("nth = 1").select("row")
-    return kept.unionByName(once).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return drop_marked(docs, F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash")), marked)

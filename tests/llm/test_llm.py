@@ -474,6 +474,13 @@ def test_pipeline_near_dedup_takes_similarity_of_08(spark):
     assert want <= got and len(got - want) <= 0.02 * (len(texts) - len(want))
 
 
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", 1), (1, "a b", "x", "y", 1), (2, "a b", "p", "q", 2), (None, None, "r", "s", 3)], "doc_id long, text string, __digest string, mark string, row long")
+    for drop in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates):
+        kept = drop(docs)
+        assert kept.columns == docs.columns and kept.schema == docs.schema and kept.count() == 2
+
+
 def test_op8_edges(edge):
     got = exact_dedup.exact_dedup(edge).collect()
     assert len(got) == 7 and sum(r["kept"] for r in got) == 5
@@ -594,6 +601,29 @@ def test_op10_added_kinds_and_context(spark):
     assert pii.redact(docs).where("doc_id = 0").first()["text"] == "Account <iban> here"
 
 
+def test_op10_sql_has_the_added_kinds(spark):
+    import duckdb
+
+    texts = ["DE89 3704 0044 0532 0130 00, DE89 3704 0044 0532 0130 00", "my ssn: 123-45-6789", "social security 123-45-6789 and 123-45-67890", "no 123-45-6789", "xDE89370400440532013000", "x@y.zz GB82WEST12345698765432.", None]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute(oracles.SQL["op10_personal_data"]).fetchdf().set_index("doc_id")["spans"].to_dict()
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want and want[0].count("iban") == 2 and "ssn" in want[1] and want[2].count("ssn") == 1 and want[3] == want[4] == ""
+
+
+def test_op10_redacts_what_it_finds(spark, rows):
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["found"] for r in pii.find_personal_data(docs).collect()}
+    for r in pii.redact(docs).collect():
+        text, out, at = rows[r["doc_id"]] or "", "", 0
+        for s in found[r["doc_id"]]:
+            if s["start"] >= at:
+                out, at = out + text[at : s["start"]] + f"<{s['kind']}>", s["end"]
+        assert r["text"] == out + text[at:]
+
+
 def test_op10_long_and_many(spark, edge):
     texts = ["1" * 40_000 + " " + "a." * 20_000 + "x@" + "b." * 10_000, "a@b.c " * 3_000]
     got = pii.personal_data_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
