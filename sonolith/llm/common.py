@@ -41,11 +41,11 @@ def drop_marked(docs: DataFrame, mark: Column, marked: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``mark`` is not in ``marked``, and one row for each mark that ``stays`` there.
 
     ``marked``: (``mark``, ``stays``), each mark once, a written table. Rows are carried as one column, so no name can
-    clash; where few rows are marked Spark broadcasts them by their measured size and no text is shuffled.
+    clash. The marks grow with the rows, so the two meet in a shuffle at every size.
     """
     plain = docs.select(mark.alias("mark"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
     same = plain["mark"].eqNullSafe(marked["mark"])
-    kept = plain.join(marked, same, "left_anti").select("row")
+    kept = plain.join(marked.hint("merge"), same, "left_anti").select("row")
     again = plain.join(marked.where("stays"), same, "left_semi")
     nth = F.row_number().over(Window.partitionBy("mark").orderBy(F.xxhash64(*[F.col(f"row.c{i}").cast("string") for i in range(len(docs.columns))])))
     once = again.withColumn("nth", nth).where("nth = 1").select("row")

@@ -30,6 +30,7 @@ from .common import documents_of, drop_marked, join_spread, staged
 SEED = 42
 CHUNK = 100_000  # shingles hashed at once
 SEGMENTS, SEGMENT_BITS = 8, 24  # of the wide fingerprint, which is three longs
+LEADERS = 4  # of a bucket
 APART = 44  # bits of 192 that may differ at a similarity of 0.8: 29 are expected, three deviations more leave out one pair of 700
 _WIDE = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93]], dtype=np.uint64)  # fixed values: odd numbers for mixing
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -180,25 +181,33 @@ def _entries(nodes: DataFrame, *others: str) -> DataFrame:
     """Each fingerprint under all its keys (per segment its value and the values one bit away), with ``others`` of its columns."""
     flips = F.array(F.lit(0), *[F.lit(1 << b) for b in range(SEGMENT_BITS)])
     keys = F.flatten(F.transform(F.array(*_segments()), lambda s: F.transform(flips, lambda f: s.bitwiseXOR(f))))
-    return nodes.select(*FP, *others, F.explode(keys).alias("key"))
+    return nodes.select(*FP, *others, F.explode(keys).alias("key")).repartition("key")  # here, so that nothing derived is shuffled
 
 
 def _renamed(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumnsRenamed({c: f"{prefix}{c}" for c in FP})
 
 
-def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``a``, ``b``) of fingerprints that share a key and differ in ``APART`` bits or fewer: those with their bucket's first one, and all others of which at most one is near that.
+def _with_leaders(nodes: DataFrame) -> DataFrame:
+    """(``a``, ``b``): fingerprints that differ in ``APART`` bits or fewer from one of ``LEADERS`` members of a bucket that they are in; one row per member and leader at most."""
+    leaders = [F.min_by(F.struct(*FP), F.xxhash64(F.lit(k), *FP)).over(Window.partitionBy("key")).alias(f"l{k}") for k in range(LEADERS)]
+    led = _entries(nodes).select(*FP, *leaders)
+    met = led.select(*FP, F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))).alias("l")).select(*FP, *[F.col(f"l.{c}").alias(f"l{c}") for c in FP])
+    return met.where((_distance("", "l") <= APART) & (F.struct(*FP) != F.struct(*[F.col(f"l{c}") for c in FP]))).select(F.least(_node(), _node("l")).alias("a"), F.greatest(_node(), _node("l")).alias("b")).distinct()
 
-    Pairs of which both are near their bucket's first are not listed, so that a bucket full of copies gives one pair
-    each; :func:`_similar` comes back to those that fail.
+
+def _still_apart(marked: DataFrame) -> DataFrame:
+    """(``a``, ``b``): all fingerprints of one bucket that differ in ``APART`` bits or fewer and are of different components (``root``, of ``size`` members; null: alone).
+
+    Members of the bucket's largest component are not compared with one another, so a bucket costs what is outside that
+    component times its size.
     """
-    first = F.min(F.struct(*FP)).over(Window.partitionBy("key"))
-    placed = _entries(nodes).withColumn("first", first).select("key", *FP, *[F.col(f"first.{c}").alias(f"f{c}") for c in FP]).withColumn("near", _distance("", "f") <= APART)
-    stars = placed.where(F.col("near") & (_node() != _node("f"))).select(_node("f").alias("a"), _node().alias("b"))
-    far = _renamed(placed.where(~F.col("near")).select("key", *FP), "o").withColumnRenamed("key", "okey")
-    both = placed.join(far, F.col("key") == F.col("okey")).where(F.col("near") | (F.struct(*FP) < F.struct(*[F.col(f"o{c}") for c in FP])))
-    return stars.distinct(), both.where(_distance("", "o") <= APART).select(_node().alias("a"), _node("o").alias("b")).distinct()
+    entries = _entries(marked, "size", "root").select("key", *FP, F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("root", _node()).alias("root"))
+    most = F.max(F.struct("size", "root")).over(Window.partitionBy("key"))
+    placed = entries.withColumn("inside", F.col("root") == most["root"]).drop("size")
+    other = _renamed(placed.where("NOT inside").drop("inside"), "o").withColumnsRenamed({"key": "okey", "root": "oroot"})
+    both = placed.join(other.hint("merge"), F.col("key") == F.col("okey")).where((F.col("root") != F.col("oroot")) & (F.col("inside") | (F.struct(*FP) < F.struct(*[F.col(f"o{c}") for c in FP]))))
+    return both.where(_distance("", "o") <= APART).select(F.least(_node(), _node("o")).alias("a"), F.greatest(_node(), _node("o")).alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -211,12 +220,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _similar(nodes: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
     """(``node``, ``root``): components of the different fingerprints (``s0``..``s2``, ``text_hash`` of one of their texts) over candidates of similarity 0.8 or more.
 
+    First every fingerprint is compared with some leaders of its buckets, which is linear and settles families of
+    copies; then all fingerprints of a bucket that are still in different components are compared, so no link is lost.
     Texts of one fingerprint are one node: sets of a similarity under 0.8 agree in all 192 bits with a probability below 1e-13.
     """
-    star, other = (staged(c, name) for c, name in zip(_candidates(nodes), ("star-pairs", "other-pairs"), strict=True))
-    ids = star.unionByName(other)
     named = nodes.withColumn("node", _node())
-    wanted = named.join(ids.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,19 +232,19 @@ def _similar(nodes: DataFrame, texts: DataFrame, words_per_shingle: int) -> Data
                 part = b.slice(at, 256)
                 yield pa.record_batch([part.column("node"), pa.array([shingles_of(x.as_py(), words_per_shingle).view(np.int64) for x in part.column("text")], pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    sets = staged(texts.join(wanted, "text_hash").select("node", "text").mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingle-sets")
-    found = staged(_verified(ids.distinct(), sets), "similar")
-    # a fingerprint that turned out not to be similar to the first one of a bucket meets the others that are near it
-    failed = star.join(found, ["a", "b"], "left_anti").select(F.col("b").alias("node")).distinct()
-    if failed.isEmpty():
-        return components(found)
-    roots = components(found)
-    marked = named.join(star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").join(roots, "node", "left").join(failed.withColumn("failed", F.lit(True)), "node", "left")
-    marked = staged(marked.select(*FP, F.coalesce("root", "node").alias("root"), F.coalesce("failed", F.lit(False)).alias("failed")), "near-first")
-    every = _entries(marked, "root", "failed")
-    mine = _renamed(every.where("failed"), "o").withColumnsRenamed({"key": "okey", "root": "oroot"}).drop("failed")
-    rest = every.join(mine, (F.col("key") == F.col("okey")) & (F.col("root") != F.col("oroot"))).where(_distance("", "o") <= APART).select(_node().alias("a"), _node("o").alias("b")).distinct()
-    return components(found.unionByName(_verified(rest, sets)))
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "text_hash")
+        return staged(texts.join(wanted.hint("merge"), "text_hash").select("node", "text").mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingle-sets")
+
+    led = staged(_with_leaders(nodes), "led-pairs")
+    found = staged(_verified(led, sets_of(led)), "similar")
+    roots = staged(components(found), "roots")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    marked = named.join(roots.join(sizes, "root"), "node", "left").select(*FP, "root", "size")
+    rest = staged(_still_apart(marked).join(led, ["a", "b"], "left_anti"), "apart-pairs")
+    if rest.isEmpty():
+        return roots
+    return components(found.unionByName(_verified(rest, sets_of(rest))))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
