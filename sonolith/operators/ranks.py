@@ -1,8 +1,9 @@
 """Rank statistics over long tables. Groups, features, folds and replicates are key columns: one plan serves all of them.
 
-Every operator takes ``by``, the key columns of one statistic. Ranks come from a window per key where keys are many;
-``average_rank(..., plan="range")`` ranks a few very large groups by distinct values dealt out by range, so that no
-task holds a group.
+Every operator takes ``by``, the key columns of one statistic. Rows are counted by value first (with partial sums), and
+ranks are worked out on the values: each key's values are cut at approximate quantiles into slices, a slice's ranks are
+its running count plus the counts of the slices before it. So no task holds a key's rows or all its values, however few
+keys there are. ``plan="window"`` ranks rows by a window per key instead, for statistics of very many small keys.
 """
 
 from __future__ import annotations
@@ -13,47 +14,74 @@ from pyspark.sql import functions as F
 from ..functions.tails import p_chi2, p_normal, p_t
 
 
-def average_rank(df: DataFrame, value: str, by: list[str], out: str = "rank", plan: str = "window") -> DataFrame:
+def _with(df: DataFrame, one_per_key: DataFrame, by: list[str]) -> DataFrame:
+    """A join by the keys; without keys the other side is a single row."""
+    return df.join(one_per_key, by) if by else df.crossJoin(F.broadcast(one_per_key))
+
+
+def ranked_values(values: DataFrame, value: str, by: list[str], n: str = "n", out: str = "rank") -> DataFrame:
+    """``values`` (each value once per key, ``n`` times) with the average rank that its rows share, and ``out``_total, the rows of the key."""
+    slices = max(2, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(k / slices) for k in range(1, slices)]), F.lit(50 * slices))
+    edges = values.groupBy(*by).agg(cuts.alias("__edges"))
+    dealt = _with(values, edges, by).withColumn("__slice", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
+    totals = dealt.groupBy(*by, "__slice").agg(F.sum(n).alias("__sum"))
+    key = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__sum").over(key.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*by, "__slice", before.alias("__before"), F.sum("__sum").over(key).alias(f"{out}_total"))
+    inside = Window.partitionBy(*by, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("__before") + F.coalesce(F.sum(n).over(inside), F.lit(0)) + (F.col(n) + 1) / 2.0
+    return dealt.join(totals, [*by, "__slice"]).withColumn(out, rank).drop("__slice", "__before")
+
+
+def average_rank(df: DataFrame, value: str, by: list[str], out: str = "rank", plan: str = "values") -> DataFrame:
     """``df`` with the average rank of ``value`` among the rows of its key (ties share their mean rank). Rows without a value get none."""
     if plan == "window":
         over = Window.partitionBy(*by, F.col(value).isNull())
         low = F.rank().over(over.orderBy(value)).cast("double")
         ties = F.count("*").over(Window.partitionBy(*by, value)).cast("double")
         return df.withColumn(out, F.when(F.col(value).isNotNull(), low + (ties - 1.0) / 2.0))
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = distinct.repartitionByRange(parts, *by, value).withColumn("__part", F.spark_partition_id()).checkpoint()
-    totals = dealt.groupBy(*by, "__part").agg(F.sum("__n").alias("__total"))
-    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.withColumn("__before", F.coalesce(F.sum("__total").over(earlier), F.lit(0))).drop("__total")
-    inside = Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = dealt.join(before, [*by, "__part"]).withColumn(out, F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + (F.col("__n") + 1) / 2.0)
-    return df.join(ranked.select(*by, value, out), [*by, value], "left")
+    values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    return df.join(ranked_values(values, value, by, "__n", out).select(*by, value, out), [*by, value], "left")
 
 
-def _moments(x: str, y: str) -> Column:
-    """Pearson correlation; null (not an error) where a side is constant."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+def _counted_ranks(df: DataFrame, columns: list[str], by: list[str], plan: str) -> DataFrame:
+    """Per key and combination of values: ``__n`` and for each column c ``__c``, its rank less the mean rank of the key. Values are not null."""
+    if plan == "window":
+        for c in columns:
+            df = average_rank(df, c, by, f"__r{c}", plan)
+        mean = (F.count("*").over(Window.partitionBy(*by)) + 1) / 2.0
+        return df.select(*by, F.lit(1).alias("__n"), *[(F.col(f"__r{c}") - mean).alias(f"__{c}") for c in columns])
+    rows = df.groupBy(*by, *columns).agg(F.count("*").alias("__n"))
+    for c in columns:
+        values = rows.groupBy(*by, c).agg(F.sum("__n").alias("__k"))
+        ranks = ranked_values(values, c, by, "__k", "__r").select(*by, c, (F.col("__r") - (F.col("__r_total") + 1) / 2.0).alias(f"__{c}"))
+        rows = rows.join(ranks, [*by, c])
+    return rows
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str], min_n: int = 5, with_p: bool = False, plan: str = "window") -> DataFrame:
+def _rho(x: str, y: str) -> Column:
+    """Correlation of ranks about their mean; null (not an error) where a side is constant."""
+    n, a, b = F.col("__n"), F.col(f"__{x}"), F.col(f"__{y}")
+    return F.try_divide(F.sum(n * a * b), F.sqrt(F.sum(n * a * a)) * F.sqrt(F.sum(n * b * b)))
+
+
+def spearman(df: DataFrame, x: str, y: str, by: list[str], min_n: int = 5, with_p: bool = False, plan: str = "values") -> DataFrame:
     """``by``, ``n``, ``rho`` (null where a side is constant), with ``p`` on request: t with n - 2 degrees of freedom. Keys with under ``min_n`` complete rows are left out."""
     complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
-    ranked = average_rank(average_rank(complete.select(*by, x, y), x, by, "__rx", plan), y, by, "__ry", plan)
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), _moments("__rx", "__ry").alias("rho")).where(F.col("n") >= min_n)
+    ranked = _counted_ranks(complete.select(*by, x, y), [x, y], by, plan)
+    out = ranked.groupBy(*by).agg(F.sum("__n").cast("long").alias("n"), _rho(x, y).alias("rho")).where(F.col("n") >= min_n)
     if with_p:
         t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, F.greatest(F.lit(1e-300), 1 - F.col("rho") * F.col("rho"))))
         out = out.withColumn("p", p_t(t, (F.col("n") - 2).cast("double")))
     return out
 
 
-def partial_spearman(df: DataFrame, x: str, y: str, z: str, by: list[str], min_n: int = 10, with_p: bool = False) -> DataFrame:
+def partial_spearman(df: DataFrame, x: str, y: str, z: str, by: list[str], min_n: int = 10, with_p: bool = False, plan: str = "values") -> DataFrame:
     """Correlation of ranks given a nuisance ``z``: ``n, raw, partial, confound_pct`` (0 where the raw one is within 0.01 of 0)."""
     complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(*by, x, y, z)
-    for c in (x, y, z):
-        complete = average_rank(complete, c, by, f"__r{c}")
-    r = lambda a, b: _moments(f"__r{a}", f"__r{b}")
-    out = complete.groupBy(*by).agg(F.count("*").alias("n"), r(x, y).alias("raw"), r(x, z).alias("__xz"), r(y, z).alias("__yz")).where(F.col("n") >= min_n)
+    ranked = _counted_ranks(complete, [x, y, z], by, plan)
+    out = ranked.groupBy(*by).agg(F.sum("__n").cast("long").alias("n"), _rho(x, y).alias("raw"), _rho(x, z).alias("__xz"), _rho(y, z).alias("__yz")).where(F.col("n") >= min_n)
     root = F.sqrt((1 - F.col("__xz") * F.col("__xz")) * (1 - F.col("__yz") * F.col("__yz")))
     out = out.withColumn("partial", F.when(root > 1e-8, (F.col("raw") - F.col("__xz") * F.col("__yz")) / root).otherwise(F.col("raw")))
     out = out.withColumn("confound_pct", F.when(F.abs("raw") > 0.01, (1 - F.abs("partial") / F.abs("raw")) * 100).when(F.col("raw").isNotNull(), 0.0)).drop("__xz", "__yz")
@@ -63,7 +91,7 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, by: list[str], min_n
     return out
 
 
-def _in_pairs(df: DataFrame, group: str, pairs: DataFrame | None, keys: list[str]) -> DataFrame:
+def _in_pairs(df: DataFrame, group: str, pairs: DataFrame | None) -> DataFrame:
     """Each row once per pair of groups that it belongs to: ``a``, ``b`` and ``in_a``. Pairs: all, or the given (a, b)."""
     if pairs is None:
         groups = df.select(group).where(F.col(group).isNotNull()).distinct()
@@ -72,20 +100,25 @@ def _in_pairs(df: DataFrame, group: str, pairs: DataFrame | None, keys: list[str
     return df.join(either, group)
 
 
+def _ties(n: str) -> Column:
+    t = F.col(n).cast("double")
+    return F.sum(t * t * t - t)
+
+
 def mann_whitney(df: DataFrame, value: str, group: str, by: list[str], pairs: DataFrame | None = None, min_n: int = 5, with_p: bool = False) -> DataFrame:
     """Two-sample rank test for pairs of groups: ``a, b, n_a, n_b, u`` (of a), ``delta`` (Cliff's) = 2u / (n_a n_b) - 1, ``rank_biserial`` = -delta and ``z``.
 
     ``z`` is the normal form with tie and continuity correction, null where all values are tied. Pairs in which a group
-    has under ``min_n`` values are left out.
+    has under ``min_n`` values are left out. Values are counted per group before they are dealt to the pairs.
     """
     keys = [*by, "a", "b"]
-    rows = _in_pairs(df.where(F.col(value).isNotNull()).select(*by, group, value), group, pairs, by)
-    ranked = average_rank(rows, value, keys, "__r")
-    ties = rows.groupBy(*keys, value).agg(F.count("*").cast("double").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("__ties"))
-    out = ranked.groupBy(*keys).agg(F.sum("in_a").alias("n_a"), F.sum(1 - F.col("in_a")).alias("n_b"), F.sum(F.when(F.col("in_a") == 1, F.col("__r"))).alias("__sum")).where((F.col("n_a") >= min_n) & (F.col("n_b") >= min_n))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("__c"))
+    rows = _in_pairs(counted, group, pairs).groupBy(*keys, value).agg(F.sum("__c").alias("__n"), F.sum(F.col("__c") * F.col("in_a")).alias("__a"))
+    ranked = ranked_values(rows, value, keys, "__n", "__r")
+    out = ranked.groupBy(*keys).agg(F.sum("__a").alias("n_a"), F.sum(F.col("__n") - F.col("__a")).alias("n_b"), F.sum(F.col("__a") * F.col("__r")).alias("__sum"), _ties("__n").alias("__ties")).where((F.col("n_a") >= min_n) & (F.col("n_b") >= min_n))
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = na + nb
-    out = out.join(ties, keys).withColumn("u", F.col("__sum") - na * (na + 1) / 2).withColumn("delta", 2 * F.col("u") / (na * nb) - 1)
+    out = out.withColumn("u", F.col("__sum") - na * (na + 1) / 2).withColumn("delta", 2 * F.col("u") / (na * nb) - 1)
     spread = F.sqrt(na * nb / 12 * ((n + 1) - F.col("__ties") / (n * (n - 1))))
     away = F.abs(F.col("u") - na * nb / 2)
     z = F.signum(F.col("u") - na * nb / 2) * F.try_divide(F.greatest(away - 0.5, F.lit(0.0)), spread)
@@ -95,13 +128,14 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: list[str], pairs: Da
 
 def kruskal(df: DataFrame, value: str, group: str, by: list[str], min_n: int = 5, with_p: bool = False) -> DataFrame:
     """Kruskal-Wallis over the groups of at least ``min_n`` values: ``n, k, h, eps2`` (two groups at least; null where all values are tied)."""
-    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*by, group, value)
-    large = rows.groupBy(*by, group).agg(F.count("*").alias("__size")).where(F.col("__size") >= min_n).drop("__size")
-    rows = rows.join(large, [*by, group], "left_semi")
-    ties = rows.groupBy(*by, value).agg(F.count("*").cast("double").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("__ties"))
-    sums = average_rank(rows, value, by, "__r").groupBy(*by, group).agg(F.sum("__r").alias("s"), F.count("*").cast("double").alias("m"))
+    counted = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("__c"))
+    large = counted.groupBy(*by, group).agg(F.sum("__c").alias("__size")).where(F.col("__size") >= min_n).drop("__size")
+    counted = counted.join(large, [*by, group], "left_semi")
+    ranked = ranked_values(counted.groupBy(*by, value).agg(F.sum("__c").alias("__n")), value, by, "__n", "__r")
+    ties = ranked.groupBy(*by).agg(_ties("__n").alias("__ties"))
+    sums = counted.join(ranked.select(*by, value, "__r"), [*by, value]).groupBy(*by, group).agg(F.sum(F.col("__c") * F.col("__r")).alias("s"), F.sum("__c").cast("double").alias("m"))
     out = sums.groupBy(*by).agg(F.sum("m").alias("n"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q")).where("k >= 2")
-    out = out.join(ties, by) if by else out.crossJoin(ties)
+    out = _with(out, ties, by)
     n = F.col("n")
     h = F.try_divide(12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - F.col("__ties") / (n * n * n - n))
     out = out.withColumn("h", h).withColumn("eps2", F.greatest((F.col("h") - F.col("k") + 1) / (n - F.col("k")), F.lit(0.0))).drop("q", "__ties").withColumn("n", n.cast("long"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw
@@ -40,7 +40,7 @@ def bootstrap_spearman(df: DataFrame, x: str, y: str, by: list[str], ident: str,
     """Percentile interval of rho per key; with ``strata`` each stratum is resampled within itself."""
     complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     sample = resampled(complete.select(*by, *strata, ident, x, y), [*by, *strata], ident, replicates, seed)
-    return interval(spearman(sample, x, y, [*by, "rep"], min_n), "rho", by)
+    return interval(spearman(sample, x, y, [*by, "rep"], min_n, plan="window"), "rho", by)
 
 
 def bootstrap_similarity(df: DataFrame, over: str, within: list[str], features: list[str], ident: str, replicates: int, seed: int = 0) -> DataFrame:
@@ -155,6 +155,3 @@ def lodo_both(df: DataFrame, key: str, x: str, y: str, group: str, by: list[str]
     eps = leave_one_out(df, key, lambda d, k: kruskal(d, x, group, k, min_n).select(*k, "eps2"), by)
     return rho.join(eps, [*by, "held_out"]).withColumn("holds", (F.col("rho") < -0.3) & (F.col("eps2") > 0.1))
 
-
-def draw_of(a: Column, b: Column, seed: int = 0) -> Column:
-    return draw(a, b, seed)

@@ -31,10 +31,10 @@ def o50_corpus(spark, sf):
     return rounded(ranks.spearman(_levels(spark, sf), "value", "sevd", ["feature", "dataset"], 10), "rho")
 
 
-@query("o50_spearman_range_plan", f"WITH {L} {spearman_sql('l', 'value', 'sev', 'feature', 5)}")
-def o50_range(spark, sf):
-    """The same statistic with ranks by distinct values dealt out by range."""
-    return rounded(ranks.spearman(_levels(spark, sf), "value", "sevd", ["feature"], plan="range"), "rho")
+@query("o50_spearman_window_plan", f"WITH {L} {spearman_sql('l', 'value', 'sev', 'feature', 5)}")
+def o50_window(spark, sf):
+    """The same statistic with ranks of rows by a window per key."""
+    return rounded(ranks.spearman(_levels(spark, sf), "value", "sevd", ["feature"], plan="window"), "rho")
 
 
 _PARTIAL = f"""p0 AS (SELECT * FROM l WHERE value IS NOT NULL), p1 AS {avg_rank_sql('p0', 'value', 'feature')}, p2 AS (SELECT * EXCLUDE (r), r AS rx FROM p1), p3 AS {avg_rank_sql('p2', 'sev', 'feature')}, p4 AS (SELECT * EXCLUDE (r), r AS ry FROM p3), p5 AS {avg_rank_sql('p4', 'n_phones', 'feature')},
@@ -310,10 +310,10 @@ bs AS (SELECT d.rep, n.* FROM bd d JOIN bn n ON {' AND '.join(f'd.{c.strip()} =
 _CI = "count(rho) AS n_reps, round(quantile_cont(rho, 0.025), 6) AS low, round(quantile_cont(rho, 0.975), 6) AS high, round(avg(rho), 6) AS mean"
 
 
-@query("o70_bootstrap_ci", f"WITH {E}, {_boot_sql('language', 50, 11)}, r AS ({spearman_sql('bs', 'f2', 'sev', 'language, rep', 5, 'rho')}) SELECT language, {_CI} FROM r GROUP BY 1")
+@query("o70_bootstrap_ci", f"WITH {E}, {_boot_sql('language', 200, 11)}, r AS ({spearman_sql('bs', 'f2', 'sev', 'language, rep', 5, 'rho')}) SELECT language, {_CI} FROM r GROUP BY 1")
 def o70(spark, sf):
     e = entity(spark, sf).select("language", "speaker_id", "f2", F.col("sev").cast("double").alias("sev"))
-    return rounded(resampling.bootstrap_spearman(e, "f2", "sev", ["language"], "speaker_id", 50, seed=11), "low", "high", "mean")
+    return rounded(resampling.bootstrap_spearman(e, "f2", "sev", ["language"], "speaker_id", 200, seed=11), "low", "high", "mean")
 
 
 _QUART = "q AS (SELECT quantile_cont(n_phones, [0.25, 0.5, 0.75]) AS k FROM e), eq AS (SELECT e.*, CASE WHEN n_phones <= k[1] THEN 1 WHEN n_phones <= k[2] THEN 2 WHEN n_phones <= k[3] THEN 3 ELSE 4 END AS quartile FROM e, q)"
@@ -343,13 +343,13 @@ def o73_mean(spark, sf):
 
 
 @query("o74_permutation_test", f"""WITH {E}, ob AS (SELECT grp, avg(s) AS observed FROM (SELECT a.grp, {cos_sql('a.p', 'b.p')} AS s FROM {profiles_sql('e', 'grp, language')} a JOIN {profiles_sql('e', 'grp, language')} b ON a.grp = b.grp AND a.language < b.language) GROUP BY 1),
-r0 AS (SELECT e.*, rep FROM e, range(1, 31) x(rep)), ra AS (SELECT * EXCLUDE (language), row_number() OVER (PARTITION BY grp, rep ORDER BY speaker_id) AS i FROM r0),
+r0 AS (SELECT e.*, rep FROM e, range(1, 201) x(rep)), ra AS (SELECT * EXCLUDE (language), row_number() OVER (PARTITION BY grp, rep ORDER BY speaker_id) AS i FROM r0),
 rh AS (SELECT grp, rep, language, speaker_id, {f.draw_sql('rep', 'speaker_id', 23)} AS h FROM r0), rb AS (SELECT grp, rep, language, row_number() OVER (PARTITION BY grp, rep ORDER BY h, speaker_id) AS i FROM rh),
 rp AS (SELECT ra.*, rb.language FROM ra JOIN rb USING (grp, rep, i)), p AS {profiles_sql('rp', 'grp, rep, language')},
 nu AS (SELECT a.grp, a.rep, avg({cos_sql('a.p', 'b.p')}) AS m FROM p a JOIN p b ON a.grp = b.grp AND a.rep = b.rep AND a.language < b.language GROUP BY ALL)
 SELECT grp, round(observed, 6) AS observed, round(avg(CASE WHEN m >= observed THEN 1.0 ELSE 0.0 END), 6) AS p, round(quantile_cont(m, 0.025), 6) AS null_low, round(quantile_cont(m, 0.975), 6) AS null_high FROM nu JOIN ob USING (grp) GROUP BY grp, observed""")
 def o74(spark, sf):
-    return rounded(resampling.permutation_test(entity(spark, sf), ["grp"], "language", FEATURES, "speaker_id", 30, 23), "observed", "p", "null_low", "null_high")
+    return rounded(resampling.permutation_test(entity(spark, sf), ["grp"], "language", FEATURES, "speaker_id", 200, 23), "observed", "p", "null_low", "null_high")
 
 
 @query("o78_leave_one_dataset_out", f"WITH {L}, h AS (SELECT l.*, held_out FROM l JOIN (SELECT DISTINCT dataset AS held_out FROM e) ON dataset <> held_out), r AS ({spearman_sql('h', 'value', 'sev', 'feature, held_out', 5, 'rho')}), a AS ({spearman_sql('l', 'value', 'sev', 'feature', 5, 'rho')}) SELECT r.feature, round(a.rho, 6) AS full_value, count(*) AS n_folds, round(min(r.rho), 6) AS low, round(max(r.rho), 6) AS high, bool_or(abs(r.rho - a.rho) > 0.05) AS moved, round(max(r.rho) - min(r.rho), 6) AS width, CASE WHEN max(r.rho) - min(r.rho) < 0.1 THEN 'YES' WHEN max(r.rho) - min(r.rho) < 0.15 THEN 'WEAK' ELSE 'NO' END AS stable FROM r JOIN a ON r.feature = a.feature GROUP BY r.feature, a.rho")
@@ -405,8 +405,8 @@ def o82_overlap(spark, sf):
 
 @query("o83_knn_by_fold")
 def o83(spark, sf):
-    """Nearest neighbours among suppliers' nations: every entity against those of other corpora."""
-    e = entity(spark, sf).where("speaker_id % 3 >= 0")
+    """Every entity's group by vote of its nearest entities of other languages."""
+    e = entity(spark, sf)
     return synthesis.class_report(synthesis.nearest_neighbours(e, FEATURES, "grp", "language", "speaker_id"), "truth", "predicted")
 
 

@@ -26,7 +26,7 @@ def test_rank_plans_agree(spark):
     rng = np.random.default_rng(0)
     rows = frame(spark, [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 500), rng.integers(0, 40, 500), strict=True)], "k int, v double")
     a = sorted(map(tuple, ranks.average_rank(rows, "v", ["k"]).select("k", "v", "rank").collect()))
-    assert a == sorted(map(tuple, ranks.average_rank(rows, "v", ["k"], plan="range").select("k", "v", "rank").collect()))
+    assert a == sorted(map(tuple, ranks.average_rank(rows, "v", ["k"], plan="window").select("k", "v", "rank").collect()))
 
 
 def test_all_tied_groups(spark):
