@@ -15,13 +15,14 @@ def select_utterances(df: DataFrame, rules: DataFrame, severity: str = "severity
     return joined.where(allowed("severities", severity) & allowed("contents", content) & (F.length(F.trim(F.col(text))) >= min_chars)).drop("severities", "contents")
 
 
-def label_by_pattern(df: DataFrame, rules: list[tuple[str, str, str]], name: str, text: str) -> DataFrame:
-    """``df`` with ``label`` of the first rule (mode, pattern, label) that fits; modes: contains, startswith (of the name), text (equal, case ignored). Rows without one drop out."""
+def label_by_pattern(df: DataFrame, rules: list[tuple[str, str, str]], name: str, text: str, content: str | None = None, only: str | None = None) -> DataFrame:
+    """Of the rows whose ``content`` is ``only`` in any case (all, without these two), ``df`` with ``label`` of the first rule (mode, pattern, label) that fits; modes: contains, startswith (of the name), text (equal, case ignored). Rows without one drop out."""
     label = F.when(F.lit(False), "")
     for mode, pattern, value in rules:
         fits = F.lower(F.trim(F.col(text))) == pattern.lower() if mode == "text" else F.lower(F.col(name)).startswith(pattern.lower()) if mode == "startswith" else F.lower(F.col(name)).contains(pattern.lower())
         label = label.when(fits, value)
-    return df.withColumn("label", label).where("label IS NOT NULL")
+    chosen = df.where(F.lower(F.col(content)) == only.lower()) if content and only else df
+    return chosen.withColumn("label", label).where("label IS NOT NULL")
 
 
 def dedupe_stem(df: DataFrame, entity: list[str], stem: str, order: list[str]) -> DataFrame:

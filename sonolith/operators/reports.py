@@ -89,6 +89,29 @@ def chart_means(long: DataFrame, keys: list[str], min_n: int) -> DataFrame:
     return long.where(F.col("value").isNotNull()).groupBy(*keys, "feature").agg(F.avg("value").alias("mean"), F.count("*").alias("n")).where(F.col("n") >= min_n)
 
 
+def box_feed(long: DataFrame, keys: list[str], min_n: int = 3) -> DataFrame:
+    """Quartiles, range and number per key and feature where there are ``min_n`` values: data for box plots."""
+    rows = long.where(F.col("value").isNotNull()).groupBy(*keys, "feature")
+    quartiles = [F.percentile("value", F.lit(q)).alias(c) for q, c in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
+    return rows.agg(F.count("*").alias("n"), *quartiles, F.min("value").alias("low"), F.max("value").alias("high")).where(F.col("n") >= min_n)
+
+
+def slope_feed(long: DataFrame, level: str, groups: list[str], first: int, last: int) -> DataFrame:
+    """Means at the first and the last level and their difference per key and feature: data for slope charts."""
+    at = lambda v: F.avg(F.when(F.col(level) == v, F.col("value")))
+    return long.groupBy(*groups, "feature").agg(at(first).alias("start"), at(last).alias("end")).withColumn("change", F.col("end") - F.col("start"))
+
+
+def bubble_feed(df: DataFrame, key: str, size: str, value: str, min_n: int = 2) -> DataFrame:
+    """Median of ``size``, mean of ``value`` and number of rows per key: data for bubble charts."""
+    return df.groupBy(key).agg(F.percentile(size, F.lit(0.5)).alias("x"), F.avg(value).alias("y"), F.count("*").alias("n")).where(F.col("n") >= min_n)
+
+
+def grid_feed(long: DataFrame, row: str, level: str, levels: list) -> DataFrame:
+    """Means of a row key by level, side by side (null where there is no value): data for a grid."""
+    return long.groupBy(row, "feature").agg(*[F.avg(F.when(F.col(level) == v, F.col("value"))).alias(f"m{v}") for v in levels])
+
+
 def convergence(long: DataFrame, corpus: str, by: list[str]) -> DataFrame:
     """How far the corpora's means lie apart: spread max - min, and that in per cent of the mean of means."""
     per = long.where(F.col("value").isNotNull()).groupBy(*by, corpus).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
@@ -159,7 +182,7 @@ def compare_subsets(stats: DataFrame, value: str, by: list[str], base: str) -> D
     return stats.where(F.col("scenario") != base).join(ref, by).withColumn("change", F.col(value) - F.col("base_value"))
 
 
-def test_family(parts: list[DataFrame]) -> DataFrame:
+def union_family(parts: list[DataFrame]) -> DataFrame:
     """Several tests as one family, for one correction over all of them."""
     out = parts[0]
     for p in parts[1:]:

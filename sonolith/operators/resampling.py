@@ -50,7 +50,7 @@ def bootstrap_similarity(df: DataFrame, over: str, within: list[str], features:
     return interval(sims, "similarity", [*within, "l1", "l2"])
 
 
-def similarity_sweep(df: DataFrame, over: str, within: list[str], features: list[str], thresholds: list[int], base: DataFrame | None = None) -> DataFrame:
+def similarity_sweep(df: DataFrame, over: str, within: list[str], features: list[str], thresholds: list[int]) -> DataFrame:
     """Mean pair similarity by the least number of entities that a cell must have."""
     profiles = mean_profile(df, [*within, over], features)
     rows = profiles.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where(F.col("n") >= F.col("threshold"))
@@ -81,17 +81,34 @@ def permutation_test(df: DataFrame, within: list[str], label: str, features: lis
     return out.agg(F.avg((F.col("mean_sim") >= F.col("observed")).cast("double")).alias("p"), F.percentile("mean_sim", F.lit(0.025)).alias("null_low"), F.percentile("mean_sim", F.lit(0.975)).alias("null_high"))
 
 
-def fixed_token(projected: DataFrame, entity: list[str], ident: str, n: int, repeats: int, seed: int = 0, z: str = "z") -> DataFrame:
-    """Mean over repeats of d-prime on ``n`` tokens per class drawn without replacement (classes with fewer drop out). Tokens are numbers by now."""
+def fixed_token_repeats(projected: DataFrame, entity: list[str], ident: str, n: int, repeats: int, seed: int = 0, z: str = "z") -> DataFrame:
+    """d-prime ``d`` per entity and ``rep`` on ``n`` tokens per class drawn without replacement (classes with fewer drop out). Tokens are numbers by now."""
     rows = projected.select(*entity, "positive", ident, z).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     nth = F.row_number().over(Window.partitionBy(*entity, "positive", "rep").orderBy(draw(F.col("rep"), F.col(ident), seed), ident))
     sample = rows.withColumn("__i", nth).where(F.col("__i") <= n)
     sums = sample.groupBy(*entity, "rep", "positive").agg(F.avg(z).alias("m"), F.var_pop(z).alias("v"), F.count("*").alias("c")).where(F.col("c") == n)
     both = sums.groupBy(*entity, "rep").agg(F.max(F.when(F.col("positive"), F.col("m"))).alias("p"), F.max(F.when(~F.col("positive"), F.col("m"))).alias("q"), F.avg("v").alias("v"), F.count("*").alias("k")).where("k = 2")
-    each = both.withColumn("d", F.when(F.sqrt("v") <= 1e-8, 0.0).otherwise(F.try_divide(F.abs(F.col("p") - F.col("q")), F.sqrt("v"))))
+    return both.withColumn("d", F.when(F.sqrt("v") <= 1e-8, 0.0).otherwise(F.try_divide(F.abs(F.col("p") - F.col("q")), F.sqrt("v")))).select(*entity, "rep", "d")
+
+
+def fixed_token(projected: DataFrame, entity: list[str], ident: str, n: int, repeats: int, seed: int = 0, z: str = "z") -> DataFrame:
+    """Mean over repeats of d-prime on ``n`` tokens per class."""
+    each = fixed_token_repeats(projected, entity, ident, n, repeats, seed, z)
     return each.groupBy(*entity).agg(F.avg("d").alias("dprime"), F.stddev_pop("d").alias("dprime_sd"), F.count("*").alias("n_reps"))
 
 
+def fixed_token_correlation(repeated: DataFrame, full: DataFrame, labels: DataFrame, entity: list[str], level: str, by: list[str] = (), min_n: int = 10) -> DataFrame:
+    """Correlation of d-prime and level over the repeats: ``mean_rho, sd, low, high, n_reps``, and beside it ``full_rho`` of all tokens and their ``difference``.
+
+    ``repeated``: entity, rep, d; ``full``: entity, dprime; ``labels``: entity, level. Repeats with under ``min_n`` entities do not count.
+    """
+    known = labels.where(F.col(level).isNotNull()).select(*entity, F.col(level).cast("double").alias("__level"))
+    rho = spearman(repeated.join(known, entity), "d", "__level", [*by, "rep"], min_n, plan="window").where("rho IS NOT NULL")
+    out = rho.groupBy(*by).agg(F.avg("rho").alias("mean_rho"), F.stddev_pop("rho").alias("sd"), F.percentile("rho", F.lit(0.025)).alias("low"), F.percentile("rho", F.lit(0.975)).alias("high"), F.count("*").alias("n_reps"))
+    whole = spearman(full.join(known, entity), "dprime", "__level", list(by), min_n).select(*by, F.col("rho").alias("full_rho"))
+    return (out.join(whole, list(by), "left") if by else out.join(whole, F.lit(True), "left")).withColumn("difference", F.col("mean_rho") - F.col("full_rho"))
+
+
 def _own_axis(group: pd.DataFrame, budgets: list[int], keys: list[str]) -> pd.DataFrame:
     """d-prime of one sample on its own axis, for nested budgets: with w = +-1/N on the sample, projections are K w / sqrt(w' K w)."""
     group = group.sort_values("nth")
@@ -135,14 +152,35 @@ def sweep_composite(sweep: DataFrame, entity: list[str], min_features: int = 3)
     return sweep.groupBy(*entity, "budget").agg(F.avg("dprime").alias("composite"), F.count("*").alias("n_features")).where(F.col("n_features") >= min_features)
 
 
+def budget_report(composites: DataFrame, labels: DataFrame, entity: list[str], level: str, group: str, min_n: int = 20, min_group: int = 5) -> DataFrame:
+    """Per budget: ``n`` and ``rho`` of composite and level, and ``h`` and ``eps2`` of the groups. Budgets with under ``min_n`` entities are left out."""
+    rows = composites.join(labels.select(*entity, F.col(level).cast("double").alias("__level"), group), entity)
+    groups = kruskal(rows, "composite", group, ["budget"], min_group).select("budget", "h", "eps2")
+    return spearman(rows, "composite", "__level", ["budget"], min_n).join(groups, "budget", "left")
+
+
+def budget_level_means(composites: DataFrame, labels: DataFrame, entity: list[str], level: str) -> DataFrame:
+    """Mean composite and number of entities per budget and level."""
+    return composites.join(labels.select(*entity, level), entity).groupBy("budget", level).agg(F.avg("composite").alias("mean"), F.count("*").alias("n"))
+
+
+def control_sweep(df: DataFrame, over: str, within: list[str], features: list[str], is_control, thresholds: list[int], min_n: int = 3) -> DataFrame:
+    """Mean pair similarity by the least number of controls that a value of ``over`` must have; cells need ``min_n`` entities."""
+    controls = df.where(is_control).groupBy(over).agg(F.count("*").alias("__c"))
+    rows = mean_profile(df, [*within, over], features).where(F.col("n") >= min_n).join(controls, over)
+    rows = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where(F.col("__c") >= F.col("threshold"))
+    return similarity_summary(profile_similarity(rows, over, ["threshold", *within]), ["threshold", *within])
+
+
 def leave_one_out(df: DataFrame, key: str, stat, by: list[str]) -> DataFrame:
-    """``stat(df, keys)`` without each value of ``key`` in turn: ``held_out`` is one more key. The join is with the few values of the key."""
-    folds = df.select(F.col(key).alias("held_out")).where(F.col(key).isNotNull()).distinct()
-    return stat(df.join(F.broadcast(folds) if folds.count() <= 10_000 else folds, F.col(key) != F.col("held_out")), [*by, "held_out"])
+    """``stat(df, keys)`` without each value of ``key`` in turn: ``held_out`` is one more key. ``key`` names data sets, whose list is one row."""
+    folds = df.agg(F.collect_set(key).alias("__folds"))
+    rows = df.where(F.col(key).isNotNull()).crossJoin(F.broadcast(folds))
+    return stat(rows.withColumn("held_out", F.explode(F.filter("__folds", lambda f: f != F.col(key)))).drop("__folds"), [*by, "held_out"])
 
 
 def stability(folds: DataFrame, full: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """min, max and range over folds; range under 0.10 YES, under 0.15 WEAK, else NO; whether any fold differs from the full value by over 0.05."""
+    """min, max and range over folds; fixed values: range under 0.10 YES, under 0.15 WEAK, else NO; whether any fold differs from the full value by over 0.05."""
     ref = full.select(*by, F.col(value).alias("full_value"))
     out = folds.join(ref, by).groupBy(*by, "full_value").agg(F.count("*").alias("n_folds"), F.min(value).alias("low"), F.max(value).alias("high"), F.bool_or(F.abs(F.col(value) - F.col("full_value")) > 0.05).alias("moved"))
     width = F.col("high") - F.col("low")
@@ -150,7 +188,7 @@ def stability(folds: DataFrame, full: DataFrame, value: str, by: list[str]) -> D
 
 
 def lodo_both(df: DataFrame, key: str, x: str, y: str, group: str, by: list[str], min_n: int = 5) -> DataFrame:
-    """rho and eps2 without each dataset, with the flag that both stay beyond -0.3 and 0.1."""
+    """rho and eps2 without each dataset, with the flag that both stay beyond their fixed limits, -0.3 and 0.1."""
     rho = leave_one_out(df, key, lambda d, k: spearman(d, x, y, k, min_n).select(*k, "rho"), by)
     eps = leave_one_out(df, key, lambda d, k: kruskal(d, x, group, k, min_n).select(*k, "eps2"), by)
     return rho.join(eps, [*by, "held_out"]).withColumn("holds", (F.col("rho") < -0.3) & (F.col("eps2") > 0.1))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import distance
 from ..functions.tails import p_normal, t_quantile
+from ..sources.shared import shared_folder
 from .ranks import mann_whitney, spearman
 
 
@@ -71,32 +75,69 @@ def overlap(long: DataFrame, level: str, by: list[str], min_n: int = 5) -> DataF
     return mann_whitney(long, "value", level, by, min_n=min_n)
 
 
+BLOCK_ROWS = 4096
+
+
+def folds_or_parts(df: DataFrame, fold: str, ident: str, out: str = "fold", least: int = 3, parts: int = 5) -> DataFrame:
+    """``out``: the row's ``fold`` as text where there are ``least`` different ones; otherwise one of ``parts`` by a hash of its id."""
+    n = df.agg(F.count_distinct(fold).alias("__folds"))
+    by_hash = F.concat(F.lit("part "), F.pmod(F.xxhash64(ident), F.lit(parts)))
+    return df.crossJoin(F.broadcast(n)).withColumn(out, F.when(F.col("__folds") >= least, F.col(fold).cast("string")).otherwise(by_hash)).drop("__folds")
+
+
 def nearest_neighbours(df: DataFrame, features: list[str], label: str, fold: str, ident: str, k: int = 5) -> DataFrame:
-    """Each row's label by vote of its ``k`` nearest rows of other folds (ties: the smaller label); standardised per fold on the others.
+    """Each row's label by vote of its ``k`` nearest rows of other folds (ties: the smaller distance, then id; the smaller label): ``id, truth, held, predicted``.
 
-    A test row keeps only its k best while partial results are merged, so the join's output is never sorted as a whole.
+    Features are scaled by their deviation over the other folds. Every row is compared with every other fold's, in
+    blocks of about ``BLOCK_ROWS`` rows: a pair of blocks gives the ``k`` nearest of each row, so a row meets ``k``
+    candidates per block and not all rows. Rows with a missing feature drop out.
     """
     vec = F.array(*[F.col(f).cast("double") for f in features])
-    rows = df.where(" AND ".join(f"{f} IS NOT NULL" for f in features)).select(ident, label, fold, vec.alias("x"))
-    folds = rows.select(F.col(fold).alias("held")).distinct()
-    stats = rows.join(folds, F.col(fold) != F.col("held")).groupBy("held").agg(
-        F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(len(features))]).alias("mu"), F.array(*[F.stddev_pop(F.get("x", F.lit(i))) for i in range(len(features))]).alias("sd"))
-    scale = lambda v: F.zip_with(F.zip_with(v, F.col("mu"), lambda a, m: a - m), F.col("sd"), lambda a, s: a / F.when(s > 1e-12, s).otherwise(1.0))
-    test = rows.join(stats, rows[fold] == stats["held"]).select(F.col(ident).alias("id"), F.col(label).alias("truth"), "held", scale(F.col("x")).alias("x"))
-    train = rows.join(stats, rows[fold] != stats["held"]).select("held", F.col(ident).alias("nid"), F.col(label).alias("vote"), scale(F.col("x")).alias("y"))
-    pairs = test.join(train, "held").select("id", "truth", "held", "vote", "nid", distance(F.col("x"), F.col("y")).alias("d"))
-    near = pairs.withColumn("__i", F.row_number().over(Window.partitionBy("id").orderBy("d", "nid"))).where(F.col("__i") <= k)
-    votes = near.groupBy("id", "truth", "held", "vote").agg(F.count("*").alias("c"))
-    return votes.groupBy("id", "truth", "held").agg(F.max_by("vote", F.struct("c", (-F.ascii("vote")).alias("t"), F.expr("-hash(vote)").alias("u"))).alias("predicted"))
+    rows = df.where(" AND ".join(f"{f} IS NOT NULL" for f in features)).select(F.col(ident).cast("string").alias("id"), F.col(label).cast("string").alias("label"), F.col(fold).cast("string").alias("held"), vec.alias("x"))
+    sums = lambda p: [f(F.get("x", F.lit(i)) * (F.get("x", F.lit(i)) if sq else 1)).alias(f"{p}{name}{i}") for i in range(len(features)) for f, name, sq in ((F.sum, "s", False), (F.sum, "q", True))]
+    own, all_ = rows.groupBy("held").agg(F.count("*").alias("on"), *sums("o")), rows.agg(F.count("*").alias("an"), *sums("a"))
+
+    def deviation(i: int):
+        n, s, q = (F.col(f"a{c}") - F.col(f"o{c}") for c in ("n", f"s{i}", f"q{i}"))
+        sd = F.sqrt(F.greatest(F.try_divide(q, n) - F.try_divide(s, n) * F.try_divide(s, n), F.lit(0.0)))
+        return F.when(sd > 1e-12, sd).otherwise(1.0)
+
+    scales = own.crossJoin(F.broadcast(all_)).select("held", "an", F.array(*[deviation(i) for i in range(len(features))]).alias("scale"))
+    placed = rows.join(scales, "held").withColumn("block", F.pmod(F.xxhash64("id"), F.floor(F.col("an") / BLOCK_ROWS) + 1))
+    blocks = placed.groupBy("block").agg(F.collect_list(F.struct("id", "label", "held", "x", "scale")).alias("rows"))
+    pairs = blocks.crossJoin(blocks.select(F.col("rows").alias("others")))  # of blocks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                mine, others = b.column("rows")[i].as_py(), b.column("others")[i].as_py()
+                y, ids = np.array([r["x"] for r in others]), np.array([r["id"] for r in others], dtype=object)
+                fold_of, out = np.array([r["held"] for r in others], dtype=object), []
+                for r in mine:
+                    away = np.sqrt((((y - np.array(r["x"])) / np.array(r["scale"])) ** 2).sum(axis=1))
+                    away[fold_of == r["held"]] = np.inf
+                    near = np.flatnonzero(away <= np.partition(away, min(k, len(away)) - 1)[min(k, len(away)) - 1])
+                    near = sorted((j for j in near if np.isfinite(away[j])), key=lambda j: (away[j], ids[j]))[:k]
+                    out += [{"id": r["id"], "truth": r["label"], "held": r["held"], "vote": others[j]["label"], "nid": others[j]["id"], "d": float(away[j])} for j in near]
+                yield pa.RecordBatch.from_pylist(out, schema=_NEAR)
+
+    near = pairs.select("rows", "others").mapInArrow(run, "id string, truth string, held string, vote string, nid string, d double")
+    best = near.withColumn("__i", F.row_number().over(Window.partitionBy("id").orderBy("d", "nid"))).where(F.col("__i") <= k)
+    votes = best.groupBy("id", "truth", "held", "vote").agg(F.count("*").alias("c"))
+    return votes.groupBy("id", "truth", "held").agg(F.min(F.struct(-F.col("c"), "vote"))["vote"].alias("predicted"))
+
+
+_NEAR = pa.schema([(c, pa.string()) for c in ("id", "truth", "held", "vote", "nid")] + [("d", pa.float64())])
 
 
 def logistic_by_fold(df: DataFrame, features: list[str], label_index: str, fold: str) -> tuple[DataFrame, DataFrame]:
     """(predictions, mean absolute coefficients per feature) of a multinomial logistic model per held-out fold; the scaler is fitted inside the fold.
 
-    Folds are few (one model each); rows with a missing feature drop out.
+    Folds are data sets, one model each; rows with a missing feature drop out.
     """
+    shared_folder(df.sparkSession)
     rows = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip").transform(df.where(" AND ".join(f"{f} IS NOT NULL" for f in features)))
-    rows = rows.persist()
+    rows = rows.checkpoint()  # read by every fold
     predictions, weights = None, None
     for (value,) in rows.select(fold).distinct().orderBy(fold).collect():
         train = rows.where(F.col(fold) != value)
@@ -111,7 +152,8 @@ def logistic_by_fold(df: DataFrame, features: list[str], label_index: str, fold:
 
 
 def class_report(predictions: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """Precision, recall and support per class."""
+    """Precision, recall and support per class, and the accuracy over all of them."""
     t = predictions.groupBy(F.col(truth).alias("class")).agg(F.count("*").alias("support"), F.count_if(F.col(truth) == F.col(predicted)).alias("right"))
     p = predictions.groupBy(F.col(predicted).alias("class")).agg(F.count("*").alias("given"))
-    return t.join(p, "class", "left").select("class", "support", (F.col("right") / F.col("support")).alias("recall"), F.coalesce(F.try_divide("right", "given"), F.lit(0.0)).alias("precision"))
+    every = t.agg((F.sum("right") / F.sum("support")).alias("accuracy"))
+    return t.join(p, "class", "left").crossJoin(F.broadcast(every)).select("class", "accuracy", "support", (F.col("right") / F.col("support")).alias("recall"), F.coalesce(F.try_divide("right", "given"), F.lit(0.0)).alias("precision"))

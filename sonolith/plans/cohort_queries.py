@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as f
-from ..operators import cohorts, reports
+from ..operators import cohorts, ranks, reports
 from ..sources import tables as src
 from ..sources.shared import scratch
 from . import query
@@ -244,6 +244,24 @@ def o30_effect(spark, sf):
     return d.select("lower", F.col("n_a").alias("n_pairs"), F.round("d", 6).alias("d"))
 
 
+@query("o30_matched_rank_test", f"""WITH {E}, k AS (SELECT sev, speaker_id, n_phones, f2, CAST(floor(ln(CAST(n_phones AS DOUBLE)) / ln(1.25)) AS INT) AS bucket FROM e WHERE n_phones > 0), r AS (SELECT *, row_number() OVER (PARTITION BY sev, bucket ORDER BY n_phones, speaker_id) AS i FROM k),
+p AS (SELECT a.sev AS lower, a.f2 AS x, b.f2 AS y FROM r a JOIN r b ON b.sev = a.sev + 1 AND a.bucket = b.bucket AND a.i = b.i), v AS (SELECT lower, 1 AS low, x AS v FROM p UNION ALL SELECT lower, 0, y FROM p),
+w AS (SELECT *, rank() OVER (PARTITION BY lower ORDER BY v) + (count(*) OVER (PARTITION BY lower, v) - 1) / 2.0 AS rk FROM v), n AS (SELECT lower, CAST(sum(low) AS BIGINT) AS n_pairs, sum(rk) FILTER (low = 1) AS s FROM w GROUP BY 1)
+SELECT lower, n_pairs, s - n_pairs * (n_pairs + 1) / 2 AS u, round(2 * (s - n_pairs * (n_pairs + 1) / 2) / (n_pairs * n_pairs) - 1, 6) AS delta FROM n WHERE n_pairs >= 10""")
+def o30_test(spark, sf):
+    """Rank test between matched entities of adjacent levels, where there are ten pairs."""
+    e = entity(spark, sf)
+    pairs = cohorts.tolerance_match(e, "sev", "n_phones", "speaker_id", cohorts.size_bucket(F.col("n_phones")))
+    both = pairs.select("lower", F.explode(F.array(F.struct(F.lit("low").alias("side"), F.col("id_low").alias("speaker_id")), F.struct(F.lit("up").alias("side"), F.col("id_high").alias("speaker_id")))).alias("x")).select("lower", "x.*")
+    out = ranks.mann_whitney(both.join(e.select("speaker_id", F.col("f2").alias("value")), "speaker_id"), "value", "side", ["lower"], min_n=10)
+    return out.select("lower", F.col("n_a").alias("n_pairs"), "u", F.round("delta", 6).alias("delta"))
+
+
+@query("o15_label_by_content", f"WITH {M} SELECT speaker_id, seq, 'a' AS label FROM m WHERE content_type = 'user' AND speaker_id LIKE '%17%'")
+def o15_content(spark, sf):
+    return cohorts.label_by_pattern(manifest(spark, sf), [("contains", "17", "a")], "speaker_id", "text", "content_type", "User").select("speaker_id", "seq", "label")
+
+
 @query("o32_build_inventory", f"""WITH {M}, k AS (SELECT speaker_id, dataset, coalesce(arg_min(severity, seq) FILTER (severity NOT IN ('', 'nan', 'unknown')), 'unknown') AS sl, coalesce(arg_min(aetiology, seq) FILTER (aetiology <> 'unknown'), 'unknown') AS aetiology,
 arg_min(sex, seq) AS sex, arg_min(age, seq) AS age, bool_or(is_control) AS is_control, count(*) FILTER (content_type = 'user') AS n_user, count(*) FILTER (content_type = 'assistant') AS n_assistant, count(*) FILTER (content_type NOT IN ('user', 'assistant')) AS n_other,
 arg_min(TRY_CAST(score AS DOUBLE), seq) FILTER (TRY_CAST(score AS DOUBLE) IS NOT NULL) AS score FROM m GROUP BY 1, 2),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as f
 from ..operators import cohorts, metrics, reports, resampling
 from . import query
-from .bindings import S, T, V, classified, direction_sql, intervals, mean_sql, scalar_tokens, table, tokens
+from .bindings import S, T, V, classified, direction_sql, intervals, kw_sql, mean_sql, scalar_tokens, spearman_sql, table, tokens
 
 R = lambda c: F.round(c, 6)
 
@@ -160,6 +160,20 @@ def o75(spark, sf):
     return rounded(resampling.fixed_token(scalar_tokens(spark, sf), ["spk"], "tok", 30, 5, 7), "dprime", "dprime_sd")
 
 
+@query("o75_fixed_token_correlation", f"""WITH {S}, r AS (SELECT spk, positive, tok, z, rep, {_HASH} AS h FROM s, range(1, 6) x(rep)),
+k AS (SELECT *, row_number() OVER (PARTITION BY spk, positive, rep ORDER BY h, tok) AS i FROM r),
+g AS (SELECT spk, rep, positive, avg(z) AS m, var_pop(z) AS v FROM k WHERE i <= 30 GROUP BY ALL HAVING count(*) = 30),
+d AS (SELECT spk, rep, abs(max(m) FILTER (positive) - max(m) FILTER (NOT positive)) / sqrt(avg(v)) AS d, CAST(floor(max(s_acctbal) / 2500) AS INT) AS sev FROM g JOIN supplier ON s_suppkey = spk GROUP BY spk, rep HAVING count(*) = 2),
+w AS (SELECT spk, abs(avg(z) FILTER (positive) - avg(z) FILTER (NOT positive)) / sqrt((var_pop(z) FILTER (positive) + var_pop(z) FILTER (NOT positive)) / 2) AS d, CAST(floor(max(s_acctbal) / 2500) AS INT) AS sev FROM s JOIN supplier ON s_suppkey = spk GROUP BY spk HAVING count(*) FILTER (positive) >= 5 AND count(*) FILTER (NOT positive) >= 5),
+q AS ({spearman_sql('d', 'd', 'sev', 'rep', 10, 'rho')}), f AS ({spearman_sql('w', 'd', 'sev', '', 10, 'rho')})
+SELECT round(avg(q.rho), 6) AS mean_rho, round(stddev_pop(q.rho), 6) AS sd, round(quantile_cont(q.rho, 0.025), 6) AS low, round(quantile_cont(q.rho, 0.975), 6) AS high, count(*) AS n_reps, round(max(f.rho), 6) AS full_rho, round(avg(q.rho) - max(f.rho), 6) AS difference FROM q LEFT JOIN f ON true WHERE q.rho IS NOT NULL""")
+def o75_correlation(spark, sf):
+    t = scalar_tokens(spark, sf)
+    labels = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("spk"), F.floor(F.col("s_acctbal") / 2500).cast("int").alias("sev"))
+    out = resampling.fixed_token_correlation(resampling.fixed_token_repeats(t, ["spk"], "tok", 30, 5, 7), metrics.dprime(t, ["spk"]).where("dprime IS NOT NULL"), labels, ["spk"], "sev")
+    return rounded(out, "mean_rho", "sd", "low", "high", "full_rho", "difference")
+
+
 def _sweep_sql(extra: str = "", repeats: int = 3) -> str:
     h = f.draw_sql("rep", "vec_id", 3)
     return f"""WITH {T}, k0 AS (SELECT c.*, rep, {h} AS h FROM c, range(1, {repeats + 1}) x(rep) {extra}),
@@ -192,3 +206,20 @@ def o38_tokens(spark, sf):
     t = tokens(spark, sf).select("spk", "phone", F.get("embedding", F.lit(0)).cast("double").alias("d0"), F.get("embedding", F.lit(1)).cast("double").alias("d1"))
     return reports.mean_profile(t, ["spk", "phone"], ["d0", "d1"]).select("spk", "phone", R(F.get("profile", F.lit(0))).alias("p0"), R(F.get("profile", F.lit(1))).alias("p1"), "n")
 
+
+_COMPOSITE = "co AS (SELECT spk, CAST(budget AS INT) AS budget, avg(dprime) AS value, spk % 4 AS sev, spk % 2 AS grp FROM f GROUP BY spk, budget HAVING count(*) >= 2)"
+
+
+def _composites(spark, sf):
+    sweep = resampling.budget_sweep(classified(spark, sf), ["spk"], "vec_id", [5, 10, 15], 3, seed=3)
+    return resampling.sweep_composite(sweep, ["spk"], 2), tokens(spark, sf).select("spk").distinct().withColumn("sev", F.col("spk") % 4).withColumn("grp", F.col("spk") % 2)
+
+
+@query("o76_budget_report", f"{_sweep_sql()}, {_COMPOSITE}, r AS ({spearman_sql('co', 'value', 'sev', 'budget', 8, 'rho')}), {kw_sql('co', 'grp', 'budget', 4)} SELECT budget, r.n, round(rho, 6) AS rho, round(h, 6) AS h, round(greatest((h - k + 1) / (kw.n - k), 0), 6) AS eps2 FROM r LEFT JOIN kw USING (budget)")
+def o76_report(spark, sf):
+    return rounded(resampling.budget_report(*_composites(spark, sf), ["spk"], "sev", "grp", 8, 4), "rho", "h", "eps2")
+
+
+@query("o76_level_means", f"{_sweep_sql()}, {_COMPOSITE} SELECT budget, sev, round(avg(value), 6) AS mean, count(*) AS n FROM co GROUP BY ALL")
+def o76_levels(spark, sf):
+    return rounded(resampling.budget_level_means(*_composites(spark, sf), ["spk"], "sev"), "mean")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as f
 from ..operators import ranks, reports, resampling, synthesis
 from . import query
-from .bindings import B, FEATURES, L, E, avg_rank_sql, backbones, entity, entity_long, spearman_sql
+from .bindings import B, FEATURES, L, E, avg_rank_sql, backbones, entity, entity_long, kw_sql, spearman_sql
 
 R = lambda c: F.round(c, 6)
 
@@ -67,16 +67,6 @@ def o53(spark, sf):
     return out.select("feature", "a", "b", R(F.col("delta")).alias("delta"), R(F.col("rank_biserial")).alias("rank_biserial"), f.magnitude(F.col("delta"), f.DELTA_CUTS, "negligible").alias("size"))
 
 
-def kw_sql(rows: str, group: str, keys: str, least: int) -> str:
-    k = f"{keys}, " if keys else ""
-    return f"""kw0 AS (SELECT * FROM {rows} WHERE value IS NOT NULL QUALIFY count(*) OVER (PARTITION BY {k}{group}) >= {least}),
-kw1 AS {avg_rank_sql('kw0', 'value', keys)},
-kt AS (SELECT {k}sum(t * t * t - t) AS ties FROM (SELECT {k}value, CAST(count(*) AS DOUBLE) AS t FROM kw0 GROUP BY {k}value) GROUP BY {keys}),
-kg AS (SELECT {k}{group}, sum(r) AS s, CAST(count(*) AS DOUBLE) AS m FROM kw1 GROUP BY {k}{group}),
-kq AS (SELECT {k}sum(m) AS n, count(*) AS k, sum(s * s / m) AS q FROM kg GROUP BY {keys} HAVING count(*) >= 2),
-kw AS (SELECT *, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM kq JOIN kt USING ({keys}))"""
-
-
 @query("o54_kruskal", f"WITH {L}, {kw_sql('l', 'grp', 'feature', 5)} SELECT feature, CAST(n AS BIGINT) AS n, k, round(h, 6) AS h, round(greatest((h - k + 1) / (n - k), 0), 6) AS eps2, CASE WHEN greatest((h - k + 1) / (n - k), 0) >= 0.14 THEN 'large' WHEN greatest((h - k + 1) / (n - k), 0) >= 0.06 THEN 'medium' ELSE 'small' END AS size FROM kw")
 def o54(spark, sf):
     out = ranks.kruskal(_levels(spark, sf), "value", "grp", ["feature"])
@@ -235,6 +225,26 @@ def o45_radar(spark, sf):
     return reports.chart_means(entity_long(spark, sf), ["grp", "sev"], 2).withColumn("mean", F.round("mean", 4))
 
 
+@query("o45_box_feed", f"WITH {L} SELECT grp, sev, feature, count(*) AS n, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75, min(value) AS low, max(value) AS high FROM l WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) >= 3")
+def o45_box(spark, sf):
+    return rounded(reports.box_feed(entity_long(spark, sf), ["grp", "sev"]), "q25", "median", "q75")
+
+
+@query("o45_slope_feed", f"WITH {L} SELECT grp, feature, round(avg(value) FILTER (sev = 0), 6) AS start, round(avg(value) FILTER (sev = 3), 6) AS \"end\", round(avg(value) FILTER (sev = 3) - avg(value) FILTER (sev = 0), 6) AS change FROM l GROUP BY ALL")
+def o45_slope(spark, sf):
+    return rounded(reports.slope_feed(entity_long(spark, sf), "sev", ["grp"], 0, 3), "start", "end", "change")
+
+
+@query("o45_bubble_feed", f"WITH {E} SELECT dataset, quantile_cont(CAST(n_phones AS DOUBLE), 0.5) AS x, round(avg(f2), 6) AS y, count(*) AS n FROM e WHERE sev = 0 GROUP BY 1 HAVING count(*) >= 2")
+def o45_bubble(spark, sf):
+    return rounded(reports.bubble_feed(entity(spark, sf).where("sev = 0"), "dataset", "n_phones", "f2"), "y")
+
+
+@query("o45_grid_feed", f"WITH {L} SELECT language, feature, {', '.join(f'round(avg(value) FILTER (sev = {v}), 6) AS m{v}' for v in range(4))} FROM l GROUP BY ALL")
+def o45_grid(spark, sf):
+    return rounded(reports.grid_feed(entity_long(spark, sf), "language", "sev", [0, 1, 2, 3]), "m0", "m1", "m2", "m3")
+
+
 @query("o46_convergence", f"WITH {L}, p AS (SELECT feature, dataset, avg(value) AS m, stddev_pop(value) AS sd FROM l WHERE sev = 0 AND value IS NOT NULL GROUP BY ALL) SELECT feature, count(*) AS n_corpora, round(avg(m), 4) AS mean, round(avg(sd), 4) AS mean_sd, round(max(m) - min(m), 4) AS spread, round((max(m) - min(m)) * 100 / nullif(abs(avg(m)), 0), 4) AS spread_pct FROM p GROUP BY feature")
 def o46(spark, sf):
     out = reports.convergence(entity_long(spark, sf).where("sev = 0"), "dataset", ["feature"])
@@ -281,7 +291,7 @@ def o67(spark, sf):
     lv = _levels(spark, sf)
     overall = ranks.spearman(lv, "value", "sevd", ["feature"]).withColumn("test", F.lit("overall"))
     corpus = ranks.spearman(lv, "value", "sevd", ["feature", "dataset"]).withColumn("test", F.lit("corpus"))
-    return rounded(reports.test_family([overall, corpus]).select("feature", "dataset", "test", "rho"), "rho")
+    return rounded(reports.union_family([overall, corpus]).select("feature", "dataset", "test", "rho"), "rho")
 
 
 @query("o69_compare_subsets", f"WITH {L}, s AS (SELECT l.*, 'full' AS scenario FROM l UNION ALL SELECT l.*, 'without_asia' FROM l WHERE language <> 'ASIA' UNION ALL SELECT l.*, 'large' FROM l WHERE n_phones >= 10), r AS ({spearman_sql('s', 'value', 'sev', 'feature, scenario', 5, 'rho')}) SELECT x.feature, x.scenario, round(x.rho, 6) AS rho, round(b.rho, 6) AS base_value, round(x.rho - b.rho, 6) AS change FROM r x JOIN r b ON x.feature = b.feature AND b.scenario = 'full' WHERE x.scenario <> 'full'")
@@ -291,6 +301,16 @@ def o69(spark, sf):
     return rounded(reports.compare_subsets(stats, "rho", ["feature"], "full").select("feature", "scenario", "rho", "base_value", "change"), "rho", "base_value", "change")
 
 
+_SCENARIOS = "s AS (SELECT l.*, 'full' AS scenario FROM l UNION ALL SELECT l.*, 'without_asia' FROM l WHERE language <> 'ASIA' UNION ALL SELECT l.*, 'large' FROM l WHERE n_phones >= 10)"
+
+
+@query("o69_compare_subsets_groups", f"WITH {L}, {_SCENARIOS}, {kw_sql('s', 'grp', 'feature, scenario', 5)}, x AS (SELECT feature, scenario, greatest((h - k + 1) / (n - k), 0) AS eps2 FROM kw) SELECT x.feature, x.scenario, round(x.eps2, 6) AS eps2, round(b.eps2, 6) AS base_value, round(x.eps2 - b.eps2, 6) AS change FROM x JOIN x b ON x.feature = b.feature AND b.scenario = 'full' WHERE x.scenario <> 'full'")
+def o69_groups(spark, sf):
+    rows = reports.in_scenarios(_levels(spark, sf), {"full": F.lit(True), "without_asia": F.col("language") != "ASIA", "large": F.col("n_phones") >= 10})
+    stats = ranks.kruskal(rows, "value", "grp", ["feature", "scenario"])
+    return rounded(reports.compare_subsets(stats, "eps2", ["feature"], "full").select("feature", "scenario", "eps2", "base_value", "change"), "eps2", "base_value", "change")
+
+
 @query("o84_stratified", f"WITH {L}, s AS (SELECT l.*, CASE WHEN language IN ('ASIA', 'AFRICA') THEN 'read' ELSE 'spontaneous' END AS task FROM l) {spearman_sql('s', 'value', 'sev', 'feature, task', 5)}")
 def o84(spark, sf):
     lv = _levels(spark, sf)
@@ -342,6 +362,11 @@ def o73_mean(spark, sf):
     return rounded(resampling.bootstrap_mean(pairs, "similarity", ["grp"], "pair", 50, 19), "low", "high", "mean")
 
 
+@query("o73_control_sweep", f"WITH {E}, c AS (SELECT language, count(*) AS c FROM e WHERE sev = 0 GROUP BY 1), p AS {profiles_sql('e', 'grp, language')}, t AS (SELECT p.*, th FROM p JOIN c USING (language), (VALUES (1), (5), (10), (20), (50)) x(th) WHERE n >= 3 AND c >= th), s AS (SELECT a.th, a.grp, {cos_sql('a.p', 'b.p')} AS s FROM t a JOIN t b ON a.grp = b.grp AND a.th = b.th AND a.language < b.language) SELECT th AS threshold, grp, count(s) AS n_pairs, round(avg(s), 6) AS mean_sim, round(min(s), 6) AS min_sim, round(max(s), 6) AS max_sim FROM s GROUP BY ALL")
+def o73_controls(spark, sf):
+    return rounded(resampling.control_sweep(entity(spark, sf), "language", ["grp"], FEATURES, F.col("sev") == 0, [1, 5, 10, 20, 50]), "mean_sim", "min_sim", "max_sim")
+
+
 @query("o74_permutation_test", f"""WITH {E}, ob AS (SELECT grp, avg(s) AS observed FROM (SELECT a.grp, {cos_sql('a.p', 'b.p')} AS s FROM {profiles_sql('e', 'grp, language')} a JOIN {profiles_sql('e', 'grp, language')} b ON a.grp = b.grp AND a.language < b.language) GROUP BY 1),
 r0 AS (SELECT e.*, rep FROM e, range(1, 201) x(rep)), ra AS (SELECT * EXCLUDE (language), row_number() OVER (PARTITION BY grp, rep ORDER BY speaker_id) AS i FROM r0),
 rh AS (SELECT grp, rep, language, speaker_id, {f.draw_sql('rep', 'speaker_id', 23)} AS h FROM r0), rb AS (SELECT grp, rep, language, row_number() OVER (PARTITION BY grp, rep ORDER BY h, speaker_id) AS i FROM rh),
@@ -360,6 +385,11 @@ def o78(spark, sf):
     return rounded(out, "full_value", "low", "high", "width")
 
 
+@query("o78_leave_one_out_both", f"WITH {L}, h AS (SELECT l.*, held_out FROM l JOIN (SELECT DISTINCT dataset AS held_out FROM e) ON dataset <> held_out), r AS ({spearman_sql('h', 'value', 'sev', 'feature, held_out', 5, 'rho')}), {kw_sql('h', 'grp', 'feature, held_out', 5)} SELECT feature, held_out, round(rho, 6) AS rho, round(greatest((h - k + 1) / (kw.n - k), 0), 6) AS eps2, rho < -0.3 AND greatest((h - k + 1) / (kw.n - k), 0) > 0.1 AS holds FROM r JOIN kw USING (feature, held_out)")
+def o78_both(spark, sf):
+    return rounded(resampling.lodo_both(_levels(spark, sf), "dataset", "value", "sevd", "grp", ["feature"]), "rho", "eps2")
+
+
 # ---- across studies
 
 
@@ -417,6 +447,14 @@ def o83_logistic(spark, sf):
     return synthesis.class_report(predictions, "y", "prediction")
 
 
+@query("o83_logistic_weights")
+def o83_weights(spark, sf):
+    """Mean absolute coefficient per feature over the folds; folds by hash, as if there were only two languages."""
+    e = entity(spark, sf).withColumn("y", F.col("sev").cast("double")).withColumn("half", F.col("language") < "ASIA")
+    _, weights = synthesis.logistic_by_fold(synthesis.folds_or_parts(e, "half", "speaker_id"), FEATURES, "y", "fold")
+    return rounded(weights, "mean_abs_coefficient")
+
+
 @query("o86_significance")
 def o86(spark, sf):
     """p values of rank correlations, of partial ones and of group tests, with stars."""

@@ -95,6 +95,72 @@ def test_meta_analysis_without_heterogeneity(spark):
     assert got["rho"] == pytest.approx(0.5) and got["tau2"] == 0 and got["i2"] == 0 and got["hksj_low"] < 0.5 < got["hksj_high"]
 
 
+#: Published correlations and sizes per corpus, and what pooling them gives.
+STUDIES = {
+    "nasal": [(157, -0.4452), (56, -0.9225), (111, -0.4283), (100, -0.1191), (188, -0.3817), (15, -0.602), (15, -0.6547), (24, -0.261)],
+    "manner": [(169, -0.4158), (56, -0.9086), (111, -0.3494), (100, -0.0365), (188, -0.3936), (15, -0.6325), (15, -0.7201), (24, -0.2053)],
+}
+POOLED = {
+    "nasal": (8, 83.3944, 0.148797, 91.606, -0.529527, -0.706917, -0.289463, -0.753754, -0.194858, -0.885307, 0.217298),
+    "manner": (8, 82.9759, 0.145575, 91.564, -0.507932, -0.690364, -0.264767, -0.743454, -0.160326, -0.876754, 0.237083),
+}
+
+
+def test_meta_analysis_golden_rows(spark):
+    rows = frame(spark, [(f, float(r), n) for f, studies in STUDIES.items() for n, r in studies] + [("nasal", None, 150)], "feature string, rho double, n int")
+    got = {r["feature"]: r for r in synthesis.meta_hksj(synthesis.meta_dl(rows, ["feature"])).collect()}
+    for f, want in POOLED.items():
+        assert [got[f][c] for c in ("k", "q", "tau2", "i2", "rho", "low", "high", "hksj_low", "hksj_high", "pred_low", "pred_high")] == pytest.approx(want, rel=2e-4)
+
+
+def test_posthoc_and_significance_values(spark, sf):
+    from sonolith import plans
+    from sonolith.functions import tails
+
+    z = {(r["feature"], r["a"], r["b"]): r["z"] for r in plans.QUERIES["o52_mann_whitney"](spark, sf).collect()}
+    got = plans.QUERIES["o55_posthoc"](spark, sf).collect()
+    assert len(got) == len(z)
+    for f in {r["feature"] for r in got}:
+        mine = sorted((r for r in got if r["feature"] == f), key=lambda r: math.erfc(abs(z[f, r["a"], r["b"]]) / math.sqrt(2)))
+        high = 0.0
+        for i, r in enumerate(mine):
+            p = math.erfc(abs(z[f, r["a"], r["b"]]) / math.sqrt(2))
+            high = min(1.0, max(high, p * (len(mine) - i)))
+            assert (r["p"], r["p_holm"]) == (pytest.approx(p, abs=2e-6), pytest.approx(high, abs=2e-5))
+    rho = {r["feature"]: r for r in plans.QUERIES["o50_spearman"](spark, sf).collect()}
+    kw = {r["feature"]: r for r in plans.QUERIES["o54_kruskal"](spark, sf).collect()}
+    part = {r["feature"]: r for r in plans.QUERIES["o51_partial_spearman"](spark, sf).collect()}
+    for r in plans.QUERIES["o86_significance"](spark, sf).collect():
+        n, x, y = rho[r["feature"]]["n"], rho[r["feature"]]["rho"], part[r["feature"]]
+        assert r["p"] == pytest.approx(tails.t_two_sided(x * math.sqrt((n - 2) / (1 - x * x)), n - 2), rel=1e-3, abs=1e-12)
+        assert r["p_partial"] == pytest.approx(tails.t_two_sided(y["partial"] * math.sqrt((y["n"] - 3) / (1 - y["partial"] ** 2)), y["n"] - 3), rel=1e-3, abs=1e-12)
+        assert r["p_groups"] == pytest.approx(tails.chi2_upper(kw[r["feature"]]["h"], kw[r["feature"]]["k"] - 1), rel=1e-4)
+        assert r["stars"] == ("***" if r["p"] < 0.001 else "**" if r["p"] < 0.01 else "*" if r["p"] < 0.05 else "ns")
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_neighbours_are_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(synthesis, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(150, 2)) * [1, 50], 1)
+    label, fold = rng.integers(0, 3, 150), rng.integers(0, 4, 150)
+    rows = frame(spark, [(i, f"g{a}", int(f), float(p), float(q)) for i, (a, f, (p, q)) in enumerate(zip(label, fold, x, strict=True))], "id int, g string, f int, p double, q double")
+    got = {int(r["id"]): r for r in synthesis.nearest_neighbours(rows, ["p", "q"], "g", "f", "id").collect()}
+    assert len(got) == 150
+    for i in range(150):
+        others = np.flatnonzero(fold != fold[i])
+        d = np.sqrt((((x[others] - x[i]) / x[others].std(axis=0)) ** 2).sum(axis=1))
+        near = sorted(zip(np.round(d, 9), map(str, others), others, strict=True))[:5]
+        votes = [f"g{label[j]}" for *_, j in near]
+        assert got[i]["predicted"] == min(set(votes), key=lambda v: (-votes.count(v), v))
+
+
+def test_folds_by_hash_where_there_are_few(spark):
+    rows = frame(spark, [(i, "ab"[i % 2]) for i in range(200)], "id int, f string")
+    assert synthesis.folds_or_parts(rows, "f", "id").select("fold").distinct().count() == 5
+    assert {r[0] for r in synthesis.folds_or_parts(rows.withColumn("f", F.col("id") % 3), "f", "id").select("fold").distinct().collect()} == {"0", "1", "2"}
+
+
 def test_matching_stays_within_tolerance(spark):
     rows = frame(spark, [(i, i % 3, 1 + i * 7 % 50) for i in range(200)], "id int, lv int, n int")
     got = cohorts.tolerance_match(rows, "lv", "n", "id", cohorts.size_bucket(F.col("n"))).collect()
