@@ -157,14 +157,14 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 FP = ["s0", "s1", "s2"]
 
 
-def _segments() -> list[Column]:
+def _segments(prefix: str = "") -> list[Column]:
     """The fingerprint's segments, with the segment's number above its bits."""
     out = []
     for j in range(SEGMENTS):
         word, bit = divmod(j * SEGMENT_BITS, 64)
-        value = F.shiftrightunsigned(FP[word], bit)
+        value = F.shiftrightunsigned(f"{prefix}{FP[word]}", bit)
         if (over := bit + SEGMENT_BITS - 64) > 0:
-            value = value.bitwiseOR(F.shiftleft(F.col(FP[word + 1]), SEGMENT_BITS - over))
+            value = value.bitwiseOR(F.shiftleft(F.col(f"{prefix}{FP[word + 1]}"), SEGMENT_BITS - over))
         out.append(value.bitwiseAND((1 << SEGMENT_BITS) - 1).bitwiseOR(j << SEGMENT_BITS).cast("int"))
     return out
 
@@ -188,6 +188,16 @@ def _renamed(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumnsRenamed({c: f"{prefix}{c}" for c in FP})
 
 
+def _reporting(other: str) -> Column:
+    """Of the keys that two fingerprints share the one that reports the pair, from either side: in the first segment that differs in at most 2 bits the smaller one of the two values with the lowest differing bit turned."""
+    out = []
+    for a, b in zip(_segments(), _segments(other), strict=True):
+        differing = a.bitwiseXOR(b)
+        lowest = differing.bitwiseAND(-differing)
+        out.append(F.when(F.bit_count(differing) <= 2, F.least(a.bitwiseXOR(lowest), b.bitwiseXOR(lowest))))
+    return F.coalesce(*out)
+
+
 def _with_leaders(nodes: DataFrame) -> DataFrame:
     """(``a``, ``b``): fingerprints that differ in ``APART`` bits or fewer from one of ``LEADERS`` members of a bucket that they are in; one row per member and leader at most."""
     leaders = [F.min_by(F.struct(*FP), F.xxhash64(F.lit(k), *FP)).over(Window.partitionBy("key")).alias(f"l{k}") for k in range(LEADERS)]
@@ -207,7 +217,8 @@ def _still_apart(marked: DataFrame) -> DataFrame:
     placed = entries.withColumn("inside", F.col("root") == most["root"]).drop("size")
     other = _renamed(placed.where("NOT inside").drop("inside"), "o").withColumnsRenamed({"key": "okey", "root": "oroot"})
     both = placed.join(other.hint("merge"), F.col("key") == F.col("okey")).where((F.col("root") != F.col("oroot")) & (F.col("inside") | (F.struct(*FP) < F.struct(*[F.col(f"o{c}") for c in FP]))))
-    return both.where(_distance("", "o") <= APART).select(F.least(_node(), _node("o")).alias("a"), F.greatest(_node(), _node("o")).alias("b")).distinct()
+    met = both.where((_distance("", "o") <= APART) & (F.col("key") == _reporting("o")))  # each pair once
+    return met.select(F.least(_node(), _node("o")).alias("a"), F.greatest(_node(), _node("o")).alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
