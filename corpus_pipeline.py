@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (a Jaccard similarity of 0.8 or more of five-word shingles, by smallest hashes, verified) the row with the smallest doc_id stays."""
+    """Of each group of near duplicates (a Jaccard similarity of 0.8 or more of five-word shingles, candidates by SimHash, verified) the row with the smallest doc_id stays."""
     return drop_near_duplicates(docs, words_per_shingle=5)
 
 
