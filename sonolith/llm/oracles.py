@@ -75,4 +75,87 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-SQL = {"op4_benchmark_decontamination": DECONTAMINATION, "op8_exact_dedup": EXACT_DEDUP, "op10_personal_data": PERSONAL_DATA}
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII string, bit by bit."""
+    byte = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: {byte}))"
+
+
+CONVERSATION_TRIE = f"""
+WITH own AS (SELECT conv_id, list(struct_pack(id := sha256(strlen(r) || ':' || r || t), n := strlen(t)) ORDER BY turn NULLS FIRST, r, sha256(strlen(r) || ':' || r || t)) AS turns
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+rebuilt AS (SELECT c.conv_id, coalesce(b.turns, [])[:h] || c.turns[h + 1:] AS turns
+  FROM (SELECT *, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own) c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+prefixes AS (SELECT conv_id, d AS depth, d = len(turns) AS ends, CASE WHEN d > 0 THEN turns[d].n ELSE 0 END AS n,
+    sha256(array_to_string(list_transform(turns[:d], lambda x: x.id), '')) AS p, sha256(array_to_string(list_transform(turns[:d - 1], lambda x: x.id), '')) AS up
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT p, depth, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(n) AS own_tokens,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY p, depth),
+kids AS (SELECT up AS p, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up, depth),
+below AS (SELECT a.p, a.depth, sum(n.own_tokens) AS saved_tokens, count(*) FILTER (k.p IS NULL) AS n_leaves
+  FROM nodes n JOIN prefixes a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN kids k ON k.p = n.p AND k.depth = n.depth GROUP BY a.p, a.depth)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.p = n.p AND b.depth = n.depth LEFT JOIN kids k ON k.p = n.p AND k.depth = n.depth LEFT JOIN nodes u ON u.p = n.up AND u.depth = n.depth - 1
+"""
+
+
+def _best(*ways: str) -> str:
+    """The cheapest of (cost, letters, repaired turns), of equally cheap ones the one with the least letters."""
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x.cost IS NOT NULL))[1]"
+
+
+def _way(tail: str, cost: str, letter: str, said: str | None = None) -> str:
+    turns = f"[{said}] || {tail}.turns" if said else f"{tail}.turns"
+    return f"struct_pack(cost := {tail}.cost + {cost}, letters := '{letter}' || {tail}.letters, turns := {turns})"
+
+
+def _step() -> str:
+    """Backwards over rows: best tails from each state (q0 at the start, q1 after s, q2 after u, q3 after a) before the row, given those behind it."""
+    delete = lambda q: _way(f"s.{q}", "2", "D")
+    keep = lambda q, i, to: _way(f"s.{to}", f"CASE WHEN fit AND initial = '{i}' THEN 5 * short END", "K", "r || ':' || t")
+    rerole = lambda q, role, to: _way(f"s.{to}", "CASE WHEN fit THEN 1 + 5 * short END", "R", f"'{role}:' || t")
+    return ", ".join(
+        f"{_best(*ways)} AS {q}"
+        for q, ways in {
+            "p0": [delete("q0"), keep("q0", "s", "q1"), keep("q0", "u", "q2"), rerole("q0", "user", "q2")],
+            "p1": [delete("q1"), keep("q1", "u", "q2"), rerole("q1", "user", "q2")],
+            "p2": [delete("q2"), keep("q2", "a", "q3"), rerole("q2", "assistant", "q3")],
+            "p3": [delete("q3"), keep("q3", "u", "q2"), rerole("q3", "user", "q2")],
+        }.items()
+    )
+
+
+_INSERTED = (  # up to two turns in a row pay; each line needs those above it
+    f"{_best('p2', _way('p3', '5', 'I', chr(39) + 'assistant:' + chr(39)))} AS q2, p0, p1, p3",
+    f"q2, {_best('p0', _way('q2', '5', 'I', chr(39) + 'user:' + chr(39)))} AS q0, {_best('p1', _way('q2', '5', 'I', chr(39) + 'user:' + chr(39)))} AS q1, {_best('p3', _way('q2', '5', 'I', chr(39) + 'user:' + chr(39)))} AS q3",
+)
+_NONE = "struct_pack(cost := CAST({} AS BIGINT), letters := '{}', turns := {})"
+TURN_REPAIR = rf"""
+WITH RECURSIVE plain AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS t, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS how FROM conversations),
+rows_ AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE r END AS r, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS t, unnest(range(0, CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS again FROM plain WHERE how > 0),
+placed AS (SELECT *, left(r, 1) AS initial, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id, r, t ORDER BY turn NULLS FIRST, again) AS nth,
+    right(rtrim(t, E' 	
+
+'), 1) AS last, lag(left(r, 1)) OVER w AS before FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, sha256(strlen(r) || ':' || r || t), again)),
+judged AS (SELECT *, last = '' AS blank, last <> '' AND nth > 1 AS duplicate, last NOT IN ('', '.', '!', '?') AND nth = 1 AS truncated FROM placed),
+prices AS (
+  SELECT conv_id, n + 1 AS i, {_NONE.format(0, "", "CAST([] AS VARCHAR[])")} AS q0, {_NONE.format(10, "II", "['user:', 'assistant:']")} AS q1, {_NONE.format(5, "I", "['assistant:']")} AS q2, {_NONE.format(0, "", "CAST([] AS VARCHAR[])")} AS q3 FROM judged WHERE i = n
+  UNION ALL
+  SELECT conv_id, i, q0, q1, q2, q3 FROM (SELECT conv_id, i, {_INSERTED[1]} FROM (SELECT conv_id, i, {_INSERTED[0]} FROM (
+    SELECT s.conv_id, j.i, {_step()} FROM prices s JOIN (SELECT *, NOT blank AND NOT duplicate AS fit, CASE WHEN truncated THEN 1 ELSE 0 END AS short FROM judged) j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.i = s.i - 1)))),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(q0.cost, 0) AS cost, coalesce(q0.letters, '') AS audit, sha256(coalesce(array_to_string(q0.turns, E'
+'), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN prices p ON p.conv_id IS NOT DISTINCT FROM o.conv_id AND p.i = 1
+"""
+
+SQL = {
+    "op4_benchmark_decontamination": DECONTAMINATION,
+    "op8_exact_dedup": EXACT_DEDUP,
+    "op10_personal_data": PERSONAL_DATA,
+    "op11_burst_trie": CONVERSATION_TRIE,
+    "op13_turn_repair": TURN_REPAIR,
+}

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .brown_lm import class_model_scores
+from .burst_trie import conversation_trie
 from .common import table
+from .compression import quality_report
 from .decontam import contamination_report
 from .exact_dedup import exact_dedup
 from .oracles import SQL as SQL
@@ -20,6 +22,7 @@ from .simhash import near_duplicates
 from .sp_viterbi import encoding_report
 from .tool_calls import link_tool_calls, turns_as_calls
 from .toxicity import toxicity_scores
+from .turn_repair import repair_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -78,3 +81,18 @@ def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
