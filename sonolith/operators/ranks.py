@@ -1,9 +1,9 @@
 """Rank statistics over long tables. Groups, features, folds and replicates are key columns: one plan serves all of them.
 
 Every operator takes ``by``, the key columns of one statistic. Rows are counted by value first (with partial sums), and
-ranks are worked out on the values: each key's values are cut at approximate quantiles into slices, a slice's ranks are
-its running count plus the counts of the slices before it. So no task holds a key's rows or all its values, however few
-keys there are. ``plan="window"`` ranks rows by a window per key instead, for statistics of very many small keys.
+ranks are worked out on the values, in the slices of :mod:`.slices`: a value's rank is a count inside its slice plus the
+rows of the slices before it. So no task holds a key's rows or all its values, however few keys there are.
+``plan="window"`` ranks rows by a window per key instead, for statistics of very many small keys.
 """
 
 from __future__ import annotations
@@ -12,26 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import p_chi2, p_normal, p_t
-
-
-def _with(df: DataFrame, one_per_key: DataFrame, by: list[str]) -> DataFrame:
-    """A join by the keys; without keys the other side is a single row."""
-    return df.join(one_per_key, by) if by else df.crossJoin(F.broadcast(one_per_key))
+from ..sources.shared import written
+from .slices import matched, slice_totals, sliced
 
 
 def ranked_values(values: DataFrame, value: str, by: list[str], n: str = "n", out: str = "rank") -> DataFrame:
     """``values`` (each value once per key, ``n`` times) with the average rank that its rows share, and ``out``_total, the rows of the key."""
-    slices = max(2, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(k / slices) for k in range(1, slices)]), F.lit(50 * slices))
-    edges = values.groupBy(*by).agg(cuts.alias("__edges"))
-    dealt = _with(values, edges, by).withColumn("__slice", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
-    totals = dealt.groupBy(*by, "__slice").agg(F.sum(n).alias("__sum"))
-    key = Window.partitionBy(*by)
-    before = F.coalesce(F.sum("__sum").over(key.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select(*by, "__slice", before.alias("__before"), F.sum("__sum").over(key).alias(f"{out}_total"))
+    dealt = sliced(values, by, [value])
+    totals = slice_totals(dealt, by, value, n).drop("__sum").withColumnRenamed("__total", f"{out}_total")
     inside = Window.partitionBy(*by, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     rank = F.col("__before") + F.coalesce(F.sum(n).over(inside), F.lit(0)) + (F.col(n) + 1) / 2.0
-    return dealt.join(totals, [*by, "__slice"]).withColumn(out, rank).drop("__slice", "__before")
+    return matched(dealt, totals, [*by, "__slice"]).withColumn(out, rank).drop("__slice", "__before")
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], out: str = "rank", plan: str = "values") -> DataFrame:
@@ -42,7 +33,7 @@ def average_rank(df: DataFrame, value: str, by: list[str], out: str = "rank", pl
         ties = F.count("*").over(Window.partitionBy(*by, value)).cast("double")
         return df.withColumn(out, F.when(F.col(value).isNotNull(), low + (ties - 1.0) / 2.0))
     values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    return df.join(ranked_values(values, value, by, "__n", out).select(*by, value, out), [*by, value], "left")
+    return matched(df, ranked_values(values, value, by, "__n", out).select(*by, value, out), [*by, value], "left")
 
 
 def _counted_ranks(df: DataFrame, columns: list[str], by: list[str], plan: str) -> DataFrame:
@@ -52,11 +43,12 @@ def _counted_ranks(df: DataFrame, columns: list[str], by: list[str], plan: str)
             df = average_rank(df, c, by, f"__r{c}", plan)
         mean = (F.count("*").over(Window.partitionBy(*by)) + 1) / 2.0
         return df.select(*by, F.lit(1).alias("__n"), *[(F.col(f"__r{c}") - mean).alias(f"__{c}") for c in columns])
-    rows = df.groupBy(*by, *columns).agg(F.count("*").alias("__n"))
-    for c in columns:
-        values = rows.groupBy(*by, c).agg(F.sum("__n").alias("__k"))
-        ranks = ranked_values(values, c, by, "__k", "__r").select(*by, c, (F.col("__r") - (F.col("__r_total") + 1) / 2.0).alias(f"__{c}"))
-        rows = rows.join(ranks, [*by, c])
+    rows = written(df.groupBy(*by, *[F.col(c).cast("double").alias(c) for c in columns]).agg(F.count("*").alias("__n")), "counted")
+    each = rows.select(*by, "__n", F.posexplode(F.array(*columns)).alias("__column", "__v"))  # all columns are ranked in one plan
+    ranks = ranked_values(each.groupBy(*by, "__column", "__v").agg(F.sum("__n").alias("__k")), "__v", [*by, "__column"], "__k", "__r")
+    ranks = written(ranks.select(*by, "__column", "__v", (F.col("__r") - (F.col("__r_total") + 1) / 2.0).alias("__r")), "ranks")
+    for i, c in enumerate(columns):
+        rows = matched(rows, ranks.where(F.col("__column") == i).select(*by, F.col("__v").alias(c), F.col("__r").alias(f"__{c}")), [*by, c])
     return rows
 
 
@@ -128,14 +120,14 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: list[str], pairs: Da
 
 def kruskal(df: DataFrame, value: str, group: str, by: list[str], min_n: int = 5, with_p: bool = False) -> DataFrame:
     """Kruskal-Wallis over the groups of at least ``min_n`` values: ``n, k, h, eps2`` (two groups at least; null where all values are tied)."""
-    counted = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("__c"))
+    counted = written(df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("__c")), "counted")
     large = counted.groupBy(*by, group).agg(F.sum("__c").alias("__size")).where(F.col("__size") >= min_n).drop("__size")
-    counted = counted.join(large, [*by, group], "left_semi")
-    ranked = ranked_values(counted.groupBy(*by, value).agg(F.sum("__c").alias("__n")), value, by, "__n", "__r")
+    counted = matched(counted, large, [*by, group])
+    ranked = written(ranked_values(counted.groupBy(*by, value).agg(F.sum("__c").alias("__n")), value, by, "__n", "__r").select(*by, value, "__n", "__r"), "ranks")
     ties = ranked.groupBy(*by).agg(_ties("__n").alias("__ties"))
-    sums = counted.join(ranked.select(*by, value, "__r"), [*by, value]).groupBy(*by, group).agg(F.sum(F.col("__c") * F.col("__r")).alias("s"), F.sum("__c").cast("double").alias("m"))
+    sums = matched(counted, ranked.select(*by, value, "__r"), [*by, value]).groupBy(*by, group).agg(F.sum(F.col("__c") * F.col("__r")).alias("s"), F.sum("__c").cast("double").alias("m"))
     out = sums.groupBy(*by).agg(F.sum("m").alias("n"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q")).where("k >= 2")
-    out = _with(out, ties, by)
+    out = matched(out, ties, by)
     n = F.col("n")
     h = F.try_divide(12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - F.col("__ties") / (n * n * n - n))
     out = out.withColumn("h", h).withColumn("eps2", F.greatest((F.col("h") - F.col("k") + 1) / (n - F.col("k")), F.lit(0.0))).drop("q", "__ties").withColumn("n", n.cast("long"))

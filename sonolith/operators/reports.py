@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine_complete
+from .slices import matched, quantiles
+
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
 def long_form(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
@@ -62,9 +65,12 @@ def coverage(df: DataFrame, group: str, level: str, m: int, min_levels: int = 2)
 
 
 def describe_by(long: DataFrame, keys: list[str], exact: bool = True) -> DataFrame:
-    """n, mean, population deviation, quartiles (linear between values; ``exact=False`` for very large groups)."""
-    quantile = (lambda q: F.percentile("value", F.lit(q))) if exact else (lambda q: F.percentile_approx("value", F.lit(q), F.lit(10_000)))
-    return long.where(F.col("value").isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), quantile(0.5).alias("median"), quantile(0.25).alias("q25"), quantile(0.75).alias("q75"))
+    """n, mean, population deviation, quartiles (exact and linear between values; ``exact=False`` takes a sketch instead of ordering the values)."""
+    rows = long.where(F.col("value").isNotNull()).groupBy(*keys)
+    basic = [F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")]
+    if not exact:
+        return rows.agg(*basic, *[F.percentile_approx("value", F.lit(q), F.lit(10_000)).alias(c) for c, q in QUARTILES.items()])
+    return matched(rows.agg(*basic), quantiles(long, "value", keys, QUARTILES), keys)
 
 
 def severity_trend(long: DataFrame, level: str, by: list[str], levels: list[int]) -> DataFrame:
@@ -92,8 +98,8 @@ def chart_means(long: DataFrame, keys: list[str], min_n: int) -> DataFrame:
 def box_feed(long: DataFrame, keys: list[str], min_n: int = 3) -> DataFrame:
     """Quartiles, range and number per key and feature where there are ``min_n`` values: data for box plots."""
     rows = long.where(F.col("value").isNotNull()).groupBy(*keys, "feature")
-    quartiles = [F.percentile("value", F.lit(q)).alias(c) for q, c in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
-    return rows.agg(F.count("*").alias("n"), *quartiles, F.min("value").alias("low"), F.max("value").alias("high")).where(F.col("n") >= min_n)
+    ranges = rows.agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).where(F.col("n") >= min_n)
+    return matched(ranges, quantiles(long, "value", [*keys, "feature"], QUARTILES), [*keys, "feature"])
 
 
 def slope_feed(long: DataFrame, level: str, groups: list[str], first: int, last: int) -> DataFrame:
@@ -104,7 +110,8 @@ def slope_feed(long: DataFrame, level: str, groups: list[str], first: int, last:
 
 def bubble_feed(df: DataFrame, key: str, size: str, value: str, min_n: int = 2) -> DataFrame:
     """Median of ``size``, mean of ``value`` and number of rows per key: data for bubble charts."""
-    return df.groupBy(key).agg(F.percentile(size, F.lit(0.5)).alias("x"), F.avg(value).alias("y"), F.count("*").alias("n")).where(F.col("n") >= min_n)
+    means = df.groupBy(key).agg(F.avg(value).alias("y"), F.count("*").alias("n")).where(F.col("n") >= min_n)
+    return matched(means, quantiles(df, size, [key], {"x": 0.5}), [key], "left")
 
 
 def grid_feed(long: DataFrame, row: str, level: str, levels: list) -> DataFrame:
@@ -146,14 +153,13 @@ def adjustment_report(adjusted: DataFrame, x: str, by: list[str]) -> DataFrame:
 def quality_filter(df: DataFrame, tokens: Column, sentences: Column, q: float = 0.10, relative_error: float | None = None) -> DataFrame:
     """Entities at or above the q-quantile of tokens per sentence."""
     rows = df.withColumn("proxy", tokens / F.greatest(sentences, F.lit(1)))
-    cut = rows.agg((F.percentile("proxy", F.lit(q)) if relative_error is None else F.percentile_approx("proxy", F.lit(q), F.lit(int(1 / relative_error)))).alias("__cut"))
+    cut = quantiles(rows, "proxy", [], {"__cut": q}) if relative_error is None else rows.agg(F.percentile_approx("proxy", F.lit(q), F.lit(int(1 / relative_error))).alias("__cut"))
     return rows.crossJoin(F.broadcast(cut)).where(F.col("proxy") >= F.col("__cut")).drop("__cut")  # one row
 
 
 def bin_quartile(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """Quartile 1..4 of a value by the quartile edges of its key (an edge belongs to the lower quartile)."""
-    edges = df.groupBy(*by).agg(*[F.percentile(value, F.lit(q)).alias(f"__q{i}") for i, q in enumerate((0.25, 0.5, 0.75))])
-    out = df.join(edges, list(by)) if by else df.crossJoin(F.broadcast(edges))  # without keys the edges are one row
+    out = matched(df, quantiles(df, value, list(by), {f"__q{i}": q for i, q in enumerate((0.25, 0.5, 0.75))}), list(by), "left")
     v = F.col(value)
     return out.withColumn("quartile", F.when(v <= F.col("__q0"), 1).when(v <= F.col("__q1"), 2).when(v <= F.col("__q2"), 3).when(v.isNotNull(), 4)).drop("__q0", "__q1", "__q2")
 

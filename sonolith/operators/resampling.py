@@ -1,34 +1,19 @@
-"""Resampling with the replicate as a column: one plan draws, computes and summarises all replicates.
+"""Resampling with the replicate as an array or a column: one plan draws, computes and summarises all replicates.
 
 Draws come from a portable hash of (replicate, row), so results do not depend on partitioning or row order.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import draw
+from ..functions.scalars import dot, let, unit
+from ..sources.shared import written
 from .ranks import kruskal, spearman
+from .replicates import permuted_means, replicate_kruskal, replicate_means, replicate_spearman, smallest_draws, with_counts
 from .reports import mean_profile, profile_similarity, similarity_summary
-
-
-def numbered(df: DataFrame, by: list[str], ident: str) -> DataFrame:
-    """``df`` with ``pos`` from 0 and ``size`` of its key, by a stable id."""
-    over = Window.partitionBy(*by)
-    return df.withColumn("pos", F.row_number().over(over.orderBy(ident)) - 1).withColumn("size", F.count("*").over(over))
-
-
-def resampled(df: DataFrame, by: list[str], ident: str, replicates: int, seed: int = 0) -> DataFrame:
-    """``replicates`` samples with replacement of every key's rows, each of the key's size: ``df``'s columns and ``rep``.
-
-    Row ``pos`` of replicate r takes the row numbered draw(r, pos) modulo size; drawn and row meet by (key, number).
-    """
-    rows = numbered(df, by, ident)
-    drawn = rows.select(*by, "pos", "size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).select(*by, "rep", (draw(F.col("rep"), F.col("pos"), seed) % F.col("size")).cast("int").alias("pos"))
-    return drawn.join(rows.drop("size"), [*by, "pos"]).drop("pos")
+from .slices import matched
 
 
 def interval(stats: DataFrame, value: str, by: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -38,16 +23,16 @@ def interval(stats: DataFrame, value: str, by: list[str], low: float = 0.025, hi
 
 def bootstrap_spearman(df: DataFrame, x: str, y: str, by: list[str], ident: str, replicates: int = 1000, strata: list[str] = (), min_n: int = 5, seed: int = 0) -> DataFrame:
     """Percentile interval of rho per key; with ``strata`` each stratum is resampled within itself."""
-    complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    sample = resampled(complete.select(*by, *strata, ident, x, y), [*by, *strata], ident, replicates, seed)
-    return interval(spearman(sample, x, y, [*by, "rep"], min_n, plan="window"), "rho", by)
+    complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, *strata, ident, x, y)
+    sample = with_counts(complete, [*by, *strata], ident, replicates, seed)
+    return interval(replicate_spearman(sample, x, y, by, replicates, min_n), "rho", by)
 
 
 def bootstrap_similarity(df: DataFrame, over: str, within: list[str], features: list[str], ident: str, replicates: int, seed: int = 0) -> DataFrame:
     """Percentile interval of the profile cosine of every pair of ``over``, entities resampled within their cell."""
-    sample = resampled(df, [*within, over], ident, replicates, seed)
-    sims = profile_similarity(mean_profile(sample, [*within, "rep", over], features), over, [*within, "rep"])
-    return interval(sims, "similarity", [*within, "l1", "l2"])
+    sample = with_counts(df.select(*within, over, ident, *features), [*within, over], ident, replicates, seed)
+    profiles = replicate_means(sample, [*within, over], features, replicates).withColumn("profile", F.array(*features))
+    return interval(profile_similarity(profiles, over, [*within, "rep"]), "similarity", [*within, "l1", "l2"])
 
 
 def similarity_sweep(df: DataFrame, over: str, within: list[str], features: list[str], thresholds: list[int]) -> DataFrame:
@@ -59,34 +44,25 @@ def similarity_sweep(df: DataFrame, over: str, within: list[str], features: list
 
 def bootstrap_mean(pairs: DataFrame, value: str, by: list[str], ident: str, replicates: int, seed: int = 0) -> DataFrame:
     """Percentile interval of the mean of pair values."""
-    sample = resampled(pairs.where(F.col(value).isNotNull()).select(*by, ident, value), by, ident, replicates, seed)
-    return interval(sample.groupBy(*by, "rep").agg(F.avg(value).alias("m")), "m", by)
-
-
-def permuted(df: DataFrame, by: list[str], ident: str, label: str, replicates: int, seed: int = 0) -> DataFrame:
-    """``df`` per replicate with ``label`` dealt anew within the key: rows numbered by id take the labels numbered by hash, so label counts stay."""
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    over = Window.partitionBy(*by, "rep")
-    rows = reps.withColumn("__i", F.row_number().over(over.orderBy(ident))).drop(label)
-    dealt = reps.withColumn("__i", F.row_number().over(over.orderBy(draw(F.col("rep"), F.col(ident), seed), ident))).select(*by, "rep", "__i", label)
-    return rows.join(dealt, [*by, "rep", "__i"]).drop("__i")
+    sample = with_counts(pairs.where(F.col(value).isNotNull()).select(*by, ident, value), by, ident, replicates, seed)
+    return interval(replicate_means(sample, by, [value], replicates), value, by)
 
 
 def permutation_test(df: DataFrame, within: list[str], label: str, features: list[str], ident: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
     """Mean pair similarity of the labels' profiles against labels dealt at random: ``observed, p, null_low, null_high``. p is the share of replicates at or above the observed value."""
-    stat = lambda d, keys: similarity_summary(profile_similarity(mean_profile(d, [*keys, label], features), label, keys), keys).select(*keys, "mean_sim")
-    observed = stat(df, within).withColumnRenamed("mean_sim", "observed")
-    null = stat(permuted(df.select(*within, ident, label, *features), within, ident, label, replicates, seed), [*within, "rep"])
+    stat = lambda profiles, keys: similarity_summary(profile_similarity(profiles, label, keys), keys).select(*keys, "mean_sim")
+    observed = stat(mean_profile(df, [*within, label], features), within).withColumnRenamed("mean_sim", "observed")
+    dealt = permuted_means(df.select(*within, ident, label, *features), within, ident, label, features, replicates, seed)
+    null = stat(dealt.withColumn("profile", F.array(*features)), [*within, "rep"])
     out = null.join(observed, within).groupBy(*within, "observed")
     return out.agg(F.avg((F.col("mean_sim") >= F.col("observed")).cast("double")).alias("p"), F.percentile("mean_sim", F.lit(0.025)).alias("null_low"), F.percentile("mean_sim", F.lit(0.975)).alias("null_high"))
 
 
 def fixed_token_repeats(projected: DataFrame, entity: list[str], ident: str, n: int, repeats: int, seed: int = 0, z: str = "z") -> DataFrame:
     """d-prime ``d`` per entity and ``rep`` on ``n`` tokens per class drawn without replacement (classes with fewer drop out). Tokens are numbers by now."""
-    rows = projected.select(*entity, "positive", ident, z).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    nth = F.row_number().over(Window.partitionBy(*entity, "positive", "rep").orderBy(draw(F.col("rep"), F.col(ident), seed), ident))
-    sample = rows.withColumn("__i", nth).where(F.col("__i") <= n)
-    sums = sample.groupBy(*entity, "rep", "positive").agg(F.avg(z).alias("m"), F.var_pop(z).alias("v"), F.count("*").alias("c")).where(F.col("c") == n)
+    drawn = smallest_draws(projected.where(F.col("positive").isNotNull()), [*entity, "positive"], ident, n, repeats, seed, z)
+    each = drawn.where(F.size("sample") == n).select(*entity, "rep", "positive", F.explode("sample.value").alias("__z"))
+    sums = each.groupBy(*entity, "rep", "positive").agg(F.avg("__z").alias("m"), F.var_pop("__z").alias("v"))
     both = sums.groupBy(*entity, "rep").agg(F.max(F.when(F.col("positive"), F.col("m"))).alias("p"), F.max(F.when(~F.col("positive"), F.col("m"))).alias("q"), F.avg("v").alias("v"), F.count("*").alias("k")).where("k = 2")
     return both.withColumn("d", F.when(F.sqrt("v") <= 1e-8, 0.0).otherwise(F.try_divide(F.abs(F.col("p") - F.col("q")), F.sqrt("v")))).select(*entity, "rep", "d")
 
@@ -109,42 +85,52 @@ def fixed_token_correlation(repeated: DataFrame, full: DataFrame, labels: DataFr
     return (out.join(whole, list(by), "left") if by else out.join(whole, F.lit(True), "left")).withColumn("difference", F.col("mean_rho") - F.col("full_rho"))
 
 
-def _own_axis(group: pd.DataFrame, budgets: list[int], keys: list[str]) -> pd.DataFrame:
-    """d-prime of one sample on its own axis, for nested budgets: with w = +-1/N on the sample, projections are K w / sqrt(w' K w)."""
-    group = group.sort_values("nth")
-    side = group["positive"].to_numpy(dtype=bool)
-    vectors = np.stack(group["embedding"].to_list()).astype(np.float64)
-    gram = vectors @ vectors.T
-    pos, neg, out = np.flatnonzero(side), np.flatnonzero(~side), []
-    for b in budgets:
-        if len(pos) < b or len(neg) < b:
-            continue
-        at = np.concatenate((pos[:b], neg[:b]))
-        k = gram[np.ix_(at, at)]
-        w = np.concatenate((np.full(b, 1 / b), np.full(b, -1 / b)))
-        length = np.sqrt(max(w @ k @ w, 0))
-        if length < 1e-8:
-            continue
-        z = k @ w / length
-        sd = np.sqrt((z[:b].var(ddof=1) + z[b:].var(ddof=1)) / 2)
-        out.append({x: group[x].iloc[0] for x in keys} | {"budget": b, "d": 0.0 if sd <= 1e-8 else float((z[:b].mean() - z[b:].mean()) / sd)})
-    return pd.DataFrame(out, columns=[*keys, "budget", "d"])
+def _mean_vector(vectors: Column) -> Column:
+    first = F.transform(vectors[0], lambda x: x.cast("double"))
+    total = F.aggregate(F.slice(vectors, F.lit(2), F.size(vectors)), first, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return F.transform(total, lambda x: x / F.size(vectors))
+
+
+def _moments(values: Column) -> Column:
+    """Mean and sample variance of an array of numbers."""
+
+    def of(xs: Column) -> Column:
+        mean = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+        return let(mean, lambda m: F.struct(m.alias("m"), F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)), F.size(xs) - 1).alias("v")))
+
+    return let(values, of)
+
+
+def own_axis_dprime(p: Column, q: Column) -> Column:
+    """Signed d-prime of two arrays of vectors along the line between their means, with sample variances: 0 where nothing varies, null where the means meet."""
+
+    def along(axis: Column) -> Column:
+        sides = F.struct(*[_moments(F.transform(side, lambda v: dot(v, axis))).alias(c) for side, c in ((p, "p"), (q, "q"))])
+
+        def ratio(s: Column) -> Column:
+            sd = F.sqrt((s["p"]["v"] + s["q"]["v"]) / 2)
+            return F.when(sd <= 1e-8, 0.0).otherwise((s["p"]["m"] - s["q"]["m"]) / sd)
+
+        return let(sides, ratio)
+
+    return let(unit(F.zip_with(_mean_vector(p), _mean_vector(q), lambda x, y: x - y)), lambda axis: F.when(axis.isNotNull(), along(axis)))
 
 
 def budget_sweep(classified: DataFrame, entity: list[str], ident: str, budgets: list[int], repeats: int, vec: str = "embedding", seed: int = 0) -> DataFrame:
     """Per entity, feature and budget: mean d-prime on own axes over ``repeats`` samples of ``budget`` tokens per class.
 
-    Tokens are ranked per replicate by their draw and only the largest budget's tokens of a class go on, so a group is
-    one sample whatever the number of tokens. Samples of larger budgets contain those of smaller ones.
+    Only the largest budget's tokens of a class are drawn (their ids first, then their vectors), so a group is one
+    sample whatever the number of tokens. Samples of larger budgets contain those of smaller ones.
     """
     keys = [*entity, "feature"]
-    rows = classified.where(F.col("positive").isNotNull()).select(*keys, "positive", F.col(ident).cast("long").alias("ident"), F.col(vec).alias("embedding"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    nth = F.row_number().over(Window.partitionBy(*keys, "positive", "rep").orderBy(draw(F.col("rep"), F.col("ident"), seed), "ident"))
-    sample = reps.withColumn("nth", nth).where(F.col("nth") <= max(budgets))
-    each = sample.groupBy(*keys, "rep").applyInPandas(lambda g: _own_axis(g, budgets, keys), f"{kinds}, budget int, d double")
-    return each.groupBy(*keys, "budget").agg(F.avg("d").alias("dprime"), F.count("*").cast("int").alias("n_reps"))
+    rows = classified.where(F.col("positive").isNotNull()).select(*keys, "positive", F.col(ident).cast("long").alias("__id"), F.col(vec).alias("__vec"))
+    drawn = smallest_draws(rows, [*keys, "positive"], "__id", max(budgets), repeats, seed).select(*keys, "positive", "rep", F.posexplode("sample.id").alias("__nth", "__id"))
+    met = drawn.join(rows, [*keys, "positive", "__id"])
+    side = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("__nth", "__vec")))), lambda x: x["__vec"])
+    both = met.groupBy(*keys, "rep").agg(side(F.col("positive")).alias("p"), side(~F.col("positive")).alias("q"))
+    each = both.withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).where((F.size("p") >= F.col("budget")) & (F.size("q") >= F.col("budget")))
+    d = own_axis_dprime(F.slice("p", F.lit(1), F.col("budget")), F.slice("q", F.lit(1), F.col("budget")))
+    return each.select(*keys, "budget", d.alias("d")).where("d IS NOT NULL").groupBy(*keys, "budget").agg(F.avg("d").alias("dprime"), F.count("*").cast("int").alias("n_reps"))
 
 
 def sweep_composite(sweep: DataFrame, entity: list[str], min_features: int = 3) -> DataFrame:
@@ -172,11 +158,28 @@ def control_sweep(df: DataFrame, over: str, within: list[str], features: list[st
     return similarity_summary(profile_similarity(rows, over, ["threshold", *within]), ["threshold", *within])
 
 
-def leave_one_out(df: DataFrame, key: str, stat, by: list[str]) -> DataFrame:
-    """``stat(df, keys)`` without each value of ``key`` in turn: ``held_out`` is one more key. ``key`` names data sets, whose list is one row."""
-    folds = df.agg(F.collect_set(key).alias("__folds"))
-    rows = df.where(F.col(key).isNotNull()).crossJoin(F.broadcast(folds))
-    return stat(rows.withColumn("held_out", F.explode(F.filter("__folds", lambda f: f != F.col(key)))).drop("__folds"), [*by, "held_out"])
+def _folds(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame, int]:
+    """``df`` with a value of ``key``, each row with ``counts``: 1 in the folds of all other values; the folds' names by ``rep``; their number. ``key`` names data sets, whose list is one row."""
+    names = written(df.agg(F.array_sort(F.collect_set(key)).alias("__folds")), "folds")
+    rows = df.where(F.col(key).isNotNull()).crossJoin(F.broadcast(names)).withColumn("counts", F.transform("__folds", lambda f: (f != F.col(key)).cast("int"))).drop("__folds")
+    by_number = names.select(F.posexplode("__folds").alias("__i", "held_out")).select((F.col("__i") + 1).alias("rep"), "held_out")
+    return rows, by_number, names.select(F.size("__folds")).first()[0]
+
+
+def lodo_spearman(df: DataFrame, key: str, x: str, y: str, by: list[str], min_n: int = 5) -> DataFrame:
+    """``held_out``, ``n`` and ``rho`` without each value of ``key`` in turn. No row is copied: a fold is one place of an array of weights."""
+    rows, folds, width = _folds(df.select(*by, key, x, y), key)
+    return replicate_spearman(rows, x, y, by, width, min_n).join(F.broadcast(folds), "rep").drop("rep")
+
+
+def lodo_kruskal(df: DataFrame, key: str, value: str, group: str, by: list[str], min_n: int = 5) -> DataFrame:
+    """``held_out, n, k, h, eps2`` without each value of ``key`` in turn; a fold takes the groups with ``min_n`` values of other data sets."""
+    rows, folds, width = _folds(df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*by, key, group, value), key)
+    sizes = rows.groupBy(*by, group, key, "counts").agg(F.count("*").alias("__n")).groupBy(*by, group).agg(F.collect_list(F.struct("counts", "__n")).alias("__own"))  # a row a data set
+    left = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate("__own", F.lit(0).cast("long"), lambda a, o: a + F.get(o["counts"], i) * o["__n"]) >= min_n)
+    taken = matched(rows, sizes.select(*by, group, left.alias("__large")), [*by, group])
+    taken = taken.withColumn("counts", F.zip_with("counts", "__large", lambda c, large: F.when(large, c).otherwise(0))).drop("__large")
+    return replicate_kruskal(taken, value, group, by, width).join(F.broadcast(folds), "rep").drop("rep")
 
 
 def stability(folds: DataFrame, full: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -189,7 +192,6 @@ def stability(folds: DataFrame, full: DataFrame, value: str, by: list[str]) -> D
 
 def lodo_both(df: DataFrame, key: str, x: str, y: str, group: str, by: list[str], min_n: int = 5) -> DataFrame:
     """rho and eps2 without each dataset, with the flag that both stay beyond their fixed limits, -0.3 and 0.1."""
-    rho = leave_one_out(df, key, lambda d, k: spearman(d, x, y, k, min_n).select(*k, "rho"), by)
-    eps = leave_one_out(df, key, lambda d, k: kruskal(d, x, group, k, min_n).select(*k, "eps2"), by)
+    rho = lodo_spearman(df, key, x, y, by, min_n).select(*by, "held_out", "rho")
+    eps = lodo_kruskal(df, key, x, group, by, min_n).select(*by, "held_out", "eps2")
     return rho.join(eps, [*by, "held_out"]).withColumn("holds", (F.col("rho") < -0.3) & (F.col("eps2") > 0.1))
-

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.tails import p_normal, t_quantile
 from ..sources.shared import shared_folder
 from .ranks import mann_whitney, spearman
+from .slices import quantiles
 
 
 def _weights(studies: DataFrame, by: list[str], rho: str, n: str) -> DataFrame:
@@ -51,7 +52,7 @@ def meta_hksj(pooled: DataFrame) -> DataFrame:
 
 def thresholds(long: DataFrame, level: str, by: list[str]) -> DataFrame:
     """Midpoints of the medians of adjacent levels: ``level_at, median, threshold`` (null for the last level)."""
-    med = long.where(F.col(level).isNotNull() & F.col("value").isNotNull()).groupBy(*by, level).agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    med = quantiles(long.where(F.col(level).isNotNull()), "value", [*by, level], {"median": 0.5})
     nxt = F.lead("median").over(Window.partitionBy(*by).orderBy(level))
     return med.select(*by, F.col(level).alias("level_at"), "median", ((F.col("median") + nxt) / 2).alias("threshold"))
 

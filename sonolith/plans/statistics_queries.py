@@ -380,8 +380,8 @@ def o74(spark, sf):
 @query("o78_leave_one_dataset_out", f"WITH {L}, h AS (SELECT l.*, held_out FROM l JOIN (SELECT DISTINCT dataset AS held_out FROM e) ON dataset <> held_out), r AS ({spearman_sql('h', 'value', 'sev', 'feature, held_out', 5, 'rho')}), a AS ({spearman_sql('l', 'value', 'sev', 'feature', 5, 'rho')}) SELECT r.feature, round(a.rho, 6) AS full_value, count(*) AS n_folds, round(min(r.rho), 6) AS low, round(max(r.rho), 6) AS high, bool_or(abs(r.rho - a.rho) > 0.05) AS moved, round(max(r.rho) - min(r.rho), 6) AS width, CASE WHEN max(r.rho) - min(r.rho) < 0.1 THEN 'YES' WHEN max(r.rho) - min(r.rho) < 0.15 THEN 'WEAK' ELSE 'NO' END AS stable FROM r JOIN a ON r.feature = a.feature GROUP BY r.feature, a.rho")
 def o78(spark, sf):
     lv = _levels(spark, sf)
-    rho = lambda d, k: ranks.spearman(d, "value", "sevd", k)
-    out = resampling.stability(resampling.leave_one_out(lv, "dataset", rho, ["feature"]), rho(lv, ["feature"]), "rho", ["feature"])
+    folds = resampling.lodo_spearman(lv, "dataset", "value", "sevd", ["feature"])
+    out = resampling.stability(folds, ranks.spearman(lv, "value", "sevd", ["feature"]), "rho", ["feature"])
     return rounded(out, "full_value", "low", "high", "width")
 
 

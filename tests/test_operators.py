@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonolith.operators import cohorts, metrics, ranks, reports, resampling, synthesis
+from sonolith.functions.scalars import draw
+from sonolith.operators import cohorts, metrics, ranks, replicates, reports, resampling, slices, synthesis
 
 
 def frame(spark, rows, schema):
@@ -76,10 +77,109 @@ def test_pooling_edges(spark):
     assert got == {0: (1, 2.0), 1: (1, 5.0), 3: (2, 8.5)}
 
 
-def test_permutation_keeps_label_counts(spark):
-    rows = frame(spark, [("g", i, "ab"[i % 2], float(i)) for i in range(11)], "grp string, id int, l string, v double")
-    got = resampling.permuted(rows, ["grp"], "id", "l", 4).groupBy("rep", "l").count().collect()
-    assert {(r["l"], r["count"]) for r in got} == {("a", 6), ("b", 5)}
+def test_permuted_labels_against_sorting(spark, monkeypatch):
+    """Blocks and ranges of hashes of a few rows; label counts stay, rows without a label keep their place."""
+    monkeypatch.setattr(replicates, "CELLS", 40)
+    monkeypatch.setattr(replicates, "DRAWN", 24)
+    labels = ["a", "b", "c", None]
+    rows = [(k, 3 * i + 1, labels[i % (2 + k)], float(i * i), None if i % 5 == 0 else float(i)) for k in (0, 1, 2) for i in range(11 + 7 * k)]
+    got = {(r["grp"], r["rep"], r["l"]): (r["v"], r["w"]) for r in replicates.permuted_means(frame(spark, rows, "grp int, id int, l string, v double, w double").repartition(4), ["grp"], "id", "l", ["v", "w"], 4, 9).collect()}
+    hand = {}
+    for k in (0, 1, 2):
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: r[1])
+        for rep in range(1, 5):
+            dealt = sorted(own, key=lambda r: (int(replicates.draws(np.array(rep), np.array(r[1]), 9)), r[1]))
+            for name in "abc":
+                its = [r for r, d in zip(own, dealt, strict=True) if d[2] == name]
+                if its:
+                    w = [r[4] for r in its if r[4] is not None]
+                    hand[k, rep, name] = (pytest.approx(np.mean([r[3] for r in its])), pytest.approx(np.mean(w)) if w else None)
+    assert got == hand
+
+
+def drawn_by_hand(size, rep, seed):
+    return [int(replicates.draws(np.array(rep), np.array(p), seed)) % size for p in range(size)]
+
+
+def test_draws_are_those_of_the_column_function(spark):
+    got = spark.range(200).select(draw(F.lit(7), F.col("id"), 3).alias("x")).collect()
+    assert [r["x"] for r in got] == replicates.draws(np.array(7), np.arange(200), 3).tolist()
+
+
+def test_weights_of_replicates_against_drawing(spark, monkeypatch):
+    """Counts, means and rank correlations of bootstrap samples in blocks and slices of a few rows, with ties, nulls and a constant side."""
+    monkeypatch.setattr(replicates, "CELLS", 60)
+    monkeypatch.setattr(replicates, "DRAWN", 30)
+    rng = np.random.default_rng(4)
+    rows = [(k, i, float(rng.integers(0, 6)), None if i % 9 == 4 else float(rng.normal()) if k else 1.0) for k in range(3) for i in range(20 + 5 * k)]
+    df = frame(spark, rows, "k int, id int, x double, y double").repartition(5)
+    counted = replicates.with_counts(df, ["k"], "id", 6, 2)
+    counts = {(r["k"], r["id"]): list(r["counts"]) for r in counted.collect()}
+    means = {(r["k"], r["rep"]): (r["x"], r["y"]) for r in replicates.replicate_means(counted, ["k"], ["x", "y"], 6).collect()}
+    rhos = {(r["k"], r["rep"]): (r["n"], r["rho"]) for r in replicates.replicate_spearman(counted, "x", "y", ["k"], 6).collect()}
+    for k in range(3):
+        own = [r for r in rows if r[0] == k]
+        for rep in range(1, 7):
+            hits = drawn_by_hand(len(own), rep, 2)
+            assert [counts[k, i][rep - 1] for i in range(len(own))] == [hits.count(i) for i in range(len(own))]
+            sample = [own[h] for h in hits]
+            ys = [r[3] for r in sample if r[3] is not None]
+            assert means[k, rep] == (pytest.approx(np.mean([r[2] for r in sample])), pytest.approx(np.mean(ys)))
+            both = [(r[2], r[3]) for r in sample if r[3] is not None]
+            assert rhos[k, rep] == (len(both), pytest.approx(rank_correlation(*zip(*both, strict=True))) if k else None)
+
+
+def mean_ranks(xs):
+    return np.array([sum(x < v for x in xs) + (sum(x == v for x in xs) + 1) / 2 for v in xs])
+
+
+def rank_correlation(xs, ys):
+    return np.corrcoef(mean_ranks(xs), mean_ranks(ys))[0, 1]
+
+
+def test_folds_without_copies(spark):
+    """Correlation and group test without each data set, against leaving it out; small groups drop out of a fold by its own counts."""
+    rng = np.random.default_rng(7)
+    rows = [("f", f"d{i % 3}", f"g{i * i % 4}", float(rng.integers(0, 9)), float(rng.integers(0, 4))) for i in range(50)] + [("f", "d1", "rare", 1.0, 2.0)] * 4 + [("f", "d2", "rare", 3.0, 2.0), ("f", "d2", "rare", 4.0, 2.0)]
+    df = frame(spark, rows, "feature string, d string, g string, v double, y double")
+    rho = {r["held_out"]: (r["n"], r["rho"]) for r in resampling.lodo_spearman(df, "d", "v", "y", ["feature"]).collect()}
+    kw = {r["held_out"]: (r["n"], r["k"], r["h"], r["eps2"]) for r in resampling.lodo_kruskal(df, "d", "v", "g", ["feature"]).collect()}
+    assert set(rho) == set(kw) == {"d0", "d1", "d2"}
+    for out in rho:
+        left = [r for r in rows if r[1] != out]
+        assert rho[out] == (len(left), pytest.approx(rank_correlation([r[3] for r in left], [r[4] for r in left])))
+        one = ranks.kruskal(df.where(F.col("d") != out), "v", "g", ["feature"]).first()
+        assert kw[out] == (one["n"], one["k"], pytest.approx(one["h"]), pytest.approx(one["eps2"]))
+
+
+def test_smallest_draws_across_tasks(spark):
+    rows = [(i % 3, i, float(i)) for i in range(400)]
+    got = {(r["k"], r["rep"]): [(x["id"], x["value"]) for x in r["sample"]] for r in replicates.smallest_draws(frame(spark, rows, "k int, id int, z double").repartition(7), ["k"], "id", 12, 5, 1, "z").collect()}
+    for (k, rep), sample in got.items():
+        order = sorted((r[1] for r in rows if r[0] == k), key=lambda i: (int(replicates.draws(np.array(rep), np.array(i), 1)), i))
+        assert sample == [(i, float(i)) for i in order[:12]]
+    assert len(got) == 15
+
+
+def test_quantiles_against_numpy(spark):
+    """The linear rule over several slices, with ties, nulls, NaN, a null key and a key of one value."""
+    rng = np.random.default_rng(8)
+    rows = [(k, float(x)) for k in ("a", "b", None) for x in np.round(rng.normal(size=301), 1)] + [("a", None), ("a", math.nan), ("one", 5.0), ("none", None)]
+    wanted = {"low": 0.0, "q": 0.1, "median": 0.5, "up": 0.973, "high": 1.0}
+    got = {r["k"]: r for r in slices.quantiles(frame(spark, rows, "k string, v double").repartition(6), "v", ["k"], wanted).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for k, r in got.items():
+        values = [v for kk, v in rows if kk == k and v is not None and not math.isnan(v)]
+        assert [r[c] for c in wanted] == pytest.approx([np.quantile(values, p) for p in wanted.values()])
+    assert slices.quantiles(frame(spark, [(None,)], "v double"), "v", [], {"q": 0.5}).first()["q"] is None
+
+
+def test_numbers_follow_the_order(spark):
+    rows = [(i % 2, (i * 37) % 101) for i in range(101)]
+    got = slices.numbered(frame(spark, rows, "k int, id int").repartition(5), ["k"], "id").collect()
+    for k in (0, 1):
+        assert [r["id"] for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["pos"])] == sorted(i for kk, i in rows if kk == k)
+    assert {(r["k"], r["size"]) for r in got} == {(0, 51), (1, 50)}
 
 
 def test_bootstrap_does_not_depend_on_partitions(spark):
@@ -177,14 +277,18 @@ def test_adjustment_modes(spark):
     assert abs(reports.adjustment_report(reports.regress_out(rows, "n", ["feature"]), "n", ["feature"]).first()["after"]) < 1e-9
 
 
-def test_budget_sweep_groups_hold_one_sample(spark, monkeypatch):
-    from sonolith.operators import resampling
-
-    def limited(group, budgets, *rest, real=resampling._own_axis):
-        assert len(group) <= 2 * max(budgets)
-        return real(group, budgets, *rest)
-
-    monkeypatch.setattr(resampling, "_own_axis", limited)
-    rows = spark.range(400).selectExpr("id", "1 AS spk", "'c' AS feature", "id % 2 = 0 AS positive", "array(double(id % 7), double(id % 2), double(id % 5)) AS embedding")
-    got = resampling.budget_sweep(rows, ["spk"], "id", [5, 15], 4).collect()
-    assert sorted((r["budget"], r["n_reps"]) for r in got) == [(5, 4), (15, 4)]
+def test_budget_sweep_against_numpy(spark):
+    """Nested samples of the drawn tokens, each on its own axis; no sample is larger than the largest budget."""
+    rows = spark.range(400).selectExpr("id", "1 AS spk", "'c' AS feature", "id % 2 = 0 AS positive", "array(float(id % 7), float(id % 2), float(id % 5)) AS embedding")
+    got = {r["budget"]: r for r in resampling.budget_sweep(rows, ["spk"], "id", [5, 15, 201], 4).collect()}
+    drawn = replicates.smallest_draws(rows, ["positive"], "id", 15, 4).collect()
+    assert {len(r["sample"]) for r in drawn} == {15}
+    hand = {5: [], 15: []}
+    for rep in range(1, 5):
+        vectors = {r["positive"]: np.array([[x["id"] % 7, x["id"] % 2, x["id"] % 5] for x in r["sample"]], dtype=float) for r in drawn if r["rep"] == rep}
+        for b, out in hand.items():
+            p, q = vectors[True][:b], vectors[False][:b]
+            axis = p.mean(axis=0) - q.mean(axis=0)
+            axis /= np.linalg.norm(axis)
+            out.append(((p @ axis).mean() - (q @ axis).mean()) / np.sqrt(((p @ axis).var(ddof=1) + (q @ axis).var(ddof=1)) / 2))
+    assert {b: (r["n_reps"], r["dprime"]) for b, r in got.items()} == {b: (4, pytest.approx(np.mean(d))) for b, d in hand.items()}
