@@ -24,9 +24,9 @@ cover the wanted ids are expanded (:func:`decode_range`, :func:`read_range`).
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,9 +50,7 @@ CACHE_WORDS = 700_000  # remembered by a worker, twice at most
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # a special token's string in a text is ordinary text
-    return made
+    return Tokenizer.from_file(path)
 
 
 def _byte_characters() -> dict[int, str]:
@@ -68,47 +66,60 @@ class Encoder:
     The tokenizer's pattern never joins a character that is not white space with white space after it, so a text
     without two white-space characters in a row falls apart at each blank and line end. A part that was not met lately
     is cut by the tokenizer's pattern and given to the library's model, which is a third of the cost of a full call;
-    other texts go to the library whole. A part is remembered with the blank or the line end before it.
+    other texts go to the library whole, as do texts that hold the string of an added token, and all texts of a
+    tokenizer that is not byte-level BPE by that pattern. A part is remembered with the blank or the line end before it.
     """
 
     _adjacent = re.compile(r"\s\s")
     _blank = bytes(0x20 if c in b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f " else c for c in range(256))
     _rare_blanks = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")  # where white space beyond ASCII starts
+    _signs = ".,;:!?#$%&*+-/<=>@^_|~()[]{}"
     _characters = _byte_characters()
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind["pre_tokenizer"] or {}
+        self.in_parts = kind["model"]["type"] == "BPE" and not kind["normalizer"] and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == ("ByteLevel", False, True)
+        self.added = [t["content"] for t in kind["added_tokens"]]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.blank = self._characters[0x20]
-        self.signs = {sign: self._pieces(sign) for sign in ".,;:!?"}
+        self.tails: dict[str, bytes] = {}
+        self._bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> bytes:
-        if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):  # one piece
-            return array("I", [t.id for t in self.model.tokenize(self.blank + text[1:] if text[0] == " " else text)]).tobytes()
         written = [piece.encode().decode("latin-1").translate(self._characters) for piece in self.pattern.findall(text)]
-        return array("I", [t.id for piece in written for t in self.model.tokenize(piece)]).tobytes()
+        return b"".join([self._bytes[t.id] for piece in written for t in self.model.tokenize(piece)])
 
     def _part(self, part: str) -> bytes:
         """Ids of a blank and ``part``, or of a part that starts with a line end."""
         found = self.old.get(part)
         if found is None:
-            if part[:1] == "\n":
+            if part.isalpha() and (part.isascii() or max(part) < "\u0250"):  # one piece; beyond, libraries may differ in what a letter is
+                written = part if part.isascii() else part.encode().decode("latin-1").translate(self._characters)
+                found = b"".join([self._bytes[t.id] for t in self.model.tokenize(self.blank + written)])
+            elif part[:1] == "\n":
                 found = self._pieces("\n") + (self._pieces(part[1:]) if len(part) > 1 else b"")
-            elif len(part) > 2 and part[-1] in self.signs and part[-2].isalpha():
-                # the pattern always cuts between a letter and such a sign: the word without it is often known
-                found = (self.new.get(part[:-1]) or self._part(part[:-1])) + self.signs[part[-1]]
+            elif (stem := part.rstrip(self._signs)) != part and stem.isalpha():
+                # the pattern always cuts between a letter and signs, and signs are one piece: the word without them is often known
+                tail = part[len(stem) :]
+                if (ending := self.tails.get(tail)) is None:
+                    ending = self.tails[tail] = self._pieces(tail)
+                found = (self.new.get(stem) or self._part(stem)) + ending
             else:
                 found = self._pieces(" " + part)
         if len(self.new) >= CACHE_WORDS:  # words not met for long are forgotten
-            self.old, self.new = self.new, {}
+            self.old, self.new, self.tails = self.new, {}, {}
         self.new[part] = found
         return found
 
     def _whole(self, text: str) -> bool:
-        """Whether two white-space characters meet somewhere, or may."""
+        """Whether the text does not fall apart at its blanks: two white-space characters meet somewhere, or may."""
+        if not self.in_parts or any(a in text for a in self.added):
+            return True
         raw = text.encode()
         if b"  " in raw.translate(self._blank):
             return True
@@ -125,7 +136,7 @@ class Encoder:
             found[at] = self.new.get(parts[at]) or self._part(parts[at])
         if first:
             found.insert(0, (self.new.get("\n" + first) or self._part("\n" + first))[4:])
-        return np.frombuffer(b"".join(found), dtype=np.uint32)
+        return np.frombuffer(b"".join(found), dtype="<u4")
 
 
 @lru_cache(maxsize=1)

@@ -136,12 +136,17 @@ def test_op2_files_hold_the_ids(spark, sf, rows):
 
 
 def test_op2_encoder_equals_library():
-    t = repair._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     e = repair.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert e.encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
     r = random.Random(0)
-    texts = ["", " ", "\n", "a  b", " a\n", "a \nb", "x\0y", "<|endoftext|> it's", "it's. I'll, we've!", "x　y z ", *("".join(r.choice("ab'.,!1é \n\t漢") for _ in range(r.randint(1, 60))) for _ in range(400))]
+    texts = ["Théa&&& naïve!! THE.!! ma\u0301n-- ǅ. 漢字, Ωmega### a_b x2 &&& 5% _x", *("".join(r.choice(["word", "é", "ß", "ω", "漢", "&&&", "!!", ".", "'s", "7", " ", "\n", "_", "\u0301", "\U0001e4d0", "\U0001f600"]) for _ in range(r.randint(1, 25))) for _ in range(1500)),"", " ", "\n", "a  b", " a\n", "a \nb", "x\0y", "<|endoftext|> it's", "it's. I'll, we've!", "x　y z ", *("".join(r.choice("ab'.,!1é \n\t漢") for _ in range(r.randint(1, 60))) for _ in range(400))]
     for x in texts:
         assert e.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids, x
+    other = public_tokenizers.path("word_bpe_49k.json")  # not byte-level: texts go to the library whole
+    assert repair.Encoder(other).encode("It's a  Word").tolist() == Tokenizer.from_file(other).encode("It's a  Word", add_special_tokens=False).ids
 
 
 def test_op2_compression_and_random_access():
