@@ -3,8 +3,9 @@
 The best path maximises the sum of the pieces' scores in the model file; among equal sums the path whose last piece
 is longest. A character without any piece is written as its UTF-8 bytes, at a score below every piece. The search
 keeps a window only: a start position is settled once ``longest`` characters after it are known, and ids are committed
-as soon as all surviving backpointer paths run through one boundary. Where no piece reaches over a boundary that is at
-once the case; otherwise the paths are traced back whenever the window has grown by its own bound.
+as soon as all surviving backpointer paths run through one boundary, which is looked for after each chunk. In periodic
+text paths may stay apart to its end (each remainder of the period has its own). Its scores are still those of a bounded
+window; its back pointers wait, two bytes for a character, and are traced once.
 
 Where no piece holds the blank sign but at its start, every blank is such a boundary. The words between blanks are
 then independent, and a worker remembers the ids of those met lately.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -62,67 +64,87 @@ class Pieces:
         plain = [i for i in all_ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         return cls(((i, m.id_to_piece(i), m.get_score(i)) for i in plain), {int(m.id_to_piece(i)[3:5], 16): i for i in all_ids if m.is_byte(i)})
 
-    def _path(self, text: str, back: list[tuple[int, int]], stop: int) -> list[int]:
+    def _path(self, text: str, lengths: array, stop: int) -> list[int]:
         """Ids of the best path to ``stop``."""
         out: list[list[int]] = []
         while stop:
-            start, id_ = back[stop]
-            out.append([id_] if id_ >= 0 else [self.byte_ids[b] for b in text[start:stop].encode("utf-8", "replace")])
-            stop = start
+            piece = text[stop - lengths[stop] : stop]
+            id_ = self.prefixes.get(piece, -1)
+            out.append([id_] if id_ >= 0 else [self.byte_ids[b] for b in piece.encode("utf-8", "replace")])
+            stop -= len(piece)
         return [i for ids in reversed(out) for i in ids]
 
     @staticmethod
-    def _meeting(back: list[tuple[int, int]], live: range) -> int:
-        """The last boundary that the paths to all of ``live`` share; 0 if they share none."""
-        ends = set(live)
-        while len(ends) > 1:
-            ends.remove(most := max(ends))
-            ends.add(back[most][0])
-        return ends.pop()
+    def _meeting(lengths: array, live: set[int], least: int) -> int:
+        """The last boundary that the paths to all of ``live`` share; 0 if that lies before ``least``."""
+        while len(live) > 1:
+            live.remove(most := max(live))
+            if most < least:
+                return 0
+            live.add(most - lengths[most])
+        return live.pop()
 
     def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of a text that comes in pieces, in order, each list as soon as its ids are certain. Holds a few ``longest`` characters."""
+        """Ids of a text that comes in pieces, in order, each list as soon as its ids are certain.
+
+        Holds scores of ``longest`` places, and of what is not certain yet the characters and one small number for each
+        (the length of the best piece that ends there). Paths are followed back over ``4 * longest`` characters and a
+        chunk at most, and once from the end, so the time is linear also where they never meet.
+        """
         prefixes, scores, longest, unknown = self.prefixes, self.scores, self.longest, self.unknown
-        window, score, back, i = "", [0.0], [(0, 0)], 0
-
-        def settle(stop: int) -> Iterator[list[int]]:
-            nonlocal window, score, back, i
-            while i < stop:
-                base = score[i]
-                j, sub = i + 1, window[i]
-                if (id_ := prefixes.get(sub, -2)) >= 0:
-                    candidate = base + scores[id_]
-                else:
-                    candidate = base + unknown
+        text, past, before = "", [], 0  # settled parts since the last commit and their length; what is ahead
+        score, lengths = [0.0], array("H", [0])  # from the first place ahead on; from the last commit on
+
+        def settle(stop: int) -> None:
+            nonlocal text, before
+            n = len(text)
+            for i in range(stop):
+                base, j = score[i], i + 1
+                id_ = prefixes.get(text[i], -2)
+                candidate = base + (scores[id_] if id_ >= 0 else unknown)
                 if j == len(score):
                     score.append(candidate)
-                    back.append((i, id_))
+                    lengths.append(1)
                 elif candidate > score[j]:
-                    score[j], back[j] = candidate, (i, id_)
-                while id_ != -2 and j < len(window):
+                    score[j], lengths[before + j] = candidate, 1
+                while id_ != -2 and j < n:
                     j += 1
-                    id_ = prefixes.get(window[i:j], -2)
+                    id_ = prefixes.get(text[i:j], -2)
                     if id_ >= 0:
                         candidate = base + scores[id_]
                         while j > len(score):  # not reached yet by any piece
                             score.append(-np.inf)
-                            back.append((0, -1))
+                            lengths.append(0)
                         if j == len(score):
                             score.append(candidate)
-                            back.append((i, id_))
+                            lengths.append(j - i)
                         elif candidate > score[j]:
-                            score[j], back[j] = candidate, (i, id_)
-                i += 1
-                cut = i if len(score) == i + 1 else self._meeting(back, range(i, len(score))) if i >= 4 * longest and i % longest == 0 else 0
-                if cut:
-                    yield self._path(window, back, cut)
-                    window, stop, i = window[cut:], stop - cut, i - cut
-                    score, back = score[cut:], [(max(a - cut, 0), id_) for a, id_ in back[cut:]]
+                            score[j], lengths[before + j] = candidate, j - i
+            if stop > 0:
+                past.append(text[:stop])
+                text, before = text[stop:], before + stop
+                del score[:stop]
+
+        def certain(chunk: int) -> list[int]:
+            """Commits up to where all surviving paths meet."""
+            nonlocal past, before, lengths
+            live = {before + k for k, x in enumerate(score) if x > -np.inf}  # a place not reached yet will be from these
+            cut = self._meeting(lengths, live, before - 4 * longest - chunk)
+            if not cut:
+                return []
+            whole = "".join(past)
+            out = self._path(whole, lengths, cut)
+            past, before, lengths = [whole[cut:]], before - cut, array("H", [0]) + lengths[cut + 1 :]
+            return out
 
         for chunk in chunks:
-            window += chunk
-            yield from settle(len(window) - longest + 1)
-        yield from settle(len(window))
+            text += chunk
+            settle(len(text) - longest + 1)
+            if before and (ids := certain(len(chunk))):
+                yield ids
+        settle(len(text))
+        if before:
+            yield self._path("".join(past), lengths, before)
 
     def search(self, text: str) -> list[int]:
         return [i for ids in self.stream(text[at : at + FEED] for at in range(0, len(text), FEED)) for i in ids]
