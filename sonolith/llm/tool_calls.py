@@ -35,28 +35,46 @@ def _is(value: object, kind: str) -> bool:
     return isinstance(value, _TYPES.get(kind, object))
 
 
-def validate(value: object, schema: dict, at: str = "$") -> list[str]:
-    """Errors of a value against a schema (type, required, properties, additionalProperties, items, enum, minimum, maximum). A reference fits any schema."""
-    if isinstance(value, dict) and set(value) == {"$ref"}:
+def usable(schema: object) -> bool:
+    """Whether :func:`validate` can read a schema: true, false, or an object whose known keywords are of the right kind, all the way down. Other keywords are not looked at."""
+    if isinstance(schema, bool):
+        return True
+    if not isinstance(schema, dict):
+        return False
+    kinds = schema.get("type", [])
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    required, properties = schema.get("required", []), schema.get("properties", {})
+    return (
+        all(isinstance(k, str) and k in (*_TYPES, "number", "integer") for k in kinds)
+        and isinstance(required, list) and all(isinstance(k, str) for k in required)
+        and isinstance(properties, dict) and all(map(usable, properties.values()))
+        and isinstance(schema.get("enum", []), list)
+        and all(_is(schema.get(k, 0), "number") for k in ("minimum", "maximum"))
+        and all(usable(schema.get(k, True)) for k in ("items", "additionalProperties"))
+    )
+
+
+def validate(value: object, schema: dict | bool, at: str = "$") -> list[str]:
+    """Errors of a value against a usable schema (type, required, properties, additionalProperties, items, enum, minimum, maximum; true admits all, false nothing). A reference fits any schema."""
+    if schema is False:
+        return [f"{at}: not allowed"]
+    if schema is True or (isinstance(value, dict) and set(value) == {"$ref"}):
         return []
     kinds = schema.get("type", [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at}: not of type {'|'.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(value == e and isinstance(value, bool) == isinstance(e, bool) for e in schema["enum"]):
         out.append(f"{at}: not one of the allowed values")
     if _is(value, "number"):
         out += [f"{at}: less than {schema['minimum']}"] if value < schema.get("minimum", -math.inf) else []
         out += [f"{at}: more than {schema['maximum']}"] if value > schema.get("maximum", math.inf) else []
     if isinstance(value, dict):
-        properties = schema.get("properties", {})
+        properties, others = schema.get("properties", {}), schema.get("additionalProperties", True)
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
-            if k in properties:
-                out += validate(value[k], properties[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{at}.{k}: not allowed")
+            out += validate(value[k], properties.get(k, others), f"{at}.{k}")
     if isinstance(value, list) and "items" in schema:
         out += [e for i, v in enumerate(value) for e in validate(v, schema["items"], f"{at}[{i}]")]
     return out
@@ -96,8 +114,13 @@ def references(value: object) -> list[str]:
 
 
 @lru_cache(maxsize=256)
-def _schema(text: str) -> dict:
-    return json.loads(text)
+def _schema(text: str) -> dict | bool | None:
+    """The schema; None if the text is not JSON or the schema is not usable."""
+    try:
+        schema = parse(text)
+        return schema if usable(schema) else None
+    except (RecursionError, ValueError):
+        return None
 
 
 def check(arguments: str | None, schema: str | None) -> tuple[str, list[str], list[str]]:
@@ -106,7 +129,8 @@ def check(arguments: str | None, schema: str | None) -> tuple[str, list[str], li
     try:
         value = parse(raw)
         written = canonical(value)
-        errors = ["tool: unknown"] if schema is None else validate(value, _schema(schema))
+        read = None if schema is None else _schema(schema)
+        errors = ["tool: unknown"] if schema is None else ["tool: bad schema"] if read is None else validate(value, read)
         return written, [_SURROGATE.sub("\ufffd", e) for e in errors], references(value)
     except RecursionError:
         return canonical(raw), ["$: nested too deeply"], []
@@ -197,7 +221,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, in
     repeated. Of several results the first counts, ties by content. A reference means the call that counts.
     Calls without conversation or identifier are pending; results without either are dropped. Null arguments are an
     empty object; what is not JSON or nested too deeply is an error and stays text in the record. Unknown tools and
-    unknown references are errors; of several schemas of a name the smallest text counts. Empty tables give no rows.
+    unknown references are errors; of several schemas of a name the smallest text counts, and one that is not JSON or
+    not of the right kind is the error ``tool: bad schema`` of every call of the tool. Empty tables give no rows.
     """
     tools = schemas.where("name IS NOT NULL").groupBy("name").agg(F.min("schema").alias("schema"))
 
