@@ -120,6 +120,8 @@ class Encoder:
         """Whether the text does not fall apart at its blanks: two white-space characters meet somewhere, or may."""
         if not self.in_parts or any(a in text for a in self.added):
             return True
+        if text.replace("\n", "").isprintable():  # then blanks and line ends are its only white space
+            return "  " in text.replace("\n", " ")
         raw = text.encode()
         if b"  " in raw.translate(self._blank):
             return True
@@ -254,18 +256,36 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT) -> tup
     return terminals.astype(np.uint32), np.concatenate(rules).astype(kind), size[t:], pairs.symbol[kept].astype(kind), np.searchsorted(kept, ends)
 
 
-def decode(terminals: np.ndarray, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The ids that ``symbols`` stand for. ``lengths`` give each symbol its place in the output; only nonterminals are opened further."""
-    t = len(terminals)
-    size = np.concatenate((np.ones(t, dtype=np.int64), lengths))
-    symbols = symbols.astype(np.int64)
-    end = np.cumsum(size[symbols])
-    out, at = np.empty(end[-1] if len(end) else 0, dtype=np.uint32), end - size[symbols]
+FLAT = 64  # rules that expand to no more ids are expanded once and copied
+
+
+def _opened(terminals: np.ndarray, rules: np.ndarray, size: np.ndarray, symbols: np.ndarray, ends: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(symbols, places in the output) until all expand to ``most`` ids at most; ``ends``: where each symbol's expansion ends."""
+    t, at = len(terminals), ends - size[symbols]
     while len(symbols):
-        plain = symbols < t
-        out[at[plain]] = terminals[symbols[plain]]
-        rule, at = rules[symbols[~plain] - t].astype(np.int64), at[~plain]
+        short = size[symbols] <= most
+        yield symbols[short], at[short]
+        rule, at = rules[symbols[~short] - t].astype(np.int64), at[~short]
         symbols, at = rule.ravel(), np.stack((at, at + size[rule[:, 0]]), axis=1).ravel()
+
+
+def decode(terminals: np.ndarray, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The ids that ``symbols`` stand for. ``lengths`` give each symbol its place in the output; long rules are opened, short ones copied from their expansion."""
+    t = len(terminals)
+    size, symbols = np.concatenate((np.ones(t, dtype=np.int64), lengths)), symbols.astype(np.int64)
+    copied = np.flatnonzero(size <= FLAT)
+    starts = np.zeros(len(size), dtype=np.int64)
+    starts[copied] = np.cumsum(size[copied]) - size[copied]
+    flat = np.empty(int(size[copied].sum()), dtype=np.uint32)
+    for plain, at in _opened(terminals, rules, size, copied, starts[copied] + size[copied], 1):
+        flat[at] = terminals[plain]
+    ends = np.cumsum(size[symbols])
+    out = np.empty(ends[-1] if len(ends) else 0, dtype=np.uint32)
+    for short, at in _opened(terminals, rules, size, symbols, ends, FLAT):
+        n = size[short]
+        before = np.cumsum(n) - n
+        step = np.arange(int(n.sum()))
+        out[np.repeat(at - before, n) + step] = flat[np.repeat(starts[short] - before, n) + step]
     return out
 
 
