@@ -37,19 +37,38 @@ def join_spread(rows: DataFrame, unique: DataFrame, keys: list[str], weight: str
     return near.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
 
 
+FILTER_BITS = 26
+
+
+def split_by_filter(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``key`` is surely not a key of ``wanted``, and the others (a few too many), which then meet ``wanted`` in a shuffle.
+
+    The filter has one bit for each of 2^26 hashes, in at most 2^20 words of 64 bits, so it is broadcast at any size.
+    With many more keys than bits it lets every row through, and the shuffle decides alone.
+    """
+    place = lambda: F.xxhash64(key).bitwiseAND((1 << FILTER_BITS) - 1)
+    bit = lambda: F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__place").bitwiseAND(63).cast("int"))
+    word = F.shiftright("__place", 6).alias("__word")
+    words = staged(wanted.select(place().alias("__place")).groupBy(word).agg(F.bit_or(bit()).alias("__bits")), "filter")
+    seen = rows.withColumn("__place", place()).withColumn("__word", word).join(F.broadcast(words), "__word", "left")
+    hit = F.col("__bits").isNotNull() & (F.col("__bits").bitwiseAND(bit()) != 0)
+    return seen.where(~hit).select(*rows.columns), seen.where(hit).select(*rows.columns)
+
+
 def drop_marked(docs: DataFrame, mark: Column, marked: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``mark`` is not in ``marked``, and one row for each mark that ``stays`` there.
 
     ``marked``: (``mark``, ``stays``), each mark once, a written table. Rows are carried as one column, so no name can
-    clash. The marks grow with the rows, so the two meet in a shuffle at every size.
+    clash. Rows that pass the filter of marks stay where they are; only those that it holds back, which are the marked
+    ones and few others, are shuffled.
     """
-    plain = docs.select(mark.alias("mark"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
-    same = plain["mark"].eqNullSafe(marked["mark"])
-    kept = plain.join(marked.hint("merge"), same, "left_anti").select("row")
-    again = plain.join(marked.where("stays"), same, "left_semi")
+    quoted = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    plain = docs.select(mark.alias("mark"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(quoted)]).alias("row"))
+    clear, held = split_by_filter(plain, "mark", marked)
+    met = held.join(marked.hint("merge"), held["mark"].eqNullSafe(marked["mark"]), "left").select(held["mark"], "row", "stays")
     nth = F.row_number().over(Window.partitionBy("mark").orderBy(F.xxhash64(*[F.col(f"row.c{i}").cast("string") for i in range(len(docs.columns))])))
-    once = again.withColumn("nth", nth).where("nth = 1").select("row")
-    return kept.unionByName(once).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    kept = met.withColumn("nth", nth).where("stays IS NULL OR (stays AND nth = 1)").select("row")
+    return clear.select("row").unionByName(kept).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def let(value: Column, body) -> Column:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, drop_marked, join_spread, staged
+from .common import documents_of, drop_marked, join_spread, split_by_filter, staged
 
 SEED = 42
 CHUNK = 100_000  # shingles hashed at once
@@ -174,7 +174,11 @@ def _distance(a: str, b: str) -> Column:
 
 
 def _node(prefix: str = "") -> Column:
-    return F.xxhash64(*[F.col(f"{prefix}{c}") for c in FP])
+    return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in FP])
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(text, "utf-8"), 256))
 
 
 def _entries(nodes: DataFrame, *others: str) -> DataFrame:
@@ -244,8 +248,10 @@ def _similar(nodes: DataFrame, texts: DataFrame, words_per_shingle: int) -> Data
                 yield pa.record_batch([part.column("node"), pa.array([shingles_of(x.as_py(), words_per_shingle).view(np.int64) for x in part.column("text")], pa.list_(pa.int64()))], names=["node", "hashes"])
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "text_hash")
-        return staged(texts.join(wanted.hint("merge"), "text_hash").select("node", "text").mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingle-sets")
+        wanted = staged(named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "text_hash"), "wanted-texts")
+        _, likely = split_by_filter(texts, "text_hash", wanted)  # only these are shuffled
+        met = likely.join(wanted.hint("merge"), "text_hash").dropDuplicates(["text_hash"])
+        return staged(met.select("node", "text").mapInArrow(run, "node struct<s0:long,s1:long,s2:long>, hashes array<long>"), "shingle-sets")
 
     led = staged(_with_leaders(nodes), "led-pairs")
     found = staged(_verified(led, sets_of(led)), "similar")
@@ -263,18 +269,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Candidates come from multi-index hashing of 192-bit fingerprints, each link is verified by the whole shingle sets.
     Texts without words (null, empty, white space) are one group. Null ids lose against any other. Columns may have any
-    names. An empty table gives no rows. Texts are not shuffled: the rows that go are found by id and text hash, and
-    only rows that repeat both are counted.
+    names. An empty table gives no rows. Fingerprints and digests stand for themselves at full width. Texts are shuffled
+    where they have a candidate or go, and a few more that a filter lets through.
     """
     text, kind = F.coalesce(F.col(text_col), F.lit("")), docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("text_hash", _digest(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = np.array([wide_fingerprint(shingles_of(x.as_py(), words_per_shingle)) for x in b.column("text")], dtype=np.int64).reshape(-1, 3)
             yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), *(pa.array(np.ascontiguousarray(prints[:, j])) for j in range(3))], names=["doc_id", "text_hash", *FP])
 
-    prints = staged(own.mapInArrow(run, f"doc_id {kind}, text_hash long, s0 long, s1 long, s2 long"), "wide-prints")
+    prints = staged(own.mapInArrow(run, f"doc_id {kind}, text_hash binary, s0 long, s1 long, s2 long"), "wide-prints")
     roots = _similar(prints.groupBy(*FP).agg(F.min("text_hash").alias("text_hash")), own.select("text_hash", "text"), words_per_shingle)
     nodes = prints.groupBy(_node().alias("node")).agg(F.count("*").alias("n_rows")).join(roots, "node", "left")
     nodes = staged(nodes.select("node", F.coalesce("root", "node").alias("group"), "n_rows"), "node-groups")
@@ -284,4 +290,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     marked = join_spread(grouped, first, ["group"], "n_rows").select("doc_id", "text_hash", stays.alias("stays"), "n").where(~F.col("stays") | (F.col("n") > 1))
     marked = staged(marked.select(F.struct("doc_id", "text_hash").alias("mark"), "stays"), "marked")
-    return drop_marked(docs, F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash")), marked)
+    return drop_marked(docs, F.struct(F.col(id_col).alias("doc_id"), _digest(text).alias("text_hash")), marked)

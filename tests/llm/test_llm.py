@@ -7,6 +7,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -151,7 +152,7 @@ def test_op2_encoder_equals_library():
 
 def test_op2_compression_and_random_access():
     r = np.random.default_rng(0)
-    for values, big in ((4, 900), (1, 900), (4, 200_000), (3_000, 200_000)):
+    for values, big in ((4, 900), (1, 900), (4, 200_000), (3_000, 200_000)):  # with rules beyond FLAT, and without
         docs = [r.choice(np.append(np.arange(values), big).astype(np.uint32), size=n) for n in (1, 2, 700, 1, 5000, 1, 1)]
         ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
         terminals, rules, lengths, symbols, cuts = repair.compress(ids, ends)
@@ -278,6 +279,33 @@ def test_op3_query_is_brute_force(spark, sf):
         assert (x["status"], x["level"], x["errors"]) == ("linked" if linked else "pending", depth(edges, (c, n)), "; ".join(errors))
 
 
+def test_dropping_keeps_columns_of_any_name(spark):
+    rows = [(1, "same", "a", 1, "x"), (2, "same", "b", 2, "y"), (2, "same", "b", 2, "y"), (None, None, None, None, None), (4, "", "c", 3, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a``b` string, `c.d` long, mark string")
+    for got, ids in ((exact_dedup.drop_exact_duplicates(df), [2, 4]), (simhash.drop_near_duplicates(df), [1, 4])):
+        assert got.columns == df.columns
+        kept = sorted((tuple(r) for r in got.collect()), key=repr)
+        assert kept == sorted((next(r for r in rows if r[0] == i) for i in ids), key=repr)
+
+
+def test_op3_schemas_of_all_kinds():
+    """Legal ones, and ones that nobody can read: errors of the tool, never a crash and never the arguments' fault."""
+    given = '{"a":1,"b":[true,"x"],"c":{"d":null}}'
+    for schema in ("true", "{}", '{"properties":{"a":true}}', '{"type":["object","null"]}', '{"additionalProperties":{}}', '{"enum":[{"a":1,"b":[true,"x"],"c":{"d":null}}]}', '{"format":5}'):
+        assert tool_calls.check(given, schema)[1] == [], schema
+    for schema in ("", "null", "[]", "3", '"x"', "{", '{"type":5}', '{"type":"thing"}', '{"type":[["object"]]}', '{"minimum":"a"}', '{"maximum":true}', '{"required":"a"}', '{"required":[1]}', '{"properties":[]}', '{"properties":{"a":{"items":[]}}}', '{"enum":1}', '{"additionalProperties":3}', "[" * 100_000, '{"items":' * 100_000):
+        assert tool_calls.check(given, schema) == (given, ["tool: bad schema"], []), schema[:40]
+    for schema, errors in {
+        "false": ["$: not allowed"],
+        '{"properties":{"a":false}}': ["$.a: not allowed"],
+        '{"properties":{"a":true},"additionalProperties":false}': ["$.b: not allowed", "$.c: not allowed"],
+        '{"additionalProperties":{"type":"integer"}}': ["$.b: not of type integer", "$.c: not of type integer"],
+        '{"properties":{"a":{"enum":[true]},"b":{"items":{"type":"boolean"}}}}': ["$.a: not one of the allowed values", "$.b[1]: not of type boolean"],
+    }.items():
+        assert tool_calls.check(given, schema)[1] == errors, schema
+    assert tool_calls.check("not json", "[]")[1] == ["$: not JSON"]
+
+
 def test_op4_edges(spark, edge):
     bench = spark.createDataFrame([(1, "A b, c d e"), (1, None), (None, "ONE"), (3, "")], "item_id long, text string")
     got = {(r["doc_id"], r["n_words"]): r for r in decontam.find_overlap(edge, bench, window=10).collect()}
@@ -341,6 +369,22 @@ def test_op5_commits_early():
     assert [i for p in parts for i in p] == best_path(m, text) and max(map(len, parts)) <= 40 and len(parts) > 100
 
 
+def test_op5_periodic_texts():
+    """Paths that never meet: right ids on short ones, time in proportion to the length and a decoded text on long ones."""
+    m = sp_viterbi.Pieces.from_file(public_tokenizers.path("piece_bpe_32k.model"))
+    for unit in ("u", "t", "uoh", "uic", "tbr", "ab"):
+        for n in (1, 7, 300, 1501):
+            assert m.search(unit * n) == best_path(m, unit * n)
+    took = []
+    for n in (50_000, 400_000):
+        began = time.process_time()
+        parts = list(m.stream(itertools.repeat("uoh" * 64, n // 192)))
+        took.append(time.process_time() - began)
+        assert m.decode([i for p in parts for i in p]) == "uoh" * (64 * (n // 192))
+    assert took[1] < 20 * took[0]  # a square would be 64 times
+    assert m.decode(m.search("u" * 1_000_000)) == "u" * 1_000_000
+
+
 def test_op5_edges(edge):
     got = sp_viterbi.encode_documents(edge, public_tokenizers.path("piece_bpe_32k.model")).collect()
     assert len(got) == 7 and sorted(r["text"] for r in got) == sorted(t or "" for _, t, *_ in EDGE)
