@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tails import p_chi2, p_normal, p_t
 from ..sources.shared import written
+from .reports import cohens_d
 from .slices import matched, slice_totals, sliced
 
 
@@ -154,10 +155,10 @@ def holm_adjust(df: DataFrame, p: str, family: list[str], out: str = "q", ties:
 
 
 def posthoc(df: DataFrame, value: str, group: str, by: list[str], min_n: int = 5) -> DataFrame:
-    """All pairs: the omnibus test's h and eps2 beside each pair's u, delta, p and Holm-adjusted p."""
+    """All pairs: the omnibus test's h and eps2 beside each pair's u, delta, Cohen's d (by the mean of the two variances), p and Holm-adjusted p."""
     pairs = holm_adjust(mann_whitney(df, value, group, by, min_n=min_n, with_p=True), "p", by, "p_holm", ["a", "b"])
-    omnibus = kruskal(df, value, group, by, min_n).select(*by, "h", "eps2")
-    return pairs.join(omnibus, by) if by else pairs.crossJoin(omnibus)
+    d = cohens_d(df.withColumnRenamed(value, "value"), group, by, pooled=False).select(*by, "a", "b", "d")
+    return matched(matched(pairs, d, [*by, "a", "b"]), kruskal(df, value, group, by, min_n).select(*by, "h", "eps2"), by)
 
 
 def rank_features(df: DataFrame, value: str, within: list[str]) -> DataFrame:

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import p_normal, t_quantile
 from ..sources.shared import shared_folder
+from .neighbours import nearest_neighbours as nearest_neighbours
 from .ranks import mann_whitney, spearman
-from .slices import quantiles
+from .slices import numbered, quantiles
 
 
 def _weights(studies: DataFrame, by: list[str], rho: str, n: str) -> DataFrame:
@@ -76,77 +73,49 @@ def overlap(long: DataFrame, level: str, by: list[str], min_n: int = 5) -> DataF
     return mann_whitney(long, "value", level, by, min_n=min_n)
 
 
-BLOCK_ROWS = 4096
+def folds_or_parts(df: DataFrame, fold: str, ident: str, label: str | None = None, out: str = "fold", least: int = 3, parts: int = 5) -> DataFrame:
+    """``out``: the row's ``fold`` as text where there are ``least`` different ones; otherwise one of ``parts``: rows in the order of a hash of their id are dealt out in turn, with ``label`` each label's by themselves, so that every part has its share of each."""
+    n = df.agg(F.count_distinct(fold).alias("__folds"))
+    dealt = numbered(df.withColumn("__order", F.struct(F.xxhash64(ident), F.col(ident))), [label] if label else [], "__order")
+    in_turn = F.concat(F.lit("part "), F.col("pos") % parts)
+    return dealt.crossJoin(F.broadcast(n)).withColumn(out, F.when(F.col("__folds") >= least, F.col(fold).cast("string")).otherwise(in_turn)).drop("__folds", "__order", "pos", "size")
 
 
-def folds_or_parts(df: DataFrame, fold: str, ident: str, out: str = "fold", least: int = 3, parts: int = 5) -> DataFrame:
-    """``out``: the row's ``fold`` as text where there are ``least`` different ones; otherwise one of ``parts`` by a hash of its id."""
-    n = df.agg(F.count_distinct(fold).alias("__folds"))
-    by_hash = F.concat(F.lit("part "), F.pmod(F.xxhash64(ident), F.lit(parts)))
-    return df.crossJoin(F.broadcast(n)).withColumn(out, F.when(F.col("__folds") >= least, F.col(fold).cast("string")).otherwise(by_hash)).drop("__folds")
+def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip").transform(df.where(" AND ".join(f"{f} IS NOT NULL" for f in features)))
 
 
-def nearest_neighbours(df: DataFrame, features: list[str], label: str, fold: str, ident: str, k: int = 5) -> DataFrame:
-    """Each row's label by vote of its ``k`` nearest rows of other folds (ties: the smaller distance, then id; the smaller label): ``id, truth, held, predicted``.
+def logistic_fit(rows: DataFrame, label_index: str, penalty: float | None = None, max_iter: int = 1000) -> tuple[StandardScalerModel, LogisticRegressionModel]:
+    """Scaler and multinomial model of rows with a vector ``raw``. ``penalty``: the factor of half the squared coefficients beside the mean loss; by default one over the number of rows, a penalty of 1 beside the summed loss."""
+    n = rows.count()
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(rows)
+    model = LogisticRegression(labelCol=label_index, family="multinomial", regParam=1 / max(1, n) if penalty is None else penalty, maxIter=max_iter, tol=1e-7, standardization=False)
+    return scaler, model.fit(scaler.transform(rows))
 
-    Features are scaled by their deviation over the other folds. Every row is compared with every other fold's, in
-    blocks of about ``BLOCK_ROWS`` rows: a pair of blocks gives the ``k`` nearest of each row, so a row meets ``k``
-    candidates per block and not all rows. Rows with a missing feature drop out.
-    """
-    vec = F.array(*[F.col(f).cast("double") for f in features])
-    rows = df.where(" AND ".join(f"{f} IS NOT NULL" for f in features)).select(F.col(ident).cast("string").alias("id"), F.col(label).cast("string").alias("label"), F.col(fold).cast("string").alias("held"), vec.alias("x"))
-    sums = lambda p: [f(F.get("x", F.lit(i)) * (F.get("x", F.lit(i)) if sq else 1)).alias(f"{p}{name}{i}") for i in range(len(features)) for f, name, sq in ((F.sum, "s", False), (F.sum, "q", True))]
-    own, all_ = rows.groupBy("held").agg(F.count("*").alias("on"), *sums("o")), rows.agg(F.count("*").alias("an"), *sums("a"))
-
-    def deviation(i: int):
-        n, s, q = (F.col(f"a{c}") - F.col(f"o{c}") for c in ("n", f"s{i}", f"q{i}"))
-        sd = F.sqrt(F.greatest(F.try_divide(q, n) - F.try_divide(s, n) * F.try_divide(s, n), F.lit(0.0)))
-        return F.when(sd > 1e-12, sd).otherwise(1.0)
-
-    scales = own.crossJoin(F.broadcast(all_)).select("held", "an", F.array(*[deviation(i) for i in range(len(features))]).alias("scale"))
-    placed = rows.join(scales, "held").withColumn("block", F.pmod(F.xxhash64("id"), F.floor(F.col("an") / BLOCK_ROWS) + 1))
-    blocks = placed.groupBy("block").agg(F.collect_list(F.struct("id", "label", "held", "x", "scale")).alias("rows"))
-    pairs = blocks.crossJoin(blocks.select(F.col("rows").alias("others")))  # of blocks
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                mine, others = b.column("rows")[i].as_py(), b.column("others")[i].as_py()
-                y, ids = np.array([r["x"] for r in others]), np.array([r["id"] for r in others], dtype=object)
-                fold_of, out = np.array([r["held"] for r in others], dtype=object), []
-                for r in mine:
-                    away = np.sqrt((((y - np.array(r["x"])) / np.array(r["scale"])) ** 2).sum(axis=1))
-                    away[fold_of == r["held"]] = np.inf
-                    near = np.flatnonzero(away <= np.partition(away, min(k, len(away)) - 1)[min(k, len(away)) - 1])
-                    near = sorted((j for j in near if np.isfinite(away[j])), key=lambda j: (away[j], ids[j]))[:k]
-                    out += [{"id": r["id"], "truth": r["label"], "held": r["held"], "vote": others[j]["label"], "nid": others[j]["id"], "d": float(away[j])} for j in near]
-                yield pa.RecordBatch.from_pylist(out, schema=_NEAR)
-
-    near = pairs.select("rows", "others").mapInArrow(run, "id string, truth string, held string, vote string, nid string, d double")
-    best = near.withColumn("__i", F.row_number().over(Window.partitionBy("id").orderBy("d", "nid"))).where(F.col("__i") <= k)
-    votes = best.groupBy("id", "truth", "held", "vote").agg(F.count("*").alias("c"))
-    return votes.groupBy("id", "truth", "held").agg(F.min(F.struct(-F.col("c"), "vote"))["vote"].alias("predicted"))
-
-
-_NEAR = pa.schema([(c, pa.string()) for c in ("id", "truth", "held", "vote", "nid")] + [("d", pa.float64())])
-
-
-def logistic_by_fold(df: DataFrame, features: list[str], label_index: str, fold: str) -> tuple[DataFrame, DataFrame]:
-    """(predictions, mean absolute coefficients per feature) of a multinomial logistic model per held-out fold; the scaler is fitted inside the fold.
+
+def mean_abs_coefficients(model: LogisticRegressionModel, features: list[str]) -> list[tuple[str, float]]:
+    return [(f, float(abs(model.coefficientMatrix.toArray()[:, i]).mean())) for i, f in enumerate(features)]
+
+
+def logistic_weights(df: DataFrame, features: list[str], label_index: str, penalty: float | None = None, max_iter: int = 1000) -> DataFrame:
+    """``feature``, ``mean_abs_coefficient`` over the classes of one model of all rows, features scaled; rows with a missing feature drop out."""
+    shared_folder(df.sparkSession)
+    _, model = logistic_fit(_assembled(df, features).checkpoint(), label_index, penalty, max_iter)
+    return df.sparkSession.createDataFrame(mean_abs_coefficients(model, features), "feature string, mean_abs_coefficient double")
+
+
+def logistic_by_fold(df: DataFrame, features: list[str], label_index: str, fold: str, penalty: float | None = None, max_iter: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(predictions, mean absolute coefficients per feature over the folds) of a multinomial logistic model per held-out fold; the scaler is fitted inside the fold.
 
     Folds are data sets, one model each; rows with a missing feature drop out.
     """
     shared_folder(df.sparkSession)
-    rows = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip").transform(df.where(" AND ".join(f"{f} IS NOT NULL" for f in features)))
-    rows = rows.checkpoint()  # read by every fold
+    rows = _assembled(df, features).checkpoint()  # read by every fold
     predictions, weights = None, None
     for (value,) in rows.select(fold).distinct().orderBy(fold).collect():
-        train = rows.where(F.col(fold) != value)
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
-        model = LogisticRegression(labelCol=label_index, family="multinomial", regParam=0.01, maxIter=50).fit(scaler.transform(train))
+        scaler, model = logistic_fit(rows.where(F.col(fold) != value), label_index, penalty, max_iter)
         out = model.transform(scaler.transform(rows.where(F.col(fold) == value))).withColumn("held", F.lit(value)).drop("raw", "features", "rawPrediction").withColumn("probability", vector_to_array("probability"))
-        size = [(f, float(abs(model.coefficientMatrix.toArray()[:, i]).mean()), str(value)) for i, f in enumerate(features)]
-        coef = df.sparkSession.createDataFrame(size, "feature string, weight double, held string")
+        coef = df.sparkSession.createDataFrame(mean_abs_coefficients(model, features), "feature string, weight double")
         predictions = out if predictions is None else predictions.unionByName(out)
         weights = coef if weights is None else weights.unionByName(coef)
     return predictions, weights.groupBy("feature").agg(F.avg("weight").alias("mean_abs_coefficient"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as f
+from ..functions import tails
 from ..operators import ranks, reports, resampling, synthesis
 from . import query
 from .bindings import B, FEATURES, L, E, avg_rank_sql, backbones, entity, entity_long, kw_sql, spearman_sql
@@ -78,10 +79,15 @@ def o54_levels(spark, sf):
     return rounded(ranks.kruskal(_levels(spark, sf), "value", "sev", ["feature", "language"], 3), "h", "eps2")
 
 
-@query("o55_posthoc")
+@query("o55_posthoc", f"""WITH {L}, {_PAIRS}, {kw_sql('l', 'grp', 'feature', 5)}, co AS (SELECT feature, grp, avg(value) AS m, var_samp(value) AS v FROM l WHERE value IS NOT NULL GROUP BY ALL),
+z AS (SELECT feature, a, b, u, 2 * u / (n_a * n_b) - 1 AS delta, greatest(abs(u - n_a * n_b / 2) - 0.5, 0) / sqrt(n_a * n_b / 12 * ((n_a + n_b + 1) - ties / ((n_a + n_b) * (n_a + n_b - 1)))) AS z, n_a, n_b FROM mw),
+p AS (SELECT *, {tails.p_normal_sql('z')} AS p FROM z), r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY p, a, b) AS rk, count(p) OVER (PARTITION BY feature) AS pm FROM p)
+SELECT feature, r.a, r.b, u, round(delta, 6) AS delta, round((x.m - y.m) / sqrt((x.v + y.v) / 2), 6) AS d, round(p, 6) AS p, round(least(1, max(p * (pm - rk + 1)) OVER (PARTITION BY feature ORDER BY rk ROWS UNBOUNDED PRECEDING)), 6) AS p_holm,
+  round(h, 6) AS h, round(greatest((h - k + 1) / (n - k), 0), 6) AS eps2
+FROM r JOIN kw USING (feature) JOIN co x USING (feature) JOIN co y USING (feature) WHERE x.grp = r.a AND y.grp = r.b""")
 def o55(spark, sf):
-    """Pairwise tests with Holm's correction: p values need the normal tail, which SQL lacks."""
-    return rounded(ranks.posthoc(_levels(spark, sf), "value", "grp", ["feature"]).select("feature", "a", "b", "u", "delta", "p", "p_holm", "h", "eps2"), "delta", "p", "p_holm", "h", "eps2")
+    """Pairwise tests with Holm's correction beside effect sizes."""
+    return rounded(ranks.posthoc(_levels(spark, sf), "value", "grp", ["feature"]).select("feature", "a", "b", "u", "delta", "d", "p", "p_holm", "h", "eps2"), "delta", "d", "p", "p_holm", "h", "eps2")
 
 
 #: A stand-in for p values that SQL can compute as well: a quadratic decay of the correlation.
@@ -405,9 +411,10 @@ def o79(spark, sf):
     return rounded(out, "q", "tau2", "rho", "low", "high").select("feature", "k", "q", "tau2", F.round("i2", 4).alias("i2"), "rho", "low", "high")
 
 
-@query("o80_meta_hksj")
+@query("o80_meta_hksj", f"""WITH {L}, {_META}, w5 AS (SELECT feature, sum(z * z / (se2 + tau2)) - sum(z / (se2 + tau2)) ** 2 / sum(1 / (se2 + tau2)) AS qr FROM w0 JOIN w3 USING (feature) GROUP BY 1),
+w6 AS (SELECT feature, k, z, tau2, sqrt(1 / sv) AS se, sqrt(1 / sv) * sqrt(greatest(1, qr / (k - 1))) AS wider, {tails.t_quantile_sql('0.975', '(k - 1)')} AS t FROM w4 JOIN w5 USING (feature))
+SELECT feature, k, round(tanh(z), 6) AS rho, round(tanh(z - t * wider), 6) AS hksj_low, round(tanh(z + t * wider), 6) AS hksj_high, round(tanh(z - 1.96 * sqrt(se * se + tau2)), 6) AS pred_low, round(tanh(z + 1.96 * sqrt(se * se + tau2)), 6) AS pred_high FROM w6""")
 def o80(spark, sf):
-    """Needs a t quantile, which SQL lacks."""
     out = synthesis.meta_hksj(synthesis.meta_dl(ranks.spearman(_levels(spark, sf), "value", "sevd", ["feature", "dataset"]), ["feature"]))
     return rounded(out.select("feature", "k", "rho", "hksj_low", "hksj_high", "pred_low", "pred_high"), "rho", "hksj_low", "hksj_high", "pred_low", "pred_high")
 
@@ -433,11 +440,21 @@ def o82_overlap(spark, sf):
     return rounded(synthesis.overlap(entity_long(spark, sf), "sev", ["feature"]).select("feature", "a", "b", "u", "delta"), "delta")
 
 
-@query("o83_knn_by_fold")
+_SCALES = ", ".join(f"CASE WHEN stddev_pop(f{i}) > 1e-12 THEN stddev_pop(f{i}) ELSE 1 END AS s{i}" for i in (1, 2, 3))
+
+
+@query("o83_knn_by_fold", f"""WITH {E}, p AS (SELECT CAST(speaker_id AS VARCHAR) AS id, grp, language, f1, f2, f3 FROM e WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL),
+fo AS (SELECT DISTINCT language AS held FROM p), sc AS (SELECT held, {_SCALES} FROM fo JOIN p ON language <> held GROUP BY held),
+nb AS (SELECT a.id, a.grp AS truth, b.grp AS vote FROM p a JOIN sc ON sc.held = a.language JOIN p b ON b.language <> a.language
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY ((b.f1 - a.f1) / s1) ** 2 + ((b.f2 - a.f2) / s2) ** 2 + ((b.f3 - a.f3) / s3) ** 2, b.id) <= 5),
+v AS (SELECT id, truth, vote, count(*) AS c FROM nb GROUP BY ALL), w AS (SELECT id, truth, vote AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, vote) = 1),
+t AS (SELECT truth AS class, count(*) AS support, count(*) FILTER (truth = predicted) AS hit FROM w GROUP BY 1), g AS (SELECT predicted AS class, count(*) AS given FROM w GROUP BY 1)
+SELECT class, round((SELECT sum(hit) / sum(support) FROM t), 6) AS accuracy, support, round(hit / support, 6) AS recall, round(coalesce(hit / given, 0), 6) AS precision FROM t LEFT JOIN g USING (class)""")
 def o83(spark, sf):
     """Every entity's group by vote of its nearest entities of other languages."""
     e = entity(spark, sf)
-    return synthesis.class_report(synthesis.nearest_neighbours(e, FEATURES, "grp", "language", "speaker_id"), "truth", "predicted")
+    out = synthesis.class_report(synthesis.nearest_neighbours(e, FEATURES, "grp", "language", "speaker_id"), "truth", "predicted")
+    return rounded(out, "accuracy", "recall", "precision")
 
 
 @query("o83_logistic_by_fold")
@@ -447,22 +464,32 @@ def o83_logistic(spark, sf):
     return synthesis.class_report(predictions, "y", "prediction")
 
 
+@query("o83_logistic_parts")
+def o83_parts(spark, sf):
+    """As if there were only two languages: five parts with their share of each level."""
+    e = entity(spark, sf).withColumn("y", F.col("sev").cast("double")).withColumn("half", F.col("language") < "ASIA")
+    predictions, _ = synthesis.logistic_by_fold(synthesis.folds_or_parts(e, "half", "speaker_id", "sev"), FEATURES, "y", "fold")
+    return synthesis.class_report(predictions, "y", "prediction")
+
+
 @query("o83_logistic_weights")
 def o83_weights(spark, sf):
-    """Mean absolute coefficient per feature over the folds; folds by hash, as if there were only two languages."""
-    e = entity(spark, sf).withColumn("y", F.col("sev").cast("double")).withColumn("half", F.col("language") < "ASIA")
-    _, weights = synthesis.logistic_by_fold(synthesis.folds_or_parts(e, "half", "speaker_id"), FEATURES, "y", "fold")
-    return rounded(weights, "mean_abs_coefficient")
+    """Mean absolute coefficient per feature of one model of all entities."""
+    e = entity(spark, sf).withColumn("y", F.col("sev").cast("double"))
+    return rounded(synthesis.logistic_weights(e, FEATURES, "y"), "mean_abs_coefficient")
 
 
-@query("o86_significance")
+@query("o86_significance", f"""WITH {L}, {_PARTIAL}, {kw_sql('l', 'grp', 'feature', 5)},
+q AS (SELECT feature, pp.n, raw, {tails.p_t_sql('(raw * sqrt((pp.n - 2) / greatest(1e-300, 1 - raw * raw)))', '(pp.n - 2)')} AS p, {tails.p_t_sql('(part * sqrt((pp.n - 3) / (1 - part * part + 1e-10)))', '(pp.n - 3)')} AS p_partial, {tails.p_chi2_sql('h', '(k - 1)')} AS p_groups FROM pp JOIN kw USING (feature))
+SELECT feature, n, round(raw, 6) AS rho, round(p, 12) AS p, round(p_partial, 12) AS p_partial, round(p_groups, 12) AS p_groups, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM q""")
 def o86(spark, sf):
     """p values of rank correlations, of partial ones and of group tests, with stars."""
     lv = _levels(spark, sf)
     rho = ranks.spearman(lv, "value", "sevd", ["feature"], with_p=True)
     part = ranks.partial_spearman(lv, "value", "sevd", "n_phones", ["feature"], with_p=True).select("feature", F.col("p").alias("p_partial"))
     kw = ranks.kruskal(lv, "value", "grp", ["feature"], with_p=True).select("feature", F.col("p").alias("p_groups"))
-    return rounded(rho.join(part, "feature").join(kw, "feature").withColumn("stars", f.stars(F.col("p"))), "rho")
+    out = rounded(rho.join(part, "feature").join(kw, "feature").withColumn("stars", f.stars(F.col("p"))), "rho")
+    return out.withColumns({c: F.round(c, 12) for c in ("p", "p_partial", "p_groups")})
 
 
 @query("o23_labels", f"WITH {E} SELECT speaker_id, CASE WHEN f2 < 0 THEN '***' WHEN f2 < 10 THEN '***' WHEN f2 < 100 THEN '**' WHEN f2 < 500 THEN '*' ELSE 'ns' END AS stars, CASE WHEN abs(f2) > 1400 THEN 'large' WHEN abs(f2) > 600 THEN 'medium' ELSE 'small' END AS size FROM e")

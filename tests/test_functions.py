@@ -5,6 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonolith.functions import scalars as f
+import pandas as pd
+import tails_by_hand
+
 from sonolith.functions import tails
 
 
@@ -37,12 +40,37 @@ def test_composite_needs_enough(spark):
 
 
 def test_tails():
-    assert tails.normal_two_sided(1.959963985) == pytest.approx(0.05, abs=1e-9)
-    assert tails.t_two_sided(2.364624252, 7) == pytest.approx(0.05, abs=1e-9)
-    assert tails.t_inverse(0.975, 7) == pytest.approx(2.364624252, abs=1e-8)
-    assert 0 < tails.t_two_sided(-19.0, 829) < 1e-60
+    assert tails_by_hand.normal_two_sided(1.959963985) == pytest.approx(0.05, abs=1e-9)
+    assert tails_by_hand.t_two_sided(2.364624252, 7) == pytest.approx(0.05, abs=1e-9)
+    assert tails_by_hand.t_inverse(0.975, 7) == pytest.approx(2.364624252, abs=1e-8)
+    assert 0 < tails_by_hand.t_two_sided(-19.0, 829) < 1e-60
     for k, x in ((1, 3.841458821), (2, 5.991464547), (3, 7.814727903), (6, 12.59158724)):
-        assert tails.chi2_upper(x, k) == pytest.approx(0.05, abs=1e-8)
+        assert tails_by_hand.chi2_upper(x, k) == pytest.approx(0.05, abs=1e-8)
+
+
+def test_tail_expressions_against_one_number_at_a_time(spark, duck):
+    """Column expressions and their SQL, from the middle far into the tails, with the edges."""
+    from pyspark.sql import functions as F
+
+    given = [(float(x), float(n)) for x in (0, 1e-8, 0.1, 0.9, 2, 5.5, 19, 37) for n in (1, 2, 3, 7, 24, 829, 40_000)] + [(-3.0, 12.0), (2.0, 0.0)]
+    df = spark.createDataFrame(given, "x double, n double")
+    ours = df.select("x", "n", tails.p_t(F.col("x"), F.col("n")).alias("t"), tails.p_normal("x").alias("z"), tails.p_chi2("x", F.col("n")).alias("c")).collect()
+    duck.register("given", pd.DataFrame(given, columns=["x", "n"]))
+    sql = duck.execute(f"SELECT x, n, {tails.p_t_sql('x', 'n')}, {tails.p_normal_sql('x')}, CASE WHEN n > 0 THEN {tails.p_chi2_sql('x', 'n')} END FROM given").fetchall()
+    for x, n, t, z, c in [tuple(r) for r in ours] + sql:
+        want = tails_by_hand.t_two_sided(x, n)
+        assert t == pytest.approx(want, rel=1e-7, abs=1e-300, nan_ok=True), (x, n)
+        assert z == pytest.approx(tails_by_hand.normal_two_sided(x), rel=1e-9, abs=1e-300), x
+        if n > 0:
+            assert c == pytest.approx(tails_by_hand.chi2_upper(x, n), rel=1e-8, abs=1e-300), (x, n)
+    quantiles = [(p, float(n)) for p in (0.5, 0.6, 0.975, 0.9999) for n in (1, 2, 7, 30)]
+    df = spark.createDataFrame([*quantiles, (None, 3.0)], "p double, n double")
+    duck.register("asked", pd.DataFrame(quantiles, columns=["p", "n"]))
+    rows = [tuple(r) for r in df.select("p", "n", tails.t_quantile(F.col("p"), F.col("n"))).collect()]
+    assert rows.pop()[2] is None
+    for p, n, t in rows + duck.execute(f"SELECT p, n, {tails.t_quantile_sql('p', 'n')} FROM asked").fetchall():
+        assert t == pytest.approx(tails_by_hand.t_inverse(p, n), rel=1e-7, abs=1e-9)
+
 
 
 def test_draws_are_spread_and_distinct(spark):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonolith.functions.scalars import draw
-from sonolith.operators import cohorts, metrics, ranks, replicates, reports, resampling, slices, synthesis
+from sonolith.operators import cohorts, metrics, neighbours, ranks, replicates, reports, resampling, slices, synthesis
 
 
 def frame(spark, rows, schema):
@@ -214,8 +214,9 @@ def test_meta_analysis_golden_rows(spark):
 
 
 def test_posthoc_and_significance_values(spark, sf):
+    import tails_by_hand as tails
+
     from sonolith import plans
-    from sonolith.functions import tails
 
     z = {(r["feature"], r["a"], r["b"]): r["z"] for r in plans.QUERIES["o52_mann_whitney"](spark, sf).collect()}
     got = plans.QUERIES["o55_posthoc"](spark, sf).collect()
@@ -238,11 +239,14 @@ def test_posthoc_and_significance_values(spark, sf):
         assert r["stars"] == ("***" if r["p"] < 0.001 else "**" if r["p"] < 0.01 else "*" if r["p"] < 0.05 else "ns")
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_neighbours_are_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(synthesis, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("points", [2048, 8, 1])
+def test_neighbours_are_brute_force(spark, monkeypatch, points):
+    """In one cell and in many; a quarter of the rows are the same point."""
+    monkeypatch.setattr(neighbours, "CELL_POINTS", points)
+    monkeypatch.setattr(neighbours, "AT_ONCE", 64)
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=(150, 2)) * [1, 50], 1)
+    x[::4] = [0.5, 20.0]
     label, fold = rng.integers(0, 3, 150), rng.integers(0, 4, 150)
     rows = frame(spark, [(i, f"g{a}", int(f), float(p), float(q)) for i, (a, f, (p, q)) in enumerate(zip(label, fold, x, strict=True))], "id int, g string, f int, p double, q double")
     got = {int(r["id"]): r for r in synthesis.nearest_neighbours(rows, ["p", "q"], "g", "f", "id").collect()}
@@ -255,6 +259,46 @@ def test_neighbours_are_brute_force(spark, monkeypatch, block):
         assert got[i]["predicted"] == min(set(votes), key=lambda v: (-votes.count(v), v))
 
 
+def test_few_visits_to_other_cells(spark, monkeypatch):
+    """Spread points visit a small part of the cells, and still find what all rows would give."""
+    monkeypatch.setattr(neighbours, "CELL_POINTS", 40)
+    rng = np.random.default_rng(6)
+    rows = frame(spark, [(i, "ab"[i % 2], i % 3, *map(float, p)) for i, p in enumerate(rng.uniform(size=(2000, 2)))], "id int, g string, f int, p double, q double")
+    seen = []
+
+    def counted(df, name, real=neighbours.written):
+        out = real(df, name)
+        seen.extend([out.where("to IS NOT NULL").count()] if name == "own-cells" else [])
+        return out
+
+    monkeypatch.setattr(neighbours, "written", counted)
+    assert neighbours.nearest_neighbours(rows, ["p", "q"], "g", "f", "id").count() == 2000
+    assert seen[0] < 2000 * 64 * 0.1
+
+
+def test_logistic_model_is_at_its_minimum(spark):
+    """The gradient of mean loss plus half the squared coefficients over n vanishes; one model of all rows gives the weights."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 2)) * [1, 30] + [5, 0]
+    y = (x[:, 0] + rng.normal(size=120) > 5).astype(int) + (x[:, 1] > 20)
+    rows = frame(spark, [(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)] + [(None, 1.0, 0.0)], "a double, b double, y double")
+    _, model = synthesis.logistic_fit(synthesis._assembled(rows, ["a", "b"]), "y")
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    w, c = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    p = np.exp(z @ w.T + c)
+    p /= p.sum(axis=1, keepdims=True)
+    error = p - np.eye(3)[y]
+    assert np.abs(error.T @ z / 120 + w / 120).max() < 1e-5 and np.abs(error.mean(axis=0)).max() < 1e-5
+    got = {r["feature"]: r["mean_abs_coefficient"] for r in synthesis.logistic_weights(rows, ["a", "b"], "y").collect()}
+    assert got == {"a": pytest.approx(np.abs(w[:, 0]).mean(), rel=1e-4), "b": pytest.approx(np.abs(w[:, 1]).mean(), rel=1e-4)}
+
+
+def test_parts_have_their_share_of_each_label(spark):
+    rows = frame(spark, [(i, "ab"[i % 2], int(i % 10 == 3)) for i in range(200)], "id int, f string, l int")
+    counts = synthesis.folds_or_parts(rows, "f", "id", "l").groupBy("fold", "l").count().collect()
+    assert sorted((r["l"], r["count"]) for r in counts) == [(0, 36)] * 5 + [(1, 4)] * 5
+
+
 def test_folds_by_hash_where_there_are_few(spark):
     rows = frame(spark, [(i, "ab"[i % 2]) for i in range(200)], "id int, f string")
     assert synthesis.folds_or_parts(rows, "f", "id").select("fold").distinct().count() == 5
