@@ -11,7 +11,10 @@ cannot tell: at 0.8 every bit differs with probability 0.15. It takes fingerprin
 enters each under the balls of radius 1 around its segments (200 keys), so that fingerprints with at most two differing
 bits in some segment meet, verifies the complete distance, and lets the whole shingle sets decide. By the binomial
 model 0.92 of the pairs at 0.8 meet, 0.98 at 0.85 and all but one in a thousand at 0.9; copies of a group also find each
-other through third ones.
+other through third ones. The table of a segment is cut into blocks by the first bits of its value: flips of the other
+bits stay inside a block, so a fingerprint is sent to one block and to those one flip away, and the block's task
+enumerates the rest. Buckets of a few are compared at once; in larger ones everybody is compared with some leaders, and
+then those that are still in different components with each other.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ SEED = 42
 CHUNK = 100_000  # shingles hashed at once
 SEGMENTS, SEGMENT_BITS = 8, 24  # of the wide fingerprint, which is three longs
 LEADERS = 4  # of a bucket
+FEW = 16  # fingerprints of a bucket that are all compared
+BLOCK_PRINTS, MOST_PRINTS = 1 << 14, 1 << 20  # of a block: as planned, and in one task at most
 APART = 44  # bits of 192 that may differ at a similarity of 0.8: 29 are expected, three deviations more leave out one pair of 700
 _WIDE = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93]], dtype=np.uint64)  # fixed values: odd numbers for mixing
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -181,11 +186,11 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "utf-8"), 256))
 
 
-def _entries(nodes: DataFrame, *others: str) -> DataFrame:
-    """Each fingerprint under all its keys (per segment its value and the values one bit away), with ``others`` of its columns."""
+def _entries(nodes: DataFrame, which: Column) -> DataFrame:
+    """Each fingerprint under those of its keys (per segment its value and the values one bit away) that ``which`` takes."""
     flips = F.array(F.lit(0), *[F.lit(1 << b) for b in range(SEGMENT_BITS)])
     keys = F.flatten(F.transform(F.array(*_segments()), lambda s: F.transform(flips, lambda f: s.bitwiseXOR(f))))
-    return nodes.select(*FP, *others, F.explode(keys).alias("key")).repartition("key")  # here, so that nothing derived is shuffled
+    return nodes.select(*FP, F.explode(keys).alias("key")).where(which).repartition("key")  # here, so that nothing derived is shuffled
 
 
 def _renamed(df: DataFrame, prefix: str) -> DataFrame:
@@ -202,21 +207,141 @@ def _reporting(other: str) -> Column:
     return F.coalesce(*out)
 
 
-def _with_leaders(nodes: DataFrame) -> DataFrame:
-    """(``a``, ``b``): fingerprints that differ in ``APART`` bits or fewer from one of ``LEADERS`` members of a bucket that they are in; one row per member and leader at most."""
+def _segment(prints: np.ndarray, j: int) -> np.ndarray:
+    """Values of a segment, without its number."""
+    word, bit = divmod(j * SEGMENT_BITS, 64)
+    prints = prints.view(np.uint64)
+    value = prints[:, word] >> np.uint64(bit)
+    if (over := bit + SEGMENT_BITS - 64) > 0:
+        value = value | (prints[:, word + 1] << np.uint64(SEGMENT_BITS - over))
+    return (value & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
+
+
+def _apart_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1, dtype=np.int64)  # of a signed number it would count the absolute value's
+
+
+def _reporting_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`_reporting` for rows of prints."""
+    found = np.full(len(a), -1, dtype=np.int64)
+    for j in reversed(range(SEGMENTS)):
+        x, y = _segment(a, j), _segment(b, j)
+        differing = x ^ y
+        lowest = differing & -differing
+        here = np.bitwise_count(differing) <= 2
+        found[here] = (np.minimum(x ^ lowest, y ^ lowest) | j << SEGMENT_BITS)[here]
+    return found
+
+
+def block_pairs(prints: np.ndarray, block: int, first_bits: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the prints sent to a block: pairs (places a, b) that differ in ``APART`` bits or fewer, and (key, place) of all entries of buckets of more than ``few``.
+
+    Pairs of a small bucket are found by the one bucket that reports them; those of a larger one are pairs with leaders.
+    """
+    low = SEGMENT_BITS - first_bits
+    j, prefix = block >> first_bits, block & ((1 << first_bits) - 1)
+    value = _segment(prints, j)
+    home = np.flatnonzero(value >> low == prefix)
+    guests = np.flatnonzero(value >> low != prefix)
+    flips = np.array([0, *(1 << b for b in range(low))], dtype=np.int64)
+    keys = np.concatenate(((value[home, None] ^ flips).ravel(), prefix << low | value[guests] & ((1 << low) - 1)))
+    places = np.concatenate((np.repeat(home, len(flips)), guests))
+    order = np.argsort(keys, kind="stable")
+    keys, places = keys[order] | j << SEGMENT_BITS, places[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1])))
+    sizes = np.diff(starts, append=len(keys))
+    size = np.repeat(sizes, sizes)
+    small = np.flatnonzero((size > 1) & (size <= few))
+    found = []
+    for d in range(1, few):
+        at = small[small + d < len(keys)]
+        at = at[keys[at] == keys[at + d]]
+        if not len(at):
+            break
+        a, b = places[at], places[at + d]
+        near = _apart_bits(prints[a], prints[b]) <= APART
+        at, a, b = at[near], a[near], b[near]
+        own = _reporting_key(prints[a], prints[b]) == keys[at]
+        found.append(np.stack((a[own], b[own])))
+    many = np.flatnonzero(size > few)
+    if len(many):
+        mixed = prints[places[many], 0].view(np.uint64) * _WIDE[0, 0] ^ prints[places[many], 2].view(np.uint64)
+        many = many[np.lexsort((mixed, keys[many]))]
+        first = np.flatnonzero(np.concatenate(([True], keys[many][1:] != keys[many][:-1])))
+        members = np.diff(first, append=len(many))
+        run, last = np.repeat(first, members), np.repeat(members - 1, members)
+        for k in range(LEADERS):
+            a, b = places[many], places[many[run + np.minimum(k, last)]]
+            near = (a != b) & (_apart_bits(prints[a], prints[b]) <= APART)
+            found.append(np.unique(np.stack((a[near], b[near])), axis=1))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+    return pairs[0], pairs[1], keys[many], places[many]
+
+
+_MET = [*(f"a{c}" for c in FP), *(f"b{c}" for c in FP), "key"]
+
+
+def _met_in_blocks(nodes: DataFrame) -> DataFrame:
+    """(``a*``, ``b*``, null): pairs of :func:`block_pairs`; (``a*``, null, ``key``): entries of large buckets."""
+    n = nodes.count()
+    first_bits = min(SEGMENT_BITS - 1, max(0, int(n // BLOCK_PRINTS).bit_length()))
+    low, few = SEGMENT_BITS - first_bits, FEW
+    home = [F.shiftright(c, low) for c in _segments()]
+    counts = nodes.select(F.explode(F.array(*home)).alias("block")).groupBy("block").count()
+    hot = [r[0] for r in counts.where(F.col("count") > MOST_PRINTS).select("block").collect()]  # one for 2^20 fingerprints at most
+    sent = F.array(*[b for h in home for b in [h, *(h.bitwiseXOR(F.lit(1 << i)) for i in range(first_bits))]])
+    dealt = nodes.select(*FP, F.explode(sent).alias("block"))
+    dealt = dealt.where(~F.col("block").isin(hot)) if hot else dealt
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def close() -> pa.RecordBatch:
+            prints = np.concatenate(parts)
+            a, b, key, place = block_pairs(prints, now, first_bits, few)
+            none = np.zeros(len(key), dtype=bool)
+            left, right = np.concatenate((prints[a], prints[place])), np.concatenate((prints[b], prints[place]))
+            is_pair = np.concatenate((np.ones(len(a), dtype=bool), none))
+            columns = [*(pa.array(np.ascontiguousarray(left[:, c])) for c in range(3)), *(pa.array(np.ascontiguousarray(right[:, c]), mask=~is_pair) for c in range(3))]
+            return pa.record_batch([*columns, pa.array(np.concatenate((np.zeros(len(a), dtype=np.int64), key)).astype(np.int32), mask=is_pair)], names=_MET)
+
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            prints = np.stack([batch.column(c).to_numpy() for c in FP], axis=1)
+            cuts = np.flatnonzero(np.diff(blocks)) + 1
+            for at, part in zip([0, *cuts], np.split(prints, cuts), strict=True):
+                if len(blocks) and blocks[at] != now:
+                    if parts:
+                        yield close()
+                    now, parts = int(blocks[at]), []
+                parts.append(part)
+        if parts:
+            yield close()
+
+    kinds = ", ".join(f"{c} {'int' if c == 'key' else 'long'}" for c in _MET)
+    met = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, kinds)
+    if not hot:
+        return met
+    return met.unionByName(_met_by_windows(nodes, F.shiftright("key", low).isin(hot)))
+
+
+def _met_by_windows(nodes: DataFrame, which: Column) -> DataFrame:
+    """The same for the keys of blocks that no task should hold: leaders by a window over each bucket, and all its entries."""
     leaders = [F.min_by(F.struct(*FP), F.xxhash64(F.lit(k), *FP)).over(Window.partitionBy("key")).alias(f"l{k}") for k in range(LEADERS)]
-    led = _entries(nodes).select(*FP, *leaders)
-    met = led.select(*FP, F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))).alias("l")).select(*FP, *[F.col(f"l.{c}").alias(f"l{c}") for c in FP])
-    return met.where((_distance("", "l") <= APART) & (F.struct(*FP) != F.struct(*[F.col(f"l{c}") for c in FP]))).select(F.least(_node(), _node("l")).alias("a"), F.greatest(_node(), _node("l")).alias("b")).distinct()
+    entries = _entries(nodes, which=which)
+    met = entries.select(*FP, *leaders).select(*FP, F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))).alias("l")).select(*FP, *[F.col(f"l.{c}").alias(f"l{c}") for c in FP])
+    met = met.where((_distance("", "l") <= APART) & (F.struct(*FP) != F.struct(*[F.col(f"l{c}") for c in FP])))
+    pairs = met.select(*[F.col(c).alias(f"a{c}") for c in FP], *[F.col(f"l{c}").alias(f"b{c}") for c in FP], F.lit(None).cast("int").alias("key"))
+    return pairs.unionByName(entries.select(*[F.col(c).alias(f"a{c}") for c in FP], *[F.lit(None).cast("long").alias(f"b{c}") for c in FP], "key"))
 
 
-def _still_apart(marked: DataFrame) -> DataFrame:
-    """(``a``, ``b``): all fingerprints of one bucket that differ in ``APART`` bits or fewer and are of different components (``root``, of ``size`` members; null: alone).
+def _still_apart(entries: DataFrame) -> DataFrame:
+    """(``a``, ``b``): all fingerprints of one bucket (``key``) that differ in ``APART`` bits or fewer and are of different components (``root``, of ``size`` members; null: alone).
 
     Members of the bucket's largest component are not compared with one another, so a bucket costs what is outside that
     component times its size.
     """
-    entries = _entries(marked, "size", "root").select("key", *FP, F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("root", _node()).alias("root"))
+    entries = entries.select("key", *FP, F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("root", _node()).alias("root")).repartition("key")
     most = F.max(F.struct("size", "root")).over(Window.partitionBy("key"))
     placed = entries.withColumn("inside", F.col("root") == most["root"]).drop("size")
     other = _renamed(placed.where("NOT inside").drop("inside"), "o").withColumnsRenamed({"key": "okey", "root": "oroot"})
@@ -235,8 +360,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _similar(nodes: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
     """(``node``, ``root``): components of the different fingerprints (``s0``..``s2``, ``text_hash`` of one of their texts) over candidates of similarity 0.8 or more.
 
-    First every fingerprint is compared with some leaders of its buckets, which is linear and settles families of
-    copies; then all fingerprints of a bucket that are still in different components are compared, so no link is lost.
+    First every fingerprint is compared with those of its small buckets and with some leaders of its large ones, which
+    is linear and settles families of copies; then all fingerprints of a large bucket that are still in different
+    components are compared, so no link is lost.
     Texts of one fingerprint are one node: sets of a similarity under 0.8 agree in all 192 bits with a probability below 1e-13.
     """
     named = nodes.withColumn("node", _node())
@@ -253,12 +379,14 @@ def _similar(nodes: DataFrame, texts: DataFrame, words_per_shingle: int) -> Data
         met = likely.join(wanted.hint("merge"), "text_hash").dropDuplicates(["text_hash"])
         return staged(met.select("node", "text").mapInArrow(run, "node struct<s0:long,s1:long,s2:long>, hashes array<long>"), "shingle-sets")
 
-    led = staged(_with_leaders(nodes), "led-pairs")
+    met = staged(_met_in_blocks(nodes), "met")
+    led = staged(met.where("key IS NULL").select(F.least(_node("a"), _node("b")).alias("a"), F.greatest(_node("a"), _node("b")).alias("b")).distinct(), "led-pairs")
     found = staged(_verified(led, sets_of(led)), "similar")
     roots = staged(components(found), "roots")
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    marked = named.join(roots.join(sizes, "root"), "node", "left").select(*FP, "root", "size")
-    rest = staged(_still_apart(marked).join(led, ["a", "b"], "left_anti"), "apart-pairs")
+    crowded = met.where("key IS NOT NULL").select(_node("a").alias("node"), "key")
+    crowded = crowded.join(roots.join(sizes, "root"), "node", "left").select("key", *[F.col(f"node.{c}").alias(c) for c in FP], "root", "size")
+    rest = staged(_still_apart(crowded).join(led, ["a", "b"], "left_anti"), "apart-pairs")
     if rest.isEmpty():
         return roots
     return components(found.unionByName(_verified(rest, sets_of(rest))))
@@ -281,7 +409,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), *(pa.array(np.ascontiguousarray(prints[:, j])) for j in range(3))], names=["doc_id", "text_hash", *FP])
 
     prints = staged(own.mapInArrow(run, f"doc_id {kind}, text_hash binary, s0 long, s1 long, s2 long"), "wide-prints")
-    roots = _similar(prints.groupBy(*FP).agg(F.min("text_hash").alias("text_hash")), own.select("text_hash", "text"), words_per_shingle)
+    roots = _similar(staged(prints.groupBy(*FP).agg(F.min("text_hash").alias("text_hash")), "different-prints"), own.select("text_hash", "text"), words_per_shingle)
     nodes = prints.groupBy(_node().alias("node")).agg(F.count("*").alias("n_rows")).join(roots, "node", "left")
     nodes = staged(nodes.select("node", F.coalesce("root", "node").alias("group"), "n_rows"), "node-groups")
     grouped = staged(join_spread(prints.select("doc_id", "text_hash", _node().alias("node")), nodes, ["node"], "n_rows").groupBy("doc_id", "text_hash", "group").agg(F.count("*").alias("n")), "groups")

@@ -491,6 +491,37 @@ def test_op7_edges(edge):
     assert simhash.near_duplicates(edge.limit(0)).count() == simhash.drop_near_duplicates(edge.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("most", "few", "planned"), [(1 << 20, 16, 1 << 14), (1 << 20, 4, 20), (30, 16, 60), (0, 16, 60)])
+def test_near_dedup_meets_what_shares_a_key(spark, monkeypatch, most, few, planned):
+    """Every pair within two bits of a segment and ``APART`` bits in all is linked, through blocks, large buckets, and blocks that no task holds."""
+    monkeypatch.setattr(simhash, "MOST_PRINTS", most)
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "BLOCK_PRINTS", planned)
+    r = np.random.default_rng(3)
+    heads = r.integers(-(2**63), 2**63, size=(6, 3))
+    prints = [heads[i % 6].copy() for i in range(150)]
+    for p in prints:
+        for b in r.integers(0, 192, size=r.integers(0, r.choice([3, 40]))):
+            p[b // 64] ^= np.int64(np.uint64(1 << int(b % 64)).view(np.int64))
+    prints = np.unique(np.array(prints), axis=0)
+    segments = np.stack([simhash._segment(prints, j) for j in range(8)], axis=1)
+    want = set()
+    for i, j in itertools.combinations(range(len(prints)), 2):
+        if simhash._apart_bits(prints[i : i + 1], prints[j : j + 1])[0] <= simhash.APART and (np.bitwise_count(segments[i] ^ segments[j]) <= 2).any():
+            want.add((tuple(prints[i].tolist()), tuple(prints[j].tolist())))
+    nodes = spark.createDataFrame([tuple(map(int, p)) for p in prints], "s0 long, s1 long, s2 long")
+    met = simhash._met_in_blocks(nodes).collect()
+    pairs = {(tuple(x[:3]), tuple(x[3:6])) for x in met if x["key"] is None}
+    crowded = collections.defaultdict(set)
+    for x in met:
+        if x["key"] is not None:
+            crowded[x["key"]].add(tuple(x[:3]))
+    linked = pairs | {(b, a) for a, b in pairs}
+    together = {p for members in crowded.values() for p in itertools.permutations(members, 2)}
+    assert want <= linked | together and {p for p in linked if p[0] < p[1]} <= {tuple(sorted(w)) for w in want} and len(want) > 100
+    assert crowded or (few == 16 and most > 100)
+
+
 def test_pipeline_near_dedup_takes_similarity_of_08(spark):
     import corpus_pipeline
 
