@@ -347,7 +347,7 @@ def permuted_means(rows: DataFrame, by: list[str], ident: str, label: str, value
     to the block of rows that holds its place. A block's labels of all replicates are a matrix; a row's values are
     shuffled once and summed by label in matrix products. Labels are names of groups: their list is one row.
     """
-    block, n = max(1, CELLS // replicates), len(values)
+    block, n, drawn = max(1, CELLS // replicates), len(values), DRAWN
     reps = np.arange(1, replicates + 1, dtype=np.int64)
     entry = np.dtype([("rep", "<u4"), ("hash", "<u4"), ("id", "<i8"), ("label", "<i4")])
     names = written(rows.select(label).where(F.col(label).isNotNull()).groupBy().agg(F.array_sort(F.collect_set(label)).alias("__labels")), "labels")
@@ -359,7 +359,7 @@ def permuted_means(rows: DataFrame, by: list[str], ident: str, label: str, value
         found = np.empty(len(ids) * replicates, dtype=entry)
         found["rep"], found["id"] = np.tile(np.arange(replicates), len(ids)), np.repeat(ids, replicates)
         found["hash"], found["label"] = draws(reps[None, :], ids[:, None], seed).ravel(), np.repeat(part.column("__code").to_numpy(), replicates)
-        ranges = size * replicates // DRAWN + 1
+        ranges = size * replicates // drawn + 1
         for to, at in _by_block(found["hash"].astype(np.int64) * ranges // MODULUS):
             yield to, found[at].tobytes()
 
