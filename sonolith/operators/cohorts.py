@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LEVELS, present, severity_ordinal
+from ..sources.shared import written
+from .slices import numbered
 
 
 def select_utterances(df: DataFrame, rules: DataFrame, severity: str = "severity", content: str = "content_type", text: str = "text", min_chars: int = 3) -> DataFrame:
@@ -85,6 +91,65 @@ def size_bucket(size: Column, ratio: float = 1.25) -> Column:
     return F.floor(F.ln(size.cast("double")) / F.ln(F.lit(ratio))).cast("int")
 
 
+_SEGMENT = {"lower": pa.int64(), "size_low": pa.float64(), "from_low": pa.int64(), "size_high": pa.float64(), "from_high": pa.int64(), "n": pa.int64()}
+
+
+def _merged(ratio: float):
+    """Merge of the two levels' sizes in order: what waits on one side meets what comes on the other, the smallest first, as long as it is within the tolerance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting = None, (deque(), deque())
+        for b in batches:
+            out = []
+            for lower, size, *counts in zip(*(b.column(c).to_pylist() for c in ("lower", "__size", "low", "high")), strict=True):
+                if lower != now:
+                    now, waiting = lower, (deque(), deque())
+                for side, n in zip(waiting, counts, strict=True):
+                    while side and side[0][0] * ratio < size:
+                        side.popleft()
+                    if n:
+                        side.append([size, 0, n])
+                low, high = waiting
+                while low and high:
+                    n = min(low[0][2], high[0][2])
+                    out.append((lower, low[0][0], low[0][1], high[0][0], high[0][1], n))
+                    for side in waiting:
+                        side[0][1] += n
+                        side[0][2] -= n
+                        if not side[0][2]:
+                            side.popleft()
+            columns = list(zip(*out, strict=True)) or [()] * len(_SEGMENT)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SEGMENT.values(), strict=True)], names=list(_SEGMENT))
+
+    return run
+
+
+def full_tolerance_match(df: DataFrame, level: str, size: str, ident: str, ratio: float = 1.25) -> DataFrame:
+    """As many 1:1 pairs as there can be of entities at adjacent levels whose sizes differ by a factor of ``ratio`` at most: ``lower, upper, id_low, id_high, n_low, n_high``.
+
+    Both sides in order of size and id are merged like two sorted sequences: whoever is too small for all that is left
+    drops out, else the first of both sides make a pair. The merge runs over counts by size, so its steps are different
+    sizes and not entities; its result says which places of one size pair with which of another, and entities, numbered
+    inside their size, meet by that. Levels are whole numbers; entities without level or with a size of 0 or less drop out.
+    """
+    rows = df.where(F.col(level).isNotNull() & (F.col(size) > 0)).select(F.col(level).cast("long").alias("__level"), F.col(size).cast("double").alias("__size"), F.col(ident).alias("__id"), F.col(size).alias("__n"))
+    placed = numbered(rows, ["__level", "__size"], "__id").drop("size")
+    counts = placed.groupBy("__level", "__size").agg(F.count("*").alias("c"))
+    sides = counts.select(F.explode(F.array(F.struct(F.col("__level").alias("lower"), F.col("c").alias("low"), F.lit(0).cast("long").alias("high")), F.struct((F.col("__level") - 1).alias("lower"), F.lit(0).cast("long").alias("low"), F.col("c").alias("high")))).alias("s"), "__size").select("s.*", "__size")
+    both = sides.groupBy("lower", "__size").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    kinds = ", ".join(f"{c} {'double' if t == pa.float64() else 'long'}" for c, t in _SEGMENT.items())
+    segments = written(both.repartition("lower").sortWithinPartitions("lower", "__size").mapInArrow(_merged(ratio), kinds).withColumn("segment", F.monotonically_increasing_id()), "segments")
+
+    def side(which: str, shift: int) -> DataFrame:
+        """(``segment``, ``place`` in it, id and size) of the entities on one side."""
+        own = segments.groupBy((F.col("lower") + shift).alias("__level"), F.col(f"size_{which}").alias("__size")).agg(F.collect_list(F.struct("segment", F.col(f"from_{which}").alias("first"), "n")).alias("__own"))
+        mine = F.filter("__own", lambda s: (F.col("pos") >= s["first"]) & (F.col("pos") < s["first"] + s["n"]))
+        met = placed.join(own, ["__level", "__size"]).withColumn("__s", F.get(mine, F.lit(0))).where("__s IS NOT NULL")
+        return met.select(F.col("__s.segment").alias("segment"), (F.col("pos") - F.col("__s.first")).alias("place"), (F.col("__level") - shift).alias("lower"), F.col("__id").alias(f"id_{which}"), F.col("__n").alias(f"n_{which}"))
+
+    return side("low", 0).join(side("high", 1).drop("lower"), ["segment", "place"]).select("lower", (F.col("lower") + 1).alias("upper"), "id_low", "id_high", "n_low", "n_high")
+
+
 def common_at_budget(classified: DataFrame, entity: list[str], budget: int, min_features: int = 3) -> DataFrame:
     """Entities with ``budget`` tokens in both classes of at least ``min_features`` features. Needs no vectors."""
     per = classified.groupBy(*entity, "feature").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q")).where((F.col("p") >= budget) & (F.col("q") >= budget))

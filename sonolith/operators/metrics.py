@@ -15,11 +15,17 @@ def mean_vector(vec: Column) -> Column:
     return vector_to_array(Summarizer.mean(array_to_vector(F.transform(vec, lambda x: x.cast("double")))))
 
 
-def classify(tokens: DataFrame, contrasts: DataFrame, phone: str = "phone", on: tuple[str, ...] = ("language",)) -> DataFrame:
+def classify(tokens: DataFrame, contrasts: DataFrame, phone: str = "phone", on: tuple[str, ...] = ("language",), fallback: dict[str, str] | None = None) -> DataFrame:
     """Each token once per feature for which its symbol is in a class; a symbol in both classes is positive.
 
     ``contrasts`` (keys, feature, phone, class) is as large as the symbol inventories; it is broadcast by its size.
+    ``fallback``: languages that take another one's contrasts instead of their own, as (language, other).
     """
+    if fallback:
+        own = contrasts.where(~F.col("language").isin(list(fallback)))
+        for language, other in fallback.items():
+            own = own.unionByName(contrasts.where(F.col("language") == other).withColumn("language", F.lit(language)))
+        contrasts = own
     keys = [k for k in on if k in contrasts.columns]
     one = contrasts.groupBy(*keys, "feature", "phone").agg(F.max(F.col("class") == "positive").alias("positive"))
     if phone != "phone":

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as f
 from ..operators import cohorts, ranks, reports
 from ..sources import tables as src
-from ..sources.shared import scratch
+from ..sources.shared import scratch, written
 from . import query
 from .bindings import B, E, T, V, backbones, entity, intervals, table, tokens
 
@@ -47,7 +47,16 @@ def o01(spark, sf):
 def o02(spark, sf):
     path = scratch(spark, "scores")
     rows = manifest(spark, sf).select("speaker_id", F.col("score").alias("intelligibility"), "seq")
-    rows.repartition(1, "speaker_id").sortWithinPartitions("speaker_id", "seq").drop("seq").write.option("sep", "\t").option("header", True).csv(path)
+    rows.repartitionByRange("speaker_id", "seq").sortWithinPartitions("speaker_id", "seq").drop("seq").write.option("sep", "\t").option("header", True).csv(path)
+    return src.read_scores_tsv(spark, [path])
+
+
+@query("o02_last_score_wins", f"WITH {M} SELECT speaker_id, arg_min(TRY_CAST(score AS DOUBLE), seq) AS intelligibility FROM m WHERE TRY_CAST(score AS DOUBLE) IS NOT NULL GROUP BY 1")
+def o02_last(spark, sf):
+    """Scores written from the last record to the first: the first one's is the last in the files, whether it is the largest or not."""
+    path = scratch(spark, "scores")
+    rows = manifest(spark, sf).select("speaker_id", F.col("score").alias("intelligibility"), (-F.col("seq")).alias("seq"))
+    rows.repartitionByRange("speaker_id", "seq").sortWithinPartitions("speaker_id", "seq").drop("seq").write.option("sep", "\t").option("header", True).csv(path)
     return src.read_scores_tsv(spark, [path])
 
 
@@ -257,6 +266,33 @@ def o30_test(spark, sf):
     return out.select("lower", F.col("n_a").alias("n_pairs"), "u", F.round("delta", 6).alias("delta"))
 
 
+#: Two sorted sequences merged step by step: i and j are places on the lower and the upper level.
+_WALK = f"""WITH RECURSIVE {E}, s AS (SELECT sev, speaker_id, n_phones, f2, row_number() OVER (PARTITION BY sev ORDER BY n_phones, speaker_id) AS i FROM e WHERE n_phones > 0 AND sev IS NOT NULL),
+walk AS (SELECT DISTINCT sev AS lower, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j FROM s UNION ALL
+  SELECT w.lower, CASE WHEN b.n_phones * 1.25 < a.n_phones THEN w.i ELSE w.i + 1 END, CASE WHEN a.n_phones * 1.25 < b.n_phones THEN w.j ELSE w.j + 1 END
+  FROM walk w JOIN s a ON a.sev = w.lower AND a.i = w.i JOIN s b ON b.sev = w.lower + 1 AND b.i = w.j),
+p AS (SELECT w.lower, a.speaker_id AS id_low, b.speaker_id AS id_high, a.n_phones AS n_low, b.n_phones AS n_high, a.f2 AS x, b.f2 AS y FROM walk w JOIN s a ON a.sev = w.lower AND a.i = w.i JOIN s b ON b.sev = w.lower + 1 AND b.i = w.j
+  WHERE a.n_phones * 1.25 >= b.n_phones AND b.n_phones * 1.25 >= a.n_phones)"""
+
+
+@query("o30_full_match", f"{_WALK} SELECT CAST(lower AS BIGINT) AS lower, CAST(lower + 1 AS BIGINT) AS upper, id_low, id_high, n_low, n_high FROM p")
+def o30_full(spark, sf):
+    return cohorts.full_tolerance_match(entity(spark, sf), "sev", "n_phones", "speaker_id")
+
+
+@query("o30_full_match_effect", f"""{_WALK}, v AS (SELECT lower, 1 AS low, x AS v FROM p UNION ALL SELECT lower, 0, y FROM p), w AS (SELECT *, rank() OVER (PARTITION BY lower ORDER BY v) + (count(*) OVER (PARTITION BY lower, v) - 1) / 2.0 AS rk FROM v),
+n AS (SELECT lower, CAST(sum(low) AS BIGINT) AS n_pairs, sum(rk) FILTER (low = 1) AS s, (avg(v) FILTER (low = 1) - avg(v) FILTER (low = 0)) / sqrt((var_samp(v) FILTER (low = 1) + var_samp(v) FILTER (low = 0)) / 2) AS d FROM w GROUP BY 1)
+SELECT CAST(lower AS BIGINT) AS lower, n_pairs, s - n_pairs * (n_pairs + 1) / 2 AS u, round(d, 6) AS d FROM n WHERE n_pairs >= 10""")
+def o30_full_effect(spark, sf):
+    """Rank test and effect size between the matched entities of adjacent levels, where there are ten pairs."""
+    e = entity(spark, sf)
+    pairs = cohorts.full_tolerance_match(e, "sev", "n_phones", "speaker_id")
+    both = pairs.select("lower", F.explode(F.array(F.struct(F.lit("low").alias("side"), F.col("id_low").alias("speaker_id")), F.struct(F.lit("up").alias("side"), F.col("id_high").alias("speaker_id")))).alias("x")).select("lower", "x.*")
+    values = written(both.join(e.select("speaker_id", F.col("f2").alias("value")), "speaker_id"), "matched")
+    tests = ranks.mann_whitney(values, "value", "side", ["lower"], min_n=10).select("lower", F.col("n_a").alias("n_pairs"), "u")
+    return tests.join(reports.cohens_d(values, "side", ["lower"], pooled=False).select("lower", F.round("d", 6).alias("d")), "lower")
+
+
 @query("o15_label_by_content", f"WITH {M} SELECT speaker_id, seq, 'a' AS label FROM m WHERE content_type = 'user' AND speaker_id LIKE '%17%'")
 def o15_content(spark, sf):
     return cohorts.label_by_pattern(manifest(spark, sf), [("contains", "17", "a")], "speaker_id", "text", "content_type", "User").select("speaker_id", "seq", "label")

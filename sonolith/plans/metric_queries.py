@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as f
 from ..operators import cohorts, metrics, reports, resampling
 from . import query
-from .bindings import S, T, V, classified, direction_sql, intervals, kw_sql, mean_sql, scalar_tokens, spearman_sql, table, tokens
+from .bindings import S, T, V, classified, contrasts, direction_sql, intervals, kw_sql, mean_sql, scalar_tokens, spearman_sql, table, tokens
 
 R = lambda c: F.round(c, 6)
 
@@ -34,6 +34,15 @@ def o26(spark, sf):
     return classified(spark, sf).groupBy("feature", "phone", "positive").agg(F.count("*").alias("n"))
 
 
+@query("o26_language_fallback", f"""WITH {T}, w AS (SELECT *, 'l' || spk % 3 AS language FROM t), k AS (SELECT language, CASE WHEN language = 'l1' THEN 'c2' ELSE 'c1' END AS feature, phone, CASE WHEN language = 'l1' THEN phone % 2 = 0 ELSE phone < 5 END AS positive FROM w)
+SELECT language, feature, phone, positive, count(*) AS n FROM k GROUP BY ALL""")
+def o26_fallback(spark, sf):
+    """A language without a feature of the others takes those of l0."""
+    rows = tokens(spark, sf).withColumn("language", F.concat(F.lit("l"), F.col("spk") % 3))
+    known = contrasts(spark, sf).withColumn("language", F.when(F.col("feature") == "c1", "l0").otherwise("l1"))
+    return metrics.classify(rows, known, fallback={"l2": "l0"}).groupBy("language", "feature", "phone", "positive").agg(F.count("*").alias("n"))
+
+
 @query("o33_contrast_directions", f"""WITH {T}, d AS {direction_sql('(SELECT * FROM c WHERE spk < 4)', 'feature', 5)}
 SELECT feature, np AS n_pos, nq AS n_neg, unnest(range(0, len(u))) AS dim, round(unnest(u), 6) AS weight FROM d""")
 def o33(spark, sf):

@@ -312,6 +312,41 @@ def test_matching_stays_within_tolerance(spark):
     assert len({(r["lower"], r["id_low"]) for r in got}) == len(got) == len({(r["lower"], r["id_high"]) for r in got})
 
 
+def test_full_matching_is_the_largest(spark):
+    """Against augmenting paths, the greedy search in the order of ids, and the buckets; sizes tie, jump and are missing."""
+    rng = np.random.default_rng(12)
+    for k in range(4):
+        rows = [(i, int(rng.integers(0, 3)), int(rng.integers(1, 60) ** (1 + k % 2))) for i in range(90)] + [(900, 1, None), (901, None, 3), (902, 2, 0)]
+        df = frame(spark, rows, "id int, lv int, n int").repartition(4)
+        got = cohorts.full_tolerance_match(df, "lv", "n", "id").collect()
+        sizes = {i: n for i, _, n in rows}
+        assert all(r["n_low"] == sizes[r["id_low"]] and r["n_high"] == sizes[r["id_high"]] and 0.8 <= r["n_low"] / r["n_high"] <= 1.25 for r in got)
+        bucketed = cohorts.tolerance_match(df, "lv", "n", "id", cohorts.size_bucket(F.col("n"))).groupBy("lower").count().collect()
+        for lower in (0, 1):
+            mine = [r for r in got if r["lower"] == lower]
+            assert len({r["id_low"] for r in mine}) == len(mine) == len({r["id_high"] for r in mine})
+            a, b = ([(i, n) for i, lv, n in rows if lv == level and n] for level in (lower, lower + 1))
+            near = {i: [j for j, m in b if 0.8 <= n / m <= 1.25] for i, n in a}
+            used: dict[int, int] = {}
+
+            def augment(i, seen):
+                for j in near[i]:
+                    if j not in seen:
+                        seen.add(j)
+                        if j not in used or augment(used[j], seen):
+                            used[j] = i
+                            return True
+                return False
+
+            assert len(mine) == sum(augment(i, set()) for i, _ in a) >= max((r["count"] for r in bucketed if r["lower"] == lower), default=0)
+
+
+def test_levels_come_in_their_order(spark):
+    rows = frame(spark, [("mild", 2), ("odd", 1), ("control", 1), ("severe", 0), (None, 5), ("mild", 1)], "lv string, n int").repartition(3)
+    got = [tuple(r) for r in cohorts.order_by_levels(rows, "lv", ["control", "mild", "severe"], "n").collect()]
+    assert got == [("control", 1), ("mild", 1), ("mild", 2), ("severe", 0), ("odd", 1), (None, 5)]
+
+
 def test_adjustment_modes(spark):
     rng = np.random.default_rng(3)
     n = rng.integers(1, 99, 50)

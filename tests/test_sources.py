@@ -80,3 +80,19 @@ def test_upsert(spark, tmp_path):
     src.upsert_partition(spark.createDataFrame([("x", 1), ("y", 2)], "dataset string, v int"), p)
     src.upsert_partition(spark.createDataFrame([("y", 3, "n")], "dataset string, v int, w string"), p)
     assert {tuple(r) for r in src.read_upserted(spark, p).select("dataset", "v", "w").collect()} == {("x", 1, None), ("y", 3, "n")}
+
+
+def test_results_as_csv_and_json(spark, tmp_path):
+    rows = spark.createDataFrame([("a,b", 1.5, None), ('say "x"', -2.0, 3)], "name string, value double, n int")
+    src.write_result(rows, f"{tmp_path}/csv", "csv")
+    src.write_result(rows, f"{tmp_path}/csv", "csv")  # replaces what is there
+    assert sorted(map(tuple, spark.read.schema(rows.schema).option("header", True).option("escape", "\\").csv(f"{tmp_path}/csv").collect())) == sorted(map(tuple, rows.collect()))
+    src.write_result(rows, f"{tmp_path}/json")
+    assert sorted((r["name"], r["value"], r["n"]) for r in spark.read.schema(rows.schema).json(f"{tmp_path}/json").collect()) == sorted(map(tuple, rows.collect()))
+
+
+def test_later_score_wins_whatever_its_size(spark, tmp_path):
+    (tmp_path / "1.tsv").write_text("speaker_id\tintelligibility\na\t9\nb\t1\na\t7\n")
+    (tmp_path / "2.tsv").write_text("speaker_id\tintelligibility\nb\tbad\na\t2.5\n")
+    got = {r[0]: r[1] for r in src.read_scores_tsv(spark, [str(tmp_path / "1.tsv"), str(tmp_path / "2.tsv")]).collect()}
+    assert got == {"a": 2.5, "b": 1.0}
