@@ -71,6 +71,17 @@ def drop_marked(docs: DataFrame, mark: Column, marked: DataFrame) -> DataFrame:
     return clear.select("row").unionByName(kept).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+_kept: dict = {}
+
+
+def kept_by_worker(key: tuple, make):
+    """What a Python worker keeps from one task to the next: one thing at a time, so that what operators remember, one after the other, does not add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, also where ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

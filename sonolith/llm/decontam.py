@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of
+from .common import documents_of, kept_by_worker
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -78,15 +78,9 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> li
     return out
 
 
-_loaded: dict[str, Patterns] = {}
-
-
 def _patterns(name: str, held) -> Patterns:
     """The patterns of a block; a worker keeps one block at a time."""
-    if name not in _loaded:
-        _loaded.clear()
-        _loaded[name] = pickle.loads(held.value)
-    return _loaded[name]
+    return kept_by_worker(("patterns", name), lambda: pickle.loads(held.value))
 
 
 def _held(batches: Iterator[pa.RecordBatch], at: int | str, blocks: list) -> Iterator[tuple[list[pa.RecordBatch], list[list[str]]]]:
@@ -121,7 +115,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     One row per input row; null and wordless texts have no words and no hits, as have all documents where the
     benchmark is empty. A null item id counts as the empty string, rows that repeat an item as one. No shuffle: the
-    documents are scanned where they lie.
+    documents are scanned where they lie. Other columns are not read, whatever their names.
     """
     blocks = _blocks(benchmark, item_col, item_text_col, window)
 

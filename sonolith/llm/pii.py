@@ -134,7 +134,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by its kind in angle brackets (overlapping spans: the earlier one wins).
 
-    One row per input row with all columns; null texts become empty ones, texts without a span stay as they are.
+    One row per input row with all columns; null texts become empty ones, texts without a span stay as they are, empty
+    ones too. An empty table gives an empty table.
     """
     plain = F.coalesce(F.col(text_col), F.lit(""))
     spans = F.array_sort(F.concat(*[_spans_of(plain, k, no) for no, k in enumerate(KINDS)]))

@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, staged
+from .common import documents_of, kept_by_worker, staged
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
@@ -141,10 +141,9 @@ class Encoder:
         return np.frombuffer(b"".join(found), dtype="<u4")
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """A worker's encoder; what it remembers serves all its tasks."""
-    return Encoder(path)
+    return kept_by_worker(("encoder", path), lambda: Encoder(path))
 
 
 class _Pairs:

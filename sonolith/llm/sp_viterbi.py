@@ -17,14 +17,13 @@ import hashlib
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of
+from .common import documents_of, kept_by_worker
 
 BLANK = "▁"
 FEED = 256
@@ -175,16 +174,15 @@ class Pieces:
         return b"".join([d[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
-@lru_cache(maxsize=1)
 def pieces(path: str) -> Pieces:
     """A worker's model; what it remembers serves all its tasks."""
-    return Pieces.from_file(path)
+    return kept_by_worker(("pieces", path), lambda: Pieces.from_file(path))
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids, n_tokens, text``: ids of every whole text and the text decoded from them again.
 
-    One row per input row. A null text is empty and has no ids; the blank sign itself (U+2581) counts as a blank, so
+    One row per input row, also where rows repeat; texts of any length are encoded whole. A null text is empty and has no ids; the blank sign itself (U+2581) counts as a blank, so
     the decoded text has a blank for it; every other text comes back exactly. An empty table gives no rows. Map only:
     nothing is shuffled.
     """

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, staged, training_fold
+from .common import documents_of, kept_by_worker, staged, training_fold
 
 ORDER, SPAN, DECAY = 3, 6, 0.7
 SAMPLE = 2_000
@@ -335,15 +335,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return Sample(kernel, np.array([r[1] for r in rows]), np.stack([r[2] for r in rows]), np.stack([r[3] for r in rows if r[1]]) if any(r[1] for r in rows) else none), share
 
 
-_models: dict[str, tuple[Model, Largest]] = {}
-
-
 def _model(name: str, held) -> tuple[Model, Largest]:
     """A worker's model; what it remembers serves all its tasks."""
-    if name not in _models:
-        _models.clear()
-        _models[name] = (held.value, Largest(held.value.kernel))
-    return _models[name]
+    return kept_by_worker(("toxicity", name), lambda: (held.value, Largest(held.value.kernel)))
 
 
 def score_texts(docs: DataFrame, model: Model | None, prior: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,7 +361,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     Labels of the held-out fold (crc32 of the id modulo ``folds`` is 0) are never read. Rows may repeat or lack an id;
     several labels of one id count as their largest. Without labels of both kinds the score is the share of label 1
-    among the labels that there are (0 if none).
+    among the labels that there are (0 if none). Null and empty texts get the score of a text that resembles no
+    landmark; texts of any length are read whole. An empty table gives no rows; other columns are not read.
     """
     sample, share = labelled_sample(docs, labels, id_col, text_col, folds=folds)
     scored = score_texts(docs, fit(sample, share), share, id_col, text_col)

@@ -711,6 +711,28 @@ def test_op10_long_and_many(spark, edge):
     assert pii.personal_data_report(edge).count() == 7 and pii.personal_data_report(edge.limit(0)).count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    """Null ids, null, empty, blank and very long texts, repeated rows, a further column with a name that stages use; and no rows at all."""
+    import corpus_pipeline
+
+    given = spark.read.parquet(f"{sf}/documents.parquet").withColumn("mark", F.lit("kept"))
+    long = " ".join(f"word{i * 7919 % 100_003}" for i in range(150_000))
+    odd = [(None, "  ", "en", None, 2, "x"), (900_001, None, None, "s", None, "x"), (900_002, "", "en", "s", 0, None), (900_003, long, "en", "s", len(long), "x"), (900_003, long, "en", "s", len(long), "x"), (900_004, "Unheard-of phrase, all alone here.", "en", "s", 34, "y")]
+    docs = given.unionByName(spark.createDataFrame(odd, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields))).repartition(5)
+    ids = lambda df: sorted(df.where("doc_id IS NULL OR doc_id > 900000").select("doc_id").toPandas()["doc_id"].fillna(0).astype(int))
+    stays = {"toxicity": [0, 900_001, 900_002, 900_003, 900_003, 900_004], "exact_dedup": [0, 900_002, 900_003, 900_004], "decontamination": [0, 900_001, 900_002, 900_003, 900_003, 900_004]}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf)
+        if name == "encoding":
+            texts = collections.Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
+            assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == texts
+        else:
+            assert got.columns == docs.columns
+            found = ids(got)
+            assert found == stays[name] if name in stays else found in ([900_001, 900_003, 900_004], [900_003, 900_004]), name
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pipeline(spark, sf, rows):
     import corpus_pipeline
 
