@@ -43,7 +43,7 @@ END_ID = 2
 BLOCK_IDS = 1 << 20
 LEAST_COUNT = 8  # a rule takes the bytes of four symbols; down to 5 the files shrink by 2 per cent more
 NARROW = 1 << 16  # symbols of a block with uint16, as long as its terminals leave half of them for rules
-CACHE_WORDS = 700_000  # remembered by a worker, twice at most
+CACHE_WORDS = 900_000  # remembered by a worker, twice at most
 
 
 @lru_cache(maxsize=2)
@@ -108,7 +108,9 @@ class Encoder:
                 tail = part[len(stem) :]
                 if (ending := self.tails.get(tail)) is None:
                     ending = self.tails[tail] = self._pieces(tail)
-                found = (self.new.get(stem) or self._part(stem)) + ending
+                if (known := self.new.get(stem)) is None:  # a word met for the first time: its place among those remembered is enough
+                    return self._part(stem) + ending
+                found = known + ending
             else:
                 found = self._pieces(" " + part)
         if len(self.new) >= CACHE_WORDS:  # words not met for long are forgotten
