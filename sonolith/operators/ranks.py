@@ -47,7 +47,7 @@ def _counted_ranks(df: DataFrame, columns: list[str], by: list[str], plan: str)
     rows = written(df.groupBy(*by, *[F.col(c).cast("double").alias(c) for c in columns]).agg(F.count("*").alias("__n")), "counted")
     each = rows.select(*by, "__n", F.posexplode(F.array(*columns)).alias("__column", "__v"))  # all columns are ranked in one plan
     ranks = ranked_values(each.groupBy(*by, "__column", "__v").agg(F.sum("__n").alias("__k")), "__v", [*by, "__column"], "__k", "__r")
-    ranks = written(ranks.select(*by, "__column", "__v", (F.col("__r") - (F.col("__r_total") + 1) / 2.0).alias("__r")), "ranks")
+    ranks = ranks.select(*by, "__column", "__v", (F.col("__r") - (F.col("__r_total") + 1) / 2.0).alias("__r"))
     for i, c in enumerate(columns):
         rows = matched(rows, ranks.where(F.col("__column") == i).select(*by, F.col("__v").alias(c), F.col("__r").alias(f"__{c}")), [*by, c])
     return rows
@@ -124,7 +124,7 @@ def kruskal(df: DataFrame, value: str, group: str, by: list[str], min_n: int = 5
     counted = written(df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("__c")), "counted")
     large = counted.groupBy(*by, group).agg(F.sum("__c").alias("__size")).where(F.col("__size") >= min_n).drop("__size")
     counted = matched(counted, large, [*by, group])
-    ranked = written(ranked_values(counted.groupBy(*by, value).agg(F.sum("__c").alias("__n")), value, by, "__n", "__r").select(*by, value, "__n", "__r"), "ranks")
+    ranked = ranked_values(counted.groupBy(*by, value).agg(F.sum("__c").alias("__n")), value, by, "__n", "__r").select(*by, value, "__n", "__r")
     ties = ranked.groupBy(*by).agg(_ties("__n").alias("__ties"))
     sums = matched(counted, ranked.select(*by, value, "__r"), [*by, value]).groupBy(*by, group).agg(F.sum(F.col("__c") * F.col("__r")).alias("s"), F.sum("__c").cast("double").alias("m"))
     out = sums.groupBy(*by).agg(F.sum("m").alias("n"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q")).where("k >= 2")
