@@ -63,15 +63,19 @@ class Pieces:
         plain = [i for i in all_ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         return cls(((i, m.id_to_piece(i), m.get_score(i)) for i in plain), {int(m.id_to_piece(i)[3:5], 16): i for i in all_ids if m.is_byte(i)})
 
-    def _path(self, text: str, lengths: array, stop: int) -> list[int]:
+    def _path(self, text: str, lengths: array | list[int], stop: int) -> list[int]:
         """Ids of the best path to ``stop``."""
-        out: list[list[int]] = []
+        out: list[int] = []
         while stop:
-            piece = text[stop - lengths[stop] : stop]
-            id_ = self.prefixes.get(piece, -1)
-            out.append([id_] if id_ >= 0 else [self.byte_ids[b] for b in piece.encode("utf-8", "replace")])
-            stop -= len(piece)
-        return [i for ids in reversed(out) for i in ids]
+            start = stop - lengths[stop]
+            id_ = self.prefixes.get(text[start:stop], -1)
+            if id_ >= 0:
+                out.append(id_)
+            else:
+                out += [self.byte_ids[b] for b in reversed(text[start:stop].encode("utf-8", "replace"))]
+            stop = start
+        out.reverse()
+        return out
 
     @staticmethod
     def _meeting(lengths: array, live: set[int], least: int) -> int:
@@ -145,7 +149,26 @@ class Pieces:
         if before:
             yield self._path("".join(past), lengths, before)
 
+    def _short(self, text: str) -> list[int]:
+        """The same for a text of one chunk: all of it is the window, so there is nothing to commit before its end."""
+        get, scores, unknown, n = self.prefixes.get, self.scores, self.unknown, len(text)
+        score, lengths = [0.0] + [-np.inf] * n, [0] * (n + 1)
+        for i in range(n):
+            base, j = score[i], i + 1
+            id_ = get(text[i], -2)
+            candidate = base + (scores[id_] if id_ >= 0 else unknown)
+            if candidate > score[j]:
+                score[j], lengths[j] = candidate, 1
+            while id_ != -2 and j < n:
+                j += 1
+                id_ = get(text[i:j], -2)
+                if id_ >= 0 and (candidate := base + scores[id_]) > score[j]:
+                    score[j], lengths[j] = candidate, j - i
+        return self._path(text, lengths, n)
+
     def search(self, text: str) -> list[int]:
+        if len(text) <= FEED:
+            return self._short(text)
         return [i for ids in self.stream(text[at : at + FEED] for at in range(0, len(text), FEED)) for i in ids]
 
     def _word(self, word: str) -> bytes:

@@ -357,6 +357,7 @@ def test_op5_is_the_best_path_and_comes_back(rows):
         cuts = sorted(r.sample(range(len(s) + 1), min(len(s), 5)))
         assert [i for part in m.stream(s[a:b] for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True)) for i in part] == ids
         assert m.decode(ids) == t.replace("▁", " ")
+        assert m._short(s) == ids
 
 
 def test_op5_commits_early():
