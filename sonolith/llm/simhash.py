@@ -14,7 +14,9 @@ model 0.92 of the pairs at 0.8 meet, 0.98 at 0.85 and all but one in a thousand
 other through third ones. The table of a segment is cut into blocks by the first bits of its value: flips of the other
 bits stay inside a block, so a fingerprint is sent to one block and to those one flip away, and the block's task
 enumerates the rest. Buckets of a few are compared at once; in larger ones everybody is compared with some leaders, and
-then those that are still in different components with each other.
+then those that are still in different components with each other. There a pair is made only if the parities of the two
+shingle sets allow a similarity of 0.8: each of 1,024 bits says whether an odd number of shingles hash to it, so the sets
+differ in at least as many shingles as the parities in bits, and no pair that is similar enough is left out.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ LEADERS = 4  # of a bucket
 FEW = 16  # fingerprints of a bucket that are all compared
 BLOCK_PRINTS, MOST_PRINTS = 1 << 14, 1 << 20  # of a block: as planned, and in one task at most
 APART = 44  # bits of 192 that may differ at a similarity of 0.8: 29 are expected, three deviations more leave out one pair of 700
+PARITIES = 1024  # bits; from about 1,200 shingles on they rule out little
 _WIDE = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93]], dtype=np.uint64)  # fixed values: odd numbers for mixing
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
@@ -159,6 +162,12 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes)).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``PARITIES`` values of a shingle's hash whether an odd number of the set have it (16 longs). Two sets differ in at least as many shingles as their parities differ in bits."""
+    odd = np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 FP = ["s0", "s1", "s2"]
 
 
@@ -335,18 +344,24 @@ def _met_by_windows(nodes: DataFrame, which: Column) -> DataFrame:
     return pairs.unionByName(entries.select(*[F.col(c).alias(f"a{c}") for c in FP], *[F.lit(None).cast("long").alias(f"b{c}") for c in FP], "key"))
 
 
+def _may_be_similar(a: str, b: str) -> Column:
+    """Whether the parities of two sets of ``n_shingles`` allow a similarity of 0.8. It is 9 |both| >= 4 (|a| + |b|), so at most a ninth of |a| + |b| may differ."""
+    differing = [F.bit_count(F.col(f"{a}parities")[i].bitwiseXOR(F.col(f"{b}parities")[i])) for i in range(PARITIES // 64)]
+    return 9 * sum(differing[1:], differing[0]) <= F.col(f"{a}n_shingles") + F.col(f"{b}n_shingles")
+
+
 def _still_apart(entries: DataFrame) -> DataFrame:
-    """(``a``, ``b``): all fingerprints of one bucket (``key``) that differ in ``APART`` bits or fewer and are of different components (``root``, of ``size`` members; null: alone).
+    """(``a``, ``b``): all fingerprints of one bucket (``key``) that differ in ``APART`` bits or fewer, whose sets may be similar enough by their ``parities``, and that are of different components (``root``, of ``size`` members; null: alone).
 
     Members of the bucket's largest component are not compared with one another, so a bucket costs what is outside that
     component times its size.
     """
-    entries = entries.select("key", *FP, F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("root", _node()).alias("root")).repartition("key")
+    entries = entries.select("key", *FP, "n_shingles", "parities", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("root", _node()).alias("root")).repartition("key")
     most = F.max(F.struct("size", "root")).over(Window.partitionBy("key"))
     placed = entries.withColumn("inside", F.col("root") == most["root"]).drop("size")
-    other = _renamed(placed.where("NOT inside").drop("inside"), "o").withColumnsRenamed({"key": "okey", "root": "oroot"})
+    other = _renamed(placed.where("NOT inside").drop("inside"), "o").withColumnsRenamed({c: f"o{c}" for c in ("key", "root", "n_shingles", "parities")})
     both = placed.join(other.hint("merge"), F.col("key") == F.col("okey")).where((F.col("root") != F.col("oroot")) & (F.col("inside") | (F.struct(*FP) < F.struct(*[F.col(f"o{c}") for c in FP]))))
-    met = both.where((_distance("", "o") <= APART) & (F.col("key") == _reporting("o")))  # each pair once
+    met = both.where((_distance("", "o") <= APART) & _may_be_similar("", "o") & (F.col("key") == _reporting("o")))  # each pair once
     return met.select(F.least(_node(), _node("o")).alias("a"), F.greatest(_node(), _node("o")).alias("b"))
 
 
@@ -358,11 +373,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _similar(nodes: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
-    """(``node``, ``root``): components of the different fingerprints (``s0``..``s2``, ``text_hash`` of one of their texts) over candidates of similarity 0.8 or more.
+    """(``node``, ``root``): components of the different fingerprints (``s0``..``s2``, ``text_hash``, ``n_shingles`` and ``parities`` of one of their texts) over candidates of similarity 0.8 or more.
 
     First every fingerprint is compared with those of its small buckets and with some leaders of its large ones, which
     is linear and settles families of copies; then all fingerprints of a large bucket that are still in different
-    components are compared, so no link is lost.
+    components are compared, so no link is lost. Components found at first enter the second search as one link a member.
     Texts of one fingerprint are one node: sets of a similarity under 0.8 agree in all 192 bits with a probability below 1e-13.
     """
     named = nodes.withColumn("node", _node())
@@ -385,11 +400,13 @@ def _similar(nodes: DataFrame, texts: DataFrame, words_per_shingle: int) -> Data
     roots = staged(components(found), "roots")
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     crowded = met.where("key IS NOT NULL").select(_node("a").alias("node"), "key")
-    crowded = crowded.join(roots.join(sizes, "root"), "node", "left").select("key", *[F.col(f"node.{c}").alias(c) for c in FP], "root", "size")
+    crowded = crowded.join(roots.join(sizes, "root"), "node", "left").join(named.select("node", "n_shingles", "parities"), "node")
+    crowded = crowded.select("key", *[F.col(f"node.{c}").alias(c) for c in FP], "n_shingles", "parities", "root", "size")
     rest = staged(_still_apart(crowded).join(led, ["a", "b"], "left_anti"), "apart-pairs")
     if rest.isEmpty():
         return roots
-    return components(found.unionByName(_verified(rest, sets_of(rest))))
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(known.unionByName(_verified(rest, sets_of(rest))))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
@@ -405,11 +422,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([wide_fingerprint(shingles_of(x.as_py(), words_per_shingle)) for x in b.column("text")], dtype=np.int64).reshape(-1, 3)
-            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), *(pa.array(np.ascontiguousarray(prints[:, j])) for j in range(3))], names=["doc_id", "text_hash", *FP])
-
-    prints = staged(own.mapInArrow(run, f"doc_id {kind}, text_hash binary, s0 long, s1 long, s2 long"), "wide-prints")
-    roots = _similar(staged(prints.groupBy(*FP).agg(F.min("text_hash").alias("text_hash")), "different-prints"), own.select("text_hash", "text"), words_per_shingle)
+            prints, sizes, odd = np.zeros((b.num_rows, 3), dtype=np.int64), np.zeros(b.num_rows, dtype=np.int32), np.zeros((b.num_rows, PARITIES // 64), dtype=np.int64)
+            for i, text in enumerate(b.column("text")):
+                hashes = shingles_of(text.as_py(), words_per_shingle)
+                prints[i], sizes[i], odd[i] = wide_fingerprint(hashes), len(hashes), parities(hashes)
+            columns = [*(pa.array(np.ascontiguousarray(prints[:, j])) for j in range(3)), pa.array(sizes), pa.array(list(odd), pa.list_(pa.int64()))]
+            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), *columns], names=["doc_id", "text_hash", *FP, "n_shingles", "parities"])
+
+    prints = staged(own.mapInArrow(run, f"doc_id {kind}, text_hash binary, s0 long, s1 long, s2 long, n_shingles int, parities array<long>"), "wide-prints")
+    different = prints.groupBy(*FP).agg(F.min(F.struct("text_hash", "n_shingles", "parities")).alias("x")).select(*FP, "x.*")
+    roots = _similar(staged(different, "different-prints"), own.select("text_hash", "text"), words_per_shingle)
     nodes = prints.groupBy(_node().alias("node")).agg(F.count("*").alias("n_rows")).join(roots, "node", "left")
     nodes = staged(nodes.select("node", F.coalesce("root", "node").alias("group"), "n_rows"), "node-groups")
     grouped = staged(join_spread(prints.select("doc_id", "text_hash", _node().alias("node")), nodes, ["node"], "n_rows").groupBy("doc_id", "text_hash", "group").agg(F.count("*").alias("n")), "groups")

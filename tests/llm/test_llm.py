@@ -523,6 +523,49 @@ def test_near_dedup_meets_what_shares_a_key(spark, monkeypatch, most, few, plann
     assert crowded or (few == 16 and most > 100)
 
 
+def test_near_dedup_makes_few_pairs_of_a_family_just_under_08(spark, monkeypatch):
+    """Texts of one family that are not similar enough are not paired, those that are lose no link, and components found at first are not searched again link by link."""
+    monkeypatch.setattr(simhash, "FEW", 2)
+    made, searched = {}, []
+    staged, components = simhash.staged, simhash.components
+
+    def counted(df, name):
+        out = staged(df, name)
+        made[name] = out.count()
+        return out
+
+    def counting(pairs):
+        searched.append(pairs.count())
+        return components(pairs)
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    monkeypatch.setattr(simhash, "components", counting)
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for n in range(300):
+        text = list(texts[r.randrange(n)] if n > 150 and n % 3 == 0 else base)
+        for at in r.sample(range(150), 1 if n % 3 == 0 else 4):
+            text[at] = f"v{r.randrange(10**6)}"
+        texts.append(text)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    similar = {(i, j) for i, j in itertools.combinations(range(300), 2) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+    hashes = [simhash.shingles_of(" ".join(t), 5) for t in texts]
+    odd = [simhash.parities(h) for h in hashes]
+    for i, j in itertools.combinations(range(300), 2):
+        apart = int(simhash._apart_bits(odd[i][None], odd[j][None])[0])
+        assert apart <= len(sets[i] ^ sets[j]) and ((i, j) not in similar or 9 * apart <= len(hashes[i]) + len(hashes[j]))
+    root = list(range(300))
+    for _ in range(300):
+        for i, j in similar:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    got = {x["doc_id"] for x in simhash.drop_near_duplicates(docs).collect()}
+    assert set(root) <= got and len(got - set(root)) <= 0.02 * (300 - len(set(root)))
+    assert 100 < len(set(root)) < 290 and made["met"] > made["led-pairs"]
+    assert made["apart-pairs"] <= 300 and searched[1:] <= [made["roots"] + made["apart-pairs"]]
+
+
 def test_pipeline_near_dedup_takes_similarity_of_08(spark):
     import corpus_pipeline
 
