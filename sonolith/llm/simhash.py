@@ -196,10 +196,10 @@ def _digest(text: Column) -> Column:
 
 
 def _entries(nodes: DataFrame, which: Column) -> DataFrame:
-    """Each fingerprint under those of its keys (per segment its value and the values one bit away) that ``which`` takes."""
+    """Each row of ``nodes`` under those of its keys (per segment its value and the values one bit away) that ``which`` takes."""
     flips = F.array(F.lit(0), *[F.lit(1 << b) for b in range(SEGMENT_BITS)])
     keys = F.flatten(F.transform(F.array(*_segments()), lambda s: F.transform(flips, lambda f: s.bitwiseXOR(f))))
-    return nodes.select(*FP, F.explode(keys).alias("key")).where(which).repartition("key")  # here, so that nothing derived is shuffled
+    return nodes.select("*", F.explode(keys).alias("key")).where(which).repartition("key")  # here, so that nothing derived is shuffled
 
 
 def _renamed(df: DataFrame, prefix: str) -> DataFrame:
@@ -242,11 +242,8 @@ def _reporting_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return found
 
 
-def block_pairs(prints: np.ndarray, block: int, first_bits: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the prints sent to a block: pairs (places a, b) that differ in ``APART`` bits or fewer, and (key, place) of all entries of buckets of more than ``few``.
-
-    Pairs of a small bucket are found by the one bucket that reports them; those of a larger one are pairs with leaders.
-    """
+def _buckets(prints: np.ndarray, block: int, first_bits: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The block's segment, and (key, place) of all entries of the prints sent to it, in order of keys."""
     low = SEGMENT_BITS - first_bits
     j, prefix = block >> first_bits, block & ((1 << first_bits) - 1)
     value = _segment(prints, j)
@@ -256,7 +253,15 @@ def block_pairs(prints: np.ndarray, block: int, first_bits: int, few: int = FEW)
     keys = np.concatenate(((value[home, None] ^ flips).ravel(), prefix << low | value[guests] & ((1 << low) - 1)))
     places = np.concatenate((np.repeat(home, len(flips)), guests))
     order = np.argsort(keys, kind="stable")
-    keys, places = keys[order] | j << SEGMENT_BITS, places[order]
+    return j, keys[order] | j << SEGMENT_BITS, places[order]
+
+
+def block_pairs(prints: np.ndarray, block: int, first_bits: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the prints sent to a block: pairs (places a, b) that differ in ``APART`` bits or fewer, and (key, place) of all entries of buckets of more than ``few``.
+
+    Pairs of a small bucket are found by the one bucket that reports them; those of a larger one are pairs with leaders, in the first segment that both are near in.
+    """
+    j, keys, places = _buckets(prints, block, first_bits)
     starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1])))
     sizes = np.diff(starts, append=len(keys))
     size = np.repeat(sizes, sizes)
@@ -282,62 +287,102 @@ def block_pairs(prints: np.ndarray, block: int, first_bits: int, few: int = FEW)
         for k in range(LEADERS):
             a, b = places[many], places[many[run + np.minimum(k, last)]]
             near = (a != b) & (_apart_bits(prints[a], prints[b]) <= APART)
-            found.append(np.unique(np.stack((a[near], b[near])), axis=1))
-    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+            a, b = a[near], b[near]
+            own = _reporting_key(prints[a], prints[b]) >> SEGMENT_BITS == j
+            found.append(np.sort(np.stack((a[own], b[own])), axis=0))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), dtype=np.int64)
     return pairs[0], pairs[1], keys[many], places[many]
 
 
+def apart_pairs(prints: np.ndarray, roots: np.ndarray, sizes: np.ndarray, n_shingles: np.ndarray, odd: np.ndarray, block: int, first_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the prints sent to a block: pairs (places a, b) of different components (``roots``, of ``sizes`` members) that differ in ``APART`` bits or fewer and whose sets may be similar enough by their parities, each once over all blocks.
+
+    Members of a bucket's largest component are not compared with one another, so a bucket costs what is outside that
+    component times its size.
+    """
+    _, keys, places = _buckets(prints, block, first_bits)
+    component = np.unique(np.column_stack((sizes, roots)), axis=0, return_inverse=True)[1].reshape(-1)  # a larger one has a higher number
+    order = np.lexsort((component[places], keys))
+    keys, places = keys[order], places[order]
+    of, last = component[places], np.searchsorted(keys, keys, side="right") - 1
+    outside, step, found = np.flatnonzero(of != of[last]), 0, [np.zeros((2, 0), dtype=np.int64)]
+    while len(outside := outside[outside + (step := step + 1) <= last[outside]]):
+        at = outside[of[outside] != of[outside + step]]
+        at = at[_apart_bits(prints[places[at]], prints[places[at + step]]) <= APART]
+        a, b = places[at], places[at + step]
+        likely = 9 * _apart_bits(odd[a], odd[b]) <= n_shingles[a] + n_shingles[b]
+        at, a, b = at[likely], a[likely], b[likely]
+        own = _reporting_key(prints[a], prints[b]) == keys[at]
+        found.append(np.stack((a[own], b[own])))
+    pairs = np.concatenate(found, axis=1)
+    return pairs[0], pairs[1]
+
+
 _MET = [*(f"a{c}" for c in FP), *(f"b{c}" for c in FP), "key"]
 
 
-def _met_in_blocks(nodes: DataFrame) -> DataFrame:
-    """(``a*``, ``b*``, null): pairs of :func:`block_pairs`; (``a*``, null, ``key``): entries of large buckets."""
+def _dealt(nodes: DataFrame) -> tuple[DataFrame, int, Column | None]:
+    """``nodes`` once for each ``block`` that they are sent to, in order of blocks; how many first bits of a segment make a block; which of the keys (``key``) are of blocks that no task should hold, and not among these."""
     n = nodes.count()
     first_bits = min(SEGMENT_BITS - 1, max(0, int(n // BLOCK_PRINTS).bit_length()))
-    low, few = SEGMENT_BITS - first_bits, FEW
+    low = SEGMENT_BITS - first_bits
     home = [F.shiftright(c, low) for c in _segments()]
     counts = nodes.select(F.explode(F.array(*home)).alias("block")).groupBy("block").count()
     hot = [r[0] for r in counts.where(F.col("count") > MOST_PRINTS).select("block").collect()]  # one for 2^20 fingerprints at most
     sent = F.array(*[b for h in home for b in [h, *(h.bitwiseXOR(F.lit(1 << i)) for i in range(first_bits))]])
-    dealt = nodes.select(*FP, F.explode(sent).alias("block"))
+    dealt = nodes.select("*", F.explode(sent).alias("block"))
     dealt = dealt.where(~F.col("block").isin(hot)) if hot else dealt
+    return dealt.repartition("block").sortWithinPartitions("block"), first_bits, F.shiftright("key", low).isin(hot) if hot else None
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Each block's rows, of rows in order of blocks."""
+    now, parts = None, []
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        cuts = np.flatnonzero(np.diff(blocks, prepend=-1, append=-1))
+        for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if blocks[at] != now:
+                if parts:
+                    yield now, pa.Table.from_batches(parts)
+                now, parts = int(blocks[at]), []
+            parts.append(batch.slice(at, end - at))
+    if parts:
+        yield now, pa.Table.from_batches(parts)
+
+
+def _prints(rows: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([rows.column(c).to_numpy() for c in names], axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
 
-        def close() -> pa.RecordBatch:
-            prints = np.concatenate(parts)
-            a, b, key, place = block_pairs(prints, now, first_bits, few)
+def _met_in_blocks(nodes: DataFrame, entries: bool = True) -> DataFrame:
+    """(``a*``, ``b*``, null): pairs of :func:`block_pairs`; (``a*``, null, ``key``): entries of large buckets, or without ``entries`` only one for each fingerprint that is in no pair of a block."""
+    few = FEW
+    dealt, first_bits, hot = _dealt(nodes.select(*FP))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _blocks(batches):
+            prints = _prints(rows, FP)
+            a, b, key, place = block_pairs(prints, block, first_bits, few)
+            if not entries:
+                place, first = np.unique(place, return_index=True)
+                lone = ~np.isin(place, np.concatenate((a, b)))
+                place, key = place[lone], key[first[lone]]
             none = np.zeros(len(key), dtype=bool)
             left, right = np.concatenate((prints[a], prints[place])), np.concatenate((prints[b], prints[place]))
             is_pair = np.concatenate((np.ones(len(a), dtype=bool), none))
             columns = [*(pa.array(np.ascontiguousarray(left[:, c])) for c in range(3)), *(pa.array(np.ascontiguousarray(right[:, c]), mask=~is_pair) for c in range(3))]
-            return pa.record_batch([*columns, pa.array(np.concatenate((np.zeros(len(a), dtype=np.int64), key)).astype(np.int32), mask=is_pair)], names=_MET)
-
-        for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            prints = np.stack([batch.column(c).to_numpy() for c in FP], axis=1)
-            cuts = np.flatnonzero(np.diff(blocks)) + 1
-            for at, part in zip([0, *cuts], np.split(prints, cuts), strict=True):
-                if len(blocks) and blocks[at] != now:
-                    if parts:
-                        yield close()
-                    now, parts = int(blocks[at]), []
-                parts.append(part)
-        if parts:
-            yield close()
+            yield pa.record_batch([*columns, pa.array(np.concatenate((np.zeros(len(a), dtype=np.int64), key)).astype(np.int32), mask=is_pair)], names=_MET)
 
     kinds = ", ".join(f"{c} {'int' if c == 'key' else 'long'}" for c in _MET)
-    met = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, kinds)
-    if not hot:
-        return met
-    return met.unionByName(_met_by_windows(nodes, F.shiftright("key", low).isin(hot)))
+    met = dealt.mapInArrow(run, kinds)
+    return met if hot is None else met.unionByName(_met_by_windows(nodes, hot))
 
 
 def _met_by_windows(nodes: DataFrame, which: Column) -> DataFrame:
     """The same for the keys of blocks that no task should hold: leaders by a window over each bucket, and all its entries."""
     leaders = [F.min_by(F.struct(*FP), F.xxhash64(F.lit(k), *FP)).over(Window.partitionBy("key")).alias(f"l{k}") for k in range(LEADERS)]
-    entries = _entries(nodes, which=which)
+    entries = _entries(nodes.select(*FP), which=which)
     met = entries.select(*FP, *leaders).select(*FP, F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))).alias("l")).select(*FP, *[F.col(f"l.{c}").alias(f"l{c}") for c in FP])
     met = met.where((_distance("", "l") <= APART) & (F.struct(*FP) != F.struct(*[F.col(f"l{c}") for c in FP])))
     pairs = met.select(*[F.col(c).alias(f"a{c}") for c in FP], *[F.col(f"l{c}").alias(f"b{c}") for c in FP], F.lit(None).cast("int").alias("key"))
@@ -365,6 +410,23 @@ def _still_apart(entries: DataFrame) -> DataFrame:
     return met.select(F.least(_node(), _node("o")).alias("a"), F.greatest(_node(), _node("o")).alias("b"))
 
 
+def _apart(nodes: DataFrame) -> DataFrame:
+    """(``a``, ``b``): the pairs of :func:`apart_pairs` of ``nodes`` (fingerprint, ``n_shingles``, ``parities``, ``root`` and ``size`` of the component; null: alone); in blocks that no task should hold those of :func:`_still_apart`."""
+    root = F.coalesce("root", _node())
+    named = nodes.select(*FP, *[root[c].alias(f"r{c}") for c in FP], F.coalesce("size", F.lit(1)).alias("size"), "n_shingles", "parities")
+    dealt, first_bits, hot = _dealt(named)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _blocks(batches):
+            prints, n = _prints(rows, FP), rows.column("n_shingles").to_numpy().astype(np.int64)
+            odd = rows.column("parities").combine_chunks().flatten().to_numpy().reshape(-1, PARITIES // 64)
+            a, b = apart_pairs(prints, _prints(rows, [f"r{c}" for c in FP]), rows.column("size").to_numpy(), n, odd, block, first_bits)
+            yield pa.record_batch([pa.array(np.ascontiguousarray(prints[x, c])) for x in (a, b) for c in range(3)], names=_MET[:-1])
+
+    met = dealt.mapInArrow(run, ", ".join(f"{c} long" for c in _MET[:-1])).select(F.least(_node("a"), _node("b")).alias("a"), F.greatest(_node("a"), _node("b")).alias("b"))
+    return met if hot is None else met.unionByName(_still_apart(_entries(nodes, which=hot)))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of 0.8 or more, by their whole sets: 9 |both| >= 4 (|a| + |b|)."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
@@ -394,15 +456,14 @@ def _similar(nodes: DataFrame, texts: DataFrame, words_per_shingle: int) -> Data
         met = likely.join(wanted.hint("merge"), "text_hash").dropDuplicates(["text_hash"])
         return staged(met.select("node", "text").mapInArrow(run, "node struct<s0:long,s1:long,s2:long>, hashes array<long>"), "shingle-sets")
 
-    met = staged(_met_in_blocks(nodes), "met")
+    met = staged(_met_in_blocks(nodes, entries=False), "met")
     led = staged(met.where("key IS NULL").select(F.least(_node("a"), _node("b")).alias("a"), F.greatest(_node("a"), _node("b")).alias("b")).distinct(), "led-pairs")
     found = staged(_verified(led, sets_of(led)), "similar")
     roots = staged(components(found), "roots")
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    crowded = met.where("key IS NOT NULL").select(_node("a").alias("node"), "key")
-    crowded = crowded.join(roots.join(sizes, "root"), "node", "left").join(named.select("node", "n_shingles", "parities"), "node")
-    crowded = crowded.select("key", *[F.col(f"node.{c}").alias(c) for c in FP], "n_shingles", "parities", "root", "size")
-    rest = staged(_still_apart(crowded).join(led, ["a", "b"], "left_anti"), "apart-pairs")
+    crowded = met.where("key IS NOT NULL").select(_node("a").alias("node")).unionByName(led.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    crowded = named.join(crowded, "node", "left_semi").join(roots.join(sizes, "root"), "node", "left").select(*FP, "n_shingles", "parities", "root", "size")
+    rest = staged(_apart(staged(crowded, "crowded")).join(led, ["a", "b"], "left_anti"), "apart-pairs")
     if rest.isEmpty():
         return roots
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
