@@ -148,18 +148,21 @@ def unit_bigrams(training: DataFrame, words: Vocabulary) -> DataFrame:
 
 
 def contexts(bigrams: DataFrame) -> DataFrame:
-    """One row per unit: its right and left neighbours with counts (at most twice the number of units)."""
-    both = bigrams.select(F.col("left").alias("unit"), F.struct(F.lit(True).alias("after"), F.col("right").alias("other"), "n").alias("x")).unionByName(
-        bigrams.select(F.col("right").alias("unit"), F.struct(F.lit(False).alias("after"), F.col("left").alias("other"), "n").alias("x")))
-    return both.groupBy("unit").agg(F.collect_list("x").alias("x")).select("unit", "x.after", "x.other", "x.n")
+    """One row per unit: its neighbours ``after`` and ``before`` it (at most the number of units each) with counts ``n_after`` and ``n_before``, and ``half``, the rounds in which it may move.
+
+    Sums of classes read the neighbours after only, and a round only its half, so that neither is read for nothing.
+    """
+    ends = [bigrams.select(F.col(unit).alias("unit"), F.lit(after).alias("is_after"), F.col(other).alias("other"), "n") for unit, other, after in (("left", "right", True), ("right", "left", False))]
+    lists = [F.collect_list(F.when(F.col("is_after") == after, F.col(c))).alias(name) for c, name, after in (("other", "after", True), ("n", "n_after", True), ("other", "before", False), ("n", "n_before", False))]  # nulls are left out
+    both = ends[0].unionByName(ends[1]).groupBy("unit").agg(*lists)
+    return both.select("*", F.pmod(F.crc32(F.col("unit").cast("string").cast("binary")), F.lit(2)).cast("int").alias("half"))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(unit, whether a neighbour comes after, neighbours, counts)."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The unit and the other columns' lists as arrays."""
     for b in batches:
         for i in range(b.num_rows):
-            after, other, n = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("after", "other", "n"))
-            yield b.column("unit")[i].as_py(), after, other, n
+            yield b.column("unit")[i].as_py(), *(b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in b.schema.names[1:])
 
 
 def _class_bigrams(table: DataFrame, classes: np.ndarray) -> np.ndarray:
@@ -168,13 +171,13 @@ def _class_bigrams(table: DataFrame, classes: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = np.zeros((CLASSES, CLASSES), dtype=np.int64)
-        for unit, after, other, n in _rows(batches):
-            m[held.value[unit]] += np.bincount(held.value[other[after]], weights=n[after], minlength=CLASSES).astype(np.int64)
+        for unit, after, n in _rows(batches):
+            m[held.value[unit]] += np.bincount(held.value[after], weights=n, minlength=CLASSES).astype(np.int64)
         a, b = np.nonzero(m)
         yield pa.record_batch([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(m[a, b])], names=["a", "b", "n"])
 
     m = np.zeros((CLASSES, CLASSES))
-    for r in table.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+    for r in table.select("unit", "after", "n_after").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
         m[r["a"], r["b"]] = r["n"]
     return m
 
@@ -197,16 +200,14 @@ def _exchange(table: DataFrame, classes: np.ndarray, m: np.ndarray, turn: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, counts = held.value
         moved: list[tuple[int, int]] = []
-        for unit, after, other, n in _rows(batches):
-            if unit == 0 or zlib.crc32(str(unit).encode()) % 2 != turn % 2:
-                continue
-            of = cls[other]
-            left = np.bincount(of[~after], weights=n[~after], minlength=CLASSES)
-            right = np.bincount(of[after], weights=n[after], minlength=CLASSES)
+        for unit, after, n_after, before, n_before in _rows(batches):
+            left = np.bincount(cls[before], weights=n_before, minlength=CLASSES)
+            right = np.bincount(cls[after], weights=n_after, minlength=CLASSES)
             moved.append((unit, best_class(left, right, int(cls[unit]), counts)))
         yield pa.record_batch([pa.array([x for x, _ in moved], pa.int32()), pa.array([y for _, y in moved], pa.int32())], names=["unit", "to"])
 
-    return {r["unit"]: r["to"] for r in table.mapInArrow(run, "unit int, to int").collect()}
+    moving = table.where((F.col("unit") != 0) & (F.col("half") == turn % 2)).select("unit", "after", "n_after", "before", "n_before")
+    return {r["unit"]: r["to"] for r in moving.mapInArrow(run, "unit int, to int").collect()}
 
 
 def likelihood(m: np.ndarray) -> float:

@@ -91,6 +91,18 @@ def test_op1_score_is_the_formula(spark, monkeypatch):
         assert x["score"] == pytest.approx(score(texts[x["doc_id"]].encode().split()), rel=1e-9)
 
 
+def test_op1_contexts_keep_both_sides_apart(spark):
+    """Neighbours after and before a unit are columns of their own, so that sums of classes read one side and a round half of the units."""
+    r = random.Random(2)
+    bigrams = collections.Counter((r.randrange(9), r.randrange(9)) for _ in range(60))
+    got = brown_lm.contexts(spark.createDataFrame([(a, b, n) for (a, b), n in bigrams.items()], "left int, right int, n long")).collect()
+    assert {x["unit"] for x in got} == {u for pair in bigrams for u in pair}
+    for x in got:
+        assert dict(zip(x["after"], x["n_after"], strict=True)) == {b: n for (a, b), n in bigrams.items() if a == x["unit"]}
+        assert dict(zip(x["before"], x["n_before"], strict=True)) == {a: n for (a, b), n in bigrams.items() if b == x["unit"]}
+        assert x["half"] == zlib.crc32(str(x["unit"]).encode()) % 2
+
+
 def test_op1_exchange_raises_the_likelihood(spark):
     r = random.Random(4)
     nouns, verbs = [f"n{i}" for i in range(150)], [f"v{i}" for i in range(150)]
