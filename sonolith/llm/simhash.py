@@ -85,7 +85,8 @@ def links(distinct: DataFrame, most_bits: int = 4) -> DataFrame:
     """Pairs ``a < b`` of the distinct fingerprints ``fp`` that differ in ``most_bits`` (at most 5) bits or fewer, each once.
 
     A pair meets under several keys; only one of them reports it: in the first segment that differs in at most 2 bits,
-    a's value with the lowest differing bit turned.
+    a's value with the lowest differing bit turned. Entries are shuffled whatever Spark takes their size for: it does
+    not count that each fingerprint is entered 66 times, so it would broadcast far more than fits the driver.
     """
     entries = distinct.select("fp", F.explode(_ball_keys(F.col("fp"))).alias("key"))
     a, b = entries.select("key", F.col("fp").alias("a")), entries.select("key", F.col("fp").alias("b"))
@@ -93,7 +94,7 @@ def links(distinct: DataFrame, most_bits: int = 4) -> DataFrame:
     low, high = differing.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(differing, 32)
     in_low, in_high = F.col("a").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("a", 32)
     reporting = F.when(F.bit_count(low) <= 2, in_low.bitwiseXOR(low.bitwiseAND(-low))).otherwise(in_high.bitwiseXOR(high.bitwiseAND(-high)).bitwiseOR(1 << 32))
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(differing) <= most_bits) & (F.col("key") == reporting)).select("a", "b")
+    return a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(differing) <= most_bits) & (F.col("key") == reporting)).select("a", "b")
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -497,6 +497,13 @@ def test_op7_every_pair_within_four_bits_once(spark):
     assert {x["node"]: x["root"] for x in roots} == {i: 0 for i in range(61)}
 
 
+def test_op7_entries_are_not_broadcast(spark):
+    """Spark takes 66 entries a fingerprint for one and would broadcast those of a table under its threshold."""
+    met = simhash.links(spark.range(3000).select(F.xxhash64("id").alias("fp")))
+    met.collect()
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_op7_edges(edge):
     got = simhash.near_duplicates(edge).collect()
     assert len(got) == 7 and {r["component_id"] for r in got if r["fingerprint"] == "0" * 16} == {1}
