@@ -82,6 +82,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def vector_sum(vectors: Column) -> Column:
+    """Element-wise sum of an array of arrays, in double precision; null of none."""
+    first = F.transform(F.get(vectors, F.lit(0)), lambda x: x.cast("double"))
+    return F.aggregate(F.slice(vectors, F.lit(2), F.size(vectors)), first, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 

@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine, dot, heron_area, unit
+from ..functions.scalars import cosine, dot, heron_area, let, unit, vector_sum
 
 
 def mean_vector(vec: Column) -> Column:
@@ -33,17 +33,30 @@ def classify(tokens: DataFrame, contrasts: DataFrame, phone: str = "phone", on:
     return tokens.join(one, [*keys, phone])
 
 
-def pool_frames(frames: DataFrame, intervals: DataFrame, fps: float = 50.0) -> DataFrame:
+FRAMES = 64  # of a block
+
+
+def pool_frames(frames: DataFrame, intervals: DataFrame, fps: float = 50.0, within: tuple[str, ...] = ("utterance",)) -> DataFrame:
     """Mean frame vector per interval: frames from floor(xmin * fps) to floor(xmax * fps), one at least, as far as there are any.
 
-    The range condition is an equality: each interval lists its frame numbers, and meets them by (utterance, number).
-    Intervals behind the last frame drop out. The float product is taken as it is (0.58 * 50 is under 29).
+    ``within``: the columns of both tables that say whose frames they are; without any, all intervals share one table.
+    Frames are packed into blocks of consecutive numbers. An interval meets the blocks that it touches, which is an
+    equality, and makes one sum of each, so neither side lists frame numbers. Frames of many utterances are shuffled
+    whatever Spark takes their size for (they may come out of an explode, which it does not count). Intervals behind the
+    last frame drop out. The float product is taken as it is (0.58 * 50 is under 29).
     """
+    keys, on = intervals.columns, [*within, "__block"]
+    block = lambda c: F.floor(c / FRAMES).cast("int")
     start = F.floor(F.col("xmin") * fps).cast("int")
     end = F.greatest(F.floor(F.col("xmax") * fps).cast("int"), start + 1)
-    wanted = intervals.withColumn("frame_idx", F.explode(F.sequence(start, end - 1)))
-    keys = intervals.columns
-    return wanted.join(frames.select("utterance", "frame_idx", "vec"), ["utterance", "frame_idx"]).groupBy(*keys).agg(mean_vector(F.col("vec")).alias("embedding"), F.count("*").alias("n_frames"))
+    wanted = intervals.select("*", start.alias("__start"), end.alias("__end")).withColumn("__block", F.explode(F.sequence(block(F.col("__start")), block(F.col("__end") - 1))))
+    blocks = frames.groupBy(*within, block(F.col("frame_idx")).alias("__block")).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "vec"))).alias("__frames"))
+    own = F.filter("__frames", lambda f: (f["frame_idx"] >= F.col("__start")) & (f["frame_idx"] < F.col("__end")))
+    part = let(F.transform(own, lambda f: f["vec"]), lambda vs: F.struct(F.col("__block").alias("at"), vector_sum(vs).alias("sum"), F.size(vs).alias("n")))
+    met = wanted.join(blocks.hint("merge") if within else blocks, on).select(*keys, part.alias("__part"))
+    sums = met.groupBy(*keys).agg(F.array_sort(F.collect_list("__part")).alias("__parts"), F.sum("__part.n").alias("n_frames")).where("n_frames > 0")
+    total = vector_sum(F.transform(F.filter("__parts", lambda x: x["n"] > 0), lambda x: x["sum"]))
+    return sums.select(*keys, F.transform(total, lambda x: x / F.col("n_frames")).alias("embedding"), "n_frames")
 
 
 def contrast_directions(tokens: DataFrame, by: list[str], vec: str = "embedding", min_n: int = 5) -> DataFrame:

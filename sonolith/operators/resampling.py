@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot, let, unit
+from ..functions.scalars import dot, let, unit, vector_sum
 from ..sources.shared import written
 from .ranks import kruskal, spearman
 from .replicates import permuted_means, replicate_kruskal, replicate_means, replicate_spearman, smallest_draws, with_counts
@@ -86,9 +86,7 @@ def fixed_token_correlation(repeated: DataFrame, full: DataFrame, labels: DataFr
 
 
 def _mean_vector(vectors: Column) -> Column:
-    first = F.transform(vectors[0], lambda x: x.cast("double"))
-    total = F.aggregate(F.slice(vectors, F.lit(2), F.size(vectors)), first, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-    return F.transform(total, lambda x: x / F.size(vectors))
+    return F.transform(vector_sum(vectors), lambda x: x / F.size(vectors))
 
 
 def _moments(values: Column) -> Column:

@@ -77,6 +77,34 @@ def test_pooling_edges(spark):
     assert got == {0: (1, 2.0), 1: (1, 5.0), 3: (2, 8.5)}
 
 
+def test_pooling_over_blocks(spark):
+    """Intervals over several blocks, frames that are missing or there twice, equal intervals; frames of utterances or shared."""
+    rng = np.random.default_rng(3)
+    at = sorted([i for i in range(400) if i % 11 and not 130 <= i < 200] + [70, 300])
+    rows = [(u, i, [float(x) for x in rng.normal(size=3)]) for u in ("u", "v") for i in at]
+    spans = [(u, k, float(a), float(a + d)) for u in ("u", "v", "w") for k, (a, d) in enumerate([(0, 400), (5, 3), (60, 10), (64, 64), (135, 5), (120, 90), (-9, 12), (390, 90), (500, 1), (33, 0)])] * 2
+    frames = frame(spark, rows, "utterance string, frame_idx int, vec array<float>")
+    intervals = frame(spark, spans, "utterance string, phone_idx int, xmin double, xmax double")
+    for within, mine in ((("utterance",), lambda u: [r for r in rows if r[0] == u]), ((), lambda u: [r for r in rows if r[0] == "u"])):
+        given = frames if within else frames.where("utterance = 'u'").drop("utterance")
+        got = {(r["utterance"], r["phone_idx"]): (r["n_frames"], r["embedding"]) for r in metrics.pool_frames(given, intervals, 1.0, within).collect()}
+        hand = {}
+        for u, k, a, b in set(spans):
+            vectors = [np.float32(v) for _, i, v in mine(u) if a <= i < max(b, a + 1)]
+            if vectors:
+                hand[u, k] = (2 * len(vectors), pytest.approx(np.mean(vectors, axis=0, dtype=float)))
+        assert got == hand
+
+
+def test_pooled_frames_are_not_broadcast(spark):
+    """Spark takes a day's frames of a user for one row and would broadcast all users'."""
+    users = spark.range(50).select(F.col("id").alias("utterance"))
+    frames = users.select("utterance", F.explode(F.sequence(F.lit(0), F.lit(1439))).alias("frame_idx")).withColumn("vec", F.array(F.col("frame_idx").cast("double")))
+    pooled = metrics.pool_frames(frames, users.select("utterance", F.lit(1.0).alias("xmin"), F.lit(1.5).alias("xmax")))
+    assert {tuple(r["embedding"]) for r in pooled.collect()} == {(62.0,)}  # frames 50 to 74
+    assert "Broadcast" not in pooled._jdf.queryExecution().executedPlan().toString()
+
+
 def test_permuted_labels_against_sorting(spark, monkeypatch):
     """Blocks and ranges of hashes of a few rows; label counts stay, rows without a label keep their place."""
     monkeypatch.setattr(replicates, "CELLS", 40)
