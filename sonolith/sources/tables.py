@@ -51,13 +51,22 @@ def read_entities(spark: SparkSession, path: str, numbers: list[str], texts: lis
     return clean.withColumns({c: F.lower(F.trim(F.col(c))) == "true" for c in have(booleans)}) if have(booleans) else clean
 
 
-def read_phone_intervals(spark: SparkSession, paths: str | list[str], keep_silences: bool = False) -> DataFrame:
+def write_packed(files: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Whole files (``path``, ``value``) as JSON lines, one line a file: for more files than a driver can list. ``append`` packs a tree one folder after the other."""
+    files.select("path", "value").write.mode(mode).json(path)
+
+
+def read_phone_intervals(spark: SparkSession, paths: str | list[str], keep_silences: bool = False, packed: bool = False) -> DataFrame:
     """Intervals of the ``phones`` tier of TextGrid files: ``dataset, speaker_id, utterance, phone_idx, xmin, xmax, text``.
 
     Distributed over files, without UDF; dataset and speaker are the two folders above a file, the utterance is its
-    stem. A file without that tier, or with an empty one, gives no rows.
+    stem. A file without that tier, or with an empty one, gives no rows. The driver lists the files; ``packed`` ones,
+    written by :func:`write_packed`, are rows, of which it lists none.
     """
-    raw = spark.read.text(paths, wholetext=True).select("value", F.split("_metadata.file_path", "/").alias("p"))
+    if packed:
+        raw = spark.read.schema("path string, value string").json(paths).select("value", F.split("path", "/").alias("p"))
+    else:
+        raw = spark.read.text(paths, wholetext=True).select("value", F.split("_metadata.file_path", "/").alias("p"))
     return phone_intervals(raw.select(F.element_at("p", -3).alias("dataset"), F.element_at("p", -2).alias("speaker_id"), F.regexp_replace(F.element_at("p", -1), r"\.[^.]*$", "").alias("utterance"), "value"), keep_silences)
 
 

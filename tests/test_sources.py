@@ -1,5 +1,9 @@
 """Scans of hand-written files."""
 
+import duckdb
+from pyspark.sql import functions as F
+
+from sonolith import plans
 from sonolith.sources import tables as src
 
 
@@ -60,6 +64,34 @@ def test_phone_intervals(spark, tmp_path):
     assert src.read_phone_intervals(spark, f"{tmp_path}/d/*/*.TextGrid", keep_silences=True).count() == 4
 
 
+def test_packed_phone_intervals(spark, tmp_path):
+    """The same rows from packed files, whatever their texts hold, and a tree packed in two steps."""
+    odd = GRID.replace('a""b', 'a""\u2028b\\n\x1e').replace("HH", "ʃ\t")
+    for speaker, text in (("s1", GRID), ("s2", odd), ("s3", "")):
+        (tmp_path / "d" / speaker).mkdir(parents=True)
+        (tmp_path / "d" / speaker / "u 1.TextGrid").write_text(text, encoding="utf-8")
+    for mode, speakers in (("overwrite", "s1"), ("append", "s[23]")):
+        src.write_packed(spark.read.text(f"{tmp_path}/d/{speakers}/*.TextGrid", wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"), f"{tmp_path}/packed", mode)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = rows(src.read_phone_intervals(spark, f"{tmp_path}/packed", packed=True))
+    assert len(got) == 4 and got == rows(src.read_phone_intervals(spark, f"{tmp_path}/d/*/*.TextGrid"))
+
+
+def test_grids_are_not_a_file_each(spark, sf):
+    """As many files as users are more than a driver can list."""
+    assert len(plans.QUERIES["o04_read_phone_intervals"](spark, sf).inputFiles()) <= 8 < spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+
+
+def test_grids_keep_all_digits(spark, tmp_path, same):
+    """Durations just under half a millisecond, which times cut to microseconds would lift over it."""
+    path = f"{tmp_path}/events.parquet"
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id").bitwiseAND(-2) * 7_000_001 + (F.col("id") % 2) * 2_667_333)
+    spark.range(400).select(F.col("id").alias("event_id"), at.alias("ts"), F.floor(F.col("id") / 2).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value")).coalesce(1).write.parquet(path)
+    with duckdb.connect() as con:
+        con.execute(f"SET timezone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+        same(plans.QUERIES["o04_read_phone_intervals"](spark, str(tmp_path)), con, plans.SQL["o04_read_phone_intervals"])
+
+
 def test_contrasts(spark, tmp_path):
     (tmp_path / "features_hu.json").write_text('{"consonants": {"nasality": {"positive": ["m", "n"], "negative": ["b", "m", "�"]}}, "vowel_features": {"height": {"positive": ["i"], "negative": ["a"]}}}', encoding="utf-8")
     good, bad = src.read_contrasts(spark, str(tmp_path / "*.json"))
